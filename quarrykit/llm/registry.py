@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import exact_dedup, line_dedup, packing, token_counts
+from . import exact_dedup, line_dedup, packing, simhash_dedup, token_counts
 
 
 def _documents(operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -16,6 +16,7 @@ def _documents(operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSes
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_simhash_dedup": _documents(simhash_dedup.digest),
         "op2_line_dedup": _documents(line_dedup.digest),
         "op7_token_counts": _documents(token_counts.digest),
         "op8_exact_dedup": _documents(exact_dedup.exact_dedup),
