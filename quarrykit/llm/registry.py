@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import exact_dedup, line_dedup, packing, simhash_dedup, token_counts
+from . import exact_dedup, line_dedup, packing, simhash_dedup, substring_dedup, token_counts
 
 
 def _documents(operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash_dedup": _documents(simhash_dedup.digest),
         "op2_line_dedup": _documents(line_dedup.digest),
+        "op3_substring_dedup": _documents(substring_dedup.digest),
         "op7_token_counts": _documents(token_counts.digest),
         "op8_exact_dedup": _documents(exact_dedup.exact_dedup),
         "op9_packing": _documents(packing.digest),
@@ -25,4 +26,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": line_dedup.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE}
+    return {
+        "op2_line_dedup": line_dedup.ORACLE,
+        "op3_substring_dedup": substring_dedup.ORACLE,
+        "op8_exact_dedup": exact_dedup.ORACLE,
+    }
