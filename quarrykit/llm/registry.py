@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import exact_dedup, line_dedup, packing, simhash_dedup, substring_dedup, token_counts
+from . import exact_dedup, language_id, line_dedup, packing, simhash_dedup, substring_dedup, token_counts
 
 
 def _documents(operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_token_counts": _documents(token_counts.digest),
         "op8_exact_dedup": _documents(exact_dedup.exact_dedup),
         "op9_packing": _documents(packing.digest),
+        "op10_language_id": _documents(language_id.digest),
     }
 
 
