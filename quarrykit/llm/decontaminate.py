@@ -4,8 +4,8 @@ r"""Benchmark decontamination by latent semantic retrieval with exact checks of
    TF-IDF matrix A over the whole corpus. Document frequencies and the sketch Z = A^T A R (R: random, ``DIM`` x rank)
    are sums over all tasks; the driver gets ``DIM`` x rank numbers whatever the corpus' size and takes the leading right
    singular vectors and values from Z by the Nystrom formula (randomised SVD in one pass over A).
-2. Passages of documents (``PASSAGE`` words, half overlapping) and of benchmark items project onto the vectors, each
-   direction scaled by its singular value, and are compared by cosine, a batch of passages against the items at once.
+2. Windows of documents (``PASSAGE`` or ``SHORT`` words, every ``STEP`` words) and benchmark items project onto the vectors,
+   each direction scaled by its singular value, and are compared by cosine, a batch of windows against the items at once.
 3. Each candidate is settled on the words: the longest common subsequence of the item and the region around the
    passage, and the same for the item's answer (its last sentence). An item counts as leaked at a share of ``SURE``, or of
    ``LIKELY`` with at least ``ANSWER`` of the answer in place (paraphrases).
@@ -36,8 +36,11 @@ from ._sums import summed
 from ._text import texts
 
 DIM, RANK, SPARE, PASSAGE = 1 << 13, 64, 16, 50
-STEP = PASSAGE // 2
-COSINE, SURE, LIKELY, ANSWER = 0.5, 0.65, 0.5, 0.8
+#: Leading directions left out of the comparison: they tell languages and registers apart, not contents.
+COMMON = 8
+#: Windows (in words) of documents that are compared: the short ones with items of up to ``SHORT_ITEM`` words.
+STEP, SHORT, SHORT_ITEM = 10, 20, 30
+COSINE, SURE, LIKELY, ANSWER = 0.5, 0.7, 0.55, 0.8
 BLOCK_MB = 16
 SLICES = 16
 _WORDS = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -97,24 +100,28 @@ class Space:
     def __init__(self, weights: np.ndarray):
         self.weights = weights
 
-    def passages(self, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Unit vectors of all passages of the texts, with the text's number and the first word of each."""
-        halves = [max(1, -(-len(c) // STEP)) for c in columns]
-        padded = np.full(sum(halves) * STEP, DIM, np.int64)
-        at = 0
-        for c, n in zip(columns, halves, strict=True):
+    def windows(self, columns: list[np.ndarray], widths: tuple[int, ...]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each width: unit vectors of the texts' windows, the number of the text and the first word of each."""
+        steps = np.array([max(1, -(-len(c) // STEP)) for c in columns])
+        padded = np.full(int(steps.sum()) * STEP, DIM, np.int64)
+        first = np.cumsum(steps) - steps
+        for c, at in zip(columns, (first * STEP).tolist(), strict=True):
             padded[at : at + len(c)] = c
-            at += n * STEP
-        half = np.concatenate([self.weights[padded[i : i + 800 * STEP]].reshape(-1, STEP, self.weights.shape[1]).sum(1) for i in range(0, len(padded), 800 * STEP)])
-        owner = np.repeat(np.arange(len(columns)), halves)
-        with_next = np.flatnonzero(np.append(owner[1:] == owner[:-1], False))
-        single = np.flatnonzero(np.array(halves) == 1)
-        first = np.cumsum(halves) - halves
-        vectors = np.concatenate((half[with_next] + half[with_next + 1], half[first[single]]))
-        number = np.concatenate((owner[with_next], single))
-        start = np.concatenate(((with_next - first[owner[with_next]]) * STEP, np.zeros(len(single), np.int64)))
-        size = np.linalg.norm(vectors, axis=1, keepdims=True)
-        return vectors / np.maximum(size, 1e-12), number, start
+        rank = self.weights.shape[1]
+        sums = np.zeros((len(padded) // STEP + 1, rank))
+        for at in range(0, len(padded), 2000 * STEP):
+            sums[at // STEP + 1 : at // STEP + 2001] = self.weights[padded[at : at + 2000 * STEP]].reshape(-1, STEP, rank).sum(1)
+        np.cumsum(sums, axis=0, out=sums)
+        owner = np.repeat(np.arange(len(columns)), steps)
+        place = np.arange(len(owner)) - first[owner]
+        out = []
+        for width in widths:
+            begin = np.flatnonzero((place == 0) | (place + width // STEP <= steps[owner]))
+            end = np.minimum(begin + width // STEP, (first + steps)[owner[begin]])
+            vectors = (sums[end] - sums[begin]).astype(np.float32)
+            vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
+            out.append((vectors, owner[begin], place[begin] * STEP))
+        return out
 
 
 def fit(docs: DataFrame, text_col: str = "text") -> Space:
@@ -136,6 +143,7 @@ def fit(docs: DataFrame, text_col: str = "text") -> Space:
         weighted = random_sketch() * idf[:, None]
         z = np.zeros((DIM, RANK + SPARE), np.float32)
         for columns, passage in blocks(batches):
+            passage, columns = np.divmod(np.unique(passage * DIM + columns), DIM)  # a word counts once in a passage
             starts = np.flatnonzero(np.concatenate(([True], passage[1:] != passage[:-1])))
             rows = np.add.reduceat(weighted[columns], starts)
             rows /= np.maximum(np.add.reduceat(idf[columns] ** 2, starts), 1e-6)[:, None]
@@ -154,8 +162,9 @@ def fit(docs: DataFrame, text_col: str = "text") -> Space:
     if not good.any():
         return Space(np.zeros((DIM + 1, 1), np.float32))
     left, scale, _ = np.linalg.svd(z @ (vectors[:, good] / np.sqrt(values[good])), full_matrices=False)
-    keep = scale[:RANK] > 1e-6 * scale[0]
-    weights = idf[:, None] * (left[:, :RANK][:, keep] / scale[:RANK][keep]) * scale[0]
+    keep = np.flatnonzero(scale[:RANK] > 1e-6 * scale[0])
+    keep = keep[COMMON:] if len(keep) > 2 * COMMON else keep
+    weights = idf[:, None] * (left[:, keep] / scale[keep]) * scale[0]
     return Space(np.vstack((weights, np.zeros(weights.shape[1]))).astype(np.float32))
 
 
@@ -180,40 +189,60 @@ class Items:
     """One block of the benchmark with its vectors."""
 
     def __init__(self, space: Space, rows: list[tuple[int | None, str | None]]):
-        self.space, self.ids, self.words, self.bits, self.answers = space, [], [], [], []
+        self.space, self.ids, self.words, self.bits, self.answers, self.columns = space, [], [], [], [], []
         for key, text in rows:
             if words := words_of(text or ""):
                 sentences = [w for s in _ENDS.split(text) if (w := words_of(s))]
                 answer = sentences[-1]
                 self.ids.append(key)
                 self.words.append(len(words))
+                self.columns.append(columns_of(words))
                 self.bits.append(places(words))
                 self.answers.append((places(answer), len(answer)))
-        self.vectors, self.item, _ = space.passages([columns_of(words_of(t)) for _, t in rows if words_of(t or "")]) if self.ids else (None, None, None)
+        short = [i for i, n in enumerate(self.words) if n <= SHORT_ITEM]
+        long = [i for i, n in enumerate(self.words) if n > SHORT_ITEM]
+        self.groups = [self.group(width, chosen) for width, chosen in ((SHORT, short), (PASSAGE, long)) if chosen]
+
+    def group(self, width: int, chosen: list[int]) -> tuple[int, np.ndarray, np.ndarray]:
+        """Width of windows, vectors of the items (of all their windows where longer than ``PASSAGE``), item of each."""
+        vectors, item = [], []
+        for i in chosen:
+            wide = PASSAGE if self.words[i] > PASSAGE else STEP * -(-self.words[i] // STEP)
+            ((found, _, _),) = self.space.windows([self.columns[i]], (wide,))
+            vectors.append(found)
+            item += [i] * len(found)
+        return width, np.concatenate(vectors), np.array(item)
 
     def hits(self, texts_words: list[list[bytes]]) -> list[list[dict]]:
         found: list[dict[int, dict]] = [{} for _ in texts_words]
         some = [i for i, w in enumerate(texts_words) if w]
-        if not self.ids or not some:
+        if not self.groups or not some:
             return [[] for _ in texts_words]
-        vectors, number, start = self.space.passages([columns_of(texts_words[i]) for i in some])
-        per = max(1, 4_000_000 // len(self.vectors))
-        for at in range(0, len(vectors), per):
-            near = vectors[at : at + per] @ self.vectors.T
-            for p, q in np.argwhere(near >= COSINE).tolist():
-                doc, item = some[number[at + p]], int(self.item[q])
-                if (known := found[doc].get(item)) and known["shared"] >= 0.95:
-                    continue
-                n, begin = self.words[item], int(start[at + p])
-                lo, hi = max(0, begin - n), begin + PASSAGE + n
-                region = texts_words[doc][lo:hi]
-                shared = common(self.bits[item], n, region) / n
-                bits, size = self.answers[item]
-                answer = common(bits, size, region) / size
-                if (shared >= SURE or shared >= LIKELY and answer >= ANSWER) and (not known or shared > known["shared"]):
-                    found[doc][item] = {"item_id": self.ids[item], "cosine": float(near[p, q]), "shared": shared, "answer": answer, "start": lo, "stop": min(hi, len(texts_words[doc]))}
+        windows = self.space.windows([columns_of(texts_words[i]) for i in some], tuple(g[0] for g in self.groups))
+        for (width, vectors, items), (near_to, number, start) in zip(self.groups, windows, strict=True):
+            per = max(1, 2_000_000 // len(vectors))
+            for at in range(0, len(near_to), per):
+                near = near_to[at : at + per] @ vectors.T
+                for p, q in np.argwhere(near >= COSINE).tolist():
+                    self.settle(found[some[number[at + p]]], texts_words[some[number[at + p]]], int(items[q]), int(start[at + p]), width, float(near[p, q]))
         return [list(f.values()) for f in found]
 
+    def settle(self, found: dict[int, dict], words: list[bytes], item: int, begin: int, width: int, cosine: float) -> None:
+        """Decide a candidate on the words around it; the best place of an item in a text is kept."""
+        if (known := found.get(item)) and known["shared"] >= 0.95:
+            return
+        n = self.words[item]
+        slack = max(n, STEP) // 2 + max(0, n - width)
+        lo, hi = max(0, begin - slack), min(len(words), begin + width + slack)
+        region = words[lo:hi]
+        shared = common(self.bits[item], n, region) / n
+        if shared < LIKELY or known and shared <= known["shared"]:
+            return
+        bits, size = self.answers[item]
+        answer = common(bits, size, region) / size
+        if shared >= SURE or answer >= ANSWER:
+            found[item] = {"item_id": self.ids[item], "cosine": cosine, "shared": shared, "answer": answer, "start": lo, "stop": hi}
+
 
 def annotate(docs: DataFrame, benchmark: DataFrame, space: Space | None = None, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """``docs``' columns and ``leaks``: the benchmark items found in each text."""
