@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import decontaminate, exact_dedup, language_id, line_dedup, packing, simhash_dedup, substring_dedup, token_counts
+from . import decontaminate, exact_dedup, language_id, line_dedup, packing, quality_pu, simhash_dedup, substring_dedup, token_counts
 
 
 def _documents(operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -19,6 +19,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_simhash_dedup": _documents(simhash_dedup.digest),
         "op2_line_dedup": _documents(line_dedup.digest),
         "op3_substring_dedup": _documents(substring_dedup.digest),
+        "op4_quality_pu": lambda spark, sf_dir: quality_pu.digest(
+            table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+        ),
         "op6_decontaminate": lambda spark, sf_dir: decontaminate.digest(
             table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
         ),
