@@ -3,7 +3,8 @@
 No pre-token of the two vocabularies used here reaches from a visible character into white space that follows it,
 nor from a letter or digit into a mark of punctuation, so a text's tokens are the tokens of its parts one after the
 other: white space with the visible run after it, and the punctuation that ends a word apart from the word.
-The library encodes each distinct part once per worker; the memo starts afresh when it reaches ``MEMO`` parts.
+The library encodes each distinct part once per worker while the memo holds it: of two generations of ``MEMO`` parts,
+the older goes when the younger is full, and parts in use move from the older to the younger.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ LETTER, MARKS = "A-Za-z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\u012f\\u0131-\\u024f", ".,;
 WORD = LETTER + "0-9"
 PARTS = re.compile(f"[{SPACE}]*+[{WORD}]++(?=[{MARKS}])|[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 VISIBLE = re.compile(f"[{WORD}]++(?=[{MARKS}])|[^{SPACE}]+")
-#: Distinct parts that a worker remembers, and the longest part that it remembers.
-MEMO, LONGEST = 1_000_000, 64
+#: Distinct parts in a generation of a worker's memo, and the longest part that it remembers.
+MEMO, LONGEST = 150_000, 64
 
 _loaded: dict[str, object] = {}
 
@@ -43,15 +44,21 @@ class Memo:
     """Values of parts by ``compute`` (a list of distinct parts to a list of values)."""
 
     def __init__(self, compute: Callable[[list[str]], list]):
-        self.compute, self.known = compute, {}
+        self.compute, self.known, self.older = compute, {}, {}
 
     def values(self, parts: list[str]) -> list:
-        known = self.known
+        known, older = self.known, self.older
         if missing := {p for p in parts if p not in known}:
             if len(known) + len(missing) > MEMO:
+                older = self.older = known
                 known = self.known = {}
                 missing = set(parts)
-            new = list(missing)
+            new = []
+            for p in missing:
+                if (value := older.get(p)) is None:
+                    new.append(p)
+                else:
+                    known[p] = value
             known.update(zip(new, self.compute(new), strict=True))
             out = [known[p] for p in parts]
             for p in new:

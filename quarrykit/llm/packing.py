@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -36,35 +37,32 @@ CAPACITY, END_ID = 2048, 1
 
 _memos: dict[str, Memo] = {}
 LETTERS = re.compile(f"[{LETTER}]+")
+#: Where a string's lower case may depend on its neighbours or end in a mark.
+WIDE = re.compile("[\u0130\u0250-\U0010ffff]")
 
 
 class WordEncoder:
     """Ids of space-delimited parts as little-endian uint32 bytes; the vocabulary drops white space.
 
-    A part of letters alone is one pre-token, whose last token carries the vocabulary's end-of-word suffix, so many
-    such parts are encoded as one text and told apart by that suffix. The rest are encoded one by one.
+    A part of Latin letters alone is one pre-token, so it goes to the merge rules directly, lower-cased and with its
+    bytes mapped as the library maps them. All other parts pass through the whole library.
     """
 
-    def __init__(self, path: str, together: int = 4096):
-        self.tokenizer, self.together = vocabulary(path), together
-        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.ends = np.zeros(max(vocab.values()) + 1, bool)
-        self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
+    def __init__(self, path: str):
+        self.tokenizer = vocabulary(path)
+        letters = [chr(c) for c in range(ord("a"), 0x250) if LETTERS.fullmatch(chr(c))]
+        step = self.tokenizer.pre_tokenizer
+        self.bytes_of = {ord(c): "".join(m for m, _ in step.pre_tokenize_str(c)) for c in letters}
 
     def __call__(self, parts: list[str]) -> list[bytes]:
-        known: dict[str, bytes] = {}
-        plain = [p for p in parts if LETTERS.fullmatch(p)]
-        for at in range(0, len(plain), self.together):
-            words = plain[at : at + self.together]
-            ids = np.asarray(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
-            stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-            if len(stops) == len(words):
-                raw = ids.tobytes()
-                known.update(zip(words, map(raw.__getitem__, map(slice, [0, *stops], stops)), strict=True))
-        rest = [p for p in parts if p not in known]
+        tokenize, bytes_of, ids = self.tokenizer.model.tokenize, self.bytes_of, {}
+        for part in parts:
+            if LETTERS.fullmatch(part):
+                ids[part] = array("I", [t.id for t in tokenize(part.lower().translate(bytes_of))]).tobytes()
+        rest = [p for p in parts if p not in ids]
         for part, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            known[part] = np.asarray(e.ids, "<u4").tobytes()
-        return [known[p] for p in parts]
+            ids[part] = np.asarray(e.ids, "<u4").tobytes()
+        return [ids[p] for p in parts]
 
 
 def memo(path: str) -> Memo:
@@ -74,6 +72,8 @@ def memo(path: str) -> Memo:
 
 
 def token_ids(text: str, path: str, end_id: int = END_ID) -> bytes:
+    if not WIDE.search(text):
+        text = text.lower()  # as the library lower-cases here, and fewer distinct parts
     return b"".join(memo(path).values(VISIBLE.findall(text))) + end_id.to_bytes(4, "little")
 
 

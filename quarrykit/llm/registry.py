@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import decontaminate, exact_dedup, language_id, line_dedup, packing, quality_pu, simhash_dedup, substring_dedup, token_counts
+from . import chat_format, decontaminate, exact_dedup, language_id, line_dedup, packing, quality_pu, simhash_dedup, substring_dedup, token_counts
 
 
 def _documents(operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_quality_pu": lambda spark, sf_dir: quality_pu.digest(
             table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
         ),
+        "op5_chat_format": lambda spark, sf_dir: chat_format.digest(table(spark, sf_dir, "conversations")),
         "op6_decontaminate": lambda spark, sf_dir: decontaminate.digest(
             table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
         ),
@@ -36,5 +37,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_line_dedup": line_dedup.ORACLE,
         "op3_substring_dedup": substring_dedup.ORACLE,
+        "op5_chat_format": chat_format.ORACLE,
         "op8_exact_dedup": exact_dedup.ORACLE,
     }
