@@ -1,15 +1,69 @@
-"""Corpus cleaning pipeline (stages follow)."""
+"""Corpus cleaning pipeline: language ID, line dedup, SimHash near-dedup, benchmark decontamination, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next one's
+``docs``. All but the last return the columns of their input with their decisions applied.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarrykit.llm import decontaminate, language_id, line_dedup, packing, simhash_dedup
+from quarrykit.session import checkpoint_dir, table
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts that have a language (null texts and texts without a letter are rejected)."""
+    found = language_id.identify(docs)
+    return found.where(F.col("language.predicted") != language_id.UNDETERMINED).select(*docs.columns)
+
+
+def unrepeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the multi-line chunks that stand earlier in the corpus; ``n_chars`` follows the text."""
+    found = line_dedup.dedup_lines(docs)
+    if "n_chars" in docs.columns:
+        found = found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return found.select(*docs.columns)
+
+
+def near_unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group (shingles of five words)."""
+    return simhash_dedup.dedup(docs, k=5)
+
+
+def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    found = decontaminate.annotate(docs, table(spark, sf_dir, "benchmark"))
+    return found.where(F.size("leaks") == 0).select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences of at most 2048 ids, placed in training sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("language_id", known_language),
+    ("line_dedup", unrepeated_lines),
+    ("simhash_dedup", near_unique),
+    ("decontaminate", uncontaminated),
+    ("packing", packed),
+]
 
-STAGES: list = []
+#: No SQL for models, SimHash, retrieval and tokenizers; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    """All stages over ``documents``; between stages the table is written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for number, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if number < len(STAGES) - 1:
+            docs.write.parquet(f"{folder}/{number}-{name}")
+            docs = spark.read.parquet(f"{folder}/{number}-{name}")
     return docs
