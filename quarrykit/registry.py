@@ -10,7 +10,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def modules() -> list:
-    return []
+    from .plans import retrieval, text
+
+    return [text, retrieval]
 
 
 def queries() -> dict[str, Query]:
