@@ -10,9 +10,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def modules() -> list:
-    from .plans import retrieval, text
+    from .plans import retrieval, snapshots, text
 
-    return [text, retrieval]
+    return [text, retrieval, snapshots]
 
 
 def queries() -> dict[str, Query]:
