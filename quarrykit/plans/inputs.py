@@ -46,7 +46,7 @@ SELECT p_partkey, p_name, p_brand, CASE WHEN p_partkey % 19 = 0 THEN 'NEW ' || p
   CASE WHEN p_partkey % 9 = 0 THEN round(p_retailprice * 1.1, 2) ELSE p_retailprice END AS price FROM {part} WHERE p_partkey % 13 <> 0""",
     "health": """
 SELECT event_id, user_id % 20 AS connector_id, ts, CASE WHEN event_type = 'error' THEN 'DISCONNECTED' ELSE 'CONNECTED' END AS status,
-  CASE WHEN event_type = 'error' THEN NULL ELSE value * 100 END AS latency_ms, CASE WHEN event_type = 'error' THEN 0.0 ELSE 1.0 END AS availability FROM {events}""",
+  CASE WHEN event_type = 'error' THEN NULL ELSE value * 100 END AS latency_ms, CAST(CASE WHEN event_type = 'error' THEN 0 ELSE 1 END AS DOUBLE) AS availability FROM {events}""",
     "requests": """
 SELECT event_id, ts, CASE WHEN event_type IN ('purchase', 'signup') THEN 'POST' ELSE 'GET' END AS method, '/' || event_type AS route,
   CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS status, value / 10 AS seconds FROM {events}""",

@@ -10,9 +10,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def modules() -> list:
-    from .plans import retrieval, snapshots, text
+    from .plans import chat, health, retrieval, snapshots, text
 
-    return [text, retrieval, snapshots]
+    return [text, retrieval, snapshots, chat, health]
 
 
 def queries() -> dict[str, Query]:
