@@ -10,9 +10,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def modules() -> list:
-    from .plans import chat, health, pages, retrieval, snapshots, text
+    from .plans import chat, health, knowledge, pages, retrieval, snapshots, text
 
-    return [text, retrieval, snapshots, chat, health, pages]
+    return [text, retrieval, snapshots, chat, health, pages, knowledge]
 
 
 def queries() -> dict[str, Query]:
