@@ -76,8 +76,17 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, least: float | None = No
     q = queries.select(F.col("query_id").alias("id"), "embedding", F.lit(0).alias("side"), F.pmod(F.xxhash64("query_id"), F.lit(m)).alias("i"), F.explode(_upto(n)).alias("j"))
     v = vectors.select(F.col("vec_id").alias("id"), "embedding", F.lit(1).alias("side"), F.explode(_upto(m)).alias("i"), F.pmod(F.xxhash64("vec_id"), F.lit(n)).alias("j"))
 
+    return _best_of_blocks(q.unionByName(v), k, least)
+
+
+def _best_of_blocks(rows: DataFrame, k: int, least: float | None) -> DataFrame:
+    """The k best vectors (side 1) for each query (side 0) among those that meet it in some block (i, j), one product a block."""
+
     def best(t: pa.Table) -> pa.Table:
         side, ids = t.column("side").to_numpy(), t.column("id").to_numpy()
+        kinds = [pa.int64(), pa.int64(), pa.float64()]
+        if side.min() == side.max():
+            return pa.table([pa.array([], x) for x in kinds], names=["query_id", "vec_id", "score"])
         x = _matrix(t.column("embedding"))
         a, b = x[side == 0], x[side == 1]
         qa, vb = ids[side == 0], ids[side == 1]
@@ -85,12 +94,13 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, least: float | None = No
         order = np.argsort(vb, kind="stable")
         score, vb = score[:, order], vb[order]
         keep = np.argsort(-score, axis=1, kind="stable")[:, :k]
-        rows = np.repeat(np.arange(len(qa)), keep.shape[1])
-        s = score[rows, keep.ravel()]
+        at = np.repeat(np.arange(len(qa)), keep.shape[1])
+        s = score[at, keep.ravel()]
         good = np.ones(len(s), bool) if least is None else s >= least
-        return pa.table([pa.array(qa[rows][good]), pa.array(vb[keep.ravel()][good]), pa.array(s[good])], names=["query_id", "vec_id", "score"])
+        columns = (qa[at][good], vb[keep.ravel()][good], s[good])
+        return pa.table([pa.array(c, x) for c, x in zip(columns, kinds, strict=True)], names=["query_id", "vec_id", "score"])
 
-    pairs = q.unionByName(v).groupBy("i", "j").applyInArrow(best, "query_id long, vec_id long, score double")
+    pairs = rows.groupBy("i", "j").applyInArrow(best, "query_id long, vec_id long, score double")
     return top(pairs, "query_id", [F.desc("score"), F.asc("vec_id")], k)
 
 
@@ -115,28 +125,46 @@ def similar_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
     return rows.groupBy("i", "j").applyInArrow(near, "a long, b long, score double")
 
 
-def ann(queries: DataFrame, vectors: DataFrame, k: int, tables: int = 24, bits: int = 8, seed: int = 11) -> DataFrame:
-    """Approximate ``knn`` by random-hyperplane signatures: every vector is indexed in each of ``tables`` hash tables.
+def _centroids(vectors: DataFrame, lists: int, sample: int, rounds: int = 10) -> np.ndarray:
+    """Spherical k-means on at most ``sample`` vectors drawn by a hash of the id."""
+    part = min(1.0, sample / max(1, vectors.count()))
+    rows = vectors.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int(part * (1 << 30))).select("vec_id", "embedding").limit(2 * sample).collect()
+    rows.sort(key=lambda r: r["vec_id"])
+    x = np.array([r["embedding"] for r in rows], np.float64)
+    c = x[np.random.default_rng(3).choice(len(x), min(lists, len(x)), replace=False)] if len(x) else np.zeros((1, 1))
+    for _ in range(rounds if len(x) else 0):
+        near = (x @ c.T).argmax(1)
+        c = np.array([x[near == i].mean(0) if (near == i).any() else c[i] for i in range(len(c))])
+        c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
+    return c
 
-    Candidates are the vectors that share a signature with the query in some table, ranked by exact cosine.
+
+def ann(queries: DataFrame, vectors: DataFrame, k: int, lists: int = 32, probes: int = 20, sample: int = 5000) -> DataFrame:
+    """Approximate ``knn`` over an inverted-file index.
+
+    Centroids come from a bounded sample (``sample`` vectors); every vector is indexed under its nearest centroid and every
+    query looks into its ``probes`` nearest lists, where scores are exact. Lists split into blocks like those of ``knn``.
+    On vectors without any cluster structure, recall at 10 is above 0.9 with the default; clustered ones need few probes.
     """
     attach(queries.sparkSession)
-
-    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-                planes = np.random.default_rng(seed).standard_normal((x.shape[1], tables * bits))
-                hit = (x @ planes > 0).reshape(len(x), tables, bits) @ (1 << np.arange(bits))
-                keys = (hit + np.arange(tables) * (1 << bits)).astype(np.int64)
-                ids = np.repeat(batch.column(0).to_numpy(), tables)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(keys.ravel())], ["id", "key"])
-
-    index = vectors.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(signed, "id long, key long")
-    probes = queries.select(F.col("query_id").cast("long"), "embedding").mapInArrow(signed, "id long, key long")
-    pairs = probes.select(F.col("id").alias("query_id"), "key").join(index.select(F.col("id").alias("vec_id"), "key"), "key").select("query_id", "vec_id").distinct()
-    scored = pairs.join(queries.select("query_id", F.col("embedding").alias("q")), "query_id").join(vectors.select("vec_id", F.col("embedding").alias("v")), "vec_id")
-    return top(scored.select("query_id", "vec_id", F.round(dot(F.col("q"), F.col("v")), 6).alias("score")), "query_id", [F.desc("score"), F.asc("vec_id")], k)
+    c = _centroids(vectors, lists, sample)
+    n = max(1, -(-_sized(vectors) // len(c)))
+
+    def assign(many: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+                    near = np.argsort(-(x @ c.T), axis=1, kind="stable")[:, :many].astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near.tolist(), pa.list_(pa.int64()))], ["id", "embedding", "near"])
+
+        return run
+
+    kind = "id long, embedding array<float>, near array<long>"
+    rows = lambda df, key, many: df.select(F.col(key).cast("long").alias("id"), F.col("embedding").cast("array<float>")).mapInArrow(assign(many), kind).select("id", "embedding", F.explode("near").alias("i"))
+    q = rows(queries, "query_id", probes).select("id", "embedding", F.lit(0).alias("side"), "i", F.explode(_upto(n)).alias("j"))
+    v = rows(vectors, "vec_id", 1).select("id", "embedding", F.lit(1).alias("side"), "i", F.pmod(F.xxhash64("id"), F.lit(n)).alias("j"))
+    return _best_of_blocks(q.unionByName(v), k, None)
 
 
 def fuse(keyword: DataFrame, semantic: DataFrame, k: int, constant: int = RRF) -> DataFrame:

@@ -27,7 +27,7 @@ ORACLE["w3_connector_status"] = f"""SELECT connector_id, CASE WHEN n = 0 THEN 'C
 QUERIES["a24_request_histogram"] = lambda s, d: H.request_histogram(derive(s, d, "requests"))
 ORACLE["a24_request_histogram"] = f"SELECT method, route, status, count(*) AS n, round(sum(seconds), 6) AS total, {_le} FROM {REQ} GROUP BY ALL"
 QUERIES["w11_outage_states"] = lambda s, d: H.outage_states(derive(s, d, "health"))
-QUERIES["r3_rate_limit_batch"] = lambda s, d: H.rate_limit(table(s, d, "events"), 3, 0.0005)
+QUERIES["r3_rate_limit_batch"] = lambda s, d: H.rate_limit(table(s, d, "events"), 2, 0.00005)
 
 
 def connector_report(health: DataFrame) -> DataFrame:
@@ -86,7 +86,7 @@ def _requests(s: SparkSession, d: str) -> DataFrame:
 QUERIES["r6_request_metrics"] = lambda s, d: E.finish(E.request_metrics(_requests(s, d))).withColumn("hour", F.col("hour").cast("timestamp_ntz"))
 ORACLE["r6_request_metrics"] = f"""SELECT * FROM (SELECT date_trunc('hour', ts) AS hour, method, route, status, count(*) AS n, round(sum(seconds), 6) AS total, {_le} FROM {REQ} GROUP BY 1, 2, 3, 4)
 WHERE hour + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)"""
-QUERIES["r3_rate_limit"] = lambda s, d: E.finish(E.folded(E.with_seconds(E.stream(s, d, "events").select("user_id", "event_id", "ts")), "user_id", E.TokenBucket(3, 0.0005), "event_id long, user_id long, allowed boolean"))
+QUERIES["r3_rate_limit"] = lambda s, d: E.finish(E.folded(E.with_seconds(E.stream(s, d, "events").select("user_id", "event_id", "ts")), "user_id", E.TokenBucket(2, 0.00005), "event_id long, user_id long, allowed boolean"))
 QUERIES["r4_repeat_queries"] = lambda s, d: E.finish(E.folded(E.with_seconds(E.stream(s, d, "events").select(F.concat("user_id", "event_type").alias("key"), "event_id", "ts")), "key", E.Repeats(3600.0), "event_id long, key string, hit boolean"))
 QUERIES["r5_outages"] = lambda s, d: E.finish(E.folded(E.with_seconds(E.stream(s, d, "events").select((F.col("user_id") % 20).alias("connector_id"), "event_id", "ts", (F.col("event_type") != "error").alias("ok"))), "connector_id", E.Breaker(3, 60.0), "event_id long, connector_id long, outcome string, state string"))
 QUERIES["r8_escalations"] = lambda s, d: E.finish(E.folded(E.stream(s, d, "conversations").where("role = 'assistant'").select("conv_id", F.col("turn").alias("event_id"), F.col("turn").cast("double").alias("seconds"), ((F.col("conv_id") * 7 + F.col("turn") * 3) % 10).isin(9, 0, 1, 2, 3).alias("weak")), "conv_id", E.Streak(), "event_id long, conv_id long, streak int, escalate boolean"))

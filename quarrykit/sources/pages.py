@@ -18,6 +18,8 @@ from ..session import attach
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 #: Tags that end an open paragraph.
 BLOCKS = {"p", "div", "ul", "ol", "li", "table", "tr", "td", "th", "section", "article", "header", "footer", "nav", "form", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre"}
+#: Tags that end an open one of a kind, and where that search stops.
+IMPLIED = {"li": ({"li"}, {"ul", "ol"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tr": ({"tr"}, {"table"}), "option": ({"option"}, {"select"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"})}
 NOISE = re.compile(r"(?i)(^|[\s_-])(ad|ads|advert\w*|cookie\w*|consent|popup|modal)($|[\s_-])")
 CTA = re.compile(r"(?i)\b(buy|order|shop|sign up|subscribe|get started|contact|book|download|learn more|try)\b")
 SCHEMA = (
@@ -87,6 +89,12 @@ class Tree(HTMLParser):
                 up = up.parent
             if up and up.tag == "p":
                 self.at = up.parent
+        ends, stops = IMPLIED.get(tag, ((), ()))
+        up = self.at if ends else None
+        while up and up.tag not in ends and up.tag not in stops:
+            up = up.parent
+        if up and up.tag in ends:
+            self.at = up.parent
         node = Node(tag, {k: v or "" for k, v in attrs}, self.at)
         self.at.children.append(node)
         if tag not in VOID:
