@@ -5,9 +5,10 @@ validates arguments against the tools' schemas and serialises each call with its
 alphabetical order, no white space, nulls left out). ``format_chat`` puts messages and calls of whole conversations in order,
 a row each, so no conversation is ever gathered in one place.
 
-Topological level: 0 without known dependencies, else one more than the highest level it depends on. Each round settles
-the calls all of whose dependencies are settled; as many rounds run as the longest chain has calls. What is left
-when a round settles nothing lies on or behind a cycle and has no level.
+Topological level: 0 without known dependencies, else one more than the highest level it depends on. Calls with one
+dependency form chains, which pointer doubling shortens in a number of rounds that is logarithmic in the longest
+chain; only calls with several dependencies are then settled level by level. What cannot be settled lies on or behind a
+cycle and has no level.
 
 Validation errors, sorted: bad_json, unknown_tool, missing:x, type:x, range:x, enum:x, extra:x. Argument types are those of
 JSON (string, integer, number, boolean).
@@ -74,21 +75,37 @@ def levels(calls: DataFrame) -> DataFrame:
     """conv_id, call_id, level of the calls that have one; ``calls``: conv_id, call_id, depends_on."""
     ids = calls.select("conv_id", "call_id").where("call_id IS NOT NULL")
     edges = calls.select("conv_id", "call_id", F.explode("depends_on").alias("dep")).distinct()
-    known = ids.select("conv_id", F.col("call_id").alias("dep"))
-    edges = durable(edges.join(known, ["conv_id", "dep"], "left_semi"))
-    found = ids.join(edges, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0))
-    level, left = 0, edges.count()
-    while left:
-        level += 1
-        waiting = edges.select("conv_id", F.col("call_id").alias("dep")).distinct()
-        blocked = edges.join(waiting, ["conv_id", "dep"], "left_semi")
-        ready = durable(edges.join(blocked, ["conv_id", "call_id"], "left_anti").select("conv_id", "call_id").distinct())
-        edges = durable(edges.join(ready, ["conv_id", "call_id"], "left_anti"))
-        found = found.unionByName(ready.withColumn("level", F.lit(level)))
-        left, before = edges.count(), left
-        if left == before:
+    edges = durable(edges.join(ids.select("conv_id", F.col("call_id").alias("dep")), ["conv_id", "dep"], "left_semi"))
+    fan = edges.groupBy("conv_id", "call_id").agg(F.count(F.lit(1)).alias("n"), F.min("dep").alias("dep"))
+    single = F.coalesce(F.col("n") == 1, F.lit(False))
+    now = durable(ids.join(fan, ["conv_id", "call_id"], "left").select(
+        "conv_id", "call_id", F.when(single, F.col("dep")).otherwise(F.col("call_id")).alias("anchor"),
+        single.cast("long").alias("steps"), (~single).alias("done"), F.coalesce(F.col("n") > 1, F.lit(False)).alias("branch"),
+    ))
+    for _ in range(max(1, now.count()).bit_length() + 1):
+        if now.where("NOT done").isEmpty():
+            break
+        far = now.select("conv_id", F.col("call_id").alias("anchor"), F.col("anchor").alias("next"), F.col("steps").alias("more"), F.col("done").alias("ends"), F.col("branch").alias("at_branch"))
+        moved = now.where("NOT done").join(far, ["conv_id", "anchor"]).select("conv_id", "call_id", F.col("next").alias("anchor"), (F.col("steps") + F.col("more")).alias("steps"), F.col("ends").alias("done"), F.col("at_branch").alias("branch"))
+        now = durable(now.where("done").unionByName(moved))
+    found = now.where("done AND NOT branch").select("conv_id", "call_id", F.col("steps").cast("int").alias("level"))
+    branches = now.where("done AND branch AND anchor = call_id").select("conv_id", "call_id")
+    ends = now.select("conv_id", F.col("call_id").alias("dep"), "anchor", (F.col("steps") + 1).alias("steps"), (F.col("done") & ~F.col("branch")).alias("known"))
+    pending = durable(edges.join(branches, ["conv_id", "call_id"], "left_semi").join(ends, ["conv_id", "dep"]).drop("dep"))
+    settled = None
+    while not pending.isEmpty():
+        ready = durable(pending.groupBy("conv_id", "call_id").agg(F.bool_and("known").alias("ready"), F.max("steps").alias("level")).where("ready").drop("ready"))
+        if ready.isEmpty():
             break
-    return found
+        settled = ready if settled is None else settled.unionByName(ready)
+        by = ready.select("conv_id", F.col("call_id").alias("anchor"), F.col("level").alias("reached"))
+        rest = pending.join(ready, ["conv_id", "call_id"], "left_anti").join(by, ["conv_id", "anchor"], "left")
+        fresh = ~F.col("known") & F.col("reached").isNotNull()
+        pending = durable(rest.select("conv_id", "call_id", "anchor", F.when(fresh, F.col("steps") + F.col("reached")).otherwise(F.col("steps")).alias("steps"), (F.col("known") | fresh).alias("known")))
+    if settled is None:
+        return found
+    behind = now.where("done AND branch").join(settled.select("conv_id", F.col("call_id").alias("anchor"), "level"), ["conv_id", "anchor"])
+    return found.unionByName(behind.select("conv_id", "call_id", (F.col("level") + F.col("steps")).cast("int").alias("level")))
 
 
 def link_calls(calls: DataFrame, results: DataFrame, schemas: list[tuple] = SCHEMAS) -> DataFrame:

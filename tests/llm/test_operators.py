@@ -311,3 +311,22 @@ def test_chat_links(spark):
     assert got[1, "zz"].status == "orphan" and got[2, None].errors == "range:max_words"
     none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat_format.digest(none).count() == 0
+
+
+def test_chat_levels_match_longest_paths(spark):
+    rng = random.Random(9)
+    rows, want = [], {}
+    for conv in range(6):
+        deps = {}
+        for k in range(40):
+            deps[k] = sorted({rng.randrange(k) for _ in range(rng.choice([0, 1, 1, 1, 2, 3]))}) if k else []
+        if conv == 5:
+            deps = {k: [k - 1] if k else [] for k in range(40)} | {40: [41], 41: [40], 42: [41, 3]}
+        level = {}
+        for k in sorted(deps):
+            if k < 40:
+                level[k] = 1 + max((level[x] for x in deps[k]), default=-1)
+        want |= {(conv, str(k)): v for k, v in level.items()}
+        rows += [(conv, str(k), [str(x) for x in xs]) for k, xs in deps.items()]
+    calls = spark.createDataFrame(rows, "conv_id long, call_id string, depends_on array<string>")
+    assert {(r.conv_id, r.call_id): r.level for r in chat_format.levels(calls).collect()} == want
