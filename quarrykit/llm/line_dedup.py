@@ -8,7 +8,8 @@ place (smallest doc_id, then text hash, then first line) and is removed everywhe
 
 Byte comparison: chunks are grouped by (MD5, text), which compares bytes; an MD5 that two different texts share
 removes nothing. Copies collapse on the map side before the shuffle. The text itself moves twice: once for that
-comparison and once to meet the decisions.
+comparison and once to meet the decisions. The list of repeated chunks is written to the shared folder, so that the
+places of a very common chunk meet it in a join of two plain exchanges, which Spark may split.
 
 Defined cases: a null text stays null and counts no line; an empty text has one empty line; a text that loses all
 its chunks becomes empty and its row stays; rows repeating doc_id and text are one document (same decisions, counted as
@@ -23,6 +24,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import durable
+
 #: Lines under the rolling hash.
 WINDOW = 3
 
@@ -110,7 +113,7 @@ def dedup_lines(
         F.md5("body").alias("md5"), F.struct("id", "text_hash", "start").alias("place")
     )
     removals = (
-        places.join(repeated_chunks(chunks, min_lines), "md5")
+        places.join(durable(repeated_chunks(chunks, min_lines)), "md5")
         .where(F.col("place") != F.col("first"))
         .groupBy(F.col("place.id").alias("__id"), F.col("place.text_hash").alias("__text_hash"))
         .agg(F.collect_set("place.start").alias("__starts"))
