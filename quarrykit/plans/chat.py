@@ -52,7 +52,7 @@ ORACLE["w5_recent_topics"] = f"""SELECT a.conv_id, a.turn, coalesce(string_agg(t
 QUERIES["w6_topic_switch"] = lambda s, d: _topical(s, d).select("conv_id", "turn", "topic_switch")
 ORACLE["w6_topic_switch"] = f"SELECT conv_id, turn, coalesce(t <> last_value(t IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS topic_switch FROM {_topic}"
 QUERIES["w7_rolling_memory"] = lambda s, d: C.rolling_memory(table(s, d, "conversations"))
-_sess = "SELECT event_id, user_id, sum(f) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM (SELECT *, coalesce({0} > 30, true)::INT AS f FROM (SELECT *, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id)) / 60e6 AS idle FROM events))"
+_sess = "SELECT event_id, user_id, sum(f) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS session FROM (SELECT *, coalesce({0} > 30, true)::INT AS f FROM (SELECT *, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id)) / 60e6 AS idle FROM events))"
 QUERIES["w9_sessionize"] = lambda s, d: C.sessionize(table(s, d, "events")).select("event_id", "user_id", "session")
 ORACLE["w9_sessionize"] = _sess.format("idle")
 QUERIES["w9_sessionize_rounded"] = lambda s, d: C.sessionize(table(s, d, "events"), rounded=True).select("event_id", "user_id", "session")
@@ -68,13 +68,13 @@ def _scored_pairs(s: SparkSession, d: str) -> DataFrame:
 
 _weak = lambda: F.coalesce(F.col("answer_confidence") < 0.35, F.lit(True))
 QUERIES["a15_chat_totals"] = lambda s, d: table(s, d, "conversations").groupBy("conv_id").agg(F.max("turn").alias("last")).agg(F.count(F.lit(1)).alias("conversations"), F.count_if((F.col("conv_id") % 3 == 0) & (F.col("last") > 2)).alias("resolved"), F.count_if(F.col("conv_id") % 8 == 4).alias("escalated"))
-ORACLE["a15_chat_totals"] = "SELECT count(*) AS conversations, count_if(conv_id % 3 = 0 AND last > 2) AS resolved, count_if(conv_id % 8 = 4) AS escalated FROM (SELECT conv_id, max(turn) AS last FROM conversations GROUP BY 1)"
+ORACLE["a15_chat_totals"] = "SELECT count(*) AS conversations, count_if(conv_id % 3 = 0 AND last > 2)::BIGINT AS resolved, count_if(conv_id % 8 = 4)::BIGINT AS escalated FROM (SELECT conv_id, max(turn) AS last FROM conversations GROUP BY 1)"
 QUERIES["a16_chat_response_time"] = lambda s, d: derive(s, d, "scored").where("role = 'assistant'").groupBy((F.col("conv_id") % 10).alias("shard")).agg(F.round(F.avg("took_ms"), 6).alias("mean_ms"))
 ORACLE["a16_chat_response_time"] = f"SELECT conv_id % 10 AS shard, round(avg(took_ms), 6) AS mean_ms FROM {SCORED} WHERE role = 'assistant' GROUP BY 1"
 QUERIES["a17_chat_length"] = lambda s, d: table(s, d, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).agg(F.round(F.coalesce(F.avg("n"), F.lit(0.0)), 6).alias("mean_messages"))
 ORACLE["a17_chat_length"] = "SELECT round(avg(n), 6) AS mean_messages FROM (SELECT count(*) AS n FROM conversations GROUP BY conv_id)"
 QUERIES["a18_chat_satisfaction"] = lambda s, d: derive(s, d, "scored").agg(F.count_if(F.col("feedback") == "like").alias("likes"), F.count_if(F.col("feedback") == "dislike").alias("dislikes")).withColumn("rate", F.round(F.try_divide("likes", F.col("likes") + F.col("dislikes")), 6))
-ORACLE["a18_chat_satisfaction"] = f"SELECT count_if(feedback = 'like') AS likes, count_if(feedback = 'dislike') AS dislikes, round(count_if(feedback = 'like') / nullif(count(feedback), 0), 6) AS rate FROM {SCORED}"
+ORACLE["a18_chat_satisfaction"] = f"SELECT count_if(feedback = 'like')::BIGINT AS likes, count_if(feedback = 'dislike')::BIGINT AS dislikes, round(count_if(feedback = 'like') / nullif(count(feedback), 0), 6) AS rate FROM {SCORED}"
 QUERIES["a19_top_questions"] = lambda s, d: C.top_questions(_scored_pairs(s, d))
 ORACLE["a19_top_questions"] = f"SELECT text AS question, count(*) AS times FROM {_pairs} GROUP BY 1 ORDER BY 2 DESC, min(conv_id * 1000 + turn) LIMIT 10"
 QUERIES["a19_failed_questions"] = lambda s, d: C.top_questions(_scored_pairs(s, d).where(_weak()))

@@ -16,7 +16,7 @@ from .text import SP, trim
 
 QUERIES, ORACLE = {}, {}
 HEALTH, REQ = sql_of("health"), sql_of("requests")
-_le = ", ".join(f"count_if(seconds <= {b}) AS le_{str(b).replace('.', '_')}" for b in H.BUCKETS)
+_le = ", ".join(f"count_if(seconds <= {b})::BIGINT AS le_{str(b).replace('.', '_')}" for b in H.BUCKETS)
 _health = "SELECT connector_id, floor(100 * (0.7 * avg(availability) + 0.3 * greatest(0, 1 - coalesce(avg(latency_ms), 5000) / 5000)) + 0.5)::INT AS score FROM (SELECT *, row_number() OVER (PARTITION BY connector_id ORDER BY ts DESC, event_id DESC) AS rn FROM " + HEALTH + ") WHERE rn <= 20 GROUP BY 1"
 
 QUERIES["a21_health_score"] = lambda s, d: H.health_score(derive(s, d, "health"))
@@ -92,7 +92,7 @@ QUERIES["r5_outages"] = lambda s, d: E.finish(E.folded(E.with_seconds(E.stream(s
 QUERIES["r8_escalations"] = lambda s, d: E.finish(E.folded(E.stream(s, d, "conversations").where("role = 'assistant'").select("conv_id", F.col("turn").alias("event_id"), F.col("turn").cast("double").alias("seconds"), ((F.col("conv_id") * 7 + F.col("turn") * 3) % 10).isin(9, 0, 1, 2, 3).alias("weak")), "conv_id", E.Streak(), "event_id long, conv_id long, streak int, escalate boolean"))
 ORACLE["r8_escalations"] = """WITH t AS (SELECT *, CASE WHEN (conv_id * 7 + turn * 3) % 10 IN (9, 0, 1, 2, 3) THEN 1 ELSE 0 END AS weak FROM conversations WHERE role = 'assistant'),
 g AS (SELECT *, sum(1 - weak) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS k FROM t)
-SELECT turn AS event_id, conv_id, n AS streak, n >= 2 AS escalate FROM (SELECT *, sum(weak) OVER (PARTITION BY conv_id, k ORDER BY turn ROWS UNBOUNDED PRECEDING) AS n FROM g)"""
+SELECT turn AS event_id, conv_id, n::INTEGER AS streak, n >= 2 AS escalate FROM (SELECT *, sum(weak) OVER (PARTITION BY conv_id, k ORDER BY turn ROWS UNBOUNDED PRECEDING) AS n FROM g)"""
 
 
 def _apply(s: SparkSession, d: str) -> DataFrame:

@@ -115,7 +115,7 @@ def crawl_report(pages: DataFrame) -> DataFrame:
 
 
 QUERIES["a7_crawl_report"] = lambda s, d: crawl_report(table(s, d, "pages"))
-ORACLE["a7_crawl_report"] = """SELECT count(*) AS pages, count_if(contains(html, 'lang="en"')) AS english, count_if(NOT regexp_matches(html, '<meta name="description"')) AS no_description, round(avg(length(html)), 6) AS mean_size, count(DISTINCT regexp_extract(url, '^https?://([^/?#:]+)', 1)) AS hosts FROM pages"""
+ORACLE["a7_crawl_report"] = """SELECT count(*) AS pages, count_if(contains(html, 'lang="en"'))::BIGINT AS english, count_if(NOT regexp_matches(html, '<meta name="description"'))::BIGINT AS no_description, round(avg(length(html)), 6) AS mean_size, count(DISTINCT regexp_extract(url, '^https?://([^/?#:]+)', 1)) AS hosts FROM pages"""
 
 QUERIES["l4_categorize"] = lambda s, d: R.categorize(derive(s, d, "chunks"))
 _cs = ", ".join(f"""4 * coalesce(regexp_matches(title, '{p}'), false)::INT + 3 * coalesce(regexp_matches(section, '{p}'), false)::INT + 2 * regexp_matches({_path}, '{p}')::INT + least(len(regexp_extract_all(content, '{p}')), 5)""" for p in ("(?i)" + x.replace("'", "''") for x in R.CATEGORIES.values()))

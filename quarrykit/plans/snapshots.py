@@ -29,7 +29,7 @@ QUERIES["j1_snapshot_diff"] = lambda s, d: S.snapshot_diff(*_pages(s, d))
 ORACLE["j1_snapshot_diff"] = f"SELECT * FROM {_diff}"
 QUERIES["a8_recrawl_summary"] = lambda s, d: S.recrawl_summary(S.snapshot_diff(*_pages(s, d)))
 ORACLE["a8_recrawl_summary"] = f"""SELECT *, round((new + modified + deleted) / greatest(modified + unchanged + deleted, modified + unchanged + new, 1), 6) AS ratio FROM (
-  SELECT count_if(change = 'new') AS new, count_if(change = 'modified') AS modified, count_if(change = 'unchanged') AS unchanged, count_if(change = 'deleted') AS deleted FROM {_diff})"""
+  SELECT count_if(change = 'new')::BIGINT AS new, count_if(change = 'modified')::BIGINT AS modified, count_if(change = 'unchanged')::BIGINT AS unchanged, count_if(change = 'deleted')::BIGINT AS deleted FROM {_diff})"""
 
 _old = "(SELECT doc_id, CASE WHEN source = 'src3' THEN NULL ELSE source END AS section, doc_id % 40 AS u FROM documents WHERE doc_id % 3 <> 0)"
 _new = _old.replace("doc_id % 3 <> 0", "doc_id % 4 <> 0")
@@ -178,7 +178,7 @@ ORACLE["a10_quality_issues"] = f"""SELECT chunk_id::VARCHAR AS item, issue FROM
 UNION ALL SELECT chunk_id::VARCHAR, 'broken_reference:' || issue FROM {_j4} UNION ALL SELECT edge_id::VARCHAR, 'broken_relationship:' || "end" FROM {_j5}"""
 
 QUERIES["j6_company_contacts"] = lambda s, d: table(s, d, "documents").where("doc_id % 5 = 0").select(F.col("doc_id").alias("chunk_id"), (F.col("doc_id") % 97).alias("page")).join(table(s, d, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("contact_id"), (F.col("c_custkey") % 97).alias("page")), "page").select("chunk_id", "contact_id", F.lit(0.8).alias("confidence"))
-ORACLE["j6_company_contacts"] = "SELECT doc_id AS chunk_id, c_custkey AS contact_id, 0.8 AS confidence FROM documents JOIN customer ON doc_id % 97 = c_custkey % 97 WHERE doc_id % 5 = 0 AND c_custkey % 3 = 0"
+ORACLE["j6_company_contacts"] = "SELECT doc_id AS chunk_id, c_custkey AS contact_id, 0.8::DOUBLE AS confidence FROM documents JOIN customer ON doc_id % 97 = c_custkey % 97 WHERE doc_id % 5 = 0 AND c_custkey % 3 = 0"
 
 # Scopes by category; other categories need none.
 SCOPES = [("src1", "PRODUCTS"), ("src2", "POLICIES"), ("src3", "CONTACTS"), ("src4", "PRICING"), ("src5", "PRODUCTS")]
