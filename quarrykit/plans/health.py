@@ -110,3 +110,18 @@ def _apply(s: SparkSession, d: str) -> DataFrame:
 QUERIES["r7_apply_changes"] = _apply
 ORACLE["r7_apply_changes"] = f"""SELECT coalesce(c.doc_id, p.doc_id) AS chunk_id, 1 + coalesce(c.text <> p.text, false)::INT AS version, sha256(coalesce(c.text, p.text)) AS text_sha256
 FROM {sql_of('doc_prev')} p FULL OUTER JOIN {sql_of('doc_cur')} c ON p.doc_id = c.doc_id"""
+
+
+def _notified(s: SparkSession, d: str) -> DataFrame:
+    """Comparison reports arrive as a stream (one an order); each gives its events on every channel that wants them."""
+    from .snapshots import _settings, notifications
+
+    k = F.col("o_orderkey")
+    reports = E.stream(s, d, "orders").select(F.create_map(F.lit("added"), k % 3, F.lit("changed"), k % 4).alias("entities"), (k % 5).alias("deleted"))
+    return E.finish(notifications(reports, _settings(s, d))).groupBy("event", "channel").agg(F.count(F.lit(1)).alias("n"))
+
+
+QUERIES["r9_notify"] = _notified
+ORACLE["r9_notify"] = """
+WITH e AS (SELECT 'NEW_PRODUCTS' AS event FROM orders WHERE o_orderkey % 3 > 0 UNION ALL SELECT 'PRICE_CHANGES' FROM orders WHERE o_orderkey % 4 > 0 UNION ALL SELECT 'REMOVED_PAGES' FROM orders WHERE o_orderkey % 5 > 0)
+SELECT event, channel, count(*) AS n FROM (SELECT event, unnest(['DASHBOARD', 'LOG', 'WEBHOOK']) AS channel FROM e UNION ALL SELECT event, 'EMAIL' FROM e WHERE event = 'PRICE_CHANGES') GROUP BY ALL"""

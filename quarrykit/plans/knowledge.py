@@ -292,3 +292,19 @@ def page_languages(docs: DataFrame) -> DataFrame:
 
 QUERIES["h19_page_languages"] = lambda s, d: page_languages(table(s, d, "documents"))
 QUERIES["h21_detect_services"] = lambda s, d: parsed(s, d).select("page_id", F.explode(F.slice(F.array_distinct(F.transform(F.filter("page.headings", lambda h: (h["level"] <= 4) & (F.length(h["text"]) <= 100)), lambda h: h["text"])), 1, 30)).alias("service"))
+
+
+def detect_tech(rows: DataFrame) -> DataFrame:
+    """All categories' scored technologies of each site."""
+    hits = rules.technology_hits(rows)
+    for category in sorted({r[0] for r in G.RULES}):
+        hits = hits.unionByName(G.site_hits(rows, category))
+    return rules.noisy_or(hits)
+
+
+QUERIES["a26_detect_tech"] = lambda s, d: detect_tech(sites(s, d)).groupBy("category", "name").agg(F.count(F.lit(1)).alias("sites"), F.round(F.avg("confidence"), 4).alias("mean_confidence"))
+_html_rules = "(VALUES " + ", ".join(f"('{c}', '{n}', '{p}', {w})" for c, n, p, w in rules.TECHNOLOGIES) + ") r(category, name, pattern, weight)"
+_html_hits = f"(SELECT page_id, category, name, weight FROM {SITES} x, {_html_rules} WHERE regexp_matches(html, pattern))"
+_html_all = _html_hits[1:-1] + "".join(f" UNION ALL SELECT page_id, '{c}', '{n}', {w} FROM pages WHERE page_id NOT IN (SELECT page_id FROM {_html_hits} WHERE category = '{c}')" for c, (n, w) in rules.FALLBACKS.items())
+_every = "(" + " UNION ALL ".join([_html_all, *(_site_sql(c)[1:-1] for c in sorted({r[0] for r in G.RULES}))]) + ")"
+ORACLE["a26_detect_tech"] = f"SELECT category, name, count(*) AS sites, round(avg(confidence), 4) AS mean_confidence FROM {_or_sql(_every)} GROUP BY ALL"
