@@ -21,7 +21,6 @@ only; other columns pass through; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
