@@ -9,7 +9,7 @@ from ..functions import text as T
 from ..operators import chat as C
 from ..session import table
 from .inputs import derive, sql_of
-from .text import trim, words_in
+from .text import words_in
 
 QUERIES, ORACLE = {}, {}
 CHAT, SCORED = sql_of("chat"), sql_of("scored")
