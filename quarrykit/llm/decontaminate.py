@@ -137,6 +137,8 @@ def fit(docs: DataFrame, text_col: str = "text") -> Space:
         return [found, np.array([n])]
 
     sums = summed(hashed, frequencies)
+    if not sums:  # a table without partitions
+        return Space(np.zeros((DIM + 1, 1), np.float32))
     idf = np.log((1 + sums[1][0]) / (1 + sums[0])).astype(np.float32)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray]:
@@ -244,8 +246,8 @@ class Items:
             found[item] = {"item_id": self.ids[item], "cosine": cosine, "shared": shared, "answer": answer, "start": lo, "stop": hi}
 
 
-def annotate(docs: DataFrame, benchmark: DataFrame, space: Space | None = None, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """``docs``' columns and ``leaks``: the benchmark items found in each text."""
+def annotate(docs: DataFrame, benchmark: DataFrame, space: Space | None = None, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", into: str = "leaks") -> DataFrame:
+    """``docs``' columns and ``into``: the benchmark items found in each text."""
     attach(docs.sparkSession)
     space = space or fit(docs, text_col)
     size = benchmark.agg(F.sum(F.octet_length(F.col(item_text)))).first()[0] or 0
@@ -265,7 +267,7 @@ def annotate(docs: DataFrame, benchmark: DataFrame, space: Space | None = None,
 
         rows = rows.mapInArrow(run, f"rest {kind}, body string, leaks {HITS}")
     columns = [F.col("rest")[c].alias(c) if c != text_col else F.col("body").alias(c) for c in docs.columns]
-    return rows.select(*columns, "leaks")
+    return rows.select(*columns, F.col("leaks").alias(into))
 
 
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

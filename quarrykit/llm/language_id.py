@@ -120,8 +120,8 @@ def fit(docs: DataFrame, rows: int = FIT_ROWS, id_col: str = "doc_id", text_col:
     return fit_rows(x, [got[i]["lang"] for i in order])
 
 
-def identify(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs``' columns and a struct column ``language`` (predicted, score)."""
+def identify(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text", into: str = "language") -> DataFrame:
+    """``docs``' columns and a struct column ``into`` (predicted, score)."""
     model = model or fit(docs, id_col=id_col, text_col=text_col)
     attach(docs.sparkSession)
     rest = [c for c in docs.columns if c != text_col]
@@ -135,7 +135,7 @@ def identify(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id"
 
     found = rows.mapInArrow(run, f"rest {kind}, body string, predicted string, score double")
     columns = [F.col("rest")[c].alias(c) if c != text_col else F.col("body").alias(c) for c in docs.columns]
-    return found.select(*columns, F.struct("predicted", "score").alias("language"))
+    return found.select(*columns, F.struct("predicted", "score").alias(into))
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -105,9 +105,14 @@ def repeated_chunks(chunks: DataFrame, min_lines: int = 2) -> DataFrame:
 
 
 def dedup_lines(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", divisor: int = 4, min_lines: int = 2
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    divisor: int = 4,
+    min_lines: int = 2,
+    into: str = "line_dedup",
 ) -> DataFrame:
-    """``docs`` with ``text_col`` shortened, and a struct column ``line_dedup`` (n_lines, n_removed)."""
+    """``docs`` with ``text_col`` shortened, and a struct column ``into`` (n_lines, n_removed)."""
     chunks = line_chunks(docs, id_col, text_col, divisor)
     places = chunks.where(F.col("n") >= min_lines).select(
         F.md5("body").alias("md5"), F.struct("id", "text_hash", "start").alias("place")
@@ -142,7 +147,7 @@ def dedup_lines(
         F.struct(
             lines.cast("long").alias("n_lines"),
             F.when(F.col("__starts").isNull(), F.lit(0)).otherwise(gone).cast("long").alias("n_removed"),
-        ).alias("line_dedup"),
+        ).alias(into),
     )
 
 

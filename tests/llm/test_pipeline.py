@@ -2,6 +2,8 @@
 
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from quarrykit.llm import decontaminate, language_id, line_dedup, packing, simhash_dedup
 from quarrykit.session import table
@@ -9,6 +11,19 @@ from quarrykit.session import table
 SF = "/root/testdata/sf0.001"
 
 
+def test_clashing_columns_nulls_and_empty_tables(spark):
+    plain = table(spark, SF, "documents").limit(40)
+    odd = spark.createDataFrame([(None, "some plain words here", None, None, None), (7, "", None, None, None), (None, None, None, None, None)], plain.schema)
+    docs = plain.unionByName(odd)
+    for k, name in enumerate(["language", "leaks", "line_dedup", "component_id", "fp", "id", "rest", "body", "keep_id", "key", "rank", "length"]):
+        docs = docs.withColumn(name, F.when(F.col("doc_id") % 2 == 0, k))
+    for now in (docs.cache(), docs.limit(0)):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            now = stage(spark, now, SF)
+            assert now.columns == docs.columns
+        assert packing.pack(now).count() >= now.count()
+
+
 def test_stages_and_run(spark):
     docs = table(spark, SF, "documents")
     extra = spark.createDataFrame([(90_000, None, None, None, None), (90_001, "12 34 !!", "en", "s", 8)], docs.schema)
