@@ -14,16 +14,19 @@ from pyspark.sql import functions as F
 from quarrykit.llm import decontaminate, language_id, line_dedup, packing, simhash_dedup
 from quarrykit.session import checkpoint_dir, table
 
+#: Name of the stages' own column, which no table has.
+OWN = "__corpus_pipeline"
+
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts that have a language (null texts and texts without a letter are rejected)."""
-    found = language_id.identify(docs)
-    return found.where(F.col("language.predicted") != language_id.UNDETERMINED).select(*docs.columns)
+    found = language_id.identify(docs, into=OWN)
+    return found.where(F.col(f"{OWN}.predicted") != language_id.UNDETERMINED).select(*docs.columns)
 
 
 def unrepeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the multi-line chunks that stand earlier in the corpus; ``n_chars`` follows the text."""
-    found = line_dedup.dedup_lines(docs)
+    found = line_dedup.dedup_lines(docs, into=OWN)
     if "n_chars" in docs.columns:
         found = found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return found.select(*docs.columns)
@@ -36,8 +39,8 @@ def near_unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    found = decontaminate.annotate(docs, table(spark, sf_dir, "benchmark"))
-    return found.where(F.size("leaks") == 0).select(*docs.columns)
+    found = decontaminate.annotate(docs, table(spark, sf_dir, "benchmark"), into=OWN)
+    return found.where(F.size(OWN) == 0).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
