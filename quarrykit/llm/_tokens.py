@@ -3,7 +3,7 @@
 No pre-token of the two vocabularies used here reaches from a visible character into white space that follows it,
 nor from a letter or digit into a mark of punctuation, so a text's tokens are the tokens of its parts one after the
 other: white space with the visible run after it, and the punctuation that ends a word apart from the word.
-The library encodes each distinct part once per worker while the memo holds it: of two generations of ``MEMO`` parts,
+The library encodes each distinct part once per worker while the memo holds it: of two generations of ``MEMO`` parts (or as asked for),
 the older goes when the younger is full, and parts in use move from the older to the younger.
 """
 
@@ -43,13 +43,13 @@ def vocabulary_path(name: str) -> str:
 class Memo:
     """Values of parts by ``compute`` (a list of distinct parts to a list of values)."""
 
-    def __init__(self, compute: Callable[[list[str]], list]):
-        self.compute, self.known, self.older = compute, {}, {}
+    def __init__(self, compute: Callable[[list[str]], list], size: int = MEMO):
+        self.compute, self.size, self.known, self.older = compute, size, {}, {}
 
     def values(self, parts: list[str]) -> list:
         known, older = self.known, self.older
         if missing := {p for p in parts if p not in known}:
-            if len(known) + len(missing) > MEMO:
+            if len(known) + len(missing) > self.size:
                 older = self.older = known
                 known = self.known = {}
                 missing = set(parts)

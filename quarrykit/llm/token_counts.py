@@ -31,6 +31,8 @@ from ._tokens import PARTS, SPACE, Memo, vocabulary, vocabulary_path
 LEADING = re.compile(f"[{SPACE}]+")
 CONTRACTIONS = ("'re", "'ve", "'ll")
 PLAIN = re.compile(" ?[A-Za-z]+")
+#: Parts in a generation of the memo: working a part out costs far more here than keeping it (about 200 bytes).
+GENERATION = 450_000
 
 
 class PrefixCounter:
@@ -118,7 +120,7 @@ _memos: dict[str, Memo] = {}
 def memo(path: str) -> Memo:
     if path not in _memos:
         counter = PrefixCounter(path)
-        _memos[path] = Memo(lambda parts: [packed(counter.part(p)) for p in parts])
+        _memos[path] = Memo(lambda parts: [packed(counter.part(p)) for p in parts], GENERATION)
     return _memos[path]
 
 
