@@ -33,8 +33,8 @@ def unrepeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group (shingles of five words)."""
-    return simhash_dedup.dedup(docs, k=5)
+    """One document of each near-duplicate group (shingles of five words, Jaccard similarity of 0.8 or more)."""
+    return simhash_dedup.dedup(docs, k=5, least=simhash_dedup.LEAST)
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,10 +16,17 @@ smallest ids, not all pairs, so a group of copies costs one row and a group of n
 Defined cases: a null text counts as empty; all empty texts share fingerprint zero and link like others; a null doc_id
 is in no component unless its text's fingerprint has other ids (then theirs), else null; repeated rows give equal rows;
 other columns play no part; an empty table gives an empty result.
+
+With ``least``, texts whose shingle sets (as XXH64 values) have a Jaccard similarity of ``least`` or more link as well, every
+such pair: two sets of n shingles can only be so similar if they share one of the n - ceil(least n) + 1 that come first
+in an order common to all texts. Any order is right; rare shingles come first (counts in ``SLOTS`` slots), so few texts meet.
+Pairs that the fingerprints have not linked yet are compared on their whole sets.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -31,6 +38,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import components
 from ..session import attach, durable, partitions_for
+from ._sums import summed
 from ._text import byte_texts
 
 SEED, BITS, MAX_DISTANCE = 42, 64, 3
@@ -42,22 +50,35 @@ CELLS = tuple(combinations(range(len(BLOCKS)), len(BLOCKS) - MAX_DISTANCE))
 TILE = 4096
 #: Cells up to this size are compared many at a time.
 SMALL = 64
+#: Slots of the shingle counts that give the order of shingles.
+SLOTS = 1 << 18
+#: Similarity of shingle sets from which texts count as near-duplicates (the fingerprints alone: None).
+LEAST = 0.8
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
-def fingerprint(text: bytes, k: int) -> int:
+def shingles(text: bytes, k: int) -> np.ndarray:
+    """XXH64 of each shingle, repeats included."""
     words = text.translate(_LOWER).split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     body = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts = np.concatenate(([0], ends[:-1])).tolist()
     stops = (ends - 1).tolist()
     n = max(1, len(words) - k + 1)
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter(
+    return np.fromiter(
         (digest(body[a:b], SEED) for a, b in zip(starts[:n], stops[min(k, len(words)) - 1 :], strict=True)), np.uint64, n
     )
+
+
+def fingerprint(text: bytes, k: int) -> int:
+    return majority(shingles(text, k))
+
+
+def majority(hashes: np.ndarray) -> int:
+    n = len(hashes)
     ones = np.zeros(BITS, np.int64)
     for at in range(0, n, 65_536):
         ones += np.unpackbits(hashes[at : at + 65_536].view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
@@ -77,6 +98,22 @@ def fingerprints(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str
     return rows.mapInArrow(run, "id long, fp long")
 
 
+def shingle_sets(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, fp, key (MD5 of the set), hashes (the sorted set of shingle hashes)."""
+    attach(docs.sparkSession)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("body"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, bodies in byte_texts(batches):
+            every = [shingles(b, k) for b in bodies]
+            fps = np.array([majority(h) for h in every], np.uint64).view(np.int64)
+            sets = [np.unique(h).tobytes() for h in every]
+            keys = [hashlib.md5(x, usedforsecurity=False).digest() for x in sets]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps, pa.int64()), pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], ["id", "fp", "key", "hashes"])
+
+    return rows.mapInArrow(run, "id long, fp long, key binary, hashes binary")
+
+
 def segment_counts(fps: np.ndarray) -> np.ndarray:
     """Bit counts of the 32 two-bit segments: each count lies in its segment's own two bits (00, 01 or 10)."""
     low = np.uint64(0x5555555555555555)
@@ -210,20 +247,84 @@ def near_links(distinct: DataFrame, tile: int = TILE) -> DataFrame:
     return tiled.repartition(n, "cell", "tile").sortWithinPartitions("cell", "tile").mapInArrow(_compare, "a long, b long")
 
 
-def near_groups(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: ``id_col``, fp, component_id."""
-    prints = durable(fingerprints(docs, k, id_col, text_col))
+def first_shingles(hashes: np.ndarray, counts: np.ndarray, least: float) -> np.ndarray:
+    """Those of a set, rarest first, of which any set with a Jaccard similarity of ``least`` shares one."""
+    n = len(hashes)
+    order = np.lexsort((hashes, counts[(hashes % np.uint64(SLOTS)).astype(np.int64)]))
+    return hashes[order[: n - math.ceil(least * n - 1e-9) + 1]]
+
+
+def set_links(sets: DataFrame, labelled: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) between components of ``labelled`` (fp, component_id) that hold texts with similar shingle sets."""
+    sets = sets.where("id IS NOT NULL")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray]:
+        found = np.zeros(SLOTS)
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                np.add.at(found, (np.frombuffer(raw, np.uint64) % np.uint64(SLOTS)).astype(np.int64), 1)
+        return [found]
+
+    counts = summed(sets.select("hashes"), count).get(0, np.zeros(SLOTS)).astype(np.float32)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            every = [np.frombuffer(raw, np.uint64) for raw in batch.column(3).to_pylist()]
+            tokens = [first_shingles(h, counts, least).view(np.int64) for h in every]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([len(h) for h in every], pa.int32()), pa.array(tokens, pa.list_(pa.int64()))], ["id", "fp", "key", "n", "tokens"])
+
+    rows = durable(sets.mapInArrow(first, "id long, fp long, key binary, n int, tokens array<long>"))
+    labelled = labelled.withColumnRenamed("component_id", "c")
+    by_key = durable(rows.select("key", "fp").distinct().join(labelled, "fp").select("key", "c").distinct())
+    equal = by_key.join(by_key.groupBy("key").agg(F.min("c").alias("b")), "key").where("c <> b").select(F.col("c").alias("a"), "b")
+
+    one = rows.groupBy("key").agg(F.min(F.struct("id", "fp")).alias("one"), F.first("n").alias("n"), F.first("tokens").alias("tokens"))
+    one = one.select(F.col("one.id").alias("id"), F.col("one.fp").alias("fp"), "n", "tokens").join(labelled, "fp")
+    places = one.select("id", "c", "n", F.posexplode("tokens").alias("at", "token"))
+    shared = durable(places)
+    left, right = (shared.select("token", *[F.col(x).alias(f"{x}_{side}") for x in ("id", "c", "n", "at")]) for side in "ab")
+    # Enough left in both sets from the first shared shingle on.
+    enough = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= least / (1 + least) * (F.col("n_a") + F.col("n_b")) - 1e-9
+    pairs = left.join(right, "token").where((F.col("id_a") < F.col("id_b")) & (F.col("c_a") != F.col("c_b")) & enough)
+    pairs = durable(pairs.select("id_a", "id_b", "c_a", "c_b").distinct())
+
+    ids = pairs.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct()
+    needed = durable(sets.select("id", "key", "hashes").join(ids, "id", "left_semi").dropDuplicates(["id", "key"]))
+    both = pairs.join(needed.select(F.col("id").alias("id_a"), F.col("hashes").alias("x")), "id_a").join(needed.select(F.col("id").alias("id_b"), F.col("hashes").alias("y")), "id_b")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                same = len(np.intersect1d(a, b, assume_unique=True))
+                kept.append(same >= least * (len(a) + len(b) - same) - 1e-9)
+            kept = pa.array(kept, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(kept), batch.column(1).filter(kept)], ["a", "b"])
+
+    return both.select("c_a", "c_b", "x", "y").mapInArrow(compare, "a long, b long").unionByName(equal)
+
+
+def near_groups(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: str = "text", least: float | None = LEAST) -> DataFrame:
+    """One row per input row: ``id_col``, fp, component_id; with ``least`` also by similarity of the shingle sets."""
+    prints = durable(fingerprints(docs, k, id_col, text_col) if least is None else shingle_sets(docs, k, id_col, text_col))
     distinct = durable(prints.groupBy("fp").agg(F.min("id").alias("rep")))
     groups = components(near_links(distinct.where("rep IS NOT NULL")))
     labelled = distinct.join(groups, F.col("rep") == F.col("node"), "left").select(
         "fp", F.coalesce("component", "rep").alias("component_id")
     )
-    return prints.join(labelled, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    if least is not None:
+        labelled = durable(labelled)
+        wider = components(set_links(prints, labelled, least))
+        labelled = labelled.join(wider, F.col("component_id") == F.col("node"), "left").select(
+            "fp", F.coalesce("component", "component_id").alias("component_id")
+        )
+    return prints.select("id", "fp").join(labelled, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def dedup(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: str = "text", least: float | None = None) -> DataFrame:
     """``docs`` with one document of each group: the one with the smallest id (rows without an id stay)."""
-    groups = near_groups(docs, k, id_col, text_col)
+    groups = near_groups(docs, k, id_col, text_col, least)
     keep = groups.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__keep")).distinct()
     joined = docs.join(keep, docs[id_col] == F.col("__keep"), "left")
     return joined.where(F.col("__keep").isNotNull() | docs[id_col].isNull()).select(*[docs[c] for c in docs.columns])
@@ -231,5 +332,5 @@ def dedup(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: str = "
 
 def digest(docs: DataFrame) -> DataFrame:
     """The registered query's columns: doc_id, fingerprint (16 hex digits), component_id."""
-    groups = near_groups(docs.select("doc_id", "text"), k=3)
+    groups = near_groups(docs.select("doc_id", "text"), k=3, least=None)
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
