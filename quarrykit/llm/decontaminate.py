@@ -4,11 +4,15 @@ r"""Benchmark decontamination by latent semantic retrieval with exact checks of
    TF-IDF matrix A over the whole corpus. Document frequencies and the sketch Z = A^T A R (R: random, ``DIM`` x rank)
    are sums over all tasks; the driver gets ``DIM`` x rank numbers whatever the corpus' size and takes the leading right
    singular vectors and values from Z by the Nystrom formula (randomised SVD in one pass over A).
-2. Windows of documents (``PASSAGE`` or ``SHORT`` words, every ``STEP`` words) and benchmark items project onto the vectors,
-   each direction scaled by its singular value, and are compared by cosine, a batch of windows against the items at once.
+2. Windows of documents (``PASSAGE`` or ``SHORT`` words, every ``STEP`` words) with the region around each are compared with
+   the items, a batch of texts against a group of items at once: a region whose words cover less than ``LIKELY`` of an
+   item's words cannot be accepted in step 3, every other one is a candidate. (No cosine bounds the share of words; a gate on
+   it loses paraphrases.)
 3. Each candidate is settled on the words: the longest common subsequence of the item and the region around the
    passage, and the same for the item's answer (its last sentence). An item counts as leaked at a share of ``SURE``, or of
    ``LIKELY`` with at least ``ANSWER`` of the answer in place (paraphrases).
+4. The cosine of what is found is reported: window and item project onto the vectors, each direction scaled by its
+   singular value.
 
 The benchmark is a stated query set: it goes to the tasks in blocks of at most about ``BLOCK_MB`` MB of text, each a pass over
 the documents. Documents never move: a document's hits come out of the task that reads it.
@@ -40,7 +44,9 @@ DIM, RANK, SPARE, PASSAGE = 1 << 13, 64, 16, 50
 COMMON = 8
 #: Windows (in words) of documents that are compared: the short ones with items of up to ``SHORT_ITEM`` words.
 STEP, SHORT, SHORT_ITEM = 10, 20, 30
-COSINE, SURE, LIKELY, ANSWER = 0.5, 0.7, 0.55, 0.8
+SURE, LIKELY, ANSWER = 0.7, 0.55, 0.8
+#: Columns (64 words of an item each) of a group of items, and words of texts compared with a group at a time.
+GROUP, RUN = 64, 50_000
 BLOCK_MB = 16
 SLICES = 16
 _WORDS = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -187,8 +193,61 @@ def places(words: list[bytes]) -> dict[bytes, int]:
     return dict(found)
 
 
+def reach(n: int) -> tuple[int, int]:
+    """Width of the windows for an item of n words, and the words on either side that belong to the region."""
+    width = SHORT if n <= SHORT_ITEM else PASSAGE
+    return width, max(n, STEP) // 2 + max(0, n - width)
+
+
+def union_of(steps: np.ndarray, n: int) -> np.ndarray:
+    """Row i: the bits of rows i to i + n - 1."""
+    out, size = steps, 1
+    while size < n:
+        more = min(size, n - size)
+        out = out.copy()
+        out[:-more] |= out[more:].copy()
+        size += more
+    return out
+
+
+class Group:
+    """Items of one window width and region, each as columns of 64-bit masks: a bit for each place in the item."""
+
+    def __init__(self, items: list[int], bits: list[dict[bytes, int]], words: list[int]):
+        self.items = items
+        self.sizes = np.array([words[i] for i in items])
+        slices = np.array([-(-words[i] // 64) for i in items])
+        self.first = np.cumsum(slices) - slices
+        self.width = int(slices.sum())
+        self.masks: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
+        for i, column in zip(items, self.first.tolist(), strict=True):
+            for word, places in bits[i].items():
+                for k in range(-(-words[i] // 64)):
+                    if part := places >> 64 * k & (1 << 64) - 1:
+                        self.masks[word].append((column + k, part))
+
+    def covered(self, numbers: dict[bytes, int], ids: np.ndarray, at: np.ndarray, rows: int) -> np.ndarray:
+        """The places of the items whose word stands in each step; step i of the texts is row at[i]."""
+        known = [w for w in self.masks if w in numbers]
+        table = np.zeros((len(known) + 1, self.width), np.uint64)
+        row = np.zeros(len(numbers) + 1, np.int64)  # the last is for padding; row 0 has no place
+        for r, w in enumerate(known, 1):
+            row[numbers[w]] = r
+            for column, part in self.masks[w]:
+                table[r, column] = part
+        out = np.zeros((rows, self.width), np.uint64)
+        chosen = row[ids].reshape(-1, STEP)
+        for k in range(0, len(chosen), 400):
+            out[at[k : k + 400]] = np.bitwise_or.reduce(table[chosen[k : k + 400]], axis=1)
+        return out
+
+    def counts(self, spans: np.ndarray) -> np.ndarray:
+        """Covered places of each item."""
+        return np.add.reduceat(np.bitwise_count(spans).astype(np.int64), self.first, axis=1)
+
+
 class Items:
-    """One block of the benchmark with its vectors."""
+    """One block of the benchmark with its masks."""
 
     def __init__(self, space: Space, rows: list[tuple[int | None, str | None]]):
         self.space, self.ids, self.words, self.bits, self.answers, self.columns = space, [], [], [], [], []
@@ -201,40 +260,71 @@ class Items:
                 self.columns.append(columns_of(words))
                 self.bits.append(places(words))
                 self.answers.append((places(answer), len(answer)))
-        short = [i for i, n in enumerate(self.words) if n <= SHORT_ITEM]
-        long = [i for i, n in enumerate(self.words) if n > SHORT_ITEM]
-        self.groups = [self.group(width, chosen) for width, chosen in ((SHORT, short), (PASSAGE, long)) if chosen]
-
-    def group(self, width: int, chosen: list[int]) -> tuple[int, np.ndarray, np.ndarray]:
-        """Width of windows, vectors of the items (of all their windows where longer than ``PASSAGE``), item of each."""
-        vectors, item = [], []
+        shapes = defaultdict(list)
+        for i, n in enumerate(self.words):
+            width, slack = reach(n)
+            shapes[width, -(-slack // STEP), -(-(width + slack) // STEP)].append(i)
+        self.groups = [(shape, part) for shape, chosen in sorted(shapes.items()) for part in self.parts(chosen)]
+
+    def parts(self, chosen: list[int]) -> Iterator["Group"]:
+        held, count = [], 0
         for i in chosen:
-            wide = PASSAGE if self.words[i] > PASSAGE else STEP * -(-self.words[i] // STEP)
-            ((found, _, _),) = self.space.windows([self.columns[i]], (wide,))
-            vectors.append(found)
-            item += [i] * len(found)
-        return width, np.concatenate(vectors), np.array(item)
+            if held and count + -(-self.words[i] // 64) > GROUP:
+                yield Group(held, self.bits, self.words)
+                held, count = [], 0
+            held.append(i)
+            count += -(-self.words[i] // 64)
+        yield Group(held, self.bits, self.words)
 
     def hits(self, texts_words: list[list[bytes]]) -> list[list[dict]]:
         found: list[dict[int, dict]] = [{} for _ in texts_words]
-        some = [i for i, w in enumerate(texts_words) if w]
-        if not self.groups or not some:
-            return [[] for _ in texts_words]
-        windows = self.space.windows([columns_of(texts_words[i]) for i in some], tuple(g[0] for g in self.groups))
-        for (width, vectors, items), (near_to, number, start) in zip(self.groups, windows, strict=True):
-            per = max(1, 2_000_000 // len(vectors))
-            for at in range(0, len(near_to), per):
-                near = near_to[at : at + per] @ vectors.T
-                for p, q in np.argwhere(near >= COSINE).tolist():
-                    self.settle(found[some[number[at + p]]], texts_words[some[number[at + p]]], int(items[q]), int(start[at + p]), width, float(near[p, q]))
-        return [list(f.values()) for f in found]
-
-    def settle(self, found: dict[int, dict], words: list[bytes], item: int, begin: int, width: int, cosine: float) -> None:
+        run, count = [], 0
+        for i, words in enumerate(texts_words):
+            if words and self.groups:
+                run.append(i)
+                count += len(words)
+            if run and (count >= RUN or i == len(texts_words) - 1):
+                self.compare(run, texts_words, found)
+                run, count = [], 0
+        return [[self.measured(hit, texts_words[i]) for hit in f.values()] for i, f in enumerate(found)]
+
+    def compare(self, run: list[int], texts_words: list[list[bytes]], found: list[dict[int, dict]]) -> None:
+        """Settle every region of the run's texts that covers enough of an item."""
+        steps = np.array([-(-len(texts_words[i]) // STEP) for i in run])
+        numbers: dict[bytes, int] = {}
+        ids = np.full(int(steps.sum()) * STEP, -1, np.int64)
+        first = np.cumsum(steps) - steps
+        for i, at in zip(run, (first * STEP).tolist(), strict=True):
+            ids[at : at + len(texts_words[i])] = [numbers.setdefault(w, len(numbers)) for w in texts_words[i]]
+        owner = np.repeat(np.arange(len(run)), steps)
+        place = np.arange(len(owner)) - first[owner]
+        for (width, before, after), group in self.groups:
+            gap = before + after
+            at = np.arange(len(owner)) + (owner + 1) * gap  # empty steps stand between texts
+            covers = group.covered(numbers, ids, at, len(owner) + (len(run) + 1) * gap)
+            spans = union_of(covers, gap)
+            begin = np.flatnonzero((place == 0) | (place + width // STEP <= steps[owner]))
+            shares = group.counts(spans[at[begin] - before]) / group.sizes
+            for p, q in np.argwhere(shares >= LIKELY).tolist():
+                text = run[owner[begin[p]]]
+                self.settle(found[text], texts_words[text], group.items[q], int(place[begin[p]]) * STEP)
+
+    def measured(self, hit: dict, words: list[bytes]) -> dict:
+        """The hit with the cosine of its window and its item (the nearest of the item's windows)."""
+        item, begin = hit.pop("item"), hit.pop("begin")
+        n = self.words[item]
+        wide = PASSAGE if n > PASSAGE else STEP * -(-n // STEP)
+        ((of_item, _, _),) = self.space.windows([self.columns[item]], (wide,))
+        width, _ = reach(n)
+        ((of_text, _, _),) = self.space.windows([columns_of(words[begin : begin + width])], (width,))
+        return hit | {"cosine": float((of_item @ of_text[0]).max())}
+
+    def settle(self, found: dict[int, dict], words: list[bytes], item: int, begin: int) -> None:
         """Decide a candidate on the words around it; the best place of an item in a text is kept."""
         if (known := found.get(item)) and known["shared"] >= 0.95:
             return
         n = self.words[item]
-        slack = max(n, STEP) // 2 + max(0, n - width)
+        width, slack = reach(n)
         lo, hi = max(0, begin - slack), min(len(words), begin + width + slack)
         region = words[lo:hi]
         shared = common(self.bits[item], n, region) / n
@@ -243,7 +333,7 @@ class Items:
         bits, size = self.answers[item]
         answer = common(bits, size, region) / size
         if shared >= SURE or answer >= ANSWER:
-            found[item] = {"item_id": self.ids[item], "cosine": cosine, "shared": shared, "answer": answer, "start": lo, "stop": hi}
+            found[item] = {"item": item, "begin": begin, "item_id": self.ids[item], "shared": shared, "answer": answer, "start": lo, "stop": hi}
 
 
 def annotate(docs: DataFrame, benchmark: DataFrame, space: Space | None = None, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", into: str = "leaks") -> DataFrame:
