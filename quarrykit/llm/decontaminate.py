@@ -1,18 +1,20 @@
 r"""Benchmark decontamination by latent semantic retrieval with exact checks of what it finds.
 
 1. Words (lower-cased runs of letters and digits) hash to ``DIM`` columns; blocks of ``PASSAGE`` words are the rows of a
-   TF-IDF matrix A over the whole corpus. Document frequencies and the sketch Z = A^T A R (R: random, ``DIM`` x rank)
-   are sums over all tasks; the driver gets ``DIM`` x rank numbers whatever the corpus' size and takes the leading right
-   singular vectors and values from Z by the Nystrom formula (randomised SVD in one pass over A).
-2. Windows of documents (``PASSAGE`` or ``SHORT`` words, every ``STEP`` words) with the region around each are compared with
-   the items, a batch of texts against a group of items at once: a region whose words cover less than ``LIKELY`` of an
-   item's words cannot be accepted in step 3, every other one is a candidate. (No cosine bounds the share of words; a gate on
-   it loses paraphrases.)
-3. Each candidate is settled on the words: the longest common subsequence of the item and the region around the
-   passage, and the same for the item's answer (its last sentence). An item counts as leaked at a share of ``SURE``, or of
-   ``LIKELY`` with at least ``ANSWER`` of the answer in place (paraphrases).
-4. The cosine of what is found is reported: window and item project onto the vectors, each direction scaled by its
-   singular value.
+   TF-IDF matrix A over the whole corpus. Randomised SVD in one pass over A: each row is added, with a random sign, to one of
+   ``SKETCH`` rows of a matrix B with E[B^T B] = A^T A; document frequencies and B are sums over all tasks, of bounded size
+   whatever the corpus' size, and B's leading right singular vectors stand for those of A.
+2. Items and windows of documents (as many words as the item, in tens, at most ``WIDEST``; every ``STEP`` words) project
+   onto the vectors. A window is a candidate for an item at a cosine of
+   ``COSINE``. Items longer than ``WIDEST`` words are searched by each of their passages.
+3. Each candidate is settled on the words of the region around the window: the share of the item's words in the longest
+   common subsequences of its sentences and the region (so sentences may change places), the same for its rarer words alone, and
+   the answer's (its last sentence) share. An item counts as leaked at a share of ``SURE``, or of ``LIKELY`` with at least
+   ``ANSWER`` of the answer in place, if at least ``RARE`` of its rarer words are there too. Items of few words need ``LEAST`` words.
+
+The gate is set from step 3: a paraphrase with a share of ``SURE`` has a cosine of about that share; the README and the tests
+state how many fall below the gate. Before the subsequences a count of the item's words that stand in the region, which bounds
+every share from above, drops candidates that cannot be accepted.
 
 The benchmark is a stated query set: it goes to the tasks in blocks of at most about ``BLOCK_MB`` MB of text, each a pass over
 the documents. Documents never move: a document's hits come out of the task that reads it.
@@ -26,44 +28,73 @@ no hits.
 from __future__ import annotations
 
 import re
-import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import attach, durable
 from ._sums import summed
 from ._text import texts
+from .substring_dedup import powers
 
-DIM, RANK, SPARE, PASSAGE = 1 << 13, 64, 16, 50
+DIM, SKETCH, RANK, PASSAGE = 1 << 13, 256, 192, 50
 #: Leading directions left out of the comparison: they tell languages and registers apart, not contents.
-COMMON = 8
-#: Windows (in words) of documents that are compared: the short ones with items of up to ``SHORT_ITEM`` words.
-STEP, SHORT, SHORT_ITEM = 10, 20, 30
-SURE, LIKELY, ANSWER = 0.7, 0.55, 0.8
-#: Columns (64 words of an item each) of a group of items, and words of texts compared with a group at a time.
-GROUP, RUN = 64, 50_000
+COMMON = 5
+#: Words from one window to the next, and in the widest window.
+STEP, WIDEST = 10, 60
+COSINE = 0.27
+SURE, LIKELY, ANSWER, RARE, LEAST = 0.45, 0.4, 0.6, 0.35, 6
+#: Words in a smaller share of passages than this are the rarer ones.
+RARER = 0.05
+#: Words of texts compared with a tile of items at a time, items in a tile, and candidates screened at a time.
+RUN, TILE, SCREEN = 50_000, 2048, 4096
 BLOCK_MB = 16
 SLICES = 16
 _WORDS = re.compile(rb"[0-9a-z\x80-\xff]+")
+_INSIDE = np.array([bool(_WORDS.match(bytes([b]))) for b in range(256)])
 _ENDS = re.compile(r"[.!?\n]+")
 HITS = "array<struct<item_id:long,cosine:double,shared:double,answer:double,start:long,stop:long>>"
 
 
-def words_of(text: str) -> list[bytes]:
-    return _WORDS.findall(text.lower().encode())
-
-
-def columns_of(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(zlib.crc32, words), np.uint32, len(words)) % DIM
+class Words:
+    """The words of some texts: columns, and the bytes of any of them; text i has the words first[i] to first[i + 1]."""
+
+    def __init__(self, strings: list[str], piece: int = 1 << 20):
+        encoded = [t.lower().encode() for t in strings]
+        self.body = b"\n".join(encoded) + b"\n"
+        raw = np.frombuffer(self.body, np.uint8)
+        edges = np.flatnonzero(np.diff(_INSIDE[raw].astype(np.int8), prepend=0))
+        self.begin, self.end = edges[::2], edges[1::2]
+        bounds = np.cumsum([0] + [len(e) + 1 for e in encoded])
+        self.first = np.searchsorted(self.begin, bounds)
+        self.columns = np.zeros(len(self.begin), np.int64)
+        at = 0
+        while at < len(self.begin):  # polynomial hashes of the words in a stretch of bytes
+            lo = self.begin[at]
+            to = max(at + 1, int(np.searchsorted(self.end, lo + piece, "right")))
+            b, e = self.begin[at:to] - lo, self.end[at:to] - lo
+            up, down = powers(int(e[-1]) + 1)
+            sums = np.zeros(int(e[-1]) + 1, np.uint64)
+            np.cumsum((raw[lo : lo + e[-1]].astype(np.uint64) + np.uint64(1)) * up[: e[-1]], out=sums[1:])
+            h = (sums[e] - sums[b]) * down[b]
+            h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9FB21C651E98DF25)
+            self.columns[at:to] = (h >> np.uint64(64 - DIM.bit_length() + 1)).astype(np.int64)
+            at = to
+
+    def of(self, i: int) -> list[bytes]:
+        return self.between(int(self.first[i]), int(self.first[i + 1]))
+
+    def between(self, lo: int, hi: int) -> list[bytes]:
+        return [self.body[a:b] for a, b in zip(self.begin[lo:hi].tolist(), self.end[lo:hi].tolist(), strict=True)]
 
 
-def random_sketch() -> np.ndarray:
-    return np.random.default_rng(20240201).standard_normal((DIM, RANK + SPARE)).astype(np.float32)
+def words_of(text: str) -> list[bytes]:
+    return _WORDS.findall(text.lower().encode())
 
 
 def hashed_words(docs: DataFrame, text_col: str) -> DataFrame:
@@ -71,7 +102,10 @@ def hashed_words(docs: DataFrame, text_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, strings in texts(batches, text=0):
-            yield pa.RecordBatch.from_arrays([pa.array([columns_of(words_of(t)).astype("<u2").tobytes() for t in strings], pa.binary())], ["columns"])
+            words = Words(strings)
+            columns = words.columns.astype("<u2")
+            out = [columns[a:b].tobytes() for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["columns"])
 
     return docs.select(F.col(text_col).cast("string").alias("body")).mapInArrow(run, "columns binary")
 
@@ -100,34 +134,32 @@ def _numbered(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(held).astype(np.int64), np.repeat(first, sizes) + inside // PASSAGE
 
 
+def distinct(passage: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each column of a passage once."""
+    each = np.sort((passage * DIM + columns).astype(np.int32))
+    return np.divmod(each[np.flatnonzero(np.diff(each, prepend=-1))].astype(np.int64), DIM)
+
+
 class Space:
-    """``weights``: DIM + 1 rows (the last is zero, for padding) that project a passage's words and scale by singular values."""
+    """``weights``: DIM + 1 rows (the last is zero, for padding) that project words weighted by idf onto the singular vectors.
 
-    def __init__(self, weights: np.ndarray):
-        self.weights = weights
+    ``rare``: whether a column is in few passages.
+    """
 
-    def windows(self, columns: list[np.ndarray], widths: tuple[int, ...]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """For each width: unit vectors of the texts' windows, the number of the text and the first word of each."""
-        steps = np.array([max(1, -(-len(c) // STEP)) for c in columns])
-        padded = np.full(int(steps.sum()) * STEP, DIM, np.int64)
-        first = np.cumsum(steps) - steps
-        for c, at in zip(columns, (first * STEP).tolist(), strict=True):
-            padded[at : at + len(c)] = c
+    def __init__(self, weights: np.ndarray, rare: np.ndarray):
+        self.weights, self.rare = weights, rare
+
+    def vector(self, columns: np.ndarray) -> np.ndarray:
+        v = self.weights[columns].sum(0)
+        return v / max(float(np.linalg.norm(v)), 1e-9)
+
+    def step_sums(self, padded: np.ndarray) -> np.ndarray:
+        """Running sums over steps of ``STEP`` words; ``padded`` holds whole steps."""
         rank = self.weights.shape[1]
         sums = np.zeros((len(padded) // STEP + 1, rank))
-        for at in range(0, len(padded), 2000 * STEP):
-            sums[at // STEP + 1 : at // STEP + 2001] = self.weights[padded[at : at + 2000 * STEP]].reshape(-1, STEP, rank).sum(1)
-        np.cumsum(sums, axis=0, out=sums)
-        owner = np.repeat(np.arange(len(columns)), steps)
-        place = np.arange(len(owner)) - first[owner]
-        out = []
-        for width in widths:
-            begin = np.flatnonzero((place == 0) | (place + width // STEP <= steps[owner]))
-            end = np.minimum(begin + width // STEP, (first + steps)[owner[begin]])
-            vectors = (sums[end] - sums[begin]).astype(np.float32)
-            vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
-            out.append((vectors, owner[begin], place[begin] * STEP))
-        return out
+        for at in range(0, len(padded), 400 * STEP):
+            sums[at // STEP + 1 : at // STEP + 401] = self.weights[padded[at : at + 400 * STEP]].reshape(-1, STEP, rank).sum(1)
+        return np.cumsum(sums, axis=0, out=sums)
 
 
 def fit(docs: DataFrame, text_col: str = "text") -> Space:
@@ -138,42 +170,37 @@ def fit(docs: DataFrame, text_col: str = "text") -> Space:
     def frequencies(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray]:
         found, n = np.zeros(DIM), 0
         for columns, passage in blocks(batches):
-            found += np.bincount(np.unique(passage * DIM + columns) % DIM, minlength=DIM)
+            found += np.bincount(distinct(passage, columns)[1], minlength=DIM)
             n += int(passage[-1]) + 1
         return [found, np.array([n])]
 
     sums = summed(hashed, frequencies)
+    nothing = Space(np.zeros((DIM + 1, 1), np.float32), np.ones(DIM, bool))
     if not sums:  # a table without partitions
-        return Space(np.zeros((DIM + 1, 1), np.float32))
-    idf = np.log((1 + sums[1][0]) / (1 + sums[0])).astype(np.float32)
+        return nothing
+    total, found = sums[1][0], sums[0]
+    idf = np.log((1 + total) / (1 + found)).astype(np.float32)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray]:
-        weighted = random_sketch() * idf[:, None]
-        z = np.zeros((DIM, RANK + SPARE), np.float32)
+        draw = np.random.default_rng([20240201, TaskContext.get().partitionId()])
+        b = np.zeros(SKETCH * DIM)
         for columns, passage in blocks(batches):
-            passage, columns = np.divmod(np.unique(passage * DIM + columns), DIM)  # a word counts once in a passage
-            starts = np.flatnonzero(np.concatenate(([True], passage[1:] != passage[:-1])))
-            rows = np.add.reduceat(weighted[columns], starts)
-            rows /= np.maximum(np.add.reduceat(idf[columns] ** 2, starts), 1e-6)[:, None]
-            order = np.argsort(columns, kind="stable")
-            sorted_columns = columns[order]
-            first = np.flatnonzero(np.concatenate(([True], sorted_columns[1:] != sorted_columns[:-1])))
-            z[sorted_columns[first]] += np.add.reduceat(rows[passage[order]], first)
-        z *= idf[:, None]
-        return np.split(z, SLICES)
-
-    sums = summed(hashed, sketch)
-    z = np.concatenate([sums[k].reshape(-1, RANK + SPARE) for k in range(SLICES)])
-    core = random_sketch().T.astype(np.float64) @ z
-    values, vectors = np.linalg.eigh((core + core.T) / 2)
-    good = values > 1e-9 * max(values[-1], 1e-300)
-    if not good.any():
-        return Space(np.zeros((DIM + 1, 1), np.float32))
-    left, scale, _ = np.linalg.svd(z @ (vectors[:, good] / np.sqrt(values[good])), full_matrices=False)
-    keep = np.flatnonzero(scale[:RANK] > 1e-6 * scale[0])
+            n = int(passage[-1]) + 1
+            passage, columns = distinct(passage, columns)
+            size = np.sqrt(np.bincount(passage, idf[columns] ** 2, n))
+            row, sign = draw.integers(0, SKETCH, n), draw.choice([-1.0, 1.0], n)
+            share = sign / np.maximum(size, 1e-6)
+            np.add.at(b, row[passage] * DIM + columns, idf[columns] * share[passage])
+        return np.split(b, SLICES)
+
+    sums = summed(hashed, sketch, np.float32)
+    _, scale, right = np.linalg.svd(np.concatenate([sums[k] for k in range(SLICES)]).reshape(SKETCH, DIM), full_matrices=False)
+    keep = np.flatnonzero(scale[: COMMON + RANK] > 1e-6 * max(scale[0], 1e-300))
     keep = keep[COMMON:] if len(keep) > 2 * COMMON else keep
-    weights = idf[:, None] * (left[:, keep] / scale[keep]) * scale[0]
-    return Space(np.vstack((weights, np.zeros(weights.shape[1]))).astype(np.float32))
+    if not len(keep):
+        return nothing
+    weights = idf[:, None] * right[keep].T
+    return Space(np.vstack((weights, np.zeros(weights.shape[1]))).astype(np.float32), found <= RARER * total)
 
 
 def common(bits: dict[bytes, int], n: int, words: list[bytes]) -> int:
@@ -181,8 +208,9 @@ def common(bits: dict[bytes, int], n: int, words: list[bytes]) -> int:
     full = (1 << n) - 1
     v = full
     for w in words:
-        u = v & bits.get(w, 0)
-        v = ((v + u) | (v - u)) & full
+        if u := bits.get(w, 0):
+            u &= v
+            v = ((v + u) | (v - u)) & full
     return n - v.bit_count()
 
 
@@ -193,147 +221,128 @@ def places(words: list[bytes]) -> dict[bytes, int]:
     return dict(found)
 
 
-def reach(n: int) -> tuple[int, int]:
-    """Width of the windows for an item of n words, and the words on either side that belong to the region."""
-    width = SHORT if n <= SHORT_ITEM else PASSAGE
-    return width, max(n, STEP) // 2 + max(0, n - width)
-
-
-def union_of(steps: np.ndarray, n: int) -> np.ndarray:
-    """Row i: the bits of rows i to i + n - 1."""
-    out, size = steps, 1
-    while size < n:
-        more = min(size, n - size)
-        out = out.copy()
-        out[:-more] |= out[more:].copy()
-        size += more
-    return out
-
-
-class Group:
-    """Items of one window width and region, each as columns of 64-bit masks: a bit for each place in the item."""
-
-    def __init__(self, items: list[int], bits: list[dict[bytes, int]], words: list[int]):
-        self.items = items
-        self.sizes = np.array([words[i] for i in items])
-        slices = np.array([-(-words[i] // 64) for i in items])
-        self.first = np.cumsum(slices) - slices
-        self.width = int(slices.sum())
-        self.masks: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
-        for i, column in zip(items, self.first.tolist(), strict=True):
-            for word, places in bits[i].items():
-                for k in range(-(-words[i] // 64)):
-                    if part := places >> 64 * k & (1 << 64) - 1:
-                        self.masks[word].append((column + k, part))
-
-    def covered(self, numbers: dict[bytes, int], ids: np.ndarray, at: np.ndarray, rows: int) -> np.ndarray:
-        """The places of the items whose word stands in each step; step i of the texts is row at[i]."""
-        known = [w for w in self.masks if w in numbers]
-        table = np.zeros((len(known) + 1, self.width), np.uint64)
-        row = np.zeros(len(numbers) + 1, np.int64)  # the last is for padding; row 0 has no place
-        for r, w in enumerate(known, 1):
-            row[numbers[w]] = r
-            for column, part in self.masks[w]:
-                table[r, column] = part
-        out = np.zeros((rows, self.width), np.uint64)
-        chosen = row[ids].reshape(-1, STEP)
-        for k in range(0, len(chosen), 400):
-            out[at[k : k + 400]] = np.bitwise_or.reduce(table[chosen[k : k + 400]], axis=1)
-        return out
-
-    def counts(self, spans: np.ndarray) -> np.ndarray:
-        """Covered places of each item."""
-        return np.add.reduceat(np.bitwise_count(spans).astype(np.int64), self.first, axis=1)
+def width_of(n: int) -> int:
+    """Words in the windows that are compared with an item (or passage of one) of n words."""
+    return min(WIDEST, max(STEP, STEP * ((n + STEP // 2) // STEP)))
+
+
+def slack_of(n: int) -> int:
+    """Words on either side of a window that belong to the region."""
+    return n // 4 + STEP // 2 + (n if n > WIDEST else 0)
+
+
+class Item:
+    """An item's words, as its rules need them."""
+
+    def __init__(self, key: int | None, text: str, rare: np.ndarray):
+        words = Words([text])
+        self.key, self.columns, self.size = key, words.columns, len(words.columns)
+        sentences = [w for s in _ENDS.split(text) if (w := words_of(s))]
+        self.sentences = [(places(s), len(s)) for s in sentences]
+        of_column = dict(zip(words.of(0), rare[words.columns].tolist(), strict=True))
+        rarer = [[w for w in s if of_column[w]] for s in sentences]
+        self.rarer = [(places(s), len(s)) for s in rarer if s]
+        self.rare_size = sum(map(len, rarer))
+        self.needed = min(1.0, LEAST / self.size) if self.size else 1.0
+
+    def judge(self, region: list[bytes]) -> tuple[float, float] | None:
+        """(share, answer's share) of an accepted region."""
+        shared = sum(common(bits, n, region) for bits, n in self.sentences) / self.size
+        if shared < max(LIKELY, self.needed):
+            return None
+        bits, n = self.sentences[-1]
+        answer = common(bits, n, region) / n
+        if shared < SURE and answer < ANSWER:
+            return None
+        if self.rare_size and sum(common(bits, n, region) for bits, n in self.rarer) < RARE * self.rare_size:
+            return None
+        return shared, answer
 
 
 class Items:
-    """One block of the benchmark with its masks."""
+    """One block of the benchmark, by width of its windows and in tiles."""
 
     def __init__(self, space: Space, rows: list[tuple[int | None, str | None]]):
-        self.space, self.ids, self.words, self.bits, self.answers, self.columns = space, [], [], [], [], []
-        for key, text in rows:
-            if words := words_of(text or ""):
-                sentences = [w for s in _ENDS.split(text) if (w := words_of(s))]
-                answer = sentences[-1]
-                self.ids.append(key)
-                self.words.append(len(words))
-                self.columns.append(columns_of(words))
-                self.bits.append(places(words))
-                self.answers.append((places(answer), len(answer)))
-        shapes = defaultdict(list)
-        for i, n in enumerate(self.words):
-            width, slack = reach(n)
-            shapes[width, -(-slack // STEP), -(-(width + slack) // STEP)].append(i)
-        self.groups = [(shape, part) for shape, chosen in sorted(shapes.items()) for part in self.parts(chosen)]
-
-    def parts(self, chosen: list[int]) -> Iterator["Group"]:
-        held, count = [], 0
-        for i in chosen:
-            if held and count + -(-self.words[i] // 64) > GROUP:
-                yield Group(held, self.bits, self.words)
-                held, count = [], 0
-            held.append(i)
-            count += -(-self.words[i] // 64)
-        yield Group(held, self.bits, self.words)
-
-    def hits(self, texts_words: list[list[bytes]]) -> list[list[dict]]:
-        found: list[dict[int, dict]] = [{} for _ in texts_words]
+        self.space = space
+        self.items = [item for key, text in rows if (item := Item(key, text or "", space.rare)).size]
+        shapes: dict[int, list[tuple[int, np.ndarray]]] = defaultdict(list)
+        for i, item in enumerate(self.items):
+            parts = -(-item.size // WIDEST)
+            for part in np.array_split(item.columns, parts):
+                shapes[width_of(len(part))].append((i, self.space.vector(part)))
+        self.tiles = []
+        for width, chosen in sorted(shapes.items()):
+            for at in range(0, len(chosen), TILE):
+                owners = np.array([i for i, _ in chosen[at : at + TILE]])
+                self.tiles.append((width, owners, np.stack([v for _, v in chosen[at : at + TILE]]).astype(np.float32)))
+        self.sizes = np.array([item.size for item in self.items], np.int64)
+        self.columns = np.full((len(self.items), WIDEST), DIM + 1, np.int16)
+        for i, item in enumerate(self.items):
+            self.columns[i, : item.size] = item.columns[:WIDEST]
+
+    def hits(self, strings: list[str]) -> list[list[dict]]:
+        words = Words(strings)
+        found: list[dict[int, dict]] = [{} for _ in strings]
         run, count = [], 0
-        for i, words in enumerate(texts_words):
-            if words and self.groups:
+        sizes = np.diff(words.first).tolist()
+        for i, n in enumerate(sizes):
+            if n:
                 run.append(i)
-                count += len(words)
-            if run and (count >= RUN or i == len(texts_words) - 1):
-                self.compare(run, texts_words, found)
+                count += n
+            if run and (count >= RUN or i == len(sizes) - 1):
+                self.compare(run, words, found)
                 run, count = [], 0
-        return [[self.measured(hit, texts_words[i]) for hit in f.values()] for i, f in enumerate(found)]
+        return [list(f.values()) for f in found]
 
-    def compare(self, run: list[int], texts_words: list[list[bytes]], found: list[dict[int, dict]]) -> None:
-        """Settle every region of the run's texts that covers enough of an item."""
-        steps = np.array([-(-len(texts_words[i]) // STEP) for i in run])
-        numbers: dict[bytes, int] = {}
-        ids = np.full(int(steps.sum()) * STEP, -1, np.int64)
+    def compare(self, run: list[int], words: Words, found: list[dict[int, dict]]) -> None:
+        """Settle the candidates of the run's texts."""
+        sizes = words.first[np.array(run) + 1] - words.first[run]
+        steps = -(-sizes // STEP)
+        padded = np.full(int(steps.sum()) * STEP, DIM, np.int64)
         first = np.cumsum(steps) - steps
-        for i, at in zip(run, (first * STEP).tolist(), strict=True):
-            ids[at : at + len(texts_words[i])] = [numbers.setdefault(w, len(numbers)) for w in texts_words[i]]
+        for i, at, n in zip(run, (first * STEP).tolist(), sizes.tolist(), strict=True):
+            padded[at : at + n] = words.columns[words.first[i] : words.first[i + 1]]
+        sums = self.space.step_sums(padded)
         owner = np.repeat(np.arange(len(run)), steps)
         place = np.arange(len(owner)) - first[owner]
-        for (width, before, after), group in self.groups:
-            gap = before + after
-            at = np.arange(len(owner)) + (owner + 1) * gap  # empty steps stand between texts
-            covers = group.covered(numbers, ids, at, len(owner) + (len(run) + 1) * gap)
-            spans = union_of(covers, gap)
-            begin = np.flatnonzero((place == 0) | (place + width // STEP <= steps[owner]))
-            shares = group.counts(spans[at[begin] - before]) / group.sizes
-            for p, q in np.argwhere(shares >= LIKELY).tolist():
-                text = run[owner[begin[p]]]
-                self.settle(found[text], texts_words[text], group.items[q], int(place[begin[p]]) * STEP)
-
-    def measured(self, hit: dict, words: list[bytes]) -> dict:
-        """The hit with the cosine of its window and its item (the nearest of the item's windows)."""
-        item, begin = hit.pop("item"), hit.pop("begin")
-        n = self.words[item]
-        wide = PASSAGE if n > PASSAGE else STEP * -(-n // STEP)
-        ((of_item, _, _),) = self.space.windows([self.columns[item]], (wide,))
-        width, _ = reach(n)
-        ((of_text, _, _),) = self.space.windows([columns_of(words[begin : begin + width])], (width,))
-        return hit | {"cosine": float((of_item @ of_text[0]).max())}
-
-    def settle(self, found: dict[int, dict], words: list[bytes], item: int, begin: int) -> None:
+        for wanted in sorted({width for width, _, _ in self.tiles}):
+            begin = np.flatnonzero((place == 0) | (place + wanted // STEP <= steps[owner]))
+            end = np.minimum(begin + wanted // STEP, (first + steps)[owner[begin]])
+            vectors = (sums[end] - sums[begin]).astype(np.float32)
+            vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
+            for width, owners, of_items in self.tiles:
+                if width == wanted:
+                    for at in range(0, len(vectors), 1024):
+                        cosines = vectors[at : at + 1024] @ of_items.T
+                        p, q = np.divmod(np.flatnonzero(cosines >= COSINE), len(owners))
+                        self.screen(begin[at + p], owners[q], cosines[p, q], width, padded, (run, owner, place, words), found)
+
+    def screen(self, begin: np.ndarray, items: np.ndarray, cosines: np.ndarray, width: int, padded: np.ndarray, where: tuple, found: list[dict[int, dict]]) -> None:
+        """Drop candidates whose region (with neighbours' words: a bound) holds too few of the item's words; settle the rest."""
+        run, owner, place, words = where
+        for at in range(0, len(begin), SCREEN):
+            b, i = begin[at : at + SCREEN], items[at : at + SCREEN]
+            good = self.sizes[i] > WIDEST  # these are few and settled at once
+            short = np.flatnonzero(~good)
+            slack = slack_of(WIDEST)
+            span = b[short, None] * STEP + np.arange(-slack, width + slack)
+            region = padded[np.clip(span, 0, len(padded) - 1)].astype(np.int16)
+            inside = (self.columns[i[short]][:, :, None] == region[:, None, :]).any(2).sum(1)
+            good[short] = inside >= LIKELY * self.sizes[i[short]]
+            for k in np.flatnonzero(good).tolist():
+                text = run[owner[b[k]]]
+                self.settle(found[text], words, text, int(i[k]), int(place[b[k]]) * STEP, width, float(cosines[at + k]))
+
+    def settle(self, found: dict[int, dict], words: Words, text: int, number: int, begin: int, width: int, cosine: float) -> None:
         """Decide a candidate on the words around it; the best place of an item in a text is kept."""
-        if (known := found.get(item)) and known["shared"] >= 0.95:
-            return
-        n = self.words[item]
-        width, slack = reach(n)
-        lo, hi = max(0, begin - slack), min(len(words), begin + width + slack)
-        region = words[lo:hi]
-        shared = common(self.bits[item], n, region) / n
-        if shared < LIKELY or known and shared <= known["shared"]:
+        if (known := found.get(number)) and known["shared"] >= 0.95:
             return
-        bits, size = self.answers[item]
-        answer = common(bits, size, region) / size
-        if shared >= SURE or answer >= ANSWER:
-            found[item] = {"item": item, "begin": begin, "item_id": self.ids[item], "shared": shared, "answer": answer, "start": lo, "stop": hi}
+        item = self.items[number]
+        slack = slack_of(item.size)
+        base, last = int(words.first[text]), int(words.first[text + 1])
+        lo, hi = max(base, base + begin - slack), min(last, base + begin + width + slack)
+        if (judged := item.judge(words.between(lo, hi))) and not (known and judged[0] <= known["shared"]):
+            found[number] = {"item_id": item.key, "cosine": cosine, "shared": judged[0], "answer": judged[1], "start": lo - base, "stop": hi - base}
 
 
 def annotate(docs: DataFrame, benchmark: DataFrame, space: Space | None = None, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", into: str = "leaks") -> DataFrame:
@@ -351,7 +360,7 @@ def annotate(docs: DataFrame, benchmark: DataFrame, space: Space | None = None,
 
         def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
             for part, strings in texts(batches, rows=128):
-                hits = items.hits([words_of(t) for t in strings])
+                hits = items.hits(strings)
                 leaks = [old + new for old, new in zip(part.column(2).to_pylist(), hits, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(leaks, part.column(2).type)], ["rest", "body", "leaks"])
 

@@ -61,6 +61,11 @@ class Powers:
 _powers = Powers()
 
 
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base and of its inverse."""
+    return _powers.get(n)
+
+
 def rolling(words: np.ndarray, size: int) -> np.ndarray:
     """Hashes of all windows of ``size`` words: differences of prefix sums, shifted back to power zero, then mixed."""
     n = len(words)
