@@ -20,7 +20,9 @@ other columns play no part; an empty table gives an empty result.
 With ``least``, texts whose shingle sets (as XXH64 values) have a Jaccard similarity of ``least`` or more link as well, every
 such pair: two sets of n shingles can only be so similar if they share one of the n - ceil(least n) + 1 that come first
 in an order common to all texts. Any order is right; rare shingles come first (counts in ``SLOTS`` slots), so few texts meet.
-Pairs that the fingerprints have not linked yet are compared on their whole sets.
+Only those first shingles travel, and of them only the shared ones go on. Each text is compared with the smallest id that
+it shares most of them with, which settles groups of near copies with one comparison a text; then texts of different
+components that still share one are compared. Both compare whole sets, made again from the texts concerned.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import components
@@ -98,8 +100,29 @@ def fingerprints(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str
     return rows.mapInArrow(run, "id long, fp long")
 
 
-def shingle_sets(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, fp, key (MD5 of the set), hashes (the sorted set of shingle hashes)."""
+def shingle_counts(docs: DataFrame, k: int, text_col: str = "text") -> np.ndarray:
+    """How many shingles fall in each of ``SLOTS`` slots."""
+    attach(docs.sparkSession)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray]:
+        found = np.zeros(SLOTS, np.int64)
+        for _, bodies in byte_texts(batches, text=0):
+            for body in bodies:
+                np.add.at(found, (shingles(body, k) % np.uint64(SLOTS)).astype(np.int64), 1)
+        return [found]
+
+    return summed(docs.select(F.col(text_col).cast("string").alias("body")), count).get(0, np.zeros(SLOTS)).astype(np.float32)
+
+
+def first_shingles(hashes: np.ndarray, counts: np.ndarray, least: float) -> np.ndarray:
+    """Those of a set, rarest first, of which any set with a Jaccard similarity of ``least`` shares one."""
+    n = len(hashes)
+    order = np.lexsort((hashes, counts[(hashes % np.uint64(SLOTS)).astype(np.int64)]))
+    return hashes[order[: n - math.ceil(least * n - 1e-9) + 1]]
+
+
+def prefixes(docs: DataFrame, k: int, counts: np.ndarray, least: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, fp, key (MD5 of the shingle set), n (its size), tokens (its first shingles)."""
     attach(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("body"))
 
@@ -107,11 +130,28 @@ def shingle_sets(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str
         for part, bodies in byte_texts(batches):
             every = [shingles(b, k) for b in bodies]
             fps = np.array([majority(h) for h in every], np.uint64).view(np.int64)
-            sets = [np.unique(h).tobytes() for h in every]
+            sets = [np.unique(h) for h in every]
+            keys = [hashlib.md5(x.tobytes(), usedforsecurity=False).digest() for x in sets]
+            tokens = [first_shingles(x, counts, least).tobytes() for x in sets]
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.array(fps, pa.int64()), pa.array(keys, pa.binary()), pa.array([len(x) for x in sets], pa.int64()), pa.array(tokens, pa.binary())],
+                ["id", "fp", "key", "n", "tokens"],
+            )
+
+    return rows.mapInArrow(run, "id long, fp long, key binary, n long, tokens binary")
+
+
+def shingle_sets(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, key, hashes (the sorted set of shingle hashes)."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("body"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, bodies in byte_texts(batches):
+            sets = [np.unique(shingles(b, k)).tobytes() for b in bodies]
             keys = [hashlib.md5(x, usedforsecurity=False).digest() for x in sets]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps, pa.int64()), pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], ["id", "fp", "key", "hashes"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], ["id", "key", "hashes"])
 
-    return rows.mapInArrow(run, "id long, fp long, key binary, hashes binary")
+    return rows.mapInArrow(run, "id long, key binary, hashes binary")
 
 
 def segment_counts(fps: np.ndarray) -> np.ndarray:
@@ -247,67 +287,100 @@ def near_links(distinct: DataFrame, tile: int = TILE) -> DataFrame:
     return tiled.repartition(n, "cell", "tile").sortWithinPartitions("cell", "tile").mapInArrow(_compare, "a long, b long")
 
 
-def first_shingles(hashes: np.ndarray, counts: np.ndarray, least: float) -> np.ndarray:
-    """Those of a set, rarest first, of which any set with a Jaccard similarity of ``least`` shares one."""
-    n = len(hashes)
-    order = np.lexsort((hashes, counts[(hashes % np.uint64(SLOTS)).astype(np.int64)]))
-    return hashes[order[: n - math.ceil(least * n - 1e-9) + 1]]
-
-
-def set_links(sets: DataFrame, labelled: DataFrame, least: float) -> DataFrame:
-    """Links (a, b) between components of ``labelled`` (fp, component_id) that hold texts with similar shingle sets."""
-    sets = sets.where("id IS NOT NULL")
-
-    def count(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray]:
-        found = np.zeros(SLOTS)
-        for batch in batches:
-            for raw in batch.column(0).to_pylist():
-                np.add.at(found, (np.frombuffer(raw, np.uint64) % np.uint64(SLOTS)).astype(np.int64), 1)
-        return [found]
-
-    counts = summed(sets.select("hashes"), count).get(0, np.zeros(SLOTS)).astype(np.float32)
-
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            every = [np.frombuffer(raw, np.uint64) for raw in batch.column(3).to_pylist()]
-            tokens = [first_shingles(h, counts, least).view(np.int64) for h in every]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([len(h) for h in every], pa.int32()), pa.array(tokens, pa.list_(pa.int64()))], ["id", "fp", "key", "n", "tokens"])
-
-    rows = durable(sets.mapInArrow(first, "id long, fp long, key binary, n int, tokens array<long>"))
-    labelled = labelled.withColumnRenamed("component_id", "c")
-    by_key = durable(rows.select("key", "fp").distinct().join(labelled, "fp").select("key", "c").distinct())
-    equal = by_key.join(by_key.groupBy("key").agg(F.min("c").alias("b")), "key").where("c <> b").select(F.col("c").alias("a"), "b")
-
-    one = rows.groupBy("key").agg(F.min(F.struct("id", "fp")).alias("one"), F.first("n").alias("n"), F.first("tokens").alias("tokens"))
-    one = one.select(F.col("one.id").alias("id"), F.col("one.fp").alias("fp"), "n", "tokens").join(labelled, "fp")
-    places = one.select("id", "c", "n", F.posexplode("tokens").alias("at", "token"))
-    shared = durable(places)
-    left, right = (shared.select("token", *[F.col(x).alias(f"{x}_{side}") for x in ("id", "c", "n", "at")]) for side in "ab")
-    # Enough left in both sets from the first shared shingle on.
-    enough = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= least / (1 + least) * (F.col("n_a") + F.col("n_b")) - 1e-9
-    pairs = left.join(right, "token").where((F.col("id_a") < F.col("id_b")) & (F.col("c_a") != F.col("c_b")) & enough)
-    pairs = durable(pairs.select("id_a", "id_b", "c_a", "c_b").distinct())
-
-    ids = pairs.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct()
-    needed = durable(sets.select("id", "key", "hashes").join(ids, "id", "left_semi").dropDuplicates(["id", "key"]))
-    both = pairs.join(needed.select(F.col("id").alias("id_a"), F.col("hashes").alias("x")), "id_a").join(needed.select(F.col("id").alias("id_b"), F.col("hashes").alias("y")), "id_b")
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(token, id, n, at) of (id, n, tokens); n and the place lie in one number."""
+    for batch in batches:
+        for part in (batch.slice(i, 512) for i in range(0, batch.num_rows, 512)):
+            tokens = [np.frombuffer(raw, np.int64) for raw in part.column(2).to_pylist()]
+            sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+            at = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            n = np.repeat(part.column(1).to_numpy(), sizes)
+            ids = np.repeat(part.column(0).to_numpy(), sizes)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate([np.zeros(0, np.int64), *tokens]), ids, n << 32 | at)], ["token", "id", "place"])
+
+
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows, sorted by token, whose token occurs more than once."""
+    held, sent = None, False
+    for batch in batches:
+        table = pa.Table.from_batches([batch] if held is None else [held, batch])
+        token = table.column(0).to_numpy()
+        if not len(token):
+            continue
+        same = token[1:] == token[:-1]
+        keep = np.concatenate(([False], same)) | np.concatenate((same, [False]))
+        last = bool(keep[-1])
+        if sent:
+            keep[0] = False
+        yield from table.filter(pa.array(keep)).combine_chunks().to_batches()
+        held, sent = table.slice(len(token) - 1).combine_chunks().to_batches()[0], last  # its token may go on
+
+
+def _enough(a: str, b: str, least: float) -> Column:
+    """Whether enough is left in both sets from a shared shingle on."""
+    n = lambda x: F.shiftright(F.col(f"{x}.place"), 32)
+    left = lambda x: n(x) - F.col(f"{x}.place").bitwiseAND(F.lit((1 << 32) - 1))
+    return F.least(left(a), left(b)) >= least / (1 + least) * (n(a) + n(b)) - 1e-9
+
+
+def _similar(pairs: DataFrame, docs: DataFrame, k: int, least: float, id_col: str, text_col: str) -> DataFrame:
+    """Links (a, b) between the components of pairs (id_a, id_b, c_a, c_b) of texts that are similar."""
+    pairs = durable(pairs)
+    ids = pairs.select(F.explode(F.array("id_a", "id_b")).alias("__id")).distinct()
+    chosen = docs.select(id_col, text_col).join(ids, F.col(id_col).cast("long") == F.col("__id"), "left_semi")
+    sets = durable(shingle_sets(chosen, k, id_col, text_col).dropDuplicates(["id", "key"]))
+    both = pairs.join(sets.select(F.col("id").alias("id_a"), F.col("hashes").alias("x")), "id_a").join(sets.select(F.col("id").alias("id_b"), F.col("hashes").alias("y")), "id_b")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 same = len(np.intersect1d(a, b, assume_unique=True))
                 kept.append(same >= least * (len(a) + len(b) - same) - 1e-9)
             kept = pa.array(kept, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(kept), batch.column(1).filter(kept)], ["a", "b"])
 
-    return both.select("c_a", "c_b", "x", "y").mapInArrow(compare, "a long, b long").unionByName(equal)
+    return both.select("c_a", "c_b", "x", "y").mapInArrow(compare, "a long, b long")
+
+
+def set_links(docs: DataFrame, prints: DataFrame, labelled: DataFrame, k: int, least: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Links (a, b) between components of ``labelled`` (fp, component_id) that hold texts with similar shingle sets."""
+    rows = prints.where("id IS NOT NULL")
+    by_key = durable(rows.select("key", "fp", "id").groupBy("key", "fp").agg(F.min("id").alias("id")).join(labelled, "fp").select("key", "id", F.col("component_id").alias("c")))
+    named = durable(by_key.groupBy("key").agg(F.min(F.struct("id", "c")).alias("one")).select("key", "one.*"))
+    equal = by_key.join(named.select("key", F.col("c").alias("b")), "key").where("c <> b").select(F.col("c").alias("a"), "b")
+
+    one = rows.select("key", "id", "n", "tokens").join(named.select("key", "id"), ["key", "id"], "left_semi")
+    tokens = one.select("id", "n", "tokens").mapInArrow(_exploded, "token long, id long, place long")
+    parts = partitions_for(docs)
+    shared = tokens.repartition(parts, "token").sortWithinPartitions("token").mapInArrow(_repeated, "token long, id long, place long")
+    shared = durable(shared.join(named.select("id", "c"), "id"))
+
+    least_of = shared.groupBy("token").agg(F.min(F.struct("id", "place", "c")).alias("b"))
+    star = shared.select("token", F.struct("id", "place", "c").alias("a")).join(least_of, "token").where((F.col("a.c") != F.col("b.c")) & _enough("a", "b", least))
+    times = star.groupBy(F.col("a.id").alias("id_a"), F.col("a.c").alias("c_a"), F.col("b.id").alias("id_b"), F.col("b.c").alias("c_b")).agg(F.count(F.lit(1)).alias("times"))
+    best = times.groupBy("id_a", "c_a").agg(F.max(F.struct("times", (-F.col("id_b")).alias("first"), "c_b")).alias("best"))
+    first = durable(_similar(best.select("id_a", (-F.col("best.first")).alias("id_b"), "c_a", "best.c_b"), docs, k, least, id_col, text_col).unionByName(equal))
+
+    moved = components(first)
+    now = shared.join(moved, F.col("c") == F.col("node"), "left").select("token", "id", "place", F.coalesce("component", "c").alias("c"))
+    mixed = now.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("token")
+    now = durable(now.join(mixed, "token", "left_semi"))
+    each = now.select("token", "c").distinct()
+    meet = each.withColumnRenamed("c", "c_a").join(each.withColumnRenamed("c", "c_b"), "token").where("c_a < c_b")
+    whole = F.struct("id", "place", "c")
+    pairs = meet.join(now.select("token", F.col("c").alias("c_a"), whole.alias("a")), ["token", "c_a"]).join(now.select("token", F.col("c").alias("c_b"), whole.alias("b")), ["token", "c_b"])
+    pairs = pairs.where(_enough("a", "b", least)).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"), "c_a", "c_b").distinct()
+    return first.unionByName(_similar(pairs, docs, k, least, id_col, text_col))
 
 
 def near_groups(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: str = "text", least: float | None = LEAST) -> DataFrame:
     """One row per input row: ``id_col``, fp, component_id; with ``least`` also by similarity of the shingle sets."""
-    prints = durable(fingerprints(docs, k, id_col, text_col) if least is None else shingle_sets(docs, k, id_col, text_col))
+    if least is None:
+        prints = durable(fingerprints(docs, k, id_col, text_col))
+    else:
+        prints = durable(prefixes(docs, k, shingle_counts(docs, k, text_col), least, id_col, text_col))
     distinct = durable(prints.groupBy("fp").agg(F.min("id").alias("rep")))
     groups = components(near_links(distinct.where("rep IS NOT NULL")))
     labelled = distinct.join(groups, F.col("rep") == F.col("node"), "left").select(
@@ -315,7 +388,7 @@ def near_groups(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: s
     )
     if least is not None:
         labelled = durable(labelled)
-        wider = components(set_links(prints, labelled, least))
+        wider = components(set_links(docs, prints, labelled, k, least, id_col, text_col))
         labelled = labelled.join(wider, F.col("component_id") == F.col("node"), "left").select(
             "fp", F.coalesce("component", "component_id").alias("component_id")
         )
