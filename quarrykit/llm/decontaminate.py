@@ -42,12 +42,12 @@ from ._sums import summed
 from ._text import texts
 from .substring_dedup import powers
 
-DIM, SKETCH, RANK, PASSAGE = 1 << 13, 256, 192, 50
+DIM, SKETCH, RANK, PASSAGE = 1 << 13, 192, 128, 50
 #: Leading directions left out of the comparison: they tell languages and registers apart, not contents.
 COMMON = 5
 #: Words from one window to the next, and in the widest window.
 STEP, WIDEST = 10, 60
-COSINE = 0.27
+COSINE = 0.28
 SURE, LIKELY, ANSWER, RARE, LEAST = 0.45, 0.4, 0.6, 0.35, 6
 #: Words in a smaller share of passages than this are the rarer ones.
 RARER = 0.05
@@ -154,12 +154,12 @@ class Space:
         return v / max(float(np.linalg.norm(v)), 1e-9)
 
     def step_sums(self, padded: np.ndarray) -> np.ndarray:
-        """Running sums over steps of ``STEP`` words; ``padded`` holds whole steps."""
+        """The vector of each step of ``STEP`` words; ``padded`` holds whole steps."""
         rank = self.weights.shape[1]
-        sums = np.zeros((len(padded) // STEP + 1, rank))
+        sums = np.empty((len(padded) // STEP, rank), np.float32)
         for at in range(0, len(padded), 400 * STEP):
-            sums[at // STEP + 1 : at // STEP + 401] = self.weights[padded[at : at + 400 * STEP]].reshape(-1, STEP, rank).sum(1)
-        return np.cumsum(sums, axis=0, out=sums)
+            sums[at // STEP : at // STEP + 400] = self.weights[padded[at : at + 400 * STEP]].reshape(-1, STEP, rank).sum(1)
+        return sums
 
 
 def fit(docs: DataFrame, text_col: str = "text") -> Space:
@@ -297,25 +297,31 @@ class Items:
     def compare(self, run: list[int], words: Words, found: list[dict[int, dict]]) -> None:
         """Settle the candidates of the run's texts."""
         sizes = words.first[np.array(run) + 1] - words.first[run]
-        steps = -(-sizes // STEP)
+        real = -(-sizes // STEP)
+        steps = np.maximum(real, WIDEST // STEP)  # so that the one window of a short text ends in padding
         padded = np.full(int(steps.sum()) * STEP, DIM, np.int64)
         first = np.cumsum(steps) - steps
         for i, at, n in zip(run, (first * STEP).tolist(), sizes.tolist(), strict=True):
             padded[at : at + n] = words.columns[words.first[i] : words.first[i + 1]]
-        sums = self.space.step_sums(padded)
         owner = np.repeat(np.arange(len(run)), steps)
         place = np.arange(len(owner)) - first[owner]
-        for wanted in sorted({width for width, _, _ in self.tiles}):
-            begin = np.flatnonzero((place == 0) | (place + wanted // STEP <= steps[owner]))
-            end = np.minimum(begin + wanted // STEP, (first + steps)[owner[begin]])
-            vectors = (sums[end] - sums[begin]).astype(np.float32)
-            vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
-            for width, owners, of_items in self.tiles:
-                if width == wanted:
-                    for at in range(0, len(vectors), 1024):
-                        cosines = vectors[at : at + 1024] @ of_items.T
-                        p, q = np.divmod(np.flatnonzero(cosines >= COSINE), len(owners))
-                        self.screen(begin[at + p], owners[q], cosines[p, q], width, padded, (run, owner, place, words), found)
+        each = self.space.step_sums(padded)
+        sums = each.copy()
+        for k in range(1, WIDEST // STEP + 1):
+            if k > 1:
+                sums = sums[:-1]
+                sums += each[k - 1 :]
+            tiles = [t for t in self.tiles if t[0] == k * STEP]
+            if not tiles:
+                continue
+            begin = np.arange(len(sums))
+            inside = (place[begin] == 0) | (place[begin] + k <= real[owner[begin]])
+            least = np.where(inside, np.maximum(COSINE * np.sqrt(np.einsum("ij,ij->i", sums, sums)), 1e-6), np.inf).astype(np.float32)
+            for width, owners, of_items in tiles:
+                for at in range(0, len(sums), 1024):
+                    products = sums[at : at + 1024] @ of_items.T
+                    p, q = np.divmod(np.flatnonzero(products >= least[at : at + 1024, None]), len(owners))
+                    self.screen(at + p, owners[q], products[p, q] * COSINE / least[at + p], width, padded, (run, owner, place, words), found)
 
     def screen(self, begin: np.ndarray, items: np.ndarray, cosines: np.ndarray, width: int, padded: np.ndarray, where: tuple, found: list[dict[int, dict]]) -> None:
         """Drop candidates whose region (with neighbours' words: a bound) holds too few of the item's words; settle the rest."""
