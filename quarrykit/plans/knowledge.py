@@ -14,7 +14,6 @@ from ..operators import chat as C
 from ..operators import chunks as K
 from ..operators import retrieval as R
 from ..operators import rules
-from ..operators import signals as G
 from ..operators import snapshots as S
 from ..session import durable, table
 from .chat import _INTENT
@@ -25,70 +24,6 @@ from .pages import _parsed as parsed
 
 QUERIES, ORACLE = {}, {}
 
-# Technology categories over html, headers and cookies
-HEADERS = ["cf-ray: 1\nserver: cloudflare", "x-powered-by: Express\nserver: nginx/1.2", "x-vercel-id: a\nserver: Vercel", "x-debug-token: 9\nserver: Apache/2", "x-aspnet-version: 4\nserver: Microsoft-IIS/10", "date: x"]
-COOKIES = ["laravel_session=1", "connect.sid=2", "csrftoken=3", "", "JSESSIONID=4", ""]
-MARKS = ['<script src="jquery.min.js"></script>', '<link href="bootstrap.min.css">', '<meta name="google-site-verification">', '<script src="https://accounts.google.com/gsi/client"></script>', "<script>window.$crisp=[]</script>", '<div class="sm:flex hover:red"></div>', ""]
-
-
-def sites(s: SparkSession, d: str) -> DataFrame:
-    pick = lambda xs: F.element_at(F.array(*map(F.lit, xs)), (F.col("page_id") % len(xs) + 1).cast("int"))
-    rows = enriched(s, d).select("page_id", F.concat("html", pick(MARKS)).alias("html"), pick(HEADERS).alias("headers"), pick(COOKIES).alias("cookies"))
-    return rows.withColumn("server", F.regexp_extract("headers", r"(?m)^server: (.*)$", 1))
-
-
-_list = lambda xs: "[" + ", ".join("'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'" for x in xs) + "]"
-SITES = f"(SELECT page_id, html || {_list(MARKS)}[page_id % {len(MARKS)} + 1] AS html, h AS headers, {_list(COOKIES)}[page_id % 6 + 1] AS cookies, regexp_extract(h, '(?m)^server: (.*)$', 1) AS server FROM (SELECT *, {_list(HEADERS)}[page_id % 6 + 1] AS h FROM {PAGES} q))"
-
-
-def _site_sql(category: str) -> str:
-    parts = [f"SELECT page_id, '{c}' AS category, '{n}' AS name, {w} AS weight FROM {SITES} WHERE regexp_matches({f}, '{p.replace(chr(39), chr(39) * 2)}')" for c, n, f, p, w in G.RULES if c == category]
-    if category in G.DEFAULTS:
-        n, w = G.DEFAULTS[category]
-        parts.append(f"SELECT page_id, '{category}', '{n}', {w} FROM {SITES} WHERE NOT (" + " OR ".join(f"regexp_matches({f}, '{p.replace(chr(39), chr(39) * 2)}')" for c, _, f, p, _ in G.RULES if c == category) + ")")
-    return "(" + " UNION ALL ".join(parts) + ")"
-
-
-def _or_sql(hits: str) -> str:
-    return f"(SELECT page_id, category, name, round(1 - product(1 - weight::DOUBLE), 4) AS confidence, count(*) AS signals FROM {hits} GROUP BY ALL)"
-
-
-for _key, _category in (("g3_backend", "backend"), ("g5_server", "server"), ("g6_cdn", "cdn"), ("g7_hosting", "hosting"), ("g9_js_libraries", "library"), ("g10_css_frameworks", "css"), ("g11_seo_tools", "seo"), ("g14_authentication", "auth"), ("g15_live_chat", "chat")):
-    QUERIES[_key] = lambda s, d, c=_category: rules.noisy_or(G.site_hits(sites(s, d), c))
-    ORACLE[_key] = f"SELECT * FROM {_or_sql(_site_sql(_category))}"
-QUERIES["g4_languages"] = lambda s, d: rules.noisy_or(G.languages(G.site_hits(sites(s, d), "backend")))
-_langs = "(SELECT page_id, 'language' AS category, map {" + ", ".join(f"'{k}': '{v}'" for k, v in G.LANGUAGES.items()) + f"}}[name] AS name, max(weight) * 0.9 AS weight FROM {_site_sql('backend')} WHERE name <> 'Custom Backend' GROUP BY ALL)"
-ORACLE["g4_languages"] = f"SELECT * FROM {_or_sql(_langs)}"
-QUERIES["g8_databases"] = lambda s, d: rules.noisy_or(G.databases(rules.noisy_or(G.site_hits(sites(s, d), "backend"))))
-_dbs = "(VALUES " + ", ".join(f"('{k}', '{n}', {w})" for k, (n, w) in G.DATABASES.items()) + ") m(backend, db, w)"
-_backend = _or_sql(_site_sql("backend"))
-_database_hits = f"(SELECT page_id, 'database' AS category, db AS name, max(w) AS weight FROM {_backend} JOIN {_dbs} ON name = backend WHERE confidence >= 0.4 GROUP BY ALL)"
-ORACLE["g8_databases"] = f"SELECT * FROM {_or_sql(_database_hits)}"
-QUERIES["g16_form_category"] = lambda s, d: sites(s, d).select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r"(?s)(<form.*?</form>)"), 1)).alias("form")).select("page_id", G.form_kind(F.col("form")).alias("kind"))
-ORACLE["g16_form_category"] = "SELECT page_id, CASE " + " ".join(f"WHEN regexp_matches(form, '{p}') THEN '{n}'" for n, p in G.FORMS) + f" ELSE 'Other Form' END AS kind FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<form.*?</form>')) AS form FROM {SITES})"
-QUERIES["g17_signal_extraction"] = lambda s, d: parsed(s, d).select("page_id", F.size("page.scripts").alias("scripts"), F.size("page.links").alias("links"), F.size("page.forms").alias("forms"))
-ORACLE["g17_signal_extraction"] = f"SELECT page_id, len(regexp_extract_all(html, '<script[^>]* src=')) AS scripts, len(regexp_extract_all(html, '<link ')) AS links, len(regexp_extract_all(html, '<form ')) AS forms FROM {PAGES} p"
-
-
-def recommend_connector(scores: DataFrame, definitions: DataFrame) -> DataFrame:
-    """page_id, connector, confidence: definition of the top CMS of 0.4 or more, else of the top backend, else universal at 0.3."""
-    best = lambda c: scores.where((F.col("category") == c) & (F.col("confidence") >= 0.4)).groupBy("page_id").agg(F.max_by(F.struct("name", "confidence"), F.struct("confidence", "name")).alias(c))
-    pages = scores.select("page_id").distinct()
-    rows = pages.join(best("cms"), "page_id", "left").join(best("backend"), "page_id", "left")
-    for c in ("cms", "backend"):
-        rows = rows.join(definitions.select(F.col("name").alias(f"{c}_name"), F.col("connector").alias(f"{c}_connector")), F.col(f"{c}.name") == F.col(f"{c}_name"), "left")
-    return rows.select("page_id", F.coalesce("cms_connector", "backend_connector", F.lit("universal")).alias("connector"), F.when(F.col("cms_connector").isNotNull(), F.col("cms.confidence")).when(F.col("backend_connector").isNotNull(), F.col("backend.confidence")).otherwise(0.3).alias("confidence"))
-
-
-CONNECTORS = [("WordPress", "wordpress"), ("Shopify", "shopify"), ("Laravel", "laravel"), ("Django", "django")]
-QUERIES["j15_recommend_connector"] = lambda s, d: recommend_connector(rules.noisy_or(rules.technology_hits(sites(s, d), "cms").unionByName(G.site_hits(sites(s, d), "backend"))), s.createDataFrame(CONNECTORS, "name string, connector string"))
-_cms_hits = "(SELECT page_id, 'cms' AS category, name, weight FROM " + SITES + " x, (VALUES " + ", ".join(f"('{n}', '{p}', {w})" for c, n, p, w in rules.TECHNOLOGIES if c == "cms") + ") r(name, pattern, weight) WHERE regexp_matches(html, pattern))"
-_conn = "map {" + ", ".join(f"'{a}': '{b}'" for a, b in CONNECTORS) + "}"
-ORACLE["j15_recommend_connector"] = f"""SELECT page_id, coalesce({_conn}[a.name], {_conn}[b.name], 'universal') AS connector, CASE WHEN {_conn}[a.name] IS NOT NULL THEN a.confidence WHEN {_conn}[b.name] IS NOT NULL THEN b.confidence ELSE 0.3 END AS confidence
-FROM (SELECT page_id FROM pages) LEFT JOIN (SELECT * FROM {_or_sql(_cms_hits)} WHERE confidence >= 0.4 QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY confidence DESC, name DESC) = 1) a USING (page_id)
-LEFT JOIN (SELECT * FROM {_backend} WHERE confidence >= 0.4 QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY confidence DESC, name DESC) = 1) b USING (page_id)"""
-
-
 # Knowledge graph
 def link_entities(sources: DataFrame, entities: DataFrame, k: int = 3, least: float = 0.6) -> DataFrame:
     """source_id, entity_id, score, rank. sources: id, text, embedding; entities: id, name, embedding.
@@ -292,19 +227,3 @@ def page_languages(docs: DataFrame) -> DataFrame:
 
 QUERIES["h19_page_languages"] = lambda s, d: page_languages(table(s, d, "documents"))
 QUERIES["h21_detect_services"] = lambda s, d: parsed(s, d).select("page_id", F.explode(F.slice(F.array_distinct(F.transform(F.filter("page.headings", lambda h: (h["level"] <= 4) & (F.length(h["text"]) <= 100)), lambda h: h["text"])), 1, 30)).alias("service"))
-
-
-def detect_tech(rows: DataFrame) -> DataFrame:
-    """All categories' scored technologies of each site."""
-    hits = rules.technology_hits(rows)
-    for category in sorted({r[0] for r in G.RULES}):
-        hits = hits.unionByName(G.site_hits(rows, category))
-    return rules.noisy_or(hits)
-
-
-QUERIES["a26_detect_tech"] = lambda s, d: detect_tech(sites(s, d)).groupBy("category", "name").agg(F.count(F.lit(1)).alias("sites"), F.round(F.avg("confidence"), 4).alias("mean_confidence"))
-_html_rules = "(VALUES " + ", ".join(f"('{c}', '{n}', '{p}', {w})" for c, n, p, w in rules.TECHNOLOGIES) + ") r(category, name, pattern, weight)"
-_html_hits = f"(SELECT page_id, category, name, weight FROM {SITES} x, {_html_rules} WHERE regexp_matches(html, pattern))"
-_html_all = _html_hits[1:-1] + "".join(f" UNION ALL SELECT page_id, '{c}', '{n}', {w} FROM pages WHERE page_id NOT IN (SELECT page_id FROM {_html_hits} WHERE category = '{c}')" for c, (n, w) in rules.FALLBACKS.items())
-_every = "(" + " UNION ALL ".join([_html_all, *(_site_sql(c)[1:-1] for c in sorted({r[0] for r in G.RULES}))]) + ")"
-ORACLE["a26_detect_tech"] = f"SELECT category, name, count(*) AS sites, round(avg(confidence), 4) AS mean_confidence FROM {_or_sql(_every)} GROUP BY ALL"

@@ -75,41 +75,6 @@ _path = "regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1)"
 ORACLE["h18_classify_page_type"] = "SELECT chunk_id, CASE WHEN " + _path + " IN ('', '/') THEN 'home' " + " ".join(f"WHEN regexp_matches({x}, '{p}') THEN '{n}'" for x in (_path, "title") for p, n in R.PAGE_TYPES) + f" ELSE 'other' END AS page_type FROM {sql_of('chunks')}"
 QUERIES["s7_document_links"] = lambda s, d: P.page_links(_parsed(s, d)).select("url", F.lower(F.regexp_extract(F.try_parse_url("url", F.lit("PATH")), r"\.(pdf|docx?|xlsx?|csv|txt|md|xml|json)$", 1)).alias("type")).where("type <> ''").distinct()
 
-QUERIES["a25_noisy_or"] = lambda s, d: R.noisy_or(R.technology_hits(enriched(s, d)))
-_rules = "(VALUES " + ", ".join(f"('{c}', '{n}', '{p}', {w})" for c, n, p, w in R.TECHNOLOGIES) + ") r(category, name, pattern, weight)"
-_hits = f"(SELECT page_id, category, name, weight FROM {PAGES} p, {_rules} WHERE regexp_matches(html, pattern))"
-_all = f"({_hits[1:-1]} UNION ALL SELECT page_id, 'cms', 'Custom CMS', 0.3 FROM pages WHERE page_id NOT IN (SELECT page_id FROM {_hits} WHERE category = 'cms') UNION ALL SELECT page_id, 'frontend', 'HTML Static Website', 0.4 FROM pages WHERE page_id NOT IN (SELECT page_id FROM {_hits} WHERE category = 'frontend'))"
-_or = f"(SELECT page_id, category, name, round(1 - product(1 - weight::DOUBLE), 4) AS confidence, count(*) AS signals FROM {_all} GROUP BY ALL)"
-ORACLE["a25_noisy_or"] = f"SELECT * FROM {_or}"
-for _key, _cat in (("g1_cms", "cms"), ("g2_frontend", "frontend"), ("g12_analytics", "analytics"), ("g13_payment", "payment")):
-    QUERIES[_key] = lambda s, d, c=_cat: R.noisy_or(R.technology_hits(enriched(s, d), c))
-    ORACLE[_key] = f"SELECT * FROM {_or} WHERE category = '{_cat}'"
-
-
-def tech_report(found: DataFrame) -> DataFrame:
-    """Per page: top technology of each category and the mean of their confidences."""
-    best = found.groupBy("page_id", "category").agg(F.min(F.struct((-F.col("confidence")).alias("c"), "name")).alias("b"))
-    return best.groupBy("page_id").agg(F.round(F.avg(-F.col("b.c")), 6).alias("confidence"), F.array_join(F.array_sort(F.collect_list(F.concat("category", F.lit("="), "b.name"))), ",").alias("stack"))
-
-
-QUERIES["a27_tech_report"] = lambda s, d: tech_report(R.noisy_or(R.technology_hits(enriched(s, d))))
-ORACLE["a27_tech_report"] = f"SELECT page_id, round(avg(confidence), 6) AS confidence, string_agg(category || '=' || name, ',' ORDER BY category || '=' || name) AS stack FROM (SELECT * FROM {_or} QUALIFY row_number() OVER (PARTITION BY page_id, category ORDER BY confidence DESC, name) = 1) GROUP BY 1"
-QUERIES["h23_quick_stack"] = lambda s, d: R.noisy_or(R.technology_hits(enriched(s, d))).groupBy("page_id").agg(F.count_if(F.col("name").isin("Custom CMS", "HTML Static Website") == False).alias("n")).select("page_id", F.when(F.col("n") >= 2, "high").when(F.col("n") == 1, "medium").otherwise("low").alias("confidence"))  # noqa: E712
-ORACLE["h23_quick_stack"] = f"SELECT page_id, CASE WHEN n >= 2 THEN 'high' WHEN n = 1 THEN 'medium' ELSE 'low' END AS confidence FROM (SELECT page_id, count_if(name NOT IN ('Custom CMS', 'HTML Static Website')) AS n FROM {_or} GROUP BY 1)"
-
-
-def _headers(s: SparkSession, d: str) -> DataFrame:
-    k = F.col("page_id")
-    given = F.map_filter(F.create_map(F.lit("strict-transport-security"), F.when(k % 2 == 0, "max-age=300").otherwise("max-age=0"), F.lit("content-security-policy"), F.when(k % 3 == 0, "default-src 'self'"), F.lit("x-content-type-options"), F.when(k % 5 == 0, "NoSniff"), F.lit("access-control-allow-origin"), F.when(k % 7 == 0, "*")), lambda _, v: v.isNotNull())
-    return table(s, d, "pages").select(k.alias("site_id"), "url", given.alias("headers"))
-
-
-QUERIES["a28_security_score"] = lambda s, d: R.scored(R.security_findings(_headers(s, d)))
-ORACLE["a28_security_score"] = "SELECT page_id AS site_id, floor(100 * (CASE WHEN url LIKE 'https://%' THEN 25 ELSE 0 END + CASE WHEN page_id % 2 = 0 THEN 15 ELSE 0 END + CASE WHEN page_id % 3 = 0 THEN 15 ELSE 0 END + CASE WHEN page_id % 5 = 0 THEN 10 ELSE 0 END + CASE WHEN page_id % 7 = 0 THEN 0 ELSE 5 END) / 80 + 0.5)::INT AS score FROM pages"
-QUERIES["a29_performance_findings"] = lambda s, d: enriched(s, d).select("page_id", F.regexp_count("html", F.lit("(?i)<img")).alias("images"), F.regexp_count("html", F.lit(r"(?i)<script[^>]+src=")).alias("scripts"), F.regexp_count("html", F.lit("(?i)<link[^>]+stylesheet")).alias("styles"), F.length("html").alias("size"))
-ORACLE["a29_performance_findings"] = f"SELECT page_id, len(regexp_extract_all(html, '(?i)<img')) AS images, len(regexp_extract_all(html, '(?i)<script[^>]+src=')) AS scripts, len(regexp_extract_all(html, '(?i)<link[^>]+stylesheet')) AS styles, length(html) AS size FROM {PAGES} p"
-
-
 def crawl_report(pages: DataFrame) -> DataFrame:
     return pages.agg(F.count(F.lit(1)).alias("pages"), F.count_if(F.col("html").contains('lang="en"')).alias("english"), F.count_if(~F.col("html").rlike('<meta name="description"')).alias("no_description"), F.round(F.avg(F.length("html")), 6).alias("mean_size"), F.countDistinct(F.try_parse_url("url", F.lit("HOST"))).alias("hosts"))
 
