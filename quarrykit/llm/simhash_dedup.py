@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import components
 from ..session import attach, durable, partitions_for
+from ._ids import minus, perhaps
 from ._sums import summed
 from ._text import byte_texts
 
@@ -323,12 +324,8 @@ def _enough(a: str, b: str, least: float) -> Column:
     return F.least(left(a), left(b)) >= least / (1 + least) * (n(a) + n(b)) - 1e-9
 
 
-def _similar(pairs: DataFrame, docs: DataFrame, k: int, least: float, id_col: str, text_col: str) -> DataFrame:
+def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """Links (a, b) between the components of pairs (id_a, id_b, c_a, c_b) of texts that are similar."""
-    pairs = durable(pairs)
-    ids = pairs.select(F.explode(F.array("id_a", "id_b")).alias("__id")).distinct()
-    chosen = docs.select(id_col, text_col).join(ids, F.col(id_col).cast("long") == F.col("__id"), "left_semi")
-    sets = durable(shingle_sets(chosen, k, id_col, text_col).dropDuplicates(["id", "key"]))
     both = pairs.join(sets.select(F.col("id").alias("id_a"), F.col("hashes").alias("x")), "id_a").join(sets.select(F.col("id").alias("id_b"), F.col("hashes").alias("y")), "id_b")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -351,17 +348,24 @@ def set_links(docs: DataFrame, prints: DataFrame, labelled: DataFrame, k: int, l
     named = durable(by_key.groupBy("key").agg(F.min(F.struct("id", "c")).alias("one")).select("key", "one.*"))
     equal = by_key.join(named.select("key", F.col("c").alias("b")), "key").where("c <> b").select(F.col("c").alias("a"), "b")
 
-    one = rows.select("key", "id", "n", "tokens").join(named.select("key", "id"), ["key", "id"], "left_semi")
+    copies = rows.select("key", "id").join(named.select("key", F.col("id").alias("one")), "key").where("id <> one").select("id").distinct()
+    one = minus(rows.select("id", "n", "tokens"), "id", durable(copies.join(named.select("id"), "id", "left_anti")))
     tokens = one.select("id", "n", "tokens").mapInArrow(_exploded, "token long, id long, place long")
     parts = partitions_for(docs)
     shared = tokens.repartition(parts, "token").sortWithinPartitions("token").mapInArrow(_repeated, "token long, id long, place long")
     shared = durable(shared.join(named.select("id", "c"), "id"))
 
+    asked = shared.select("id").distinct()
+    chosen = docs.select(id_col, text_col).where(perhaps(asked)(F.col(id_col)))
+    sets = durable(shingle_sets(chosen, k, id_col, text_col))
+    if not sets.groupBy("id", "key").count().where("count > 1").isEmpty():  # repeated rows: one each is enough
+        sets = durable(sets.dropDuplicates(["id", "key"]))
+
     least_of = shared.groupBy("token").agg(F.min(F.struct("id", "place", "c")).alias("b"))
     star = shared.select("token", F.struct("id", "place", "c").alias("a")).join(least_of, "token").where((F.col("a.c") != F.col("b.c")) & _enough("a", "b", least))
     times = star.groupBy(F.col("a.id").alias("id_a"), F.col("a.c").alias("c_a"), F.col("b.id").alias("id_b"), F.col("b.c").alias("c_b")).agg(F.count(F.lit(1)).alias("times"))
     best = times.groupBy("id_a", "c_a").agg(F.max(F.struct("times", (-F.col("id_b")).alias("first"), "c_b")).alias("best"))
-    first = durable(_similar(best.select("id_a", (-F.col("best.first")).alias("id_b"), "c_a", "best.c_b"), docs, k, least, id_col, text_col).unionByName(equal))
+    first = durable(_similar(best.select("id_a", (-F.col("best.first")).alias("id_b"), "c_a", "best.c_b"), sets, least).unionByName(equal))
 
     moved = components(first)
     now = shared.join(moved, F.col("c") == F.col("node"), "left").select("token", "id", "place", F.coalesce("component", "c").alias("c"))
@@ -372,7 +376,7 @@ def set_links(docs: DataFrame, prints: DataFrame, labelled: DataFrame, k: int, l
     whole = F.struct("id", "place", "c")
     pairs = meet.join(now.select("token", F.col("c").alias("c_a"), whole.alias("a")), ["token", "c_a"]).join(now.select("token", F.col("c").alias("c_b"), whole.alias("b")), ["token", "c_b"])
     pairs = pairs.where(_enough("a", "b", least)).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"), "c_a", "c_b").distinct()
-    return first.unionByName(_similar(pairs, docs, k, least, id_col, text_col))
+    return first.unionByName(_similar(pairs, sets, least))
 
 
 def near_groups(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: str = "text", least: float | None = LEAST) -> DataFrame:
@@ -398,9 +402,9 @@ def near_groups(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: s
 def dedup(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: str = "text", least: float | None = None) -> DataFrame:
     """``docs`` with one document of each group: the one with the smallest id (rows without an id stay)."""
     groups = near_groups(docs, k, id_col, text_col, least)
-    keep = groups.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__keep")).distinct()
-    joined = docs.join(keep, docs[id_col] == F.col("__keep"), "left")
-    return joined.where(F.col("__keep").isNotNull() | docs[id_col].isNull()).select(*[docs[c] for c in docs.columns])
+    groups = durable(groups.select(F.col(id_col).alias("id"), "component_id").where("id IS NOT NULL").distinct())
+    keep = groups.where("id = component_id").select("id")
+    return minus(docs, id_col, groups.where("id <> component_id").select("id").distinct().join(keep, "id", "left_anti"))
 
 
 def digest(docs: DataFrame) -> DataFrame:
