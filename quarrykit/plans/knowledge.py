@@ -226,4 +226,3 @@ def page_languages(docs: DataFrame) -> DataFrame:
 
 
 QUERIES["h19_page_languages"] = lambda s, d: page_languages(table(s, d, "documents"))
-QUERIES["h21_detect_services"] = lambda s, d: parsed(s, d).select("page_id", F.explode(F.slice(F.array_distinct(F.transform(F.filter("page.headings", lambda h: (h["level"] <= 4) & (F.length(h["text"]) <= 100)), lambda h: h["text"])), 1, 30)).alias("service"))

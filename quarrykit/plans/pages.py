@@ -66,8 +66,8 @@ _field("h20_detect_products", lambda: F.to_json(F.transform(F.filter("page.json_
 _field("h22_detect_faqs", lambda: F.to_json("page.faqs"), "CASE WHEN page_id % 6 = 4 THEN '[{\"question\":\"Why?\",\"answer\":\"Because.\"}]' ELSE '[]' END")
 _field("h17_clean_text", lambda: F.sha2(P.clean_text(F.col("page")), 256))
 _field("s9_declared_feeds", lambda: F.array_join(F.transform(F.filter("page.links", lambda x: x["rel"] == "alternate"), lambda x: x["href"]), "|"), "CASE WHEN page_id % 6 = 3 THEN '/feed' ELSE '' END")
-QUERIES["h14_contact_info"] = lambda s, d: derive(s, d, "decorated").select("doc_id", F.array_join(F.array_sort(F.slice(F.array_distinct(F.transform(F.regexp_extract_all(F.col("text"), F.lit(T.EMAIL), 0), F.lower)), 1, 20)), ",").alias("emails"))
-ORACLE["h14_contact_info"] = f"SELECT doc_id, coalesce(string_agg(DISTINCT e, ',' ORDER BY e), '') AS emails FROM (SELECT doc_id, unnest(CASE WHEN len(x) = 0 THEN [NULL] ELSE x END) AS e FROM (SELECT doc_id, list_transform(regexp_extract_all(text, '{T.EMAIL}'), lambda v: lower(v)) AS x FROM {sql_of('decorated')})) GROUP BY 1"
+QUERIES["h14_email_addresses"] = lambda s, d: derive(s, d, "decorated").select("doc_id", F.array_join(F.array_sort(F.slice(F.array_distinct(F.transform(F.regexp_extract_all(F.col("text"), F.lit(T.EMAIL), 0), F.lower)), 1, 20)), ",").alias("emails"))
+ORACLE["h14_email_addresses"] = f"SELECT doc_id, coalesce(string_agg(DISTINCT e, ',' ORDER BY e), '') AS emails FROM (SELECT doc_id, unnest(CASE WHEN len(x) = 0 THEN [NULL] ELSE x END) AS e FROM (SELECT doc_id, list_transform(regexp_extract_all(text, '{T.EMAIL}'), lambda v: lower(v)) AS x FROM {sql_of('decorated')})) GROUP BY 1"
 QUERIES["h15_extract_links"] = lambda s, d: P.page_links(_parsed(s, d))
 QUERIES["h16_classify_link"] = lambda s, d: P.page_links(_parsed(s, d)).join(table(s, d, "pages").select("page_id", F.col("url").alias("base")), "page_id").groupBy(R.link_class(F.col("url"), F.col("base")).alias("class")).agg(F.count(F.lit(1)).alias("n"))
 QUERIES["h18_classify_page_type"] = lambda s, d: derive(s, d, "chunks").select("chunk_id", R.page_type(F.col("url"), F.col("title")).alias("page_type"))

@@ -10,9 +10,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def modules() -> list:
-    from .plans import chat, health, knowledge, pages, retrieval, snapshots, technology, text
+    from .plans import chat, evidence, health, knowledge, pages, retrieval, snapshots, technology, text
 
-    return [text, retrieval, snapshots, chat, health, pages, technology, knowledge]
+    return [text, retrieval, snapshots, chat, health, pages, evidence, technology, knowledge]
 
 
 def queries() -> dict[str, Query]:

@@ -29,8 +29,23 @@ SCHEMA = (
     "images array<struct<src:string,alt:string,caption:string>>, videos array<struct<src:string,type:string>>, "
     "forms array<struct<action:string,method:string,fields:array<struct<name:string,type:string>>>>, json_ld array<string>, "
     "open_graph map<string,string>, twitter_card map<string,string>, scripts array<string>, links array<struct<rel:string,href:string>>, hrefs array<string>, "
-    "faqs array<struct<question:string,answer:string>>"
+    "faqs array<struct<question:string,answer:string>>, "
+    "products array<struct<name:string,category:string,price:string,currency:string,discount:string,description:string,images:array<string>,sku:string,brand:string,stock_status:string,rating:double,review_count:int,source:string>>, "
+    "services array<struct<name:string,description:string,pricing:string,industries:array<string>,source:string>>, "
+    "contacts struct<phones:array<string>,emails:array<string>,addresses:array<string>,business_hours:array<string>,maps_links:array<string>,whatsapp_links:array<string>,social_links:array<struct<platform:string,url:string>>>"
 )
+# Patterns and markers of contacts, products and services.
+PHONE = re.compile(r"(?:\+?\d{1,3}[\s.-]?)?\(?\d{2,4}\)?[\s.-]?\d{3,4}[\s.-]?\d{3,4}(?:[\s.-]?\d{2,4})?")
+EMAIL = re.compile(r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}")
+PRICE = re.compile(r"(?:USD|EUR|GBP|INR|₹|\$|€|£)\s?[\d,]+(?:\.\d{1,2})?")
+MAPS, WHATSAPP = re.compile(r"(?i)google\.[a-z.]+/maps|maps\.app\.goo\.gl|goo\.gl/maps"), re.compile(r"(?i)wa\.me/|api\.whatsapp\.com")
+PLATFORMS = [
+    ("Facebook", r"facebook\.com|fb\.com"), ("Twitter/X", r"twitter\.com|x\.com"), ("Instagram", r"instagram\.com"), ("LinkedIn", r"linkedin\.com"),
+    ("YouTube", r"youtube\.com|youtu\.be"), ("TikTok", r"tiktok\.com"), ("Pinterest", r"pinterest\.com"), ("Telegram", r"t\.me|telegram\.org"),
+]
+BUSINESSES = {"localbusiness", "organization", "store", "restaurant"}
+PRODUCT_CLASSES = {"product", "product-single", "product_main", "woocommerce-product"}
+UNWANTED_IMAGE = re.compile(r"(?i)icon|logo|sprite|avatar")
 
 
 def squeeze(text: str) -> str:
@@ -139,6 +154,155 @@ def flattened(value) -> list[dict]:
     return []
 
 
+def kinds(entry: dict) -> set[str]:
+    named = entry.get("@type")
+    return {str(k).lower() for k in (named if isinstance(named, list) else [named])}
+
+
+def scalar(value) -> str | None:
+    """A JSON string or number as text."""
+    return value if isinstance(value, str) else str(value) if isinstance(value, int | float) and not isinstance(value, bool) else None
+
+
+def number(value) -> float | None:
+    try:
+        return float(value) or None
+    except (TypeError, ValueError):
+        return None
+
+
+def first_offer(entry: dict) -> dict:
+    offers = entry.get("offers")
+    offer = offers[0] if isinstance(offers, list) and offers else offers
+    return offer if isinstance(offer, dict) else {}
+
+
+def given(*values):
+    return next((v for v in values if v is not None), None)
+
+
+def stated_product(entry: dict) -> dict:
+    offer, brand, rated, image = first_offer(entry), entry.get("brand"), entry.get("aggregateRating"), entry.get("image")
+    rated = rated if isinstance(rated, dict) else {}
+    stock = scalar(offer.get("availability"))
+    reviews = number(rated.get("reviewCount"))
+    return {
+        "name": scalar(entry.get("name")), "category": scalar(entry.get("category")), "price": scalar(given(offer.get("price"), offer.get("lowPrice"))), "currency": scalar(offer.get("priceCurrency")), "discount": None,
+        "description": scalar(entry.get("description")), "images": [i for i in (image if isinstance(image, list) else [image]) if isinstance(i, str)], "sku": scalar(given(entry.get("sku"), entry.get("mpn"))),
+        "brand": brand if isinstance(brand, str) else scalar(brand.get("name")) if isinstance(brand, dict) else None, "stock_status": stock.replace("https://schema.org/", "", 1) if stock else None,
+        "rating": number(rated.get("ratingValue")), "review_count": int(reviews) if reviews else None, "source": "structured_data",
+    }
+
+
+class Marked:
+    """Searches by class tokens, itemprop and tag in one subtree."""
+
+    def __init__(self, node: "Node"):
+        self.nodes = [n for n in node.walk() if n is not node]
+
+    def all(self, classes: set[str] = frozenset(), prop: str | None = None, tags: tuple = ()) -> list:
+        return [n for n in self.nodes if n.tag in tags or classes & set(n.attrs.get("class", "").split()) or prop and n.attrs.get("itemprop") == prop]
+
+    def text(self, **wanted) -> str | None:
+        found = self.all(**wanted)
+        return (found[0].text() or None) if found else None
+
+
+def guessed_product(nodes: list, root: "Node") -> dict | None:
+    """One product from a known container, or from the whole body where a first heading and a price stand."""
+
+    def container(n) -> bool:
+        a, classes = n.attrs, n.attrs.get("class", "")
+        return bool(PRODUCT_CLASSES & set(classes.split())) or "product-detail" in classes or "product_detail" in classes or "schema.org/Product" in a.get("itemtype", "") or "data-product-id" in a
+
+    body = next((n for n in nodes if n.tag == "body"), root)
+    heading = next((x for n in nodes if n.tag == "h1" and (x := n.text())), None)
+    box = next((n for n in nodes if container(n)), None)
+    if box is None:
+        if not any(n.tag == "h1" for n in nodes) or not PRICE.search(body.text()):
+            return None
+        box = body
+    inside = Marked(box)
+    if not (name := inside.text(classes={"product_title", "product-title"}, prop="name", tags=("h1",)) or heading):
+        return None
+    priced = inside.text(classes={"price", "product-price", "price_color", "amount"}, prop="price") or ""
+    price = PRICE.search(priced) or PRICE.search(box.text())
+    described = inside.text(classes={"product-description", "woocommerce-product-details__short-description"}, prop="description")
+    if not described and (mark := next((n for n in nodes if n.attrs.get("id") == "product_description"), None)):
+        after = [c for c in mark.parent.children if isinstance(c, Node)]
+        follower = after[after.index(mark) + 1 : after.index(mark) + 2]
+        described = follower[0].text() if follower and follower[0].tag == "p" else None
+    images = [src for n in inside.all(tags=("img",)) if (src := n.attrs.get("src") or n.attrs.get("data-src")) and not UNWANTED_IMAGE.search(src)]
+    struck = [d for n in inside.all(classes={"price"}) for d in n.find("del")]
+    discount = inside.text(classes={"discount", "sale-badge"}) or (struck[0].text() if struck else None)
+    return {
+        "name": name, "category": None, "price": price.group() if price else None, "currency": None, "discount": discount or None, "description": described or None, "images": images[:8], "sku": inside.text(classes={"sku"}, prop="sku"),
+        "brand": inside.text(classes={"brand"}, prop="brand"), "stock_status": inside.text(classes={"stock", "availability", "instock"}, prop="availability"), "rating": None, "review_count": None, "source": "heuristic",
+    }
+
+
+def services_of(nodes: list, entries: list[dict]) -> list[dict]:
+    """Services stated as data, else third and fourth headings in sections about services (30 at most)."""
+    stated = [
+        {"name": e["name"], "description": e["description"] if isinstance(e.get("description"), str) else None, "pricing": scalar(first_offer(e).get("price")) or None, "industries": [str(x) for x in e["areaServed"]] if isinstance(e.get("areaServed"), list) else None, "source": "structured_data"}
+        for e in entries if "service" in kinds(e) and isinstance(e.get("name"), str) and e["name"]
+    ]
+    if stated:
+        return stated
+    section = lambda n: "service" in n.attrs.get("class", "") or "service" in n.attrs.get("id", "") or n.tag == "section" and any("Service" in (t := h.text()) or "service" in t for h in n.find("h2"))
+    sections = {id(n) for n in nodes if section(n)}
+    found: dict[str, dict] = {}
+    for n in nodes:
+        if n.tag not in ("h3", "h4") or not (name := n.text()) or len(name) > 100 or name in found:
+            continue
+        up = n.parent
+        while up and id(up) not in sections:
+            up = up.parent
+        if up:
+            beside = [c for c in n.parent.children if isinstance(c, Node)]
+            below = [c for c in beside[beside.index(n) + 1 :] if c.tag == "p"] or n.parent.find("p")
+            found[name] = {"name": name, "description": (below[0].text() or None) if below else None, "pricing": None, "industries": None, "source": "heuristic"}
+    return list(found.values())[:30]
+
+
+def contacts_of(nodes: list, root: "Node", entries: list[dict]) -> dict:
+    """Phones, e-mails, addresses, hours and links of a page, in order of appearance and without repeats."""
+    digits = lambda x: len(re.sub(r"\D", "", x))
+    body = next((n for n in nodes if n.tag == "body"), root).text()
+    hrefs = [n.attrs["href"] for n in nodes if n.tag == "a" and n.attrs.get("href")]
+    phones = [x for h in hrefs if h.startswith("tel:") and digits(x := h.replace("tel:", "", 1).strip()) >= 7]
+    emails = [x for h in hrefs if h.startswith("mailto:") and (x := h.replace("mailto:", "", 1).split("?")[0].strip())]
+    phones += [x for m in PHONE.findall(body) if 7 <= digits(x := m.strip()) <= 15]
+    emails += [x.lower() for x in EMAIL.findall(body)]
+    addresses, hours = [], []
+    for e in entries:
+        if not BUSINESSES & kinds(e):
+            continue
+        phones += [e["telephone"]] if isinstance(e.get("telephone"), str) else []
+        emails += [e["email"]] if isinstance(e.get("email"), str) else []
+        place = e.get("address")
+        if isinstance(place, dict):
+            parts = [place.get(k) for k in ("streetAddress", "addressLocality", "addressRegion", "postalCode", "addressCountry")]
+            place = ", ".join(x for x in parts if isinstance(x, str) and x.strip())
+        addresses += [place] if isinstance(place, str) and place else []
+        opens = given(e.get("openingHours"), e.get("openingHoursSpecification"))
+        for h in opens if isinstance(opens, list) else [opens]:
+            if isinstance(h, dict) and (days := h.get("dayOfWeek")) and h.get("opens") and h.get("closes"):
+                hours.append(f"{', '.join(days) if isinstance(days, list) else days}: {h['opens']}-{h['closes']}")
+            elif isinstance(h, str):
+                hours.append(h)
+    social: dict[str, str] = {}
+    for h in hrefs:
+        for platform, pattern in PLATFORMS:
+            if h not in social and re.search(pattern, h, re.I):
+                social[h] = platform
+    first = lambda xs, n: list(dict.fromkeys(xs))[:n]
+    return {
+        "phones": first(phones, 20), "emails": first(emails, 20), "addresses": first(addresses, 10), "business_hours": first(hours, 20), "maps_links": first((h for h in hrefs if MAPS.search(h)), 10),
+        "whatsapp_links": first((h for h in hrefs if WHATSAPP.search(h)), 10), "social_links": [{"platform": p, "url": u} for u, p in social.items()],
+    }
+
+
 def parse_page(html: str | None) -> dict:
     tree = Tree(html or "")
     nodes = list(tree.root.walk())
@@ -152,6 +316,8 @@ def parse_page(html: str | None) -> dict:
                 entries += flattened(json.loads(data))
             except ValueError:
                 continue
+    products = [p for e in entries if "product" in kinds(e) and (p := stated_product(e))["name"]] or [p for p in [guessed_product(nodes, tree.root)] if p]
+    services, contacts = services_of(nodes, entries), contacts_of(nodes, tree.root, entries)
     prune(tree.root)
     nodes = list(tree.root.walk())
     of = lambda *tags: [n for n in nodes if n.tag in tags]
@@ -192,7 +358,7 @@ def parse_page(html: str | None) -> dict:
         "forms": [{"action": n.attrs.get("action") or None, "method": (n.attrs.get("method") or "GET").upper(), "fields": [{"name": f.attrs.get("name") or None, "type": f.attrs.get("type") or f.tag} for f in n.find("input", "select", "textarea")]} for n in of("form")],
         "json_ld": [json.dumps(e, ensure_ascii=False, sort_keys=True) for e in entries],
         "open_graph": {k: v for k, v in meta.items() if k.startswith("og:")}, "twitter_card": {k: v for k, v in meta.items() if k.startswith("twitter:")},
-        "scripts": scripts, "links": links, "hrefs": [n.attrs["href"] for n in of("a") if n.attrs.get("href")], "faqs": faqs,
+        "scripts": scripts, "links": links, "hrefs": [n.attrs["href"] for n in of("a") if n.attrs.get("href")], "faqs": faqs, "products": products, "services": services, "contacts": contacts,
     }
 
 
@@ -203,8 +369,8 @@ def parsed_pages(pages: DataFrame) -> DataFrame:
     return pages.withColumn("page", F.pandas_udf(_parse, _STRUCT)(F.col("html")))
 
 
-_STRUCT = "struct<" + re.sub(r"(^|, )(\w+) (string|array|map)", r"\1\2:\3", SCHEMA) + ">"
-_FIELDS = re.findall(r"(?:^|, )(\w+) (?:string|array|map)", SCHEMA)
+_STRUCT = "struct<" + re.sub(r"(^|, )(\w+) (string|array|map|struct)", r"\1\2:\3", SCHEMA) + ">"
+_FIELDS = re.findall(r"(?:^|, )(\w+) (?:string|array|map|struct)", SCHEMA)
 
 
 def _parse(html: pd.Series) -> pd.DataFrame:
