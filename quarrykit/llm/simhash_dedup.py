@@ -289,7 +289,7 @@ def near_links(distinct: DataFrame, tile: int = TILE) -> DataFrame:
 
 
 def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(token, id, n, at) of (id, n, tokens); n and the place lie in one number."""
+    """(token, id, place) of (id, n, tokens); n and the place lie in one number."""
     for batch in batches:
         for part in (batch.slice(i, 512) for i in range(0, batch.num_rows, 512)):
             tokens = [np.frombuffer(raw, np.int64) for raw in part.column(2).to_pylist()]
@@ -317,11 +317,21 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, sent = table.slice(len(token) - 1).combine_chunks().to_batches()[0], last  # its token may go on
 
 
-def _enough(a: str, b: str, least: float) -> Column:
-    """Whether enough is left in both sets from a shared shingle on."""
-    n = lambda x: F.shiftright(F.col(f"{x}.place"), 32)
-    left = lambda x: n(x) - F.col(f"{x}.place").bitwiseAND(F.lit((1 << 32) - 1))
-    return F.least(left(a), left(b)) >= least / (1 + least) * (n(a) + n(b)) - 1e-9
+def _size(side: str) -> Column:
+    return F.shiftright(F.col(f"{side}.place"), 32)
+
+
+def _met(rows: DataFrame, least: float) -> DataFrame:
+    """id_a, c_a, id_b, c_b, times: pairs of ``rows`` (structs a and b, one row a shared first shingle) that may be similar.
+
+    A shingle of both sets that is not among the first of both lies behind the first of one of them, so no pair shares more than
+    the first shingles it shares and the greater of the two remainders.
+    """
+    alike = (_size("a") >= least * _size("b") - 1e-9) & (_size("b") >= least * _size("a") - 1e-9)
+    pairs = rows.where(alike).groupBy(F.col("a.id").alias("id_a"), F.col("a.c").alias("c_a"), F.col("b.id").alias("id_b"), F.col("b.c").alias("c_b"))
+    counted = pairs.agg(F.count(F.lit(1)).alias("times"), F.max(_size("a")).alias("n_a"), F.max(_size("b")).alias("n_b"))
+    rest = F.ceil(least * F.greatest("n_a", "n_b") - 1e-9) - 1
+    return counted.where(F.col("times") + rest >= least / (1 + least) * (F.col("n_a") + F.col("n_b")) - 1e-9).drop("n_a", "n_b")
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -355,17 +365,18 @@ def set_links(docs: DataFrame, prints: DataFrame, labelled: DataFrame, k: int, l
     shared = tokens.repartition(parts, "token").sortWithinPartitions("token").mapInArrow(_repeated, "token long, id long, place long")
     shared = durable(shared.join(named.select("id", "c"), "id"))
 
-    asked = shared.select("id").distinct()
-    chosen = docs.select(id_col, text_col).where(perhaps(asked)(F.col(id_col)))
-    sets = durable(shingle_sets(chosen, k, id_col, text_col))
-    if not sets.groupBy("id", "key").count().where("count > 1").isEmpty():  # repeated rows: one each is enough
-        sets = durable(sets.dropDuplicates(["id", "key"]))
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        ids = pairs.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct()
+        sets = durable(shingle_sets(docs.select(id_col, text_col).where(perhaps(ids)(F.col(id_col))), k, id_col, text_col))
+        repeated = not sets.groupBy("id", "key").count().where("count > 1").isEmpty()
+        return sets.dropDuplicates(["id", "key"]) if repeated else sets  # of repeated rows one each is enough
 
     least_of = shared.groupBy("token").agg(F.min(F.struct("id", "place", "c")).alias("b"))
-    star = shared.select("token", F.struct("id", "place", "c").alias("a")).join(least_of, "token").where((F.col("a.c") != F.col("b.c")) & _enough("a", "b", least))
-    times = star.groupBy(F.col("a.id").alias("id_a"), F.col("a.c").alias("c_a"), F.col("b.id").alias("id_b"), F.col("b.c").alias("c_b")).agg(F.count(F.lit(1)).alias("times"))
+    star = shared.select("token", F.struct("id", "place", "c").alias("a")).join(least_of, "token").where("a.c <> b.c")
+    times = _met(star, least)
     best = times.groupBy("id_a", "c_a").agg(F.max(F.struct("times", (-F.col("id_b")).alias("first"), "c_b")).alias("best"))
-    first = durable(_similar(best.select("id_a", (-F.col("best.first")).alias("id_b"), "c_a", "best.c_b"), sets, least).unionByName(equal))
+    pairs = durable(best.select("id_a", (-F.col("best.first")).alias("id_b"), "c_a", "best.c_b"))
+    first = durable(_similar(pairs, sets_of(pairs), least).unionByName(equal))
 
     moved = components(first)
     now = shared.join(moved, F.col("c") == F.col("node"), "left").select("token", "id", "place", F.coalesce("component", "c").alias("c"))
@@ -375,8 +386,8 @@ def set_links(docs: DataFrame, prints: DataFrame, labelled: DataFrame, k: int, l
     meet = each.withColumnRenamed("c", "c_a").join(each.withColumnRenamed("c", "c_b"), "token").where("c_a < c_b")
     whole = F.struct("id", "place", "c")
     pairs = meet.join(now.select("token", F.col("c").alias("c_a"), whole.alias("a")), ["token", "c_a"]).join(now.select("token", F.col("c").alias("c_b"), whole.alias("b")), ["token", "c_b"])
-    pairs = pairs.where(_enough("a", "b", least)).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"), "c_a", "c_b").distinct()
-    return first.unionByName(_similar(pairs, sets, least))
+    pairs = durable(_met(pairs, least).drop("times"))
+    return first.unionByName(_similar(pairs, sets_of(pairs), least))
 
 
 def near_groups(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: str = "text", least: float | None = LEAST) -> DataFrame:
