@@ -108,10 +108,10 @@ def classify_error(status: Column, error: Column) -> Column:
     )
 
 
-# Endpoint categories by words in the path, in order.
+# Endpoint categories by parts of the path, in order.
 ENDPOINTS = {
-    "products": "product|catalog|item", "orders": "order|purchase", "customers": "customer|user|account", "inventory": "inventory|stock", "pricing": "price|pricing",
-    "categories": "categor|collection", "content": "post|page|article|blog", "support": "ticket|support", "shipping": "ship|delivery", "payments": "payment|invoice|billing",
+    "products": "product|item|sku", "orders": "order|purchase|transaction", "services": "service|offering", "users": "user|customer|account|member", "appointments": "appointment|booking|reservation|schedule",
+    "inventory": "inventory|stock|warehouse", "categories": "categor|collection|taxonomy", "blogs": "blog|post|article|news", "faqs": "faq|question", "search": "search|query",
 }
 
 
@@ -122,6 +122,36 @@ def endpoint_category(path: Column) -> Column:
     return out.otherwise("custom")
 
 
+def openapi_get_endpoints(doc: Column, most: int = 25) -> Column:
+    """array<struct<category, path>>: the first paths with a GET operation of an OpenAPI or Swagger document, none if it is neither."""
+    parsed = F.from_json(doc, "struct<openapi:string,swagger:string,paths:map<string,map<string,string>>>")
+    stated = parsed["openapi"].isNotNull() | parsed["swagger"].isNotNull()
+    gets = F.transform(F.filter(F.map_entries(parsed["paths"]), lambda e: F.map_contains_key(e["value"], "get")), lambda e: F.struct(endpoint_category(e["key"]).alias("category"), e["key"].alias("path")))
+    return F.when(stated & parsed["paths"].isNotNull(), F.slice(gets, 1, most)).otherwise(F.array().cast("array<struct<category:string,path:string>>"))
+
+
+def connector_report(connectors: DataFrame, endpoints: DataFrame, checks: DataFrame) -> DataFrame:
+    """connector_id, health_score, security_score (40, 20, 15, 15 and 10 points), compatibility, last latency and recommendations (codes).
+
+    connectors: connector_id, base_url, auth_method, status, cert_valid (null: not checked), cert_days; endpoints: connector_id, path,
+    validated; checks: connector_id, ts, event_id, status, latency_ms, availability.
+    """
+    said = endpoints.groupBy("connector_id").agg(F.count(F.lit(1)).alias("found"), F.count_if("validated").alias("valid"))
+    last = checks.groupBy("connector_id").agg(F.max_by("latency_ms", F.struct("ts", "event_id")).alias("latency_ms"))
+    rows = connectors.join(said, "connector_id", "left").join(last, "connector_id", "left").join(health_score(checks).withColumnRenamed("score", "health_score"), "connector_id", "left")
+    none = lambda c: F.coalesce(F.col(c), F.lit(0))
+    rows = rows.withColumn("found", none("found")).withColumn("valid", none("valid")).withColumn("checked", F.col("health_score").isNotNull()).withColumn("health_score", none("health_score"))
+    https, expiring = F.col("base_url").startswith("https://"), F.coalesce(F.col("cert_days") <= 30, F.lit(False))
+    points = F.when(https, 40).otherwise(0) + F.when(F.col("auth_method") != "NONE", 20).otherwise(0) + F.when(F.col("valid") > 0, 15).otherwise(0) + F.when(F.col("status") == "CONNECTED", 15).otherwise(0) + F.when(F.coalesce("cert_valid", F.lit(False)) & ~expiring, 10).otherwise(0)
+    rows = rows.withColumn("security_score", F.least(F.lit(100), points))
+    advice = F.array_compact(F.array(
+        F.when(~https, "plain_http"), F.when((F.col("auth_method") == "NONE") & (F.col("found") > 0), "no_auth"), F.when(F.col("found") == 0, "no_endpoints").when(F.col("valid") == 0, "none_validated").when(F.col("valid") < F.col("found"), "some_failed"),
+        F.when((F.col("health_score") < 50) & F.col("checked"), "degraded"), F.when(~F.col("cert_valid"), "cert_untrusted").when(F.col("cert_valid") & expiring, "cert_expiring"), F.when(F.col("security_score") < 70, "security_below_70"),
+    ))
+    fits = F.when(F.col("valid") == 0, "incompatible").when((F.col("valid") < F.col("found")) | (F.col("health_score") < 70), "partial").otherwise("compatible")
+    return rows.select("connector_id", "health_score", "security_score", fits.alias("compatibility"), "latency_ms", F.when(F.size(advice) > 0, F.array_join(advice, ",")).otherwise("no_action").alias("recommendations"))
+
+
 def response_check(status: Column, body: Column, ms: Column) -> Column:
     """Problems of a logged response: auth_rejected, not_ok, not_json, not_object, slow."""
     parsed = F.try_parse_json(body)

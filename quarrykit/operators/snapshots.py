@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -124,6 +124,21 @@ def set_differences(prev: DataFrame, cur: DataFrame, column: str) -> DataFrame:
     return both.select(F.col(column).alias("value"), F.when(F.col("p").isNull(), "added").when(F.col("c").isNull(), "removed").otherwise("common").alias("change"))
 
 
+def technology_changes(old: DataFrame, new: DataFrame) -> DataFrame:
+    """page_id, added, removed: names of technologies that only one of two detections has (pages without a change are left out)."""
+    names = lambda df, as_: df.groupBy("page_id").agg(F.collect_set("name").alias(as_))
+    both = names(old, "old").join(names(new, "new"), "page_id", "full_outer")
+    none = lambda c: F.coalesce(c, F.array().cast("array<string>"))
+    added, removed = (F.array_sort(F.array_except(none(F.col(x)), none(F.col(y)))) for x, y in (("new", "old"), ("old", "new")))
+    return both.select("page_id", F.array_join(added, ",").alias("added"), F.array_join(removed, ",").alias("removed")).where("added <> '' OR removed <> ''")
+
+
+def robots_changed(old: Column, new: Column) -> Column:
+    """Whether the rules differ but for the space around them and the kind of line ends."""
+    plain = lambda c: F.replace(T.trim_spaces(F.coalesce(c, F.lit(""))), F.lit("\r\n"), F.lit("\n"))
+    return plain(old) != plain(new)
+
+
 def evaluate_access(requests: DataFrame, grants: DataFrame) -> DataFrame:
     """request_id, allowed, reason: an ACTIVE grant of the same scope and connector (null equals null)."""
     g = grants.where("status = 'ACTIVE'").select(F.col("scope").alias("gs"), F.col("connector").alias("gc")).distinct()

@@ -29,16 +29,25 @@ QUERIES["w11_outage_states"] = lambda s, d: H.outage_states(derive(s, d, "health
 QUERIES["r3_rate_limit_batch"] = lambda s, d: H.rate_limit(table(s, d, "events"), 2, 0.00005)
 
 
-def connector_report(health: DataFrame) -> DataFrame:
-    """connector_id, checks, availability, last latency and a recommendation."""
-    rows = health.groupBy("connector_id").agg(F.count(F.lit(1)).alias("checks"), F.round(F.avg("availability"), 6).alias("availability"), F.max_by("latency_ms", F.struct("ts", "event_id")).alias("last_latency"))
-    advice = F.when(F.col("availability") < 0.8, "investigate failures").when(F.col("last_latency") > 5000, "reduce latency").otherwise("healthy")
-    return rows.withColumn("advice", advice)
-
-
-QUERIES["a22_connector_report"] = lambda s, d: connector_report(derive(s, d, "health"))
-ORACLE["a22_connector_report"] = f"""SELECT *, CASE WHEN availability < 0.8 THEN 'investigate failures' WHEN last_latency > 5000 THEN 'reduce latency' ELSE 'healthy' END AS advice FROM (
-  SELECT connector_id, count(*) AS checks, round(avg(availability), 6) AS availability, last(latency_ms ORDER BY ts, event_id) AS last_latency FROM {HEALTH} GROUP BY 1)"""
+def _connectors(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    checks, k = derive(s, d, "health"), F.col("connector_id")
+    status = H.connector_status(checks)
+    valid = F.when(k % 3 != 0, k % 5 != 1)
+    rows = status.select(k, F.concat(F.when(k % 3 != 0, "https://api").otherwise("http://api"), k, F.lit(".example")).alias("base_url"), F.when(k % 4 == 0, "NONE").otherwise("API_KEY").alias("auth_method"), "status", valid.alias("cert_valid"), F.when(k % 3 != 0, k * 7).alias("cert_days"))
+    found = table(s, d, "events").where("user_id % 20 <> 19").select((F.col("user_id") % 20).alias("connector_id"), F.concat(F.lit("/api/"), "event_type").alias("path")).distinct()
+    return rows, found.select("connector_id", "path", ((k + F.length("path")) % 3 != 0).alias("validated")), checks
+
+
+QUERIES["a22_connector_report"] = lambda s, d: H.connector_report(*_connectors(s, d))
+ORACLE["a22_connector_report"] = f"""
+WITH st AS ({ORACLE['w3_connector_status']}), hs AS ({_health}), la AS (SELECT connector_id, last(latency_ms ORDER BY ts, event_id) AS latency_ms FROM {HEALTH} GROUP BY 1),
+e AS (SELECT connector_id, count(*) AS found, count_if((connector_id + length(path)) % 3 <> 0) AS valid FROM (SELECT DISTINCT user_id % 20 AS connector_id, '/api/' || event_type AS path FROM events WHERE user_id % 20 <> 19) GROUP BY 1),
+r AS (SELECT connector_id, connector_id % 3 <> 0 AS https, connector_id % 4 = 0 AS bare, status, CASE WHEN connector_id % 3 <> 0 THEN connector_id % 5 <> 1 END AS cert, connector_id * 7 <= 30 AS soon, coalesce(found, 0) AS found, coalesce(valid, 0) AS valid, score AS health_score, latency_ms
+  FROM st JOIN hs USING (connector_id) JOIN la USING (connector_id) LEFT JOIN e USING (connector_id)),
+p AS (SELECT *, CASE WHEN https THEN 40 ELSE 0 END + CASE WHEN bare THEN 0 ELSE 20 END + CASE WHEN valid > 0 THEN 15 ELSE 0 END + CASE WHEN status = 'CONNECTED' THEN 15 ELSE 0 END + CASE WHEN cert AND NOT soon THEN 10 ELSE 0 END AS security_score FROM r)
+SELECT connector_id, health_score, security_score, CASE WHEN valid = 0 THEN 'incompatible' WHEN valid < found OR health_score < 70 THEN 'partial' ELSE 'compatible' END AS compatibility, latency_ms,
+  coalesce(nullif(concat_ws(',', CASE WHEN NOT https THEN 'plain_http' END, CASE WHEN bare AND found > 0 THEN 'no_auth' END, CASE WHEN found = 0 THEN 'no_endpoints' WHEN valid = 0 THEN 'none_validated' WHEN valid < found THEN 'some_failed' END, CASE WHEN health_score < 50 THEN 'degraded' END,
+    CASE WHEN NOT cert THEN 'cert_untrusted' WHEN cert AND soon THEN 'cert_expiring' END, CASE WHEN security_score < 70 THEN 'security_below_70' END), ''), 'no_action') AS recommendations FROM p"""
 QUERIES["l6_recency"] = lambda s, d: table(s, d, "events").select("event_id", F.round(H.recency(F.when(F.col("event_id") % 11 != 0, (F.lit("2024-02-01").cast("timestamp").cast("double") - F.col("ts").cast("timestamp").cast("double")) / 86400 * 20), F.col("event_type") == "view"), 6).alias("recency"))
 ORACLE["l6_recency"] = "SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 0.75 ELSE round(greatest(0.3, pow(0.5, greatest(0, (epoch(TIMESTAMP '2024-02-01') - epoch_us(ts) / 1e6) / 86400 * 20) / CASE WHEN event_type = 'view' THEN 720 ELSE 180 END)), 6) END AS recency FROM events"
 _st = lambda: F.element_at(F.array(*map(F.lit, (401, 403, 404, 429, 503, 200, 200, 200, 200))), (F.col("event_id") % 9 + 1).cast("int"))
@@ -46,8 +55,22 @@ _er = lambda: F.element_at(F.array(*map(F.lit, ("Request timed out", "getaddrinf
 _stq, _erq = "[401, 403, 404, 429, 503, 200, 200, 200, 200][event_id % 9 + 1]", "['Request timed out', 'getaddrinfo ENOTFOUND', 'bad certificate', 'weird'][event_id % 4 + 1]"
 QUERIES["l20_classify_error"] = lambda s, d: table(s, d, "events").select("event_id", H.classify_error(_st(), _er()).alias("error_class"))
 ORACLE["l20_classify_error"] = f"SELECT event_id, CASE {_stq} WHEN 401 THEN 'UNAUTHORIZED' WHEN 403 THEN 'FORBIDDEN' WHEN 404 THEN 'NOT_FOUND' WHEN 429 THEN 'RATE_LIMITED' WHEN 503 THEN 'SERVER_ERROR' ELSE ['TIMEOUT', 'DNS_FAILURE', 'TLS_FAILURE', 'UNKNOWN'][event_id % 4 + 1] END AS error_class FROM events"
-QUERIES["l21_endpoint_category"] = lambda s, d: table(s, d, "events").select("event_id", H.endpoint_category(F.concat(F.lit("/api/"), F.element_at(F.array(*[F.lit(x) for x in ("Products", "orders/1", "users", "stock", "pricing", "blog-posts", "x", "tickets")]), (F.col("event_id") % 8 + 1).cast("int")))).alias("category"))
-ORACLE["l21_endpoint_category"] = "SELECT event_id, ['products', 'orders', 'customers', 'inventory', 'pricing', 'content', 'custom', 'support'][event_id % 8 + 1] AS category FROM events"
+_PATHS = [("Products", "products"), ("orders/1", "orders"), ("offerings", "services"), ("members", "users"), ("reservations", "appointments"), ("warehouse", "inventory"), ("taxonomy", "categories"), ("news", "blogs"), ("questions", "faqs"), ("Search", "search"), ("x", "custom"), ("tickets", "custom")]
+QUERIES["l21_endpoint_category"] = lambda s, d: table(s, d, "events").select("event_id", H.endpoint_category(F.concat(F.lit("/api/"), F.element_at(F.array(*[F.lit(x) for x, _ in _PATHS]), (F.col("event_id") % 12 + 1).cast("int")))).alias("category"))
+ORACLE["l21_endpoint_category"] = f"SELECT event_id, [{', '.join(repr(c) for _, c in _PATHS)}][event_id % 12 + 1] AS category FROM events"
+
+
+def _openapi(s: SparkSession, d: str) -> DataFrame:
+    k = F.col("event_id")
+    many = F.concat(F.lit('{"openapi":"3.0","paths":{'), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(30)), lambda i: F.concat(F.lit('"/item'), i, F.lit('":{"get":{}}'))), ","), F.lit("}}"))
+    some = F.concat(F.lit('{"swagger":"2.0","paths":{"/users":{"get":{"summary":"a"},"post":{}},"/orders/'), k, F.lit('":{"get":{}},"/faq":{"delete":{}}}}'))
+    doc = F.when(k % 5 == 0, many).when(k % 5 == 1, some).when(k % 5 == 2, F.lit('{"paths":{"/a":{"get":{}}}}')).when(k % 5 == 3, F.lit("not json")).otherwise(F.lit('{"openapi":"3.1"}'))
+    return table(s, d, "events").select("event_id", F.explode(H.openapi_get_endpoints(doc)).alias("e")).select("event_id", "e.category", "e.path")
+
+
+QUERIES["l21_openapi_get_endpoints"] = _openapi
+ORACLE["l21_openapi_get_endpoints"] = """SELECT event_id, 'products' AS category, '/item' || i AS path FROM events, range(1, 26) r(i) WHERE event_id % 5 = 0
+UNION ALL SELECT event_id, unnest(['users', 'orders']), unnest(['/users', '/orders/' || event_id]) FROM events WHERE event_id % 5 = 1"""
 QUERIES["l22_response_check"] = lambda s, d: table(s, d, "events").select("event_id", F.array_join(H.response_check(_st(), F.when(F.col("event_id") % 5 == 0, "oops").when(F.col("event_id") % 5 == 1, "3").otherwise(F.col("props")), F.col("event_id") % 4000), ",").alias("problems"))
 ORACLE["l22_response_check"] = f"SELECT event_id, concat_ws(',', CASE WHEN {_stq} IN (401, 403) THEN 'auth_rejected' END, CASE WHEN {_stq} <> 200 THEN 'not_ok' END, CASE WHEN event_id % 5 = 0 THEN 'not_json' END, CASE WHEN event_id % 5 = 1 THEN 'not_object' END, CASE WHEN event_id % 4000 > 3000 THEN 'slow' END) AS problems FROM events"
 QUERIES["l23_cert_expiring"] = lambda s, d: table(s, d, "orders").select("o_orderkey", F.coalesce(F.datediff(F.col("o_orderdate"), F.lit("1995-01-01").cast("date")) <= 30, F.lit(False)).alias("expiring"))

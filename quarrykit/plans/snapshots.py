@@ -89,6 +89,8 @@ QUERIES["a12_entity_change_summary"] = lambda s, d: S.ranked_changes(S.entity_ch
 ORACLE["a12_entity_change_summary"] = f"SELECT p_partkey, change, significant FROM {_ent} ORDER BY significant DESC, len(list_filter(string_split(fields, ','), lambda x: x <> '')) DESC, p_partkey LIMIT 50"
 QUERIES["a13_sitemap_changes"] = lambda s, d: S.set_differences(table(s, d, "pages").where("page_id % 7 <> 0"), table(s, d, "pages").where("page_id % 5 <> 0"), "url").where("change <> 'common'")
 ORACLE["a13_sitemap_changes"] = "SELECT DISTINCT url AS value, CASE WHEN page_id % 7 = 0 THEN 'added' ELSE 'removed' END AS change FROM pages WHERE (page_id % 7 = 0) <> (page_id % 5 = 0)"
+QUERIES["a13_robots_changes"] = lambda s, d: table(s, d, "pages").select("page_id", S.robots_changed(F.when(F.col("page_id") % 5 != 0, F.concat(F.lit("User-agent: *\r\nDisallow: /"), F.col("page_id") % 4)), F.when(F.col("page_id") % 5 != 1, F.concat(F.lit("\n User-agent: *\nDisallow: /"), F.col("page_id") % 6, F.lit("\n")))).alias("changed"))
+ORACLE["a13_robots_changes"] = "SELECT page_id, CASE page_id % 5 WHEN 0 THEN true WHEN 1 THEN true ELSE page_id % 4 <> page_id % 6 END AS changed FROM pages"
 QUERIES["u2_set_differences"] = lambda s, d: S.set_differences(derive(s, d, "doc_prev"), derive(s, d, "doc_cur"), "url").groupBy("change").agg(F.count(F.lit(1)).alias("n"))
 ORACLE["u2_set_differences"] = "SELECT CASE WHEN doc_id % 11 = 0 THEN 'removed' WHEN doc_id % 10 = 0 THEN 'added' ELSE 'common' END AS change, count(*) AS n FROM documents WHERE doc_id % 10 <> 0 OR doc_id % 11 <> 0 GROUP BY 1"
 
@@ -177,8 +179,8 @@ ORACLE["a10_quality_issues"] = f"""SELECT chunk_id::VARCHAR AS item, issue FROM
   CASE WHEN confidence < 0.4 THEN 'low_confidence' END, CASE WHEN category IS NULL THEN 'missing_category' END]) AS issue FROM {_mk}) WHERE issue IS NOT NULL
 UNION ALL SELECT chunk_id::VARCHAR, 'broken_reference:' || issue FROM {_j4} UNION ALL SELECT edge_id::VARCHAR, 'broken_relationship:' || "end" FROM {_j5}"""
 
-QUERIES["j6_company_contacts"] = lambda s, d: table(s, d, "documents").where("doc_id % 5 = 0").select(F.col("doc_id").alias("chunk_id"), (F.col("doc_id") % 97).alias("page")).join(table(s, d, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("contact_id"), (F.col("c_custkey") % 97).alias("page")), "page").select("chunk_id", "contact_id", F.lit(0.8).alias("confidence"))
-ORACLE["j6_company_contacts"] = "SELECT doc_id AS chunk_id, c_custkey AS contact_id, 0.8::DOUBLE AS confidence FROM documents JOIN customer ON doc_id % 97 = c_custkey % 97 WHERE doc_id % 5 = 0 AND c_custkey % 3 = 0"
+QUERIES["j6_company_contacts"] = lambda s, d: table(s, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("page")).join(table(s, d, "customer").select(F.col("c_custkey").alias("contact_id"), (F.col("c_custkey") / 2).cast("long").alias("page")), "page").select("chunk_id", "contact_id", F.lit(0.8).alias("confidence"))
+ORACLE["j6_company_contacts"] = "SELECT doc_id AS chunk_id, c_custkey AS contact_id, 0.8::DOUBLE AS confidence FROM documents JOIN customer ON doc_id = c_custkey // 2"
 
 # Scopes by category; other categories need none.
 SCOPES = [("src1", "PRODUCTS"), ("src2", "POLICIES"), ("src3", "CONTACTS"), ("src4", "PRICING"), ("src5", "PRODUCTS")]

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import signals as G
+from ..operators import snapshots as S
 from ..session import table
 
 QUERIES, ORACLE = {}, {}
@@ -93,11 +94,11 @@ _mean_sql = "round(sum(round(confidence * 10000)::BIGINT) / count(confidence)) /
 _EVIDENCE = "case_id int, more string, headers map<string,string>, cookies array<string>, nameservers array<string>, probes array<string>, sitemaps array<string>, robots boolean, tls boolean"
 
 
-def sites(s: SparkSession, d: str) -> DataFrame:
-    """A page each with the evidence of its case."""
+def sites(s: SparkSession, d: str, shift: int = 0) -> DataFrame:
+    """A page each with the evidence of its case (or of one further on)."""
     rows = [(i, c["html"], c.get("headers", {}), c.get("cookies", []), c.get("nameservers", []), c.get("probes", []), c.get("sitemaps", []), c.get("robots", False), i % 3 != 0) for i, c in enumerate(CASES)]
     cases = F.broadcast(s.createDataFrame(rows, _EVIDENCE))  # a literal list
-    pages = table(s, d, "pages").select("page_id", "url", "html", (F.col("page_id") % len(CASES)).cast("int").alias("case_id"))
+    pages = table(s, d, "pages").select("page_id", "url", "html", ((F.col("page_id") + shift) % len(CASES)).cast("int").alias("case_id"))
     return pages.join(cases, "case_id").withColumn("html", F.concat("html", "more")).drop("more")
 
 
@@ -124,6 +125,11 @@ ORACLE["a25_noisy_or"] = f"SELECT * FROM {_FOUND}"
 QUERIES["a26_detect_tech"] = lambda s, d: G.detect(sites(s, d)).groupBy("category", "name").agg(F.count(F.lit(1)).alias("sites"), _mean(F.col("confidence")).alias("mean_confidence"))
 ORACLE["a26_detect_tech"] = f"SELECT category, name, count(*) AS sites, {_mean_sql} AS mean_confidence FROM {_FOUND} GROUP BY ALL"
 
+QUERIES["a13_technology_changes"] = lambda s, d: S.technology_changes(G.detect(sites(s, d)), G.detect(sites(s, d, 1)))
+_names = lambda shift: f"(SELECT DISTINCT page_id, name FROM pages JOIN {_expected()} ON (page_id + {shift}) % {len(CASES)} = case_id)"
+_only = lambda x, y, as_: f"(SELECT page_id, string_agg(name, ',' ORDER BY name) AS {as_} FROM (SELECT * FROM {_names(x)} EXCEPT SELECT * FROM {_names(y)}) GROUP BY 1)"
+ORACLE["a13_technology_changes"] = f"SELECT page_id, coalesce(added, '') AS added, coalesce(removed, '') AS removed FROM {_only(1, 0, 'added')} FULL OUTER JOIN {_only(0, 1, 'removed')} USING (page_id)"
+
 # Signal extraction over a page with every kind of tag.
 _SIGNALS = (
     '<script src="/a.js"></script><script>inline()</script><meta name="Author" content="A"><meta property="og:type" content="t"><link rel="preload" href="/f.woff2" as="font">'
