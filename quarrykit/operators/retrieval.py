@@ -125,12 +125,8 @@ def similar_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
     return rows.groupBy("i", "j").applyInArrow(near, "a long, b long, score double")
 
 
-def _centroids(vectors: DataFrame, lists: int, sample: int, rounds: int = 10) -> np.ndarray:
-    """Spherical k-means on at most ``sample`` vectors drawn by a hash of the id."""
-    part = min(1.0, sample / max(1, vectors.count()))
-    rows = vectors.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int(part * (1 << 30))).select("vec_id", "embedding").limit(2 * sample).collect()
-    rows.sort(key=lambda r: r["vec_id"])
-    x = np.array([r["embedding"] for r in rows], np.float64)
+def _centroids(x: np.ndarray, lists: int, rounds: int = 10) -> np.ndarray:
+    """Spherical k-means over a sample."""
     c = x[np.random.default_rng(3).choice(len(x), min(lists, len(x)), replace=False)] if len(x) else np.zeros((1, 1))
     for _ in range(rounds if len(x) else 0):
         near = (x @ c.T).argmax(1)
@@ -139,16 +135,35 @@ def _centroids(vectors: DataFrame, lists: int, sample: int, rounds: int = 10) ->
     return c
 
 
-def ann(queries: DataFrame, vectors: DataFrame, k: int, lists: int = 32, probes: int = 20, sample: int = 5000) -> DataFrame:
+def _probes(x: np.ndarray, c: np.ndarray, k: int, recall: float, queries: int = 300) -> int:
+    """Lists to look into so that the share ``recall`` of the sample's own k nearest neighbours lies in them."""
+    if len(x) <= k:
+        return len(c)
+    q = x[np.random.default_rng(5).choice(len(x), min(queries, len(x)), replace=False)]
+    score = q @ x.T
+    found = np.argsort(-score, axis=1)[:, 1 : k + 1]  # the first is the query itself
+    place = np.argsort(np.argsort(-(q @ c.T), axis=1), axis=1)
+    ranks = np.take_along_axis(place, (x @ c.T).argmax(1)[found], axis=1)
+    return int(np.quantile(ranks, recall, method="higher")) + 1
+
+
+def ann(queries: DataFrame, vectors: DataFrame, k: int, lists: int | None = None, probes: int | None = None, sample: int = 5000, recall: float = 0.94) -> DataFrame:
     """Approximate ``knn`` over an inverted-file index.
 
-    Centroids come from a bounded sample (``sample`` vectors); every vector is indexed under its nearest centroid and every
-    query looks into its ``probes`` nearest lists, where scores are exact. Lists split into blocks like those of ``knn``.
-    On vectors without any cluster structure, recall at 10 is above 0.9 with the default; clustered ones need few probes.
+    Centroids come from a sample of at most ``sample`` vectors, drawn by a hash of the id; there are about as many as the root of the
+    number of vectors (32 to 1024), so lists stay short as the table grows. Every vector is indexed under its nearest centroid and every
+    query looks into its ``probes`` nearest lists, where scores are exact; their number is set so that the sample's own neighbours are
+    found at ``recall`` (few lists on clustered vectors, most of them on vectors without any structure). Lists split into blocks like those of ``knn``.
     """
     attach(queries.sparkSession)
-    c = _centroids(vectors, lists, sample)
-    n = max(1, -(-_sized(vectors) // len(c)))
+    total = vectors.count()
+    part = min(1.0, sample / max(1, total))
+    rows = vectors.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int(part * (1 << 30))).select("vec_id", "embedding").limit(2 * sample).collect()
+    rows.sort(key=lambda r: r["vec_id"])
+    drawn = np.array([r["embedding"] for r in rows], np.float64)
+    c = _centroids(drawn, lists or max(32, min(1024, int(total**0.5))))
+    probes = probes or _probes(drawn, c, k, recall)
+    n = max(1, -(-total // (BLOCK * len(c))))
 
     def assign(many: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -111,6 +111,6 @@ ORACLE["l15_grounding_audit"] = rf"""SELECT doc_id, coalesce(array_to_string(lis
 QUERIES["l16_refusal_message"] = lambda s, d: C.with_intent(derive(s, d, "chat")).where("role = 'user'").select("conv_id", "turn", C.refusal_message(F.col("intent")).alias("message"))
 ORACLE["l16_refusal_message"] = f"SELECT conv_id, turn, '{C.REFUSAL.replace(chr(39), chr(39) * 2)}' || CASE intent " + " ".join(f"WHEN '{k}' THEN '{v.replace(chr(39), chr(39) * 2)}'" for k, v in C.SUFFIXES.items()) + f" ELSE '{C.SUFFIX.replace(chr(39), chr(39) * 2)}' END AS message FROM {_INTENT} WHERE role = 'user'"
 QUERIES["l19_chat_context"] = lambda s, d: C.recent_turns(_topical(s, d), 12).select("conv_id", "turn", F.struct(F.size("recent").alias("turns"), "recent_topics", "topic_switch", F.size(C.entities(F.col("text"))).alias("entities")).alias("context")).select("conv_id", "turn", F.to_json("context").alias("context"))
-QUERIES["p20_build_prompts"] = lambda s, d: C.build_prompts(table(s, d, "conversations"), table(s, d, "conversations").where("role = 'user'").select("conv_id", "turn", F.array(F.left("text", F.lit(40)), F.right("text", F.lit(40))).alias("sources"))).select("conv_id", "turn", F.size("prompt").alias("parts"), F.to_json("prompt").alias("prompt"))
+QUERIES["p20_build_prompts"] = lambda s, d: C.build_prompts(table(s, d, "conversations"), table(s, d, "conversations").where("role = 'user'").select("conv_id", "turn", F.array("text", F.upper("text")).alias("sources"))).select("conv_id", "turn", F.size("prompt").alias("parts"), F.to_json("prompt").alias("prompt"))
 QUERIES["s12_export_transcripts"] = lambda s, d: table(s, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.concat(F.lit("["), "turn", F.lit("] "), F.upper("role"), F.lit(": "), "text").alias("line")))).alias("ls")).select("conv_id", F.array_join(F.transform("ls", lambda x: x["line"]), "\n\n").alias("transcript"))
 ORACLE["s12_export_transcripts"] = "SELECT conv_id, string_agg('[' || turn || '] ' || upper(role) || ': ' || text, chr(10) || chr(10) ORDER BY turn) AS transcript FROM conversations GROUP BY 1"

@@ -29,7 +29,7 @@ def link_entities(sources: DataFrame, entities: DataFrame, k: int = 3, least: fl
     """source_id, entity_id, score, rank. sources: id, text, embedding; entities: id, name, embedding.
 
     Mentions come from a join on words (the name's first word, then the whole name with boundaries), similar pairs
-    from blocked products, so no pair of unrelated rows is ever formed.
+    from blocked products of which each source keeps its k best.
     """
     word = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{N}]+)"), 1)
     first = entities.where(F.length(F.trim("name")) >= 3).select(F.col("id").alias("entity_id"), F.lower(F.trim("name")).alias("name"), word(F.col("name"))[0].alias("w"))
@@ -37,8 +37,12 @@ def link_entities(sources: DataFrame, entities: DataFrame, k: int = 3, least: fl
     pairs = words.join(first, "w").join(sources.select(F.col("id").alias("source_id"), F.lower("text").alias("body")), "source_id")
     padded = F.concat(F.lit(" "), F.regexp_replace("body", r"[^\p{L}\p{N}]+", " "), F.lit(" "))
     said = pairs.where(padded.contains(F.concat(F.lit(" "), F.regexp_replace("name", r"[^\p{L}\p{N}]+", " "), F.lit(" ")))).select("source_id", "entity_id", F.lit(True).alias("mentioned"))
-    near = R.knn(sources.where("embedding IS NOT NULL").select(F.col("id").alias("query_id"), "embedding"), entities.where("embedding IS NOT NULL").select(F.col("id").alias("vec_id"), "embedding"), 1 << 30, least)
-    both = said.join(near.select(F.col("query_id").alias("source_id"), F.col("vec_id").alias("entity_id"), "score"), ["source_id", "entity_id"], "full_outer")
+    vectors = lambda df, key: df.where("embedding IS NOT NULL").select(F.col("id").alias(key), "embedding")
+    near = R.knn(vectors(sources, "query_id"), vectors(entities, "vec_id"), k, least).select(F.col("query_id").alias("source_id"), F.col("vec_id").alias("entity_id"), "score")
+    # A mention raises a score and never lowers it, so whatever ranks among the k best is mentioned or among the k nearest.
+    named = said.join(vectors(sources, "source_id").withColumnRenamed("embedding", "x"), "source_id", "left").join(vectors(entities, "entity_id").withColumnRenamed("embedding", "y"), "entity_id", "left")
+    named = named.select("source_id", "entity_id", "mentioned", F.round(R.dot(F.col("x"), F.col("y")), 6).alias("own"))
+    both = named.join(near, ["source_id", "entity_id"], "full_outer").withColumn("score", F.coalesce("own", "score"))
     score = F.least(F.lit(1.0), F.when(F.col("mentioned"), F.greatest(F.lit(0.85), F.coalesce("score", F.lit(0.0)))).otherwise(F.col("score")))
     return R.top(both.select("source_id", "entity_id", F.round(score, 6).alias("score")), "source_id", [F.desc("score"), F.asc("entity_id")], k)
 
@@ -46,13 +50,13 @@ def link_entities(sources: DataFrame, entities: DataFrame, k: int = 3, least: fl
 def _link_inputs(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     v = table(s, d, "embeddings")
     sources = v.where("vec_id % 2 = 0").select(F.col("vec_id").alias("id"), F.concat(F.lit("We use item"), F.col("vec_id") % 31, F.lit(" and more")).alias("text"), "embedding")
-    return sources, v.where("vec_id % 2 = 1 AND vec_id < 200").select(F.col("vec_id").alias("id"), F.concat(F.lit("Item"), "vec_id").alias("name"), "embedding")
+    return sources, v.where("vec_id % 2 = 1").select(F.col("vec_id").alias("id"), F.concat(F.lit("Item"), "vec_id").alias("name"), "embedding")
 
 
 QUERIES["j7_link_entities"] = lambda s, d: link_entities(*_link_inputs(s, d), least=0.3)
 _dot = "round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6)"
 _links = f"""(SELECT a.vec_id AS source_id, b.vec_id AS entity_id, CASE WHEN a.vec_id % 31 = b.vec_id THEN greatest(0.85, CASE WHEN {_dot} >= 0.3 THEN {_dot} ELSE 0 END) ELSE {_dot} END AS score FROM embeddings a, embeddings b
-  WHERE a.vec_id % 2 = 0 AND b.vec_id % 2 = 1 AND b.vec_id < 200 AND (a.vec_id % 31 = b.vec_id OR {_dot} >= 0.3))"""
+  WHERE a.vec_id % 2 = 0 AND b.vec_id % 2 = 1 AND (a.vec_id % 31 = b.vec_id OR {_dot} >= 0.3))"""
 ORACLE["j7_link_entities"] = f"SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY score DESC, entity_id) AS rank FROM {_links} QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY score DESC, entity_id) <= 3"
 
 
@@ -186,8 +190,8 @@ def phrases(c: Column, pattern: str, most: int = 5) -> Column:
     return F.when(F.size(found) > 0, found)
 
 
-_desc = lambda: F.concat(F.lit("It helps you save time "), F.col("doc_id"), F.lit(". It requires the base kit. "), F.left("text", F.lit(60)))
-_descq = "'It helps you save time ' || doc_id || '. It requires the base kit. ' || left(text, 60)"
+_desc = lambda: F.concat(F.lit("It helps you save time "), F.col("doc_id"), F.lit(". It requires the base kit. "), "text", F.lit(" You can enjoy it. Everything else depends on you."))
+_descq = "'It helps you save time ' || doc_id || '. It requires the base kit. ' || text || ' You can enjoy it. Everything else depends on you.'"
 QUERIES["l10_benefits"] = lambda s, d: table(s, d, "documents").select("doc_id", F.array_join(phrases(_desc(), BENEFIT), "|").alias("benefits"), F.array_join(phrases(_desc(), DEPENDENCY), "|").alias("dependencies"))
 _ph = lambda p: f"array_to_string(list_filter(list_transform(string_split(regexp_replace({_descq}, '([.!?])\\s+', '\\1' || chr(2), 'g'), chr(2)), lambda x: trim(x)), lambda x: length(x) >= 15 AND regexp_matches(x, '{p}'))[1:5], '|')"
 ORACLE["l10_benefits"] = f"SELECT doc_id, {_ph(BENEFIT)} AS benefits, {_ph(DEPENDENCY)} AS dependencies FROM documents"

@@ -162,9 +162,9 @@ def merge_plan(faqs: DataFrame) -> DataFrame:
     return faqs.join(best, "cluster").where("size > 1").select("cluster", "faq_id", F.col("b.keeper").alias("keeper"), (F.col("faq_id") != F.col("b.keeper")).alias("merged"))
 
 
-QUERIES["t12_faq_merge_plan"] = lambda s, d: merge_plan(table(s, d, "documents").select(T.content_hash(F.left("text", F.lit(8))).alias("cluster"), F.col("doc_id").alias("faq_id"), F.when(F.col("doc_id") % 3 == 0, "structured").otherwise("heuristic").alias("source_kind"), F.length("text").alias("answer_length")))
+QUERIES["t12_faq_merge_plan"] = lambda s, d: merge_plan(table(s, d, "documents").select(T.content_hash(F.col("text")).alias("cluster"), F.col("doc_id").alias("faq_id"), F.when(F.col("doc_id") % 3 == 0, "structured").otherwise("heuristic").alias("source_kind"), F.length("text").alias("answer_length")))
 ORACLE["t12_faq_merge_plan"] = f"""
-WITH f AS (SELECT sha256({trim(f"regexp_replace(lower(left(text, 8)), '{SP}+', ' ', 'g')")}) AS cluster, doc_id AS faq_id, doc_id % 3 = 0 AS st, length(text) AS n FROM documents)
+WITH f AS (SELECT sha256({trim(f"regexp_replace(lower(text), '{SP}+', ' ', 'g')")}) AS cluster, doc_id AS faq_id, doc_id % 3 = 0 AS st, length(text) AS n FROM documents)
 SELECT cluster, faq_id, first_value(faq_id) OVER w AS keeper, faq_id <> first_value(faq_id) OVER w AS merged FROM f
 WINDOW w AS (PARTITION BY cluster ORDER BY st DESC, n DESC, faq_id) QUALIFY count(*) OVER (PARTITION BY cluster) > 1"""
 
@@ -196,8 +196,8 @@ e AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a, v b WHERE a.vec_id <> b.vec_
 c AS (SELECT rep AS node, rep AS root FROM r UNION SELECT e.y, c.root FROM c JOIN e ON e.x = c.node),
 m AS (SELECT node, min(root) AS cluster FROM c GROUP BY 1)
 SELECT id, cluster FROM t JOIN r USING (body) JOIN m ON m.node = r.rep"""
-QUERIES["a5_duplicate_faqs"] = lambda s, d: duplicate_clusters(_items_with_vectors(s, d).withColumn("text", F.concat(F.lit("q"), F.col("id") % 7, F.lit("\n"), F.left("text", F.lit(12)))), NEAR)
-ORACLE["a5_duplicate_faqs"] = ORACLE["a3_duplicate_clusters"].replace("lower(text)", "lower('q' || doc_id % 7 || chr(10) || left(text, 12))")
+QUERIES["a5_duplicate_faqs"] = lambda s, d: duplicate_clusters(_items_with_vectors(s, d).withColumn("text", F.concat(F.lit("q"), F.col("id") % 7, F.lit("\n"), "text")), NEAR)
+ORACLE["a5_duplicate_faqs"] = ORACLE["a3_duplicate_clusters"].replace("lower(text)", "lower('q' || doc_id % 7 || chr(10) || text)")
 
 
 def vector_stats(vectors: DataFrame) -> DataFrame:

@@ -311,9 +311,9 @@ SELECT doc_id, CASE WHEN h THEN 'Hinglish' WHEN n = 0 OR length(text) < 10 THEN
 
 on("t1_tokenize", "decorated", lambda: {"tokens": F.array_join(T.tokenize(F.col("text")), " ")},
    {"tokens": rf"array_to_string(list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+'), lambda w: w NOT IN {words_in(T.STOPWORDS)}), ' ')"})
-on("c3_looks_like_code", "decorated", lambda: {"code": T.looks_like_code(F.concat(F.when(F.col("doc_id") % 3 == 0, "def f(x):\n  return x;\n").otherwise(""), F.left(F.col("text"), F.lit(30))))},
+on("c3_looks_like_code", "decorated", lambda: {"code": T.looks_like_code(F.concat(F.when(F.col("doc_id") % 3 == 0, "def f(x):\n  return x;\n").otherwise(""), F.col("text")))},
    {"code": r"""(SELECT len(l) >= 2 AND len(list_filter(l, lambda x: regexp_matches(x, '[{};]\s*$|^\s*(def|class|import|function|const|let|var|return|if|for|while)\b|=>|</?[a-z]+>'))) / greatest(len(l), 1) >= 0.5
-   FROM (SELECT list_filter(string_split(CASE WHEN d.doc_id % 3 = 0 THEN 'def f(x):' || chr(10) || '  return x;' || chr(10) ELSE '' END || left(d.text, 30), chr(10)), lambda x: length(trim(x)) > 0) AS l))"""})
+   FROM (SELECT list_filter(string_split(CASE WHEN d.doc_id % 3 = 0 THEN 'def f(x):' || chr(10) || '  return x;' || chr(10) ELSE '' END || d.text, chr(10)), lambda x: length(trim(x)) > 0) AS l))"""})
 QUERIES["c4_split_sentences"] = lambda s, d: table(s, d, "documents").select("doc_id", F.size(T.split_sentences(F.col("text"))).alias("n_sentences"))
 ORACLE["c4_split_sentences"] = rf"""
 SELECT doc_id, CASE WHEN t = '' THEN 0 ELSE len(string_split(t, chr(2))) END AS n_sentences
