@@ -5,22 +5,24 @@ validates arguments against the tools' schemas and serialises each call with its
 alphabetical order, no white space, nulls left out). ``format_chat`` puts messages and calls of whole conversations in order,
 a row each, so no conversation is ever gathered in one place.
 
-Topological level: 0 without known dependencies, else one more than the highest level it depends on. Calls with one
-dependency form chains, which pointer doubling shortens in a number of rounds that is logarithmic in the longest
-chain; only calls with several dependencies are then settled level by level. What cannot be settled lies on or behind a
-cycle and has no level.
+Topological level: 0 without known dependencies, else one more than the highest level it depends on. Each round settles the calls
+whose dependencies are all settled, and shortens every run of calls with one open dependency by half (a run acts on a level x as
+max(a, x + b), and such functions compose). So the rounds are logarithmic in the calls of a conversation where no result feeds
+several calls that meet again; otherwise they are at most the depth. What cannot be settled lies on or behind a cycle and has no level.
 
 Validation errors, sorted: bad_json, unknown_tool, missing:x, type:x, range:x, enum:x, extra:x. Argument types are those of
 JSON (string, integer, number, boolean).
 
 Defined cases: several calls of one identifier: the one with the smallest (turn, name, arguments) stands and
-``copies`` counts them; several results: the smallest content stands; a result whose call does not exist is an orphan
-row; a call without a result has status no_result; unknown dependencies are ignored; null identifiers match nothing (each such call
-is its own); null texts are left out of the JSON; further columns play no part; empty tables give empty results.
+``copies`` counts them; several results: the smallest content stands and ``result_copies`` counts them; a result whose call does
+not exist is an orphan row; a call without a result has status no_result; unknown dependencies are ignored; null identifiers match
+nothing (each such call is its own, each such result its own orphan row); null texts are left out of the JSON; further columns play no part; empty tables give empty results.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,12 +40,14 @@ SCHEMAS = [
 _RULE = "argument string, type string, required boolean, minimum double, maximum double, allowed array<string>"
 
 
-def _rules(calls: DataFrame, schemas: list[tuple]) -> DataFrame:
-    """tool, rules: one row per tool (a literal list, so small enough to broadcast)."""
-    rows: dict[str, list[tuple]] = {}
-    for tool, *rule in schemas:
-        rows.setdefault(tool, []).append(tuple(rule))
-    return calls.sparkSession.createDataFrame(list(rows.items()), f"tool string, rules array<struct<{_RULE.replace(' ', ':', 1).replace(', ', ',').replace(' ', ':')}>>")
+def _rules(schemas: list[tuple]) -> Column:
+    """map<tool, array<rule>> of a literal list."""
+    rows: dict[str, list[Column]] = {}
+    for tool, *values in schemas:
+        kinds = [part.split(" ") for part in _RULE.split(", ")]
+        fields = [(F.array(*map(F.lit, v)) if isinstance(v, list) else F.lit(v)).cast(kind).alias(name) for v, (name, kind) in zip(values, kinds, strict=True)]
+        rows.setdefault(tool, []).append(F.struct(*fields))
+    return F.create_map(*[x for tool, rules in rows.items() for x in (F.lit(tool), F.array(*rules))])
 
 
 def _faults(given: Column, rules: Column) -> Column:
@@ -73,51 +77,52 @@ def _faults(given: Column, rules: Column) -> Column:
 
 def levels(calls: DataFrame) -> DataFrame:
     """conv_id, call_id, level of the calls that have one; ``calls``: conv_id, call_id, depends_on."""
-    ids = calls.select("conv_id", "call_id").where("call_id IS NOT NULL")
-    edges = calls.select("conv_id", "call_id", F.explode("depends_on").alias("dep")).distinct()
-    edges = durable(edges.join(ids.select("conv_id", F.col("call_id").alias("dep")), ["conv_id", "dep"], "left_semi"))
-    fan = edges.groupBy("conv_id", "call_id").agg(F.count(F.lit(1)).alias("n"), F.min("dep").alias("dep"))
-    single = F.coalesce(F.col("n") == 1, F.lit(False))
-    now = durable(ids.join(fan, ["conv_id", "call_id"], "left").select(
-        "conv_id", "call_id", F.when(single, F.col("dep")).otherwise(F.col("call_id")).alias("anchor"),
-        single.cast("long").alias("steps"), (~single).alias("done"), F.coalesce(F.col("n") > 1, F.lit(False)).alias("branch"),
-    ))
-    for _ in range(max(1, now.count()).bit_length() + 1):
-        if now.where("NOT done").isEmpty():
-            break
-        far = now.select("conv_id", F.col("call_id").alias("anchor"), F.col("anchor").alias("next"), F.col("steps").alias("more"), F.col("done").alias("ends"), F.col("branch").alias("at_branch"))
-        moved = now.where("NOT done").join(far, ["conv_id", "anchor"]).select("conv_id", "call_id", F.col("next").alias("anchor"), (F.col("steps") + F.col("more")).alias("steps"), F.col("ends").alias("done"), F.col("at_branch").alias("branch"))
-        now = durable(now.where("done").unionByName(moved))
-    found = now.where("done AND NOT branch").select("conv_id", "call_id", F.col("steps").cast("int").alias("level"))
-    branches = now.where("done AND branch AND anchor = call_id").select("conv_id", "call_id")
-    ends = now.select("conv_id", F.col("call_id").alias("dep"), "anchor", (F.col("steps") + 1).alias("steps"), (F.col("done") & ~F.col("branch")).alias("known"))
-    pending = durable(edges.join(branches, ["conv_id", "call_id"], "left_semi").join(ends, ["conv_id", "dep"]).drop("dep"))
-    settled = None
-    while not pending.isEmpty():
-        ready = durable(pending.groupBy("conv_id", "call_id").agg(F.bool_and("known").alias("ready"), F.max("steps").alias("level")).where("ready").drop("ready"))
+    key = ["conv_id", "call_id"]
+    ids = calls.select(*key).where("call_id IS NOT NULL")
+    edges = calls.select(*key, F.explode("depends_on").alias("dep")).distinct()
+    edges = edges.join(ids.select("conv_id", F.col("call_id").alias("dep")), ["conv_id", "dep"], "left_semi")
+    deps = edges.groupBy(*key).agg(F.collect_list(F.struct("dep", F.lit(1).alias("more"))).alias("deps"))  # a call's own list
+    none = F.array().cast("array<struct<dep:string,more:int>>")
+    now = durable(ids.join(deps, key, "left").select(*key, F.lit(0).alias("least"), F.coalesce("deps", none).alias("deps")))
+    settled: list[DataFrame] = []
+    while True:
+        ready = now.where(F.size("deps") == 0).select(*key, F.col("least").alias("level"))
         if ready.isEmpty():
             break
-        settled = ready if settled is None else settled.unionByName(ready)
-        by = ready.select("conv_id", F.col("call_id").alias("anchor"), F.col("level").alias("reached"))
-        rest = pending.join(ready, ["conv_id", "call_id"], "left_anti").join(by, ["conv_id", "anchor"], "left")
-        fresh = ~F.col("known") & F.col("reached").isNotNull()
-        pending = durable(rest.select("conv_id", "call_id", "anchor", F.when(fresh, F.col("steps") + F.col("reached")).otherwise(F.col("steps")).alias("steps"), (F.col("known") | fresh).alias("known")))
-    if settled is None:
-        return found
-    behind = now.where("done AND branch").join(settled.select("conv_id", F.col("call_id").alias("anchor"), "level"), ["conv_id", "anchor"])
-    return found.unionByName(behind.select("conv_id", "call_id", (F.col("level") + F.col("steps")).cast("int").alias("level")))
+        settled.append(ready)
+        if len(settled) == 20:
+            settled = [durable(_union(settled))]
+        known = ready.select("conv_id", F.col("call_id").alias("dep"), "level")
+        parts = now.select(*key, "least", F.inline("deps")).join(known, ["conv_id", "dep"], "left")
+        reached = F.greatest("least", F.coalesce(F.col("level") + F.col("more"), F.lit(0)))
+        left = parts.groupBy(*key).agg(F.max(reached).alias("least"), F.collect_list(F.when(F.col("level").isNull(), F.struct("dep", "more"))).alias("deps"))
+        left = durable(left)
+        single = F.size("deps") == 1
+        far = left.where(single).select("conv_id", F.col("call_id").alias("via"), F.col("least").alias("far_least"), F.get("deps", F.lit(0)).alias("far"))
+        with_via = left.withColumn("via", F.when(single, F.get("deps", F.lit(0))["dep"])).join(far, ["conv_id", "via"], "left")
+        more = F.get("deps", F.lit(0))["more"]
+        now = durable(with_via.select(
+            *key, F.when(F.col("far").isNotNull(), F.greatest("least", F.col("far_least") + more)).otherwise(F.col("least")).alias("least"),
+            F.when(F.col("far").isNotNull(), F.array(F.struct(F.col("far.dep").alias("dep"), (F.col("far.more") + more).alias("more")))).otherwise(F.col("deps")).alias("deps"),
+        ))
+    return _union(settled) if settled else now.select(*key, F.col("least").alias("level"))
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
 
 
 def link_calls(calls: DataFrame, results: DataFrame, schemas: list[tuple] = SCHEMAS) -> DataFrame:
-    """One row per call or orphan result: conv_id, call_id, turn, level, status, errors, copies, json."""
+    """One row per call or orphan result: conv_id, call_id, turn, level, status, errors, copies, result_copies, json."""
     one = F.min(F.struct("turn", "name", "arguments", "depends_on")).alias("c")
     named = calls.where("call_id IS NOT NULL").groupBy("conv_id", "call_id").agg(one, F.count(F.lit(1)).alias("copies"))
     nameless = calls.where("call_id IS NULL").select("conv_id", "call_id", F.struct("turn", "name", "arguments", "depends_on").alias("c"), F.lit(1).cast("long").alias("copies"))
     single = named.unionByName(nameless).select("conv_id", "call_id", "c.*", "copies")
-    answers = results.groupBy("conv_id", "call_id").agg(F.min("content").alias("content"), F.min("turn").alias("result_turn"))
+    answers = results.where("call_id IS NOT NULL").groupBy("conv_id", "call_id").agg(F.min("content").alias("content"), F.min("turn").alias("result_turn"), F.count(F.lit(1)).alias("result_copies"))
     linked = single.join(answers.withColumn("answered", F.lit(True)), ["conv_id", "call_id"], "full_outer")
     linked = linked.join(levels(single), ["conv_id", "call_id"], "left")
-    linked = linked.join(F.broadcast(_rules(calls, schemas)), F.col("name") == F.col("tool"), "left")
+    lost = results.where("call_id IS NULL").select("conv_id", F.col("call_id").cast("string").alias("call_id"), "content", F.col("turn").alias("result_turn"), F.lit(1).cast("long").alias("result_copies"), F.lit(True).alias("answered"))
+    linked = linked.unionByName(lost, allowMissingColumns=True).withColumn("rules", F.try_element_at(_rules(schemas), F.col("name")))
     parsed = F.try_parse_json("arguments")
     given = F.try_variant_get(parsed, "$", "map<string,variant>")
     faults = F.when(given.isNull(), F.array(F.lit("bad_json"))).when(F.col("rules").isNull(), F.array(F.lit("unknown_tool"))).otherwise(_faults(given, F.col("rules")))
@@ -136,7 +141,7 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: list[tuple] = SCHE
     ))
     return linked.select(
         "conv_id", "call_id", F.coalesce("turn", "result_turn").alias("turn"), "level", status.alias("status"), errors.alias("errors"),
-        F.coalesce("copies", F.lit(0).cast("long")).alias("copies"), json.alias("json"),
+        F.coalesce("copies", F.lit(0).cast("long")).alias("copies"), F.coalesce("result_copies", F.lit(0).cast("long")).alias("result_copies"), json.alias("json"),
     )
 
 

@@ -287,6 +287,45 @@ def test_decontamination_finds_leaks_and_paraphrases(spark, awkward):
     assert decontaminate.digest(docs, benchmark.limit(0)).count() == 0
 
 
+def test_chat_keeps_nameless_and_repeated_results(spark):
+    kind = "conv_id long, call_id string, turn long, name string, arguments string, depends_on array<string>, rules string, copies string"
+    calls = spark.createDataFrame([(1, "a", 1, "search", '{"query": "x", "limit": 3}', None, "r", "c"), (1, None, 2, "search", None, [None], "r", "c")], kind)
+    results = spark.createDataFrame([(1, None, 5, "one"), (1, None, 6, "two"), (1, None, 6, "two"), (1, "a", 7, "late"), (1, "a", 3, "early")], "conv_id long, call_id string, turn long, content string")
+    got = chat_format.link_calls(calls, results).collect()
+    assert sorted((r.turn, r.json) for r in got if r.status == "orphan") == [(5, '{"content":"one"}'), (6, '{"content":"two"}'), (6, '{"content":"two"}')]
+    (a,) = [r for r in got if r.call_id == "a"]
+    assert a.result_copies == 2 and '"content":"early"' in a.json and a.turn == 1
+    assert [r.errors for r in got if r.status == "invalid"] == ["bad_json"]
+    messages = spark.createDataFrame([(1, 0, "user", None)], "conv_id long, turn long, role string, text string")
+    assert '{"role":"user"}' in [r.json for r in chat_format.format_chat(messages, calls, results).collect()]
+
+
+def test_chat_levels_in_few_rounds(spark, monkeypatch):
+    """Branching chains, trees, ladders and cycles against a search; rounds of chains with branches stay logarithmic."""
+    rng = random.Random(4)
+    deps = {f"c{i}": [f"c{i - 1}", f"leaf{i}"] if i else [] for i in range(200)} | {f"leaf{i}": [] for i in range(200)}
+    trees = {f"t{i}": [f"t{(i - 1) // 2}"] if i else [] for i in range(100)} | {f"r{i}": [f"r{2 * i + 1}", f"r{2 * i + 2}"] if i < 60 else [] for i in range(121)}
+    odd = {f"x{i}": [f"x{j}" for j in rng.sample(range(30), 2)] if i % 3 else [] for i in range(30)} | {"me": ["me"], "behind": ["me", "c0", "nowhere"]}
+    deps |= trees | odd
+
+    def level(c, seen=()):
+        if c in seen:
+            return None
+        below = [level(d, (*seen, c)) for d in deps[c] if d in deps]
+        return None if None in below else max((b + 1 for b in below), default=0)
+
+    rounds = []
+    durable = chat_format.durable
+    monkeypatch.setattr(chat_format, "durable", lambda df: rounds.append(1) or durable(df))
+    rows = spark.createDataFrame([(1, c, d) for c, d in deps.items()], "conv_id long, call_id string, depends_on array<string>")
+    got = {r.call_id: r.level for r in chat_format.levels(rows).collect()}
+    want = {c: (i if c.startswith("c") else 0) for i, c in enumerate(f"c{i}" for i in range(200))}
+    assert all(got[c] == want[c] for c in want)
+    rest = {c: level(c) for c in deps if c not in want}
+    assert {c: v for c, v in got.items() if c not in want} == {c: v for c, v in rest.items() if v is not None}
+    assert len(rounds) <= 2 * 14 + 2
+
+
 def test_chat_links(spark):
     calls = spark.createDataFrame(
         [
