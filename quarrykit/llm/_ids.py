@@ -1,37 +1,26 @@
-"""Few ids against a large table without moving the table: a bitmap of fixed size tells the rows that may be meant."""
+"""Joins of large tables with ids: few ids go to all tasks, so that texts need not move; many are met by a shuffle."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bits of the bitmap (8 MB): at most 2^20 words of 64 bits reach the driver, whatever the number of ids.
-BITS = 1 << 26
+from ..session import durable
+
+#: Ids (longs) that are sent to every task: at most some 64 MB of hash table.
+FEW = 2_000_000
 
 
-def perhaps(ids: DataFrame) -> Callable[[Column], Column]:
-    """A test of id columns: true for every id of the one-column table ``ids`` (longs), and for some others."""
-    place = F.pmod(F.xxhash64(F.col(ids.columns[0])), F.lit(BITS))
-    words = ids.where(F.col(ids.columns[0]).isNotNull()).select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(p & 63 AS INT))")).alias("bits"))
-    found = words.toPandas()
-    bitmap = np.zeros(BITS // 64, np.int64)
-    bitmap[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
+def _sent(ids: DataFrame) -> DataFrame:
+    ids = durable(ids.select(F.col(ids.columns[0]).alias("__id")).where("__id IS NOT NULL").distinct())
+    return F.broadcast(ids) if ids.count() <= FEW else ids
 
-    def test(at: pd.Series) -> pd.Series:
-        p = at.to_numpy(np.int64)
-        return pd.Series((bitmap[p >> 6] >> (p & 63)) & 1 == 1)
 
-    udf = F.pandas_udf(test, "boolean")
-    return lambda c: udf(F.pmod(F.xxhash64(F.coalesce(c.cast("long"), F.lit(0))), F.lit(BITS)))
+def only(rows: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+    """``rows`` whose id is among the one-column table ``ids``."""
+    return rows.join(_sent(ids), rows[id_col].cast("long") == F.col("__id"), "left_semi")
 
 
 def minus(rows: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
-    """``rows`` whose id is not among ``ids`` (rows without an id stay): only those that may be meant are joined."""
-    flagged = rows.select(F.struct(*[rows[c] for c in rows.columns]).alias("row"), perhaps(ids)(rows[id_col]).alias("maybe"))
-    name = ids.columns[0]
-    joined = flagged.where("maybe").join(ids.select(F.col(name).alias("gone")), F.col("row")[id_col].cast("long") == F.col("gone"), "left_anti")
-    return flagged.where("NOT maybe").unionByName(joined).select("row.*")
+    """``rows`` whose id is not among ``ids`` (rows without an id stay)."""
+    return rows.join(_sent(ids), rows[id_col].cast("long") == F.col("__id"), "left_anti")

@@ -101,7 +101,7 @@ def hashed_words(docs: DataFrame, text_col: str) -> DataFrame:
     """Each text's word columns (uint16) as one binary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, strings in texts(batches, text=0):
+        for _, strings in texts(batches, text=0, rows=128):
             words = Words(strings)
             columns = words.columns.astype("<u2")
             out = [columns[a:b].tobytes() for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True)]

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import components
 from ..session import attach, durable, partitions_for
-from ._ids import minus, perhaps
+from ._ids import minus, only
 from ._sums import summed
 from ._text import byte_texts
 
@@ -143,16 +143,16 @@ def prefixes(docs: DataFrame, k: int, counts: np.ndarray, least: float, id_col:
 
 
 def shingle_sets(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, key, hashes (the sorted set of shingle hashes)."""
+    """id, key, hashes (the set of shingle hashes)."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("body"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, bodies in byte_texts(batches):
-            sets = [np.unique(shingles(b, k)).tobytes() for b in bodies]
-            keys = [hashlib.md5(x, usedforsecurity=False).digest() for x in sets]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], ["id", "key", "hashes"])
+            sets = [np.unique(shingles(b, k)).view(np.int64) for b in bodies]
+            keys = [hashlib.md5(x.tobytes(), usedforsecurity=False).digest() for x in sets]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["id", "key", "hashes"])
 
-    return rows.mapInArrow(run, "id long, key binary, hashes binary")
+    return rows.mapInArrow(run, "id long, key binary, hashes array<long>")
 
 
 def segment_counts(fps: np.ndarray) -> np.ndarray:
@@ -338,17 +338,8 @@ def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """Links (a, b) between the components of pairs (id_a, id_b, c_a, c_b) of texts that are similar."""
     both = pairs.join(sets.select(F.col("id").alias("id_a"), F.col("hashes").alias("x")), "id_a").join(sets.select(F.col("id").alias("id_b"), F.col("hashes").alias("y")), "id_b")
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                same = len(np.intersect1d(a, b, assume_unique=True))
-                kept.append(same >= least * (len(a) + len(b) - same) - 1e-9)
-            kept = pa.array(kept, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(kept), batch.column(1).filter(kept)], ["a", "b"])
-
-    return both.select("c_a", "c_b", "x", "y").mapInArrow(compare, "a long, b long")
+    same = F.size(F.array_intersect("x", "y"))
+    return both.where(same >= least * (F.size("x") + F.size("y") - same) - 1e-9).select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))
 
 
 def set_links(docs: DataFrame, prints: DataFrame, labelled: DataFrame, k: int, least: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -359,15 +350,15 @@ def set_links(docs: DataFrame, prints: DataFrame, labelled: DataFrame, k: int, l
     equal = by_key.join(named.select("key", F.col("c").alias("b")), "key").where("c <> b").select(F.col("c").alias("a"), "b")
 
     copies = rows.select("key", "id").join(named.select("key", F.col("id").alias("one")), "key").where("id <> one").select("id").distinct()
-    one = minus(rows.select("id", "n", "tokens"), "id", durable(copies.join(named.select("id"), "id", "left_anti")))
+    one = minus(rows.select("id", "n", "tokens"), "id", copies.join(named.select("id"), "id", "left_anti"))
     tokens = one.select("id", "n", "tokens").mapInArrow(_exploded, "token long, id long, place long")
     parts = partitions_for(docs)
     shared = tokens.repartition(parts, "token").sortWithinPartitions("token").mapInArrow(_repeated, "token long, id long, place long")
     shared = durable(shared.join(named.select("id", "c"), "id"))
 
     def sets_of(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct()
-        sets = durable(shingle_sets(docs.select(id_col, text_col).where(perhaps(ids)(F.col(id_col))), k, id_col, text_col))
+        ids = pairs.select(F.explode(F.array("id_a", "id_b")).alias("id"))
+        sets = durable(shingle_sets(only(docs.select(id_col, text_col), id_col, ids), k, id_col, text_col))
         repeated = not sets.groupBy("id", "key").count().where("count > 1").isEmpty()
         return sets.dropDuplicates(["id", "key"]) if repeated else sets  # of repeated rows one each is enough
 
@@ -415,7 +406,7 @@ def dedup(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: str = "
     groups = near_groups(docs, k, id_col, text_col, least)
     groups = durable(groups.select(F.col(id_col).alias("id"), "component_id").where("id IS NOT NULL").distinct())
     keep = groups.where("id = component_id").select("id")
-    return minus(docs, id_col, groups.where("id <> component_id").select("id").distinct().join(keep, "id", "left_anti"))
+    return minus(docs, id_col, groups.where("id <> component_id").select("id").join(keep, "id", "left_anti"))
 
 
 def digest(docs: DataFrame) -> DataFrame:
