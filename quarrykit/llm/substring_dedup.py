@@ -9,10 +9,11 @@ How the hashes travel: a task sorts its windows by hash, settles copies that it
 repeated, so a passage in a third of the corpus sends one row per task) and sends the rest as packed blobs by bucket.
 The bucket is taken from the smallest hash of the ``INNER``-word runs inside the window. It depends on the window alone,
 so equal windows meet; and neighbouring windows mostly share it, so positions pack as runs and answers return as
-intervals. A bucket holds a bounded share of the corpus, as the number of buckets follows the input's size.
+intervals. The number of buckets follows the input's size. A run of words that very many different windows share would fill one bucket:
+a first pass counts all windows by run, in ``SLOTS`` slots, and windows of heavy slots take their bucket from a second hash of their own.
 
-Hashes stand for word sequences here: for n windows the chance that any two different ones agree is about n^2 / 2^65
-(10^-4 for 10^8 windows).
+Hashes stand for word sequences here. Different windows are taken for equal only if they agree in 64 bits and in the bucket, which comes
+from other bits, so for n windows in buckets of m about n m / 2^65 pairs are expected to: 10^-6 for 10^8 windows, 0.2 for 100 TB of text.
 
 Defined cases: a null or empty text has no words; texts of fewer than ``size`` words stay whole; a null id orders before
 all others and null ids count as one document; rows that repeat an id and text are one document, judged against others
@@ -30,9 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import attach, partitions_for
+from ._sums import summed
 from ._text import byte_texts
 
 SIZE, INNER = 20, 10
+#: Slots of the counts by run, and how far above a bucket's mean (in halves) or a slot's mean a heavy one lies.
+SLOTS, HEAVY = 1 << 18, 8
 #: Windows that a task gathers before it packs and sends them.
 FLUSH = 1_000_000
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -40,10 +44,10 @@ NO_ID = -(1 << 63)
 
 
 class Powers:
-    """Powers of the base and of its inverse modulo 2^64, as far as needed."""
+    """Powers of a base and of its inverse modulo 2^64, as far as needed."""
 
-    def __init__(self):
-        self.up = self.down = np.ones(1, np.uint64)
+    def __init__(self, base: int):
+        self.base, self.up, self.down = base, np.ones(1, np.uint64), np.ones(1, np.uint64)
 
     @staticmethod
     def series(base: int, size: int) -> np.ndarray:
@@ -54,11 +58,11 @@ class Powers:
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
             size = max(1 << 12, 2 * n)
-            self.up, self.down = (self.series(b, size) for b in (BASE, pow(BASE, -1, 1 << 64)))
+            self.up, self.down = (self.series(b, size) for b in (self.base, pow(self.base, -1, 1 << 64)))
         return self.up[:n], self.down[:n]
 
 
-_powers = Powers()
+_powers, _other = Powers(BASE), Powers(0xC2B2AE3D27D4EB4F)
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -66,12 +70,12 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers.get(n)
 
 
-def rolling(words: np.ndarray, size: int) -> np.ndarray:
+def rolling(words: np.ndarray, size: int, base: Powers = _powers) -> np.ndarray:
     """Hashes of all windows of ``size`` words: differences of prefix sums, shifted back to power zero, then mixed."""
     n = len(words)
     if n < size:
         return np.zeros(0, np.uint64)
-    up, down = _powers.get(n)
+    up, down = base.get(n)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(words * up, out=sums[1:])
     h = (sums[size:] - sums[:-size]) * down[: n - size + 1]
@@ -109,9 +113,37 @@ def intervals(ids: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, n
     return ids[first], at[first], at[first] + length - 1 + size
 
 
+def run_keys(words: np.ndarray, size: int) -> np.ndarray:
+    """For each window, the smallest hash of the runs inside it, mixed."""
+    inner = min(INNER, size)
+    small = np.lib.stride_tricks.sliding_window_view(rolling(words, inner), size - inner + 1).min(axis=1)
+    return small * np.uint64(0xA0761D6478BD642F)
+
+
+def heavy_slots(docs: DataFrame, size: int, buckets: int) -> np.ndarray:
+    """Whether a slot of run keys holds so many windows that they must be dealt out one by one."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray]:
+        found = np.zeros(SLOTS)
+        for _, bodies in byte_texts(batches):
+            for body in bodies:
+                words = word_hashes(body.split())
+                if len(words) >= size:
+                    np.add.at(found, slot_of(run_keys(words, size)), 1)
+        return [found]
+
+    counts = summed(docs, count, np.float32).get(0, np.zeros(SLOTS))
+    total = counts.sum()
+    return counts > max(1000.0, total / (2 * buckets), HEAVY * total / SLOTS)
+
+
+def slot_of(keys: np.ndarray) -> np.ndarray:
+    return (keys >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
+
+
 def window_blobs(docs: DataFrame, size: int, buckets: int) -> DataFrame:
     """bucket, settled, ids, starts, lengths, hashes: runs of windows, or (settled) intervals found to be repeated."""
-    inner = min(INNER, size)
+    heavy = heavy_slots(docs, size, buckets)
 
     def send(hashes: np.ndarray, keys: np.ndarray, ids: np.ndarray, at: np.ndarray, turn: int) -> pa.RecordBatch:
         first, repeated = split_repeated(hashes, ids, at)
@@ -146,8 +178,10 @@ def window_blobs(docs: DataFrame, size: int, buckets: int) -> DataFrame:
                 h = rolling(words, size)
                 if not len(h):
                     continue
-                small = np.lib.stride_tricks.sliding_window_view(rolling(words, inner), size - inner + 1).min(axis=1)
-                where = ((small * np.uint64(0xA0761D6478BD642F)) >> np.uint64(33)) % np.uint64(buckets)
+                keys = run_keys(words, size)
+                where = (keys >> np.uint64(23)) % np.uint64(buckets)
+                if (dealt := heavy[slot_of(keys)]).any():
+                    where[dealt] = (rolling(words, size, _other)[dealt] >> np.uint64(23)) % np.uint64(buckets)
                 held.append((h, where.astype(np.int32), np.full(len(h), key, np.int64), np.arange(len(h))))
                 count += len(h)
                 if count >= FLUSH:

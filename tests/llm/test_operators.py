@@ -369,3 +369,19 @@ def test_chat_levels_match_longest_paths(spark):
         rows += [(conv, str(k), [str(x) for x in xs]) for k, xs in deps.items()]
     calls = spark.createDataFrame(rows, "conv_id long, call_id string, depends_on array<string>")
     assert {(r.conv_id, r.call_id): r.level for r in chat_format.levels(calls).collect()} == want
+
+
+def test_substring_dedup_splits_heavy_runs(spark):
+    """Many texts share twelve words between random ones: the run is counted as heavy, buckets stay even, and results whole."""
+    rng = random.Random(12)
+    phrase = " ".join(f"shared{i}" for i in range(12))
+    texts = [f"{' '.join(str(rng.random()) for _ in range(14))} {phrase} {' '.join(str(rng.random()) for _ in range(14))}" for _ in range(1500)]
+    twice = " ".join(f"again{i}" for i in range(30))
+    docs = make(spark, [*texts, twice, f"{phrase} {twice}"]).select(F.col("doc_id").alias("id"), F.col("text").alias("body"))
+    assert substring_dedup.heavy_slots(docs, 20, 16).any()
+    blobs = substring_dedup.window_blobs(docs, 20, 16).where("NOT settled").select("bucket", (F.octet_length("hashes") / 8).alias("n"))
+    sizes = [r.n for r in blobs.groupBy("bucket").agg(F.sum("n").alias("n")).collect()]
+    assert max(sizes) < 2 * sum(sizes) / len(sizes) and len(sizes) == 16
+    spans = [tuple(r) for r in substring_dedup.repeated_intervals(make(spark, [*texts, twice, f"{phrase} {twice}"]), buckets=16).collect()]
+    gone = {(i, k) for i, a, b in spans for k in range(a, b)}
+    assert gone == {(1501, 12 + k) for k in range(30)}
