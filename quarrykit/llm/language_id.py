@@ -1,16 +1,17 @@
 r"""Language identification by a string kernel with Nystrom landmarks and one-versus-rest kernel ridge regression.
 
 Kernel: blended spectrum with presence. A text is the set of byte n-grams (n from 1 to 4) of its lower-cased UTF-8,
-hashed to ``DIM`` places; k(x, y) = |x and y| / sqrt(|x| |y|). Landmarks are ``LANDMARKS`` training texts, spread over the
+hashed to ``DIM`` places; a longer one than ``PIECE`` bytes is scored piece by piece, as a set of everything tells nothing, and its
+margins are the pieces' averaged by length; k(x, y) = |x and y| / sqrt(|x| |y|). Landmarks are ``LANDMARKS`` training texts, spread over the
 classes; a text's Nystrom features are its kernel values with the landmarks times the inverse root of the
 landmarks' own kernel matrix, and one ridge regression per language separates it from the rest.
 
 Scoring multiplies a batch's presence matrix with the landmark matrix folded into the regression weights (one
 ``DIM`` x languages matrix of bounded size that goes to each task), so whole texts of any length cost one pass.
 
-Fitting uses a sample of at most ``fit_rows`` labelled rows, drawn by a hash of the id; a row enters only if
-crc32(doc_id as text) mod 5 is not 0 and its language is not null. The sample's presence bits (1 kB each) are all
-that reaches the driver.
+Fitting uses a sample of at most ``FIT_ROWS`` labelled rows, as many of each language as of any other (all of rare ones), drawn by a
+hash of the id, and of each row one piece; a row enters only if crc32(doc_id as text) mod 5 is not 0 and its language is not null.
+The sample's presence bits (2 kB each) are all that reaches the driver.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; with no labelled row at all, or one
 language only, every text with a letter gets that language (``und`` if none) with score 0 or 1; ids pass through,
@@ -19,6 +20,7 @@ null (held out, as the empty string's crc32 is 0) or repeated; other columns pla
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,17 +32,24 @@ from pyspark.sql import functions as F
 from ..session import attach
 from ._text import bucket, texts
 
-NGRAMS, DIM, LANDMARKS, FIT_ROWS = 4, 1 << 13, 256, 4000
+NGRAMS, DIM, PIECE, LANDMARKS, FIT_ROWS = 4, 1 << 14, 4096, 256, 4000
+#: Pieces in one matrix product.
+BATCH = 128
 UNDETERMINED = "und"
 _LETTER = regex.compile(r"\p{L}")
 _MULTIPLIERS = np.array([2654435761, 2246822519, 3266489917, 668265263], np.uint32)
 
 
-def presence(text: str) -> np.ndarray:
+def pieces(text: str) -> list[np.ndarray]:
+    """The bytes of a text in equal pieces of at most ``PIECE``."""
+    raw = np.frombuffer(text.lower().encode(), np.uint8)
+    return np.array_split(raw, max(1, -(-len(raw) // PIECE)))
+
+
+def presence(raw: np.ndarray) -> np.ndarray:
     """Places (of ``DIM``) of the n-grams that occur, as booleans."""
-    raw = np.frombuffer(text.lower().encode(), np.uint8).astype(np.uint32)
+    gram = raw = raw.astype(np.uint32)
     there = np.zeros(DIM, bool)
-    gram = raw
     for n in range(NGRAMS):
         if n:
             gram = (gram[:-1] << np.uint32(8)) | raw[n:]
@@ -67,9 +76,17 @@ class Model:
         named, scores = [UNDETERMINED] * len(strings), [0.0] * len(strings)
         some = [i for i, t in enumerate(strings) if _LETTER.search(t)]
         if some and self.languages:
-            x = np.stack([presence(strings[i]) for i in some]).astype(np.float32)
-            x /= np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
-            margins = x @ self.weights
+            parts = [(i, p) for i in some for p in pieces(strings[i])]
+            margins = np.zeros((len(strings), len(self.languages)))
+            weight = np.zeros(len(strings))
+            for at in range(0, len(parts), BATCH):
+                owner = np.array([i for i, _ in parts[at : at + BATCH]])
+                size = np.array([len(p) for _, p in parts[at : at + BATCH]])
+                x = np.stack([presence(p) for _, p in parts[at : at + BATCH]]).astype(np.float32)
+                x /= np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
+                np.add.at(margins, owner, (x @ self.weights) * size[:, None])
+                np.add.at(weight, owner, size)
+            margins = margins[some] / np.maximum(weight[some], 1)[:, None]
             best = margins.argmax(1)
             chance = np.clip((margins.max(1) + 1) / 2, 0, 1)
             for i, k, p in zip(some, best.tolist(), chance.tolist(), strict=True):
@@ -102,15 +119,17 @@ def fit(docs: DataFrame, rows: int = FIT_ROWS, id_col: str = "doc_id", text_col:
     """Fit on at most ``rows`` labelled rows outside the held-out fifth."""
     attach(docs.sparkSession)
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (bucket(id_col, 5) != 0))
-    total = known.count()
-    part = min(1.0, rows / max(total, 1))
-    drawn = known.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30)) < int(part * (1 << 30)))
+    counts = {r[0]: r[1] for r in known.groupBy(F.col(lang_col).cast("string")).count().collect()}
+    quota = rows // max(1, len(counts))
+    chance = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, int(min(1.0, quota / n) * (1 << 30)))]) if counts else None
+    drawn = known.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30)) < chance[F.col(lang_col).cast("string")]) if counts else known
     sample = drawn.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("body"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, strings in texts(batches):
             keep = [i for i, t in enumerate(strings) if _LETTER.search(t)]
-            bits = [np.packbits(presence(strings[i])).tobytes() for i in keep]
+            chosen = [(p := pieces(strings[i]))[zlib.crc32(strings[i].encode()) % len(p)] for i in keep]
+            bits = [np.packbits(presence(p)).tobytes() for p in chosen]
             yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(keep, pa.int64())), pa.array(bits, pa.binary())], ["lang", "bits"])
 
     got = sample.mapInArrow(run, "lang string, bits binary").limit(2 * rows).collect()

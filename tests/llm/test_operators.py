@@ -249,6 +249,14 @@ def test_language_id_held_out(spark, awkward):
     assert all(g.held_out for _, g in held) and np.mean([lang == g.lang_pred for lang, g in held]) > 0.97
     rows = {r.doc_id: r.language for r in language_id.identify(awkward, language_id.fit(docs)).collect()}
     assert rows[0].predicted == rows[1].predicted == "und" and rows[0].score == 0
+    long = " ".join(r.text for r in docs.where("lang = 'en'").limit(2000).collect())
+    model = language_id.fit(docs)
+    named, scores = model.predict([long, long[:2000]])
+    assert named == ["en", "en"] and scores[0] > 0.9  # a set of everything in a long text would tell nothing
+    few = docs.where("lang = 'en'").limit(3000).unionByName(docs.where("lang = 'es'").limit(4))
+    assert language_id.fit(few, rows=200).languages == ["en", "es"]  # rare languages are drawn as well
+    same = language_id.digest(docs.limit(50).unionByName(docs.limit(50))).collect()
+    assert len({(r.doc_id, r.lang_pred, r.score) for r in same}) == len({r.doc_id for r in same})
     assert language_id.digest(empty(spark)).count() == 0
 
 
@@ -259,8 +267,21 @@ def test_quality_held_out(spark, awkward):
     good, bad = [s for q, s in marks if q], [s for q, s in marks if not q]
     assert np.mean([a > b for a in good for b in bad]) > 0.97
     assert np.mean([(s >= 0.5) == q for q, s in marks]) > 0.97
+    _, model = quality_pu.score(docs, labels)
+    assert abs(model.prior - np.mean([q for q, _ in marks])) < 0.1
     rows = quality_pu.digest(awkward, labels.limit(0)).collect()
-    assert len(rows) == awkward.count() and all(0 <= r.score <= 1 for r in rows)
+    assert len(rows) == awkward.count() and all(r.score == 0.5 and r.predicted == 1 for r in rows)
+    bad = spark.createDataFrame([(i, 0) for i in range(11)], "doc_id long, quality int")
+    rows = quality_pu.digest(awkward, bad).collect()
+    assert all(abs(r.score - 0.001) < 1e-9 and r.predicted == 0 for r in rows)
+    again = docs.limit(300)
+    twice = defaultdict(set)
+    for r in quality_pu.digest(again.unionByName(again), labels).collect():
+        twice[r.doc_id].add(r.score)
+    assert all(len(scores) == 1 for scores in twice.values())  # repeated rows score alike
+    marked = labels.selectExpr("doc_id", "quality", "toxic AS score", "1 AS held_out")
+    clash = docs.limit(200).withColumn("score", F.lit("x")).withColumn("x", F.lit(1)).withColumn("id", F.lit(2))
+    assert quality_pu.score(clash, marked)[0].count() == 200
     assert quality_pu.digest(empty(spark), labels).count() == 0
 
 
