@@ -20,9 +20,9 @@ other columns play no part; an empty table gives an empty result.
 With ``least``, texts whose shingle sets (as XXH64 values) have a Jaccard similarity of ``least`` or more link as well, every
 such pair: two sets of n shingles can only be so similar if they share one of the n - ceil(least n) + 1 that come first
 in an order common to all texts. Any order is right; rare shingles come first (counts in ``SLOTS`` slots), so few texts meet.
-Only those first shingles travel, and of them only the shared ones go on. Each text is compared with the smallest id that
-it shares most of them with, which settles groups of near copies with one comparison a text; then texts of different
-components that still share one are compared. Both compare whole sets, made again from the texts concerned.
+Only those first shingles travel, and of them only the shared ones go on. In ``TURNS`` rounds each text is compared with one text of
+another component, of those chosen for its shingles the one it shares most with, which settles groups of near copies with few
+comparisons a text; then all texts of different components that still share a first shingle are compared. Both compare whole sets, made again from the texts concerned.
 """
 
 from __future__ import annotations
@@ -55,6 +55,8 @@ TILE = 4096
 SMALL = 64
 #: Slots of the shingle counts that give the order of shingles.
 SLOTS = 1 << 18
+#: Rounds in which a text meets one other, before the texts of different components meet.
+TURNS = 4
 #: Similarity of shingle sets from which texts count as near-duplicates (the fingerprints alone: None).
 LEAST = 0.8
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -362,15 +364,22 @@ def set_links(docs: DataFrame, prints: DataFrame, labelled: DataFrame, k: int, l
         repeated = not sets.groupBy("id", "key").count().where("count > 1").isEmpty()
         return sets.dropDuplicates(["id", "key"]) if repeated else sets  # of repeated rows one each is enough
 
-    least_of = shared.groupBy("token").agg(F.min(F.struct("id", "place", "c")).alias("b"))
-    star = shared.select("token", F.struct("id", "place", "c").alias("a")).join(least_of, "token").where("a.c <> b.c")
-    times = _met(star, least)
-    best = times.groupBy("id_a", "c_a").agg(F.max(F.struct("times", (-F.col("id_b")).alias("first"), "c_b")).alias("best"))
-    pairs = durable(best.select("id_a", (-F.col("best.first")).alias("id_b"), "c_a", "best.c_b"))
-    first = durable(_similar(pairs, sets_of(pairs), least).unionByName(equal))
+    now, links = shared, equal
+    for turn in range(TURNS):  # each text meets one other at a time, so a group of near copies falls together without all its pairs
+        order = F.xxhash64("id", F.lit(turn)).alias("order")
+        chosen = now.groupBy("token").agg(F.min(F.struct(order, "id", "place", "c")).alias("b"))
+        star = now.select("token", F.struct("id", "place", "c").alias("a")).join(chosen, "token").where("a.c <> b.c")
+        times = _met(star, least)
+        best = times.groupBy("id_a", "c_a").agg(F.max(F.struct("times", (-F.col("id_b")).alias("first"), "c_b")).alias("best"))
+        pairs = durable(best.select("id_a", (-F.col("best.first")).alias("id_b"), "c_a", "best.c_b"))
+        found = _similar(pairs, sets_of(pairs), least)
+        found = durable(found.unionByName(equal) if not turn else found)
+        links = found if not turn else links.unionByName(found)
+        if found.isEmpty():
+            break
+        moved = components(found)
+        now = durable(now.join(moved, F.col("c") == F.col("node"), "left").select("token", "id", "place", F.coalesce("component", "c").alias("c")))
 
-    moved = components(first)
-    now = shared.join(moved, F.col("c") == F.col("node"), "left").select("token", "id", "place", F.coalesce("component", "c").alias("c"))
     mixed = now.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("token")
     now = durable(now.join(mixed, "token", "left_semi"))
     each = now.select("token", "c").distinct()
@@ -378,7 +387,7 @@ def set_links(docs: DataFrame, prints: DataFrame, labelled: DataFrame, k: int, l
     whole = F.struct("id", "place", "c")
     pairs = meet.join(now.select("token", F.col("c").alias("c_a"), whole.alias("a")), ["token", "c_a"]).join(now.select("token", F.col("c").alias("c_b"), whole.alias("b")), ["token", "c_b"])
     pairs = durable(_met(pairs, least).drop("times"))
-    return first.unionByName(_similar(pairs, sets_of(pairs), least))
+    return links.unionByName(_similar(pairs, sets_of(pairs), least))
 
 
 def near_groups(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: str = "text", least: float | None = LEAST) -> DataFrame:
