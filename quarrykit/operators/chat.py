@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.columns import once
 
 # Intents with their keywords, in order.
 INTENTS = {
@@ -39,6 +40,8 @@ SUFFIXES = {
 }
 SUFFIX = " I don't want to guess, so I'd recommend reaching out to our support team for a definitive answer — or let me know if there's something else I can help with."
 MIN_CONFIDENCE = 0.35
+#: Characters of a known name that lead to its texts.
+GRAM = 3
 
 
 def word_bounded(keyword: str) -> str:
@@ -49,19 +52,30 @@ def word_bounded(keyword: str) -> str:
 
 
 def intent_candidates(c: Column) -> Column:
-    """array<struct<confidence, intent, hits>>, most confident first, ties in declared order."""
-    rows = []
-    for place, (intent, words) in enumerate(INTENTS.items()):
-        hits = sum((c.rlike(word_bounded(w)).cast("int") for w in words), F.lit(0))
-        rows.append(F.struct((-F.least(hits / 3.0, F.lit(1.0))).alias("order"), F.lit(place).alias("place"), F.lit(intent).alias("intent"), hits.alias("hits")))
-    return F.array_sort(F.filter(F.array(*rows), lambda r: r["order"] <= -0.3))
+    """array<struct<confidence, intent, hits>>, most confident first, ties in declared order.
+
+    A keyword is looked for as a substring first, and only where that is found with its boundaries.
+    """
+
+    def of(texts: Column) -> Column:
+        rows = []
+        for place, (intent, words) in enumerate(INTENTS.items()):
+            hits = sum(((texts["low"].contains(w) & texts["text"].rlike(word_bounded(w))).cast("int") for w in words), F.lit(0))
+            rows.append(F.struct((-F.least(hits / 3.0, F.lit(1.0))).alias("order"), F.lit(place).alias("place"), F.lit(intent).alias("intent"), hits.alias("hits")))
+        return F.array_sort(F.filter(F.array(*rows), lambda r: r["order"] <= -0.3))
+
+    return once(F.struct(F.coalesce(c, F.lit("")).alias("text"), F.lower(F.coalesce(c, F.lit(""))).alias("low")), of)
 
 
 def with_intent(messages: DataFrame, text: str = "text") -> DataFrame:
     """Adds intent (or unknown), confidence and candidates (names)."""
-    rows = messages.withColumn("__c", intent_candidates(F.col(text)))
-    best = F.get("__c", F.lit(0))
-    return rows.withColumn("intent", F.coalesce(best["intent"], F.lit("unknown"))).withColumn("intent_confidence", F.round(F.coalesce(-best["order"], F.lit(0.0)), 6)).withColumn("candidates", F.transform("__c", lambda r: r["intent"])).drop("__c")
+
+    def settled(c: Column) -> Column:
+        best = F.get(c, F.lit(0))
+        return F.struct(F.coalesce(best["intent"], F.lit("unknown")).alias("intent"), F.round(F.coalesce(-best["order"], F.lit(0.0)), 6).alias("intent_confidence"), F.transform(c, lambda r: r["intent"]).alias("candidates"))
+
+    rows = messages.withColumn("__i", once(intent_candidates(F.col(text)), settled))
+    return rows.select(*messages.columns, "__i.*")
 
 
 def by_turn() -> Window:
@@ -167,6 +181,24 @@ def entities(c: Column) -> Column:
     )
 
 
+def known_mentions(messages: DataFrame, names: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """``keys``, type, value: known names (``names``: type, name) that stand anywhere in a text, whatever their case.
+
+    Texts and names meet in a join on the names' first ``GRAM`` characters, so no text is held against all names.
+    """
+    low = F.lower("name")
+    sized = names.where(F.trim("name") != "").select("type", "name", low.alias("__low"), F.left(low, F.lit(GRAM)).alias("__gram"))
+
+    def grams(body: Column, n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length(body) - (n - 1), F.lit(1)))
+        return F.filter(F.transform(starts, lambda i: F.substring(body, i, F.lit(n))), lambda g: F.length(g) == n)
+
+    said = messages.select(*keys, F.lower(text).alias("__body"))
+    every = F.array_distinct(F.concat(*[grams(F.col("__body"), n) for n in range(1, GRAM + 1)]))
+    met = said.select(*keys, "__body", F.explode(every).alias("__gram")).join(sized, "__gram").where(F.contains("__body", "__low"))
+    return met.select(*keys, F.concat("type", F.lit("_mention")).alias("type"), F.col("name").alias("value"))
+
+
 def grounding_audit(answer: Column, sources: Column) -> Column:
     """Amounts in the answer that no source has."""
     figures = lambda c: F.transform(F.regexp_extract_all(c, F.lit(T.MONEY), 0), lambda x: F.regexp_replace(x, r"\s", ""))

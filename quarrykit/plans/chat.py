@@ -91,6 +91,23 @@ UNION ALL SELECT conv_id, turn, 'order_id', upper({_x(r'(?i)(?:\border\s*#?|\bor
 UNION ALL SELECT conv_id, turn, 'money', {_x(T.MONEY)} FROM {CHAT} UNION ALL SELECT conv_id, turn, 'date', {_x(_date)} FROM {CHAT}"""
 
 
+def _known(s: SparkSession, d: str) -> DataFrame:
+    products = table(s, d, "part").select(F.lit("product").alias("type"), F.concat(F.initcap(F.split("p_name", " ")[0]), F.lit(" "), "p_partkey").alias("name"))
+    return products.unionByName(table(s, d, "supplier").select(F.lit("service").alias("type"), F.concat(F.lit("Plan"), "s_suppkey").alias("name")))
+
+
+def _naming(s: SparkSession, d: str) -> DataFrame:
+    k = F.col("conv_id")
+    said = table(s, d, "part").select((F.col("p_partkey") - 1).alias("conv_id"), F.concat(F.lit(" about the "), F.upper(F.split("p_name", " ")[0]), F.lit(" "), "p_partkey", F.lit("s and my plan"), F.col("p_partkey") % 7, F.lit("?")).alias("more"))
+    return table(s, d, "conversations").where("role = 'user'").join(said, "conv_id", "left").select(k, "turn", F.concat("text", F.coalesce("more", F.lit(""))).alias("text"))
+
+
+QUERIES["l13_known_mentions"] = lambda s, d: C.known_mentions(_naming(s, d), _known(s, d), ["conv_id", "turn"])
+ORACLE["l13_known_mentions"] = """WITH n AS (SELECT 'product_mention' AS type, upper(p_name[1]) || lower(split_part(p_name, ' ', 1)[2:]) || ' ' || p_partkey AS name FROM part UNION ALL SELECT 'service_mention', 'Plan' || s_suppkey FROM supplier),
+t AS (SELECT conv_id, turn, text || coalesce(' about the ' || upper(split_part(p_name, ' ', 1)) || ' ' || p_partkey || 's and my plan' || p_partkey % 7 || '?', '') AS text FROM conversations LEFT JOIN part ON conv_id = p_partkey - 1 WHERE role = 'user')
+SELECT conv_id, turn, type, name AS value FROM t JOIN n ON contains(lower(text), lower(name))"""
+
+
 def _turns(s: SparkSession, d: str) -> DataFrame:
     """User messages with intent, whether their answer was grounded, and ungrounded answers just before."""
     w = Window.partitionBy("conv_id").orderBy("turn")

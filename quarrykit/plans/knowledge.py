@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -60,37 +61,36 @@ _links = f"""(SELECT a.vec_id AS source_id, b.vec_id AS entity_id, CASE WHEN a.v
 ORACLE["j7_link_entities"] = f"SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY score DESC, entity_id) AS rank FROM {_links} QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY score DESC, entity_id) <= 3"
 
 
-def build_edges(chunks: DataFrame, links: DataFrame) -> DataFrame:
-    """source_type, source_id, target_type, target_id, kind, confidence: category edges and linked entities, one per key."""
-    category = chunks.select(F.lit("Chunk").alias("source_type"), F.col("chunk_id").cast("string").alias("source_id"), F.lit("Category").alias("target_type"), F.col("category").alias("target_id"), F.lit("CHUNK_CATEGORY").alias("kind"), F.col("confidence"))
-    linked = links.select(F.lit("Faq").alias("source_type"), F.col("source_id").cast("string").alias("source_id"), F.lit("Product").alias("target_type"), F.col("entity_id").cast("string").alias("target_id"), F.lit("FAQ_PRODUCT").alias("kind"), F.col("score").alias("confidence"))
-    return category.unionByName(linked).groupBy("source_type", "source_id", "target_type", "target_id", "kind").agg(F.max("confidence").alias("confidence"))
+# Embeddings
+DIM = 64
 
 
-QUERIES["u3_build_edges"] = lambda s, d: build_edges(rules.categorize(derive(s, d, "chunks")), link_entities(*_link_inputs(s, d), least=0.3)).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("confidence"), 4).alias("total"))
+def lexical_vector(text: str | None, dim: int = DIM) -> list[float]:
+    """Hashed word counts of unit norm: a stand-in where no model is available."""
+    v = np.zeros(dim)
+    for w in (text or "").lower().split():
+        h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
+        v[h % dim] += 1 if h >> 63 else -1
+    n = np.linalg.norm(v)
+    return (v / n if n else v).tolist()
 
 
-# Embeddings and whole builds
-def lexical_encoder(texts: pd.Series, dim: int = 64) -> pd.Series:
-    """Stand-in encoder without a model: hashed word counts, each text alone, unit norm."""
+def lexical_encoder() -> Callable[[pd.Series], list[list[float]]]:
+    """Makes the stand-in encoder (a model's maker loads it here)."""
+    return lambda texts: [lexical_vector(t) for t in texts]
 
-    def one(text: str | None) -> list[float]:
-        v = np.zeros(dim)
-        for w in (text or "").lower().split():
-            h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
-            v[h % dim] += 1 if h >> 63 else -1
-        n = np.linalg.norm(v)
-        return (v / n if n else v).tolist()
 
-    return texts.map(one)
+def embed(df: DataFrame, column: str = "text", make: Callable[[], Callable[[pd.Series], list[list[float]]]] = lexical_encoder) -> DataFrame:
+    """``df`` with ``embedding``: one vector a text. ``make`` is called once a task and returns a function of a series of texts, so a
+    model is loaded once and meets its texts batch by batch."""
 
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encode = make()
+        for texts in batches:
+            yield pd.Series(encode(texts), dtype=object)
 
-def embed(df: DataFrame, column: str = "text", encoder=lexical_encoder) -> DataFrame:
-    """``df`` with ``embedding``: one unit vector per text by a pluggable function from a series of texts to one of lists."""
-    return df.withColumn("embedding", F.pandas_udf(encoder, "array<double>")(F.col(column)))
-
-
-lexical_encoder.__annotations__ = {"texts": pd.Series, "dim": int, "return": pd.Series}
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return df.withColumn("embedding", F.pandas_udf(run, "array<double>")(F.col(column)))
 
 
 def _series(f):
@@ -101,7 +101,14 @@ def _series(f):
     return run
 
 
-QUERIES["k1_embed"] = lambda s, d: embed(table(s, d, "documents").select("doc_id", "text"), encoder=_series(lexical_encoder)).select("doc_id", F.size("embedding").alias("dim"), F.round(R.dot(F.col("embedding"), F.col("embedding")), 6).alias("norm"))
+def letter_encoder() -> Callable[[pd.Series], list[list[float]]]:
+    """An encoder plugged in: the shares of five vowels."""
+    return lambda texts: [[(t or "").count(c) / max(1, len(t or "")) for c in "aeiou"] for t in texts]
+
+
+QUERIES["x1_plugged_encoder"] = lambda s, d: embed(table(s, d, "documents").select("doc_id", "text"), make=letter_encoder).select("doc_id", *[F.round(F.get("embedding", F.lit(i)), 6).alias(c) for i, c in enumerate("aeiou")])
+ORACLE["x1_plugged_encoder"] = "SELECT doc_id, " + ", ".join(f"round((length(text) - length(replace(text, '{c}', ''))) / greatest(length(text), 1), 6) AS {c}" for c in "aeiou") + " FROM documents"
+QUERIES["k1_embed"] = lambda s, d: embed(table(s, d, "documents").select("doc_id", "text")).select("doc_id", F.size("embedding").alias("dim"), F.round(R.dot(F.col("embedding"), F.col("embedding")), 6).alias("norm"))
 
 
 def generate_answers(prompts: DataFrame, fn) -> DataFrame:
@@ -124,50 +131,6 @@ def _answers(s: SparkSession, d: str) -> DataFrame:
 QUERIES["x2_generate_answers"] = _answers
 
 
-def build_knowledge(units: DataFrame, existing: DataFrame) -> DataFrame:
-    """chunk rows of a build: chunk_key, category, cluster_size, confidence and action against the existing chunks.
-
-    Chunks and vectors are written once each (the expensive boundaries); categories, clusters and scores are joined by key.
-    """
-    chunked = K.chunk_texts(units, key="unit_id", text="content").withColumn("chunk_key", F.concat("unit_id", F.lit("#"), "chunk_index"))
-    chunked = durable(chunked.withColumn("content_hash", T.content_hash(F.col("content"))))
-    first = chunked.groupBy("content_hash").agg(F.min("chunk_key").alias("representative"), F.count(F.lit(1)).alias("cluster_size"))
-    category = rules.categorize(chunked.select(F.col("chunk_key").alias("chunk_id"), "content", F.lit(None).cast("string").alias("url"), "title", "section")).select(F.col("chunk_id").alias("chunk_key"), "category")
-    rows = chunked.join(first, "content_hash").join(category, "chunk_key")
-    score = rules.confidence(F.col("content"), F.lit(None).cast("string"), F.lit(0.75), F.lit(False), F.col("cluster_size"), F.lit(None).cast("double"), F.lit(False))
-    old = existing.select("chunk_key", F.col("content_hash").alias("old_hash"))
-    action = F.when(F.col("chunk_key") != F.col("representative"), "duplicate").when(F.col("old_hash").isNull(), "created").when(F.col("old_hash") == F.col("content_hash"), "unchanged").otherwise("updated")
-    return rows.join(old, "chunk_key", "left").select("chunk_key", "category", "cluster_size", score.alias("confidence"), action.alias("action"))
-
-
-def _build(s: SparkSession, d: str) -> DataFrame:
-    units = content_units(parsed(s, d), _structured(s, d))
-    old = K.chunk_texts(content_units(parsed(s, d), _structured(s, d).withColumn("text", F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit(" old"))).otherwise(F.col("text")))).where("unit_id NOT LIKE '%5'"), key="unit_id", text="content")
-    return build_knowledge(units, old.select(F.concat("unit_id", F.lit("#"), "chunk_index").alias("chunk_key"), T.content_hash(F.col("content")).alias("content_hash")))
-
-
-QUERIES["k7_build_knowledge"] = lambda s, d: _build(s, d).groupBy("action", "category").agg(F.count(F.lit(1)).alias("chunks"), F.round(F.avg("confidence"), 6).alias("confidence"))
-
-
-def train(s: SparkSession, d: str) -> DataFrame:
-    """One row per stage of a training run: incremental plan, validation, build, policies, edges."""
-    h = T.content_hash(F.col("text"))
-    plan = S.incremental_plan(derive(s, d, "doc_prev").select("url", h.alias("content_hash")), derive(s, d, "doc_cur").select("url", h.alias("content_hash")), derive(s, d, "doc_prev").select(F.col("doc_id").alias("chunk_id"), "url"))
-    count = lambda name, df: df.agg(F.lit(name).alias("stage"), F.count(F.lit(1)).alias("n"))
-    docs = derive(s, d, "decorated")
-    stages = [
-        count("plan", plan), count("issues", docs.select(F.explode(T.unit_issues(F.col("text"), F.col("source"))).alias("i"))), count("chunks", _build(s, d)),
-        count("policies", derive(s, d, "chunks").where(rules.policy(F.col("content"), F.col("title"), F.col("url"))["confidence"] > 0)),
-        count("edges", build_edges(rules.categorize(derive(s, d, "chunks")), link_entities(*_link_inputs(s, d), least=0.3))),
-    ]
-    out = stages[0]
-    for x in stages[1:]:
-        out = out.unionByName(x)
-    return out
-
-
-QUERIES["k8_train"] = train
-
 # Lookups by intent, category, policy type and endpoint.
 QUICK = {"greeting": ["view_products", "view_services", "contact_support"], "product_inquiry": ["view_pricing", "talk_to_human"], "service_inquiry": ["view_pricing", "talk_to_human"], "pricing_inquiry": ["view_products", "talk_to_human"], "order_status": ["track_order", "contact_support"], "complaint": ["talk_to_human", "contact_support"], "human_request": ["talk_to_human"], "policy_inquiry": ["view_faqs", "contact_support"]}
 KNOWLEDGE = {"product_inquiry": "Products", "service_inquiry": "Services", "pricing_inquiry": "Products", "policy_inquiry": "Policies", "contact_inquiry": "Contact"}
@@ -217,7 +180,17 @@ QUERIES["c2_split_code_fences"] = lambda s, d: K.chunk_texts(_structured(s, d)).
 ORACLE["c2_split_code_fences"] = "SELECT doc_id, 'code' AS content FROM documents WHERE doc_id % 3 = 0"
 QUERIES["c5_pack_sentences"] = lambda s, d: K.chunk_texts(table(s, d, "documents").select("doc_id", "text"), size=400, overlap=60).where("kind = 'paragraph'").groupBy("doc_id").agg(F.count(F.lit(1)).alias("pieces"), F.max(F.length("content")).alias("longest"))
 QUERIES["c6_chunk_blocks"] = lambda s, d: K.chunk_texts(_structured(s, d)).where("section IS NOT NULL").groupBy("section", "kind").agg(F.count(F.lit(1)).alias("n"))
-QUERIES["c9_content_units"] = lambda s, d: content_units(parsed(s, d), table(s, d, "documents")).select("unit_id", "kind", F.length("content").alias("n_chars"))
+
+
+def _pictures(s: SparkSession, d: str) -> DataFrame:
+    said = lambda t, n: F.struct(F.lit(t).alias("text"), F.lit(n).alias("confidence"))
+    return table(s, d, "pages").select("page_id", F.when(F.col("page_id") % 3 == 0, F.array(said("Sale today", 91.5), said("  ", 10.0))).otherwise(F.array().cast("array<struct<text:string,confidence:double>>")).alias("ocr"))
+
+
+QUERIES["c9_content_units"] = lambda s, d: content_units(parsed(s, d), table(s, d, "documents"), _pictures(s, d)).where("kind <> 'page'").select("unit_id", "kind", "title", "ocr", F.length("content").alias("n_chars"))
+ORACLE["c9_content_units"] = """SELECT 'doc:' || doc_id AS unit_id, 'document' AS kind, NULL::VARCHAR AS title, NULL::DOUBLE AS ocr, length(text) AS n_chars FROM documents
+UNION ALL SELECT 'faq:' || page_id || ':0', 'faq', 'Why?', NULL, length('Q: Why?' || chr(10) || 'A: Because.') FROM pages WHERE page_id % 6 = 4
+UNION ALL SELECT 'picture:' || page_id || ':0', 'picture', replace(replace(replace(replace(trim(regexp_replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '\\s+', ' ', 'g')), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), 91.5, 10 FROM pages WHERE page_id % 3 = 0"""
 
 
 def page_languages(docs: DataFrame) -> DataFrame:

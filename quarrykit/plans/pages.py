@@ -181,12 +181,19 @@ QUERIES["s6_read_text"] = lambda s, d: table(s, d, "documents").select("doc_id",
 ORACLE["s6_read_text"] = f"SELECT doc_id, length({trim('text')}) AS n_chars FROM documents"
 
 
-def content_units(pages: DataFrame, docs: DataFrame) -> DataFrame:
-    """unit_id, kind, title, content: page, document and FAQ units in one relation."""
+def content_units(pages: DataFrame, docs: DataFrame, pictures: DataFrame | None = None) -> DataFrame:
+    """unit_id, kind, title, content, ocr: page, picture, document and FAQ units in one relation.
+
+    pictures: page_id, ocr (array<struct<text, confidence>>), text read in a page's pictures (blank ones are left out).
+    """
     page = pages.select(F.concat(F.lit("page:"), "page_id").alias("unit_id"), F.lit("page").alias("kind"), F.col("page.title").alias("title"), P.clean_text(F.col("page")).alias("content"))
     faq = pages.select("page_id", F.posexplode("page.faqs").alias("i", "f")).select(F.concat(F.lit("faq:"), "page_id", F.lit(":"), "i").alias("unit_id"), F.lit("faq").alias("kind"), F.col("f.question").alias("title"), F.concat(F.lit("Q: "), "f.question", F.lit("\nA: "), "f.answer").alias("content"))
     doc = docs.select(F.concat(F.lit("doc:"), "doc_id").alias("unit_id"), F.lit("document").alias("kind"), F.col("text").alias("content"))
-    return page.unionByName(faq).unionByName(doc, allowMissingColumns=True)
+    every = page.unionByName(faq).unionByName(doc, allowMissingColumns=True).withColumn("ocr", F.lit(None).cast("double"))
+    if pictures is None:
+        return every
+    read = pictures.select("page_id", F.posexplode("ocr").alias("i", "o")).where(F.trim("o.text") != "").join(pages.select("page_id", F.col("page.title").alias("title")), "page_id")
+    return every.unionByName(read.select(F.concat(F.lit("picture:"), "page_id", F.lit(":"), "i").alias("unit_id"), F.lit("picture").alias("kind"), "title", F.col("o.text").alias("content"), F.col("o.confidence").cast("double").alias("ocr")))
 
 
 QUERIES["u1_union_units"] = lambda s, d: content_units(_parsed(s, d), table(s, d, "documents")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
