@@ -181,9 +181,11 @@ def looks_like_code(c: Column) -> Column:
     return (F.size(lines) >= 2) & (F.size(marks) / F.greatest(F.size(lines), F.lit(1)) >= 0.5)
 
 
+# What a full stop does not end, and the ends of sentences (read alike by Java and the regex module).
+ABBREVIATIONS = r"(?:[A-Z]|Mr|Ms|Dr|Sr|Jr|St|vs|No|Mrs|etc|Inc|Ltd|Prof|e\.g|i\.e)"
+SENTENCE_END = rf"(?<=[.!?]|[.!?][\"'”’)])(?<!(?:^|[^\p{{L}}\p{{N}}_]){ABBREVIATIONS}\.)\s+"
+
+
 def split_sentences(c: Column) -> Column:
     """Sentences at an end mark (with a closing quote) before white space; abbreviations, initials and decimals do not end one."""
-    start = r"(?:^|[^\p{L}\p{N}_])"
-    known = r"(?:[A-Z]|Mr|Ms|Dr|Sr|Jr|St|vs|No|Mrs|etc|Inc|Ltd|Prof|e\.g|i\.e)"
-    ends = rf"(?<=[.!?]|[.!?][\"'”’)])(?<!{start}{known}\.)\s+"
-    return F.filter(F.split(trim_spaces(c), ends), lambda s: F.length(s) > 0)
+    return F.filter(F.split(trim_spaces(c), SENTENCE_END), lambda s: F.length(s) > 0)

@@ -109,7 +109,7 @@ QUERIES["r6_request_metrics"] = lambda s, d: E.finish(E.request_metrics(_request
 ORACLE["r6_request_metrics"] = f"""SELECT * FROM (SELECT date_trunc('hour', ts) AS hour, method, route, status, count(*) AS n, round(sum(seconds), 6) AS total, {_le} FROM {REQ} GROUP BY 1, 2, 3, 4)
 WHERE hour + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)"""
 QUERIES["r3_rate_limit"] = lambda s, d: E.finish(E.folded(E.with_seconds(E.stream(s, d, "events").select("user_id", "event_id", "ts")), "user_id", E.TokenBucket(2, 0.00005), "event_id long, user_id long, allowed boolean"))
-QUERIES["r4_repeat_queries"] = lambda s, d: E.finish(E.folded(E.with_seconds(E.stream(s, d, "events").select(F.concat("user_id", "event_type").alias("key"), "event_id", "ts")), "key", E.Repeats(3600.0), "event_id long, key string, hit boolean"))
+QUERIES["r4_repeat_queries"] = lambda s, d: E.finish(E.folded(E.with_seconds(E.stream(s, d, "events").select(F.concat("user_id", "event_type").alias("key"), "event_id", "ts")), "key", E.Repeats(60.0), "event_id long, key string, hit boolean"))
 QUERIES["r5_outages"] = lambda s, d: E.finish(E.folded(E.with_seconds(E.stream(s, d, "events").select((F.col("user_id") % 20).alias("connector_id"), "event_id", "ts", (F.col("event_type") != "error").alias("ok"))), "connector_id", E.Breaker(3, 60.0), "event_id long, connector_id long, outcome string, state string"))
 QUERIES["r8_escalations"] = lambda s, d: E.finish(E.folded(E.stream(s, d, "conversations").where("role = 'assistant'").select("conv_id", F.col("turn").alias("event_id"), F.col("turn").cast("double").alias("seconds"), ((F.col("conv_id") * 7 + F.col("turn") * 3) % 10).isin(9, 0, 1, 2, 3).alias("weak")), "conv_id", E.Streak(), "event_id long, conv_id long, streak int, escalate boolean"))
 ORACLE["r8_escalations"] = """WITH t AS (SELECT *, CASE WHEN (conv_id * 7 + turn * 3) % 10 IN (9, 0, 1, 2, 3) THEN 1 ELSE 0 END AS weak FROM conversations WHERE role = 'assistant'),
@@ -121,11 +121,11 @@ def _apply(s: SparkSession, d: str) -> DataFrame:
     folder = f"{checkpoint_dir(s)}/apply-{uuid.uuid4().hex}"
     prev = derive(s, d, "doc_prev").select(F.col("doc_id").alias("chunk_id"), "text", F.lit(0).alias("seq"))
     cur = derive(s, d, "doc_cur").select(F.col("doc_id").alias("chunk_id"), "text", F.lit(1).alias("seq"))
-    prev.coalesce(1).write.parquet(f"{folder}/in/a")
-    cur.coalesce(1).write.mode("append").parquet(f"{folder}/in/b")
-    rows = s.readStream.schema(prev.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{folder}/in")
-    run = E.apply_changes(rows, f"{folder}/live", f"{folder}/archive")
-    rows.writeStream.foreachBatch(run).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    for name, changes in (("a", prev), ("b", cur)):  # a batch a snapshot, from where the stream left off
+        changes.write.parquet(f"{folder}/in/{name}")
+        rows = s.readStream.schema(prev.schema).option("recursiveFileLookup", "true").parquet(f"{folder}/in")
+        run = E.apply_changes(rows, f"{folder}/live", f"{folder}/archive")
+        rows.writeStream.foreachBatch(run).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
     return s.read.parquet(f"{folder}/live/v=1").select("chunk_id", "version", F.sha2("text", 256).alias("text_sha256"))
 
 

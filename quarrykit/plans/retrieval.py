@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import retrieval as R
 from ..operators.components import components
-from ..session import table
+from ..session import durable, table
 from .text import SP, trim, words_in
 
 QUERIES, ORACLE = {}, {}
@@ -175,9 +175,9 @@ ORACLE["j8_similar_pairs"] = f"SELECT a.vec_id AS a, b.vec_id AS b, {_dot} AS sc
 def duplicate_clusters(items: DataFrame, threshold: float) -> DataFrame:
     """id, cluster (smallest reachable id). ``items``: id, text, embedding. Equal contents and similar vectors link; the
     quadratic step runs over one representative per content."""
-    hashed = items.withColumn("h", T.content_hash(F.col("text")))
+    hashed = durable(items.select("id", "embedding", T.content_hash(F.col("text")).alias("h")))
     reps = hashed.groupBy("h").agg(F.min("id").alias("rep"))
-    vectors = items.join(reps, F.col("id") == F.col("rep"), "left_semi").select(F.col("id").alias("vec_id"), "embedding").where("embedding IS NOT NULL")
+    vectors = hashed.join(reps.select("rep"), F.col("id") == F.col("rep"), "left_semi").select(F.col("id").alias("vec_id"), "embedding").where("embedding IS NOT NULL")
     groups = components(R.similar_pairs(vectors, threshold).select("a", "b"))
     labelled = reps.join(groups, F.col("rep") == F.col("node"), "left").select("h", F.coalesce("component", "rep").alias("cluster"))
     return hashed.select("id", "h").join(labelled, "h").select("id", "cluster")

@@ -19,13 +19,15 @@ from ..operators.health import breaker, bucket_step, request_histogram
 from ..session import attach, checkpoint_dir
 
 WATERMARK = "1 hour"
+#: Seconds by which rows may be late.
+LATE = 3600.0
 
 
 def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The table as a stream of its files, whether it is one file or a folder (a glob fits both)."""
+    """The table as a stream of its files, whether it is one file or a folder (a glob fits both), at most some 1 GB of them a batch."""
     attach(spark)
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
+    return spark.readStream.schema(schema).option("maxBytesPerTrigger", str(1 << 30)).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
 def finish(df: DataFrame, mode: str = "append") -> DataFrame:
@@ -62,9 +64,12 @@ class _Fold(StatefulProcessor):
 
     schema: str
     columns: list[str]
+    #: Seconds without a row of its key after which a state may go (None: it stays), and whether it does.
+    idle: float | None = None
+    expires = False
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", self.schema)
+        self.state = handle.getValueState("state", self.schema, int(1000 * self.idle) if self.expires else None)
 
     def first(self, seconds: float) -> tuple:
         raise NotImplementedError
@@ -92,6 +97,7 @@ class TokenBucket(_Fold):
 
     def __init__(self, most: float, per_second: float):
         self.most, self.per_second = most, per_second
+        self.idle = most / per_second + LATE  # the bucket is full again
 
     def first(self, seconds: float) -> tuple:
         return (self.most, seconds)
@@ -122,6 +128,7 @@ class Repeats(_Fold):
 
     def __init__(self, ttl: float):
         self.ttl = ttl
+        self.idle = ttl + LATE  # no miss is that recent any more
 
     def first(self, seconds: float) -> tuple:
         return (float("-inf"),)
@@ -135,6 +142,7 @@ class Streak(_Fold):
     """Consecutive ungrounded answers of a conversation; two in a row escalate."""
 
     schema, columns = "n int", ["event_id", "conv_id", "streak", "escalate"]
+    idle = 7 * 86400.0  # a conversation that nobody continues
 
     def first(self, seconds: float) -> tuple:
         return (0,)
@@ -144,9 +152,12 @@ class Streak(_Fold):
         return (n,), (n, n >= 2)
 
 
-def folded(rows: DataFrame, key: str, processor: StatefulProcessor, schema: str) -> DataFrame:
+def folded(rows: DataFrame, key: str, processor: _Fold, schema: str, expires: bool = False) -> DataFrame:
+    """Rows of a key through the processor. ``expires``: states idle for the processor's time go, for streams that run on and
+    on (Spark counts that time by the clock, and a stream with such a time never ends by itself)."""
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    return rows.groupBy(key).transformWithStateInPandas(processor, outputStructType=schema, outputMode="append", timeMode="none")
+    processor.expires = expires and processor.idle is not None
+    return rows.groupBy(key).transformWithStateInPandas(processor, outputStructType=schema, outputMode="append", timeMode="processingTime" if processor.expires else "none")
 
 
 def with_seconds(events: DataFrame) -> DataFrame:

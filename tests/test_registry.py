@@ -12,8 +12,6 @@ from quarrykit import registry
 from tests.conftest import SF
 
 QUERIES, ORACLE = registry.queries(), registry.oracle_sql()
-#: Whole builds and streams run in the driver's own check; here they would double the time.
-SLOW = {"k7_build_knowledge", "k8_train"}
 
 
 @pytest.fixture(scope="module")
@@ -37,7 +35,7 @@ def test_every_oracle_has_a_query():
     assert set(ORACLE) <= set(QUERIES) and all(ORACLE.values())
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - SLOW))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
     df = QUERIES[name](spark, SF)
     columns = sorted(df.columns)
