@@ -55,8 +55,10 @@ TILE = 4096
 SMALL = 64
 #: Slots of the shingle counts that give the order of shingles.
 SLOTS = 1 << 18
+#: Texts whose shingles a task holds at a time.
+PART = 64
 #: Rounds in which a text meets one other, before the texts of different components meet.
-TURNS = 4
+TURNS = 2
 #: Similarity of shingle sets from which texts count as near-duplicates (the fingerprints alone: None).
 LEAST = 0.8
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -109,7 +111,7 @@ def shingle_counts(docs: DataFrame, k: int, text_col: str = "text") -> np.ndarra
 
     def count(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray]:
         found = np.zeros(SLOTS, np.int64)
-        for _, bodies in byte_texts(batches, text=0):
+        for _, bodies in byte_texts(batches, text=0, rows=PART):
             for body in bodies:
                 np.add.at(found, (shingles(body, k) % np.uint64(SLOTS)).astype(np.int64), 1)
         return [found]
@@ -130,7 +132,7 @@ def prefixes(docs: DataFrame, k: int, counts: np.ndarray, least: float, id_col:
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("body"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, bodies in byte_texts(batches):
+        for part, bodies in byte_texts(batches, rows=PART):
             every = [shingles(b, k) for b in bodies]
             fps = np.array([majority(h) for h in every], np.uint64).view(np.int64)
             sets = [np.unique(h) for h in every]
@@ -149,7 +151,7 @@ def shingle_sets(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("body"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, bodies in byte_texts(batches):
+        for part, bodies in byte_texts(batches, rows=PART):
             sets = [np.unique(shingles(b, k)).view(np.int64) for b in bodies]
             keys = [hashlib.md5(x.tobytes(), usedforsecurity=False).digest() for x in sets]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["id", "key", "hashes"])
