@@ -10,9 +10,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def modules() -> list:
-    from .plans import build, chat, evidence, health, knowledge, pages, retrieval, snapshots, technology, text
+    from .plans import build, chat, evidence, health, knowledge, pages, retrieval, snapshots, sources, technology, text
 
-    return [text, retrieval, snapshots, chat, health, pages, evidence, technology, knowledge, build]
+    return [text, retrieval, snapshots, chat, health, pages, evidence, technology, knowledge, build, sources]
 
 
 def queries() -> dict[str, Query]:
