@@ -169,8 +169,11 @@ def _apply_source(name: str):
 
 
 _text_source("s2_read_delimited", lambda: F.concat(F.lit("id,type\n\n"), "event_id", F.lit(',"'), "event_type", F.lit('"')))
+ORACLE["s2_read_delimited"] = """SELECT sha256('id,type' || chr(10) || chr(10) || event_id || ',"' || event_type || '"') AS source_sha256, 'id | type' || chr(10) || event_id || ' | ' || event_type AS text FROM events"""
 _text_source("s3_read_json_leaves", lambda: F.col("props"))
 _text_source("s4_read_xml_leaves", lambda: F.concat(F.lit("<e><id>"), "event_id", F.lit("</id><t>"), "event_type", F.when(F.col("event_id") % 5 == 0, "</t>").otherwise("</t></e>")))
+ORACLE["s4_read_xml_leaves"] = """SELECT sha256('<e><id>' || event_id || '</id><t>' || event_type || CASE WHEN event_id % 5 = 0 THEN '</t>' ELSE '</t></e>' END) AS source_sha256,
+  event_id || CASE WHEN event_id % 5 = 0 THEN ' ' ELSE chr(10) END || event_type AS text FROM events"""
 QUERIES["s1_load_crawl"] = lambda s, d: table(s, d, "pages").select("page_id", "url").join(table(s, d, "documents").groupBy(T.content_hash(F.col("text")).alias("h")).agg(F.min("doc_id").alias("doc_id")).select("doc_id"), F.col("page_id") == F.col("doc_id"), "left_semi")
 ORACLE["s1_load_crawl"] = f"SELECT page_id, url FROM pages WHERE page_id IN (SELECT min(doc_id) FROM documents GROUP BY {trim(f'''regexp_replace(lower(text), '{SP}+', ' ', 'g')''')})"
 QUERIES["s8_sitemap_urls"] = lambda s, d: table(s, d, "pages").select(F.concat(F.lit('<urlset xmlns="http://s"><url><loc>'), F.replace(F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("</loc></url></urlset>")).alias("body")).select(F.explode(F.xpath("body", F.lit("//*[local-name()='url']/*[local-name()='loc']/text()"))).alias("url"))
