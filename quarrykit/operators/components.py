@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import durable
+from ..session import durable, release
 
 
 def _edges(df: DataFrame) -> DataFrame:
@@ -35,7 +35,8 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     now = durable(_edges(edges))
     mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     for _ in range(rounds):
-        now = durable(_small_star(_large_star(now)))
+        before, now = now, durable(_small_star(_large_star(now)))
+        release(before)
         after = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if after == mark:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component"))

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import health as H
-from ..session import checkpoint_dir, table
+from ..session import scratch, table
 from ..streaming import events as E
 from .inputs import INPUTS, derive, sql_of
 from .text import SP, trim
@@ -85,7 +84,7 @@ def append_log(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-QUERIES["s11_append_log"] = lambda s, d: (lambda p, e: (append_log(e.where("event_id % 2 = 0"), p), append_log(e.where("event_id % 2 = 1"), p))[1].groupBy(F.col("day").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("n")))(f"{checkpoint_dir(s)}/log-{uuid.uuid4().hex}", table(s, d, "events"))
+QUERIES["s11_append_log"] = lambda s, d: (lambda p, e: (append_log(e.where("event_id % 2 = 0"), p), append_log(e.where("event_id % 2 = 1"), p))[1].groupBy(F.col("day").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("n")))(scratch(s, "log"), table(s, d, "events"))
 ORACLE["s11_append_log"] = "SELECT ts::DATE::VARCHAR AS day, count(*) AS n FROM events GROUP BY 1"
 
 # Streams
@@ -118,7 +117,7 @@ SELECT turn AS event_id, conv_id, n::INTEGER AS streak, n >= 2 AS escalate FROM
 
 
 def _apply(s: SparkSession, d: str) -> DataFrame:
-    folder = f"{checkpoint_dir(s)}/apply-{uuid.uuid4().hex}"
+    folder = scratch(s, "apply")
     prev = derive(s, d, "doc_prev").select(F.col("doc_id").alias("chunk_id"), "text", F.lit(0).alias("seq"))
     cur = derive(s, d, "doc_cur").select(F.col("doc_id").alias("chunk_id"), "text", F.lit(1).alias("seq"))
     for name, changes in (("a", prev), ("b", cur)):  # a batch a snapshot, from where the stream left off

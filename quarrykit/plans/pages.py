@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +10,7 @@ from ..functions import text as T
 from ..operators import chunks as K
 from ..operators import rules as R
 from ..operators.health import recency
-from ..session import checkpoint_dir, table
+from ..session import scratch, table
 from ..sources import pages as P
 from .inputs import derive, sql_of
 from .text import SP, trim
@@ -141,7 +140,7 @@ ORACLE["c8_table_to_markdown"] = "SELECT n_regionkey, '| key | name |' || chr(10
 
 def _written(s: SparkSession, rows: DataFrame, suffix: str) -> DataFrame:
     """Texts written one per file and read back whole, as the file sources read them."""
-    path = f"{checkpoint_dir(s)}/texts-{uuid.uuid4().hex}"
+    path = scratch(s, "texts")
     rows.repartition(4).write.option("lineSep", "\u0000").text(path)
     return s.read.text(path, lineSep="\u0000")
 

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import rules
-from ..session import checkpoint_dir, table
+from ..session import scratch, table
 from .inputs import derive
 from .pages import _cat as _categories
 
@@ -56,7 +55,7 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
 
 def _files(s: SparkSession, d: str) -> DataFrame:
     """Suppliers' names in one file a nation, read back whole."""
-    path = f"{checkpoint_dir(s)}/files-{uuid.uuid4().hex}"
+    path = scratch(s, "files")
     rows = table(s, d, "supplier").select("s_nationkey", "s_suppkey", "s_name").repartition("s_nationkey").sortWithinPartitions("s_nationkey", "s_suppkey")
     rows.select("s_nationkey", F.concat(F.lit(" "), "s_name", F.lit(" ")).alias("value")).write.partitionBy("s_nationkey").text(path)
     return read_text(s, path).select(F.col("s_nationkey").cast("long").alias("s_nationkey"), F.sha2("value", 256).alias("text_sha256"))

@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Partitions that one shuffle may have: more cost the driver more than they save.
+MOST_PARTITIONS = 1 << 17
+_homes: dict[str, str] = {}
 _ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
@@ -22,24 +27,53 @@ def attach(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``), or one of our own where it is unset, as in tests."""
+    """The cluster's shared folder (``spark.checkpoint.dir``). Only a session in one process (``local[...]``, as in tests) may leave
+    it unset and gets a temporary folder; on a cluster that is an error, as executors do not share local folders."""
     sc = spark.sparkContext
-    shared = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    shared = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if shared:
-        if not sc.getCheckpointDir():
-            sc.setCheckpointDir(shared)
         return shared
-    if not sc.getCheckpointDir():
-        own = tempfile.mkdtemp(prefix="quarrykit-checkpoints-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        sc.setCheckpointDir(own)
+    if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    own = tempfile.mkdtemp(prefix="quarrykit-checkpoints-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    sc.setCheckpointDir(own)
     return sc.getCheckpointDir()
 
 
+def scratch(spark: SparkSession, name: str = "table") -> str:
+    """A new path in this session's own folder of the shared one; the session's folder goes when its JVM ends."""
+    home = _homes.get(spark.sparkContext.applicationId)
+    if home is None:
+        home = f"{checkpoint_dir(spark)}/quarrykit-{uuid.uuid4().hex}"
+        path, fs = _hadoop(spark, home)
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        _homes[spark.sparkContext.applicationId] = home
+    return f"{home}/{name}-{uuid.uuid4().hex}"
+
+
+def _hadoop(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back: later jobs survive a lost executor without recomputing it."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` written as Parquet to the shared folder and read again: later jobs survive a lost executor without recomputing it,
+    and plans on top start from its real size."""
+    folder = scratch(df.sparkSession)
+    df.write.parquet(folder)
+    found = df.sparkSession.read.schema(df.schema).parquet(folder)
+    found._durable_folder = folder
+    return found
+
+
+def release(df: DataFrame) -> None:
+    """Delete the files of a ``durable`` table that nothing will read again, as in loops that write one a round."""
+    folder = getattr(df, "_durable_folder", None)
+    if folder is not None:
+        path, fs = _hadoop(df.sparkSession, folder)
+        fs.delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,10 +81,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def partitions_for(df: DataFrame, mb: int = 8) -> int:
-    """Shuffle partitions that hold about ``mb`` MB of ``df``'s input each, never fewer than the session's setting.
+    """Shuffle partitions for about ``mb`` MB each of the bytes that ``df`` reads: never fewer than the session's setting, nor more
+    than ``MOST_PARTITIONS``. Sizes are those of the plan's sources, whose sum a join cannot exceed as Spark's guess for it does.
 
-    Falls back on the session's setting where Spark has no size for the plan (rows from the driver, checkpoints).
+    A source without a size (rows of an RDD) counts nothing.
     """
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return least if size > 1 << 50 else max(least, -(-size // (mb << 20)))
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    size = sum(x for x in sizes if x < 1 << 60)
+    return max(least, min(MOST_PARTITIONS, -(-size // (mb << 20))))

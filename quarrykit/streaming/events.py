@@ -6,7 +6,6 @@ in the queries, so a finished stream equals its batch twin. State and output liv
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -16,7 +15,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import text as T
 from ..operators.health import breaker, bucket_step, request_histogram
-from ..session import attach, checkpoint_dir
+from ..session import attach, scratch
 
 WATERMARK = "1 hour"
 #: Seconds by which rows may be late.
@@ -33,7 +32,7 @@ def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def finish(df: DataFrame, mode: str = "append") -> DataFrame:
     """Run the stream over what there is and read its output."""
     spark = df.sparkSession
-    folder = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    folder = scratch(spark, "stream")
     query = df.writeStream.format("parquet").outputMode(mode).option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{folder}/out")
