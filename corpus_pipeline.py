@@ -10,13 +10,11 @@ empty result in every stage.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrykit.llm import decontaminate, language_id, line_dedup, packing, simhash_dedup
-from quarrykit.session import checkpoint_dir, table
+from quarrykit.session import scratch, table
 
 #: Name of the stages' own column, which no table has.
 OWN = "__corpus_pipeline"
@@ -75,7 +73,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; between stages the table is written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
-    folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder = scratch(spark, "pipeline")
     for number, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if number < len(STAGES) - 1:
