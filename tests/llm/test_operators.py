@@ -314,8 +314,9 @@ def test_chat_keeps_nameless_and_repeated_results(spark):
     results = spark.createDataFrame([(1, None, 5, "one"), (1, None, 6, "two"), (1, None, 6, "two"), (1, "a", 7, "late"), (1, "a", 3, "early")], "conv_id long, call_id string, turn long, content string")
     got = chat_format.link_calls(calls, results).collect()
     assert sorted((r.turn, r.json) for r in got if r.status == "orphan") == [(5, '{"content":"one"}'), (6, '{"content":"two"}'), (6, '{"content":"two"}')]
-    (a,) = [r for r in got if r.call_id == "a"]
-    assert a.result_copies == 2 and '"content":"early"' in a.json and a.turn == 1
+    a, late = sorted((r for r in got if r.call_id == "a"), key=lambda r: r.part)
+    assert a.result_copies == 1 and '"content":"early"' in a.json and a.turn == 1
+    assert (late.status, late.turn, late.part, late.json) == ("repeat", 7, 2, '{"content":"late","id":"a"}')
     assert [r.errors for r in got if r.status == "invalid"] == ["bad_json"]
     messages = spark.createDataFrame([(1, 0, "user", None)], "conv_id long, turn long, role string, text string")
     assert '{"role":"user"}' in [r.json for r in chat_format.format_chat(messages, calls, results).collect()]
@@ -361,8 +362,10 @@ def test_chat_links(spark):
         "conv_id long, call_id string, turn long, name string, arguments string, depends_on array<string>",
     )
     results = spark.createDataFrame([(1, "a", 2, "found"), (1, "zz", 8, "lost"), (1, "b", 3, None)], "conv_id long, call_id string, turn long, content string")
-    got = {(r.conv_id, r.call_id): r for r in chat_format.link_calls(calls, results).collect()}
-    assert got[1, "a"].status == "ok" and got[1, "a"].copies == 2 and got[1, "a"].level == 0
+    found = chat_format.link_calls(calls, results).collect()
+    assert [(r.turn, r.status, r.errors) for r in found if r.status == "repeat"] == [(9, "repeat", "missing:limit;missing:query")]
+    got = {(r.conv_id, r.call_id): r for r in found if r.status != "repeat"}
+    assert got[1, "a"].status == "ok" and got[1, "a"].copies == 1 and got[1, "a"].level == 0
     assert got[1, "a"].json == '{"arguments":{"limit":3,"query":"x"},"content":"found","id":"a","level":0,"name":"search"}'
     assert got[1, "b"].errors == "missing:query;type:limit" and got[1, "b"].level == 1
     assert got[1, "c"].errors == "unknown_tool" and got[1, "c"].level == 2
@@ -373,6 +376,38 @@ def test_chat_links(spark):
     assert chat_format.digest(none).count() == 0
 
 
+def test_chat_null_turns_conversations_and_repeats(spark):
+    kind = "conv_id long, call_id string, turn long, name string, arguments string, depends_on array<string>"
+    good = '{"query": "x", "limit": 3}'
+    calls = [(1, "a", None, "search", good, []), (None, "b", 1, "search", good, []), (None, "b", 2, "search", "{}", []), (2, "c", 1, "search", good, []), (2, "c", 1, "search", good, []), (2, "c", 4, "search", "{}", [])]
+    results = [(1, "a", 2, "one"), (1, "a", 3, "two"), (None, "b", 3, "x"), (None, "b", 3, "y"), (2, "c", None, None)]
+    got = chat_format.link_calls(spark.createDataFrame(calls, kind), spark.createDataFrame(results, "conv_id long, call_id string, turn long, content string")).collect()
+    rows = sorted((r.conv_id or 0, r.call_id, r.part, r.status, r.copies, r.result_copies) for r in got)
+    assert rows == [
+        (0, "b", 1, "invalid", 1, 0), (0, "b", 1, "no_result", 1, 0), (0, "b", 2, "orphan", 0, 1), (0, "b", 2, "orphan", 0, 1),
+        (1, "a", 1, "ok", 1, 1), (1, "a", 2, "repeat", 0, 1), (2, "c", 1, "ok", 2, 1), (2, "c", 1, "repeat", 1, 0),
+    ]
+
+
+def test_chat_ladder_of_200_levels(spark, monkeypatch):
+    """Each call needs all calls of the level before; rounds follow the logarithm of the depth."""
+    rounds = []
+    durable = chat_format.durable
+    monkeypatch.setattr(chat_format, "durable", lambda df: rounds.append(1) or durable(df))
+    rows = [(c, f"{i}-{j}", [f"{i - 1}-{k}" for k in range(n)] if i else []) for c, n in ((1, 2), (2, 8)) for i in range(200) for j in range(n)]
+    got = chat_format.levels(spark.createDataFrame(rows, "conv_id long, call_id string, depends_on array<string>")).collect()
+    assert len(got) == len(rows) and all(r.level == int(r.call_id.split("-")[0]) for r in got)
+    assert len(rounds) <= 10
+
+
+def test_many_languages_of_few_rows(spark):
+    rng = random.Random(3)
+    signs = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(i, " ".join("".join(rng.choice(signs[k % 26] + signs[k // 26] + "eio") for _ in range(6)) for _ in range(30)), f"l{k:02d}") for i, k in enumerate(range(30)) for i in range(i * 20, i * 20 + 20)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rows=20)
+    assert len(model.languages) == 30
+
+
 def test_chat_levels_match_longest_paths(spark):
     rng = random.Random(9)
     rows, want = [], {}
