@@ -33,6 +33,8 @@ from ..session import attach
 from ._text import bucket, texts
 
 NGRAMS, DIM, PIECE, LANDMARKS, FIT_ROWS = 4, 1 << 14, 4096, 256, 4000
+#: Labelled rows of a language that are learned at least, however many languages there are.
+MIN_ROWS = 20
 #: Pieces in one matrix product.
 BATCH = 128
 UNDETERMINED = "und"
@@ -116,12 +118,13 @@ def fit_rows(x: np.ndarray, languages: list[str], landmarks: int = LANDMARKS, ri
 
 
 def fit(docs: DataFrame, rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Fit on at most ``rows`` labelled rows outside the held-out fifth."""
+    """Fit on at most ``rows`` labelled rows outside the held-out fifth, or ``MIN_ROWS`` a language where that is more."""
     attach(docs.sparkSession)
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (bucket(id_col, 5) != 0))
     counts = {r[0]: r[1] for r in known.groupBy(F.col(lang_col).cast("string")).count().collect()}
-    quota = rows // max(1, len(counts))
+    quota = max(MIN_ROWS, rows // max(1, len(counts)))
     chance = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, int(min(1.0, quota / n) * (1 << 30)))]) if counts else None
+    most = quota * max(1, len(counts))
     drawn = known.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30)) < chance[F.col(lang_col).cast("string")]) if counts else known
     sample = drawn.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("body"))
 
@@ -132,7 +135,7 @@ def fit(docs: DataFrame, rows: int = FIT_ROWS, id_col: str = "doc_id", text_col:
             bits = [np.packbits(presence(p)).tobytes() for p in chosen]
             yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(keep, pa.int64())), pa.array(bits, pa.binary())], ["lang", "bits"])
 
-    got = sample.mapInArrow(run, "lang string, bits binary").limit(2 * rows).collect()
+    got = sample.mapInArrow(run, "lang string, bits binary").limit(2 * most).collect()
     got.sort(key=lambda r: (r["lang"], bytes(r["bits"])))
     order = np.random.default_rng(7).permutation(len(got))
     x = np.array([np.unpackbits(np.frombuffer(got[i]["bits"], np.uint8)) for i in order], bool).reshape(-1, DIM)
