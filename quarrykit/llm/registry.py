@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import chat_format, decontaminate, exact_dedup, language_id, line_dedup, packing, quality_pu, simhash_dedup, source_mixing, substring_dedup, token_counts
+from . import chat_format, conversation_repair, decontaminate, embedding_whitening, exact_dedup, language_id, line_dedup, packing, quality_pu, simhash_dedup, source_mixing, substring_dedup, token_counts
 
 
 def _documents(operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -31,6 +31,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_packing": _documents(packing.digest),
         "op10_language_id": _documents(language_id.digest),
         "op11_source_mixing": _documents(source_mixing.digest),
+        "op12_conversation_repair": lambda spark, sf_dir: conversation_repair.digest(table(spark, sf_dir, "conversations")),
+        "op13_embedding_whitening": lambda spark, sf_dir: embedding_whitening.digest(table(spark, sf_dir, "embeddings")),
     }
 
 
