@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .folds import Breaker, TokenBucket, fold, microseconds
+
 # Fixed value: upper bounds of the latency histogram in seconds.
 BUCKETS = [0.01, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0]
 
@@ -39,65 +38,15 @@ def request_histogram(requests: DataFrame, *keys: str | Column) -> DataFrame:
     return requests.groupBy(*keys, "method", "route", "status").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("seconds"), 6).alias("total"), *le)
 
 
-def breaker(state: tuple, ok: bool, ts: float, limit: int, reset: float) -> tuple[tuple, str]:
-    """One call through a circuit breaker: (state, failures, opened at) before and after, and what the call met."""
-    name, failures, opened = state
-    if name == "OPEN":
-        if ts - opened < reset:
-            return state, "REJECTED"
-        name = "HALF_OPEN"
-    if ok:
-        return ("CLOSED", 0, 0.0), "PASSED"
-    failures += 1
-    if name == "HALF_OPEN" or failures >= limit:
-        return ("OPEN", failures, ts), "TRIPPED"
-    return ("CLOSED", failures, 0.0), "FAILED"
-
-
 def outage_states(calls: DataFrame, limit: int = 3, reset: float = 60.0) -> DataFrame:
-    """event_id, connector_id, outcome, state after each call, folded in time order per connector.
-
-    Connectors are few and their logs long, so a log streams through its task in sorted batches instead of one data frame.
-    """
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, state = None, ("CLOSED", 0, 0.0)
-        for batch in batches:
-            out = []
-            for key, event, ts, ok in batch[["connector_id", "event_id", "seconds", "ok"]].itertuples(index=False):
-                if key != now:
-                    now, state = key, ("CLOSED", 0, 0.0)
-                state, outcome = breaker(state, ok, ts, limit, reset)
-                out.append((event, key, outcome, state[0]))
-            yield pd.DataFrame(out, columns=["event_id", "connector_id", "outcome", "state"])
-
-    rows = calls.select("connector_id", "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("seconds"), (F.col("status") == "CONNECTED").alias("ok"))
-    return rows.repartition("connector_id").sortWithinPartitions("connector_id", "seconds", "event_id").mapInPandas(fold, "event_id long, connector_id long, outcome string, state string")
-
-
-def bucket_step(tokens: float, last: float, ts: float, most: float, per_second: float) -> tuple[float, bool]:
-    """Tokens after one request at ``ts`` and whether it was let through."""
-    tokens = min(most, tokens + max(0.0, ts - last) * per_second)
-    return (tokens - 1, True) if tokens >= 1 else (tokens, False)
+    """event_id, connector_id, outcome, state after each call, folded in time order per connector over as many tasks as its log needs."""
+    rows = calls.select("connector_id", "event_id", microseconds(F.col("ts")).alias("at"), (F.col("status") == "CONNECTED").alias("ok"))
+    return fold(rows, "connector_id", Breaker(limit, reset))[0]
 
 
 def rate_limit(requests: DataFrame, most: float, per_second: float) -> DataFrame:
     """event_id, user_id, allowed by a token bucket per user, in time order."""
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, tokens, last = None, most, 0.0
-        for batch in batches:
-            out = []
-            for key, event, ts in batch[["user_id", "event_id", "seconds"]].itertuples(index=False):
-                if key != now:
-                    now, tokens, last = key, most, ts
-                tokens, allowed = bucket_step(tokens, last, ts, most, per_second)
-                last = ts
-                out.append((event, key, allowed))
-            yield pd.DataFrame(out, columns=["event_id", "user_id", "allowed"])
-
-    rows = requests.select("user_id", "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("seconds"))
-    return rows.repartition("user_id").sortWithinPartitions("user_id", "seconds", "event_id").mapInPandas(fold, "event_id long, user_id long, allowed boolean")
+    return fold(requests.select("user_id", "event_id", microseconds(F.col("ts")).alias("at")), "user_id", TokenBucket(most, per_second))[0]
 
 
 def classify_error(status: Column, error: Column) -> Column:

@@ -11,11 +11,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..session import attach
+from .neighbors import BLOCK, best_of_blocks, kmeans, knn, similar_pairs, upto  # noqa: F401
 
 K1, B, RRF = 1.5, 0.75, 60
 MIN_CONFIDENCE, MAX_SOURCES, SATURATION, EXCERPT = 0.35, 3, 5.0, 300
-#: Vectors of one side in one block product.
-BLOCK = 4096
 
 
 def top(df: DataFrame, group: str, order: list[Column], k: int, rank: str = "rank") -> DataFrame:
@@ -52,89 +51,6 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    flat = column.combine_chunks()
-    return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1)
-
-
-def _sized(df: DataFrame) -> int:
-    return max(1, -(-df.count() // BLOCK))
-
-
-def _upto(n: int) -> Column:
-    return F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
-
-
-def knn(queries: DataFrame, vectors: DataFrame, k: int, least: float | None = None) -> DataFrame:
-    """query_id, vec_id, score, rank: exact neighbours by cosine. ``queries``: query_id, embedding; ``vectors``: vec_id, embedding.
-
-    Both sides fall into blocks of about ``BLOCK`` vectors and every pair of blocks is one matrix product in one task, which
-    keeps k rows per query; so no task holds more than two blocks. Vectors of another dimension raise an error.
-    """
-    attach(queries.sparkSession)
-    m, n = _sized(queries), _sized(vectors)
-    q = queries.select(F.col("query_id").alias("id"), "embedding", F.lit(0).alias("side"), F.pmod(F.xxhash64("query_id"), F.lit(m)).alias("i"), F.explode(_upto(n)).alias("j"))
-    v = vectors.select(F.col("vec_id").alias("id"), "embedding", F.lit(1).alias("side"), F.explode(_upto(m)).alias("i"), F.pmod(F.xxhash64("vec_id"), F.lit(n)).alias("j"))
-
-    return _best_of_blocks(q.unionByName(v), k, least)
-
-
-def _best_of_blocks(rows: DataFrame, k: int, least: float | None) -> DataFrame:
-    """The k best vectors (side 1) for each query (side 0) among those that meet it in some block (i, j), one product a block."""
-
-    def best(t: pa.Table) -> pa.Table:
-        side, ids = t.column("side").to_numpy(), t.column("id").to_numpy()
-        kinds = [pa.int64(), pa.int64(), pa.float64()]
-        if side.min() == side.max():
-            return pa.table([pa.array([], x) for x in kinds], names=["query_id", "vec_id", "score"])
-        x = _matrix(t.column("embedding"))
-        a, b = x[side == 0], x[side == 1]
-        qa, vb = ids[side == 0], ids[side == 1]
-        score = np.round(a @ b.T, 6)
-        order = np.argsort(vb, kind="stable")
-        score, vb = score[:, order], vb[order]
-        keep = np.argsort(-score, axis=1, kind="stable")[:, :k]
-        at = np.repeat(np.arange(len(qa)), keep.shape[1])
-        s = score[at, keep.ravel()]
-        good = np.ones(len(s), bool) if least is None else s >= least
-        columns = (qa[at][good], vb[keep.ravel()][good], s[good])
-        return pa.table([pa.array(c, x) for c, x in zip(columns, kinds, strict=True)], names=["query_id", "vec_id", "score"])
-
-    pairs = rows.groupBy("i", "j").applyInArrow(best, "query_id long, vec_id long, score double")
-    return top(pairs, "query_id", [F.desc("score"), F.asc("vec_id")], k)
-
-
-def similar_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
-    """a < b and their cosine of at least ``threshold``, exact, block pair by block pair; only pairs that pass leave a task."""
-    attach(vectors.sparkSession)
-    n = _sized(vectors)
-    own = F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
-    rows = vectors.select("vec_id", "embedding", own.alias("own"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("other"))
-    rows = rows.select("vec_id", "embedding", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-
-    def near(t: pa.Table) -> pa.Table:
-        ids, own, x = t.column("vec_id").to_numpy(), t.column("own").to_numpy(), _matrix(t.column("embedding"))
-        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        score = np.round(x[left] @ x[right].T, 6)
-        p, q = np.nonzero(score >= threshold)
-        a, b, s = ids[left[p]], ids[right[q]], score[p, q]
-        keep = a < b if i == j else np.ones(len(a), bool)
-        return pa.table([pa.array(np.minimum(a, b)[keep]), pa.array(np.maximum(a, b)[keep]), pa.array(s[keep])], names=["a", "b", "score"])
-
-    return rows.groupBy("i", "j").applyInArrow(near, "a long, b long, score double")
-
-
-def _centroids(x: np.ndarray, lists: int, rounds: int = 10) -> np.ndarray:
-    """Spherical k-means over a sample."""
-    c = x[np.random.default_rng(3).choice(len(x), min(lists, len(x)), replace=False)] if len(x) else np.zeros((1, 1))
-    for _ in range(rounds if len(x) else 0):
-        near = (x @ c.T).argmax(1)
-        c = np.array([x[near == i].mean(0) if (near == i).any() else c[i] for i in range(len(c))])
-        c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
-    return c
-
-
 def _probes(x: np.ndarray, c: np.ndarray, k: int, recall: float, queries: int = 300) -> int:
     """Lists to look into so that the share ``recall`` of the sample's own k nearest neighbours lies in them."""
     if len(x) <= k:
@@ -153,7 +69,7 @@ def ann(queries: DataFrame, vectors: DataFrame, k: int, lists: int | None = None
     Centroids come from a sample of at most ``sample`` vectors, drawn by a hash of the id; there are about as many as the root of the
     number of vectors (32 to 1024), so lists stay short as the table grows. Every vector is indexed under its nearest centroid and every
     query looks into its ``probes`` nearest lists, where scores are exact; their number is set so that the sample's own neighbours are
-    found at ``recall`` (few lists on clustered vectors, most of them on vectors without any structure). Lists split into blocks like those of ``knn``.
+    found at ``recall`` (few lists on clustered vectors, most of them on vectors without any structure). Lists split into blocks of ``BLOCK`` vectors.
     """
     attach(queries.sparkSession)
     total = vectors.count()
@@ -161,7 +77,7 @@ def ann(queries: DataFrame, vectors: DataFrame, k: int, lists: int | None = None
     rows = vectors.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int(part * (1 << 30))).select("vec_id", "embedding").limit(2 * sample).collect()
     rows.sort(key=lambda r: r["vec_id"])
     drawn = np.array([r["embedding"] for r in rows], np.float64)
-    c = _centroids(drawn, lists or max(32, min(1024, int(total**0.5))))
+    c = kmeans(drawn, lists or max(32, min(1024, int(total**0.5))))
     probes = probes or _probes(drawn, c, k, recall)
     n = max(1, -(-total // (BLOCK * len(c))))
 
@@ -176,10 +92,10 @@ def ann(queries: DataFrame, vectors: DataFrame, k: int, lists: int | None = None
         return run
 
     kind = "id long, embedding array<float>, near array<long>"
-    rows = lambda df, key, many: df.select(F.col(key).cast("long").alias("id"), F.col("embedding").cast("array<float>")).mapInArrow(assign(many), kind).select("id", "embedding", F.explode("near").alias("i"))
-    q = rows(queries, "query_id", probes).select("id", "embedding", F.lit(0).alias("side"), "i", F.explode(_upto(n)).alias("j"))
-    v = rows(vectors, "vec_id", 1).select("id", "embedding", F.lit(1).alias("side"), "i", F.pmod(F.xxhash64("id"), F.lit(n)).alias("j"))
-    return _best_of_blocks(q.unionByName(v), k, None)
+    rows = lambda df, key, many: df.select(F.col(key).cast("long").alias("id"), F.col("embedding").cast("array<float>")).mapInArrow(assign(many), kind).select("id", "embedding", F.explode("near").alias("block"))
+    q = rows(queries, "query_id", probes).select("id", "embedding", F.lit(0).alias("side"), "block", F.explode(upto(n)).alias("part"))
+    v = rows(vectors, "vec_id", 1).select("id", "embedding", F.lit(1).alias("side"), "block", F.pmod(F.xxhash64("id"), F.lit(n)).alias("part"))
+    return best_of_blocks(q.unionByName(v), k, None)
 
 
 def fuse(keyword: DataFrame, semantic: DataFrame, k: int, constant: int = RRF) -> DataFrame:

@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import health as H
+from ..operators.folds import Breaker, Repeats, Streak, TokenBucket
 from ..session import scratch, table
+from ..sources.buckets import Live
 from ..streaming import events as E
 from .inputs import INPUTS, derive, sql_of
 from .text import SP, trim
@@ -92,6 +94,15 @@ QUERIES["r1_first_seen"] = lambda s, d: E.finish(E.first_seen(E.stream(s, d, "do
 ORACLE["r1_first_seen"] = f"SELECT DISTINCT sha256({trim(f'''regexp_replace(lower(text), '{SP}+', ' ', 'g')''')}) AS content_hash FROM documents"
 
 
+_said = lambda: F.concat(F.lit(" Error "), F.col("user_id") % 50, F.lit(" on  "), "event_type")
+QUERIES["r1_repeats"] = lambda s, d: E.finish(E.repeats(E.stream(s, d, "events").select(_said().alias("text"), "ts"))).withColumn("first_at", F.col("first_at").cast("timestamp_ntz"))
+ORACLE["r1_repeats"] = """
+WITH e AS (SELECT sha256('error ' || user_id % 50 || ' on ' || event_type) AS h, ts, event_id FROM events),
+f AS (SELECT *, coalesce((epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY h ORDER BY ts, event_id)) > 1800000000, true)::INT AS f FROM e),
+g AS (SELECT *, sum(f) OVER (PARTITION BY h ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM f)
+SELECT h AS content_hash, min(ts) AS first_at, count(*) - 1 AS repeats FROM g GROUP BY h, k HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)"""
+
+
 QUERIES["r2_sessions"] = lambda s, d: E.finish(E.sessions(E.stream(s, d, "events"))).select("user_id", F.col("started").cast("timestamp_ntz").alias("started"), "n")
 ORACLE["r2_sessions"] = """
 WITH e AS (SELECT *, coalesce((epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id)) > 1800000000, true)::INT AS f FROM events),
@@ -107,10 +118,26 @@ def _requests(s: SparkSession, d: str) -> DataFrame:
 QUERIES["r6_request_metrics"] = lambda s, d: E.finish(E.request_metrics(_requests(s, d))).withColumn("hour", F.col("hour").cast("timestamp_ntz"))
 ORACLE["r6_request_metrics"] = f"""SELECT * FROM (SELECT date_trunc('hour', ts) AS hour, method, route, status, count(*) AS n, round(sum(seconds), 6) AS total, {_le} FROM {REQ} GROUP BY 1, 2, 3, 4)
 WHERE hour + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)"""
-QUERIES["r3_rate_limit"] = lambda s, d: E.finish(E.folded(E.with_seconds(E.stream(s, d, "events").select("user_id", "event_id", "ts")), "user_id", E.TokenBucket(2, 0.00005), "event_id long, user_id long, allowed boolean"))
-QUERIES["r4_repeat_queries"] = lambda s, d: E.finish(E.folded(E.with_seconds(E.stream(s, d, "events").select(F.concat("user_id", "event_type").alias("key"), "event_id", "ts")), "key", E.Repeats(60.0), "event_id long, key string, hit boolean"))
-QUERIES["r5_outages"] = lambda s, d: E.finish(E.folded(E.with_seconds(E.stream(s, d, "events").select((F.col("user_id") % 20).alias("connector_id"), "event_id", "ts", (F.col("event_type") != "error").alias("ok"))), "connector_id", E.Breaker(3, 60.0), "event_id long, connector_id long, outcome string, state string"))
-QUERIES["r8_escalations"] = lambda s, d: E.finish(E.folded(E.stream(s, d, "conversations").where("role = 'assistant'").select("conv_id", F.col("turn").alias("event_id"), F.col("turn").cast("double").alias("seconds"), ((F.col("conv_id") * 7 + F.col("turn") * 3) % 10).isin(9, 0, 1, 2, 3).alias("weak")), "conv_id", E.Streak(), "event_id long, conv_id long, streak int, escalate boolean"))
+def _r3(s: SparkSession, d: str) -> DataFrame:
+    return E.folded(E.timed_rows(E.stream(s, d, "events").select("user_id", "event_id", "ts")), "user_id", TokenBucket(2, 0.00005))[0]
+
+
+def _r4(s: SparkSession, d: str) -> DataFrame:
+    return E.folded(E.timed_rows(E.stream(s, d, "events").select(F.concat("user_id", "event_type").alias("key"), "event_id", "ts")), "key", Repeats(60.0))[0]
+
+
+def _r5(s: SparkSession, d: str) -> DataFrame:
+    calls = E.stream(s, d, "events").select((F.col("user_id") % 20).alias("connector_id"), "event_id", "ts", (F.col("event_type") != "error").alias("ok"))
+    return E.folded(E.timed_rows(calls), "connector_id", Breaker(3, 60.0))[0]
+
+
+def _r8(s: SparkSession, d: str) -> DataFrame:
+    weak = ((F.col("conv_id") * 7 + F.col("turn") * 3) % 10).isin(9, 0, 1, 2, 3)
+    turns = E.stream(s, d, "conversations").where("role = 'assistant'").select("conv_id", F.col("turn").alias("event_id"), (F.col("turn") * 1_000_000).alias("at"), weak.alias("weak"))
+    return E.folded(turns, "conv_id", Streak())[0]
+
+
+QUERIES |= {"r3_rate_limit": _r3, "r4_repeat_queries": _r4, "r5_outages": _r5, "r8_escalations": _r8}
 ORACLE["r8_escalations"] = """WITH t AS (SELECT *, CASE WHEN (conv_id * 7 + turn * 3) % 10 IN (9, 0, 1, 2, 3) THEN 1 ELSE 0 END AS weak FROM conversations WHERE role = 'assistant'),
 g AS (SELECT *, sum(1 - weak) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS k FROM t)
 SELECT turn AS event_id, conv_id, n::INTEGER AS streak, n >= 2 AS escalate FROM (SELECT *, sum(weak) OVER (PARTITION BY conv_id, k ORDER BY turn ROWS UNBOUNDED PRECEDING) AS n FROM g)"""
@@ -118,14 +145,15 @@ SELECT turn AS event_id, conv_id, n::INTEGER AS streak, n >= 2 AS escalate FROM
 
 def _apply(s: SparkSession, d: str) -> DataFrame:
     folder = scratch(s, "apply")
+    live = Live(s, f"{folder}/live", "chunk_id long, text string, version int", "chunk_id", 64)
     prev = derive(s, d, "doc_prev").select(F.col("doc_id").alias("chunk_id"), "text", F.lit(0).alias("seq"))
     cur = derive(s, d, "doc_cur").select(F.col("doc_id").alias("chunk_id"), "text", F.lit(1).alias("seq"))
     for name, changes in (("a", prev), ("b", cur)):  # a batch a snapshot, from where the stream left off
         changes.write.parquet(f"{folder}/in/{name}")
         rows = s.readStream.schema(prev.schema).option("recursiveFileLookup", "true").parquet(f"{folder}/in")
-        run = E.apply_changes(rows, f"{folder}/live", f"{folder}/archive")
+        run = E.apply_changes(live, f"{folder}/archive")
         rows.writeStream.foreachBatch(run).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
-    return s.read.parquet(f"{folder}/live/v=1").select("chunk_id", "version", F.sha2("text", 256).alias("text_sha256"))
+    return live.read().select("chunk_id", "version", F.sha2("text", 256).alias("text_sha256"))
 
 
 QUERIES["r7_apply_changes"] = _apply

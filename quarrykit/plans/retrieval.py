@@ -172,13 +172,20 @@ QUERIES["j8_similar_pairs"] = lambda s, d: R.similar_pairs(_vectors(s, d)[1], NE
 ORACLE["j8_similar_pairs"] = f"SELECT a.vec_id AS a, b.vec_id AS b, {_dot} AS score FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE {_dot} >= {NEAR}"
 
 
-def duplicate_clusters(items: DataFrame, threshold: float) -> DataFrame:
-    """id, cluster (smallest reachable id). ``items``: id, text, embedding. Equal contents and similar vectors link; the
-    quadratic step runs over one representative per content."""
-    hashed = durable(items.select("id", "embedding", T.content_hash(F.col("text")).alias("h")))
+QUERIES["j8_banded_pairs"] = lambda s, d: R.similar_pairs(_vectors(s, d)[1], NEAR, recall=0.95)
+
+
+def duplicate_clusters(items: DataFrame, threshold: float, recall: float | None = None) -> DataFrame:
+    """id, cluster (smallest reachable id). ``items``: id, text, embedding. Equal contents, equal vectors and similar vectors link.
+
+    Only one item of each content, and of those one of each vector, is compared with others; with ``recall`` by bands of signatures."""
+    hashed = durable(items.select("id", F.col("embedding").cast("array<float>").alias("embedding"), T.content_hash(F.col("text")).alias("h")))
     reps = hashed.groupBy("h").agg(F.min("id").alias("rep"))
-    vectors = hashed.join(reps.select("rep"), F.col("id") == F.col("rep"), "left_semi").select(F.col("id").alias("vec_id"), "embedding").where("embedding IS NOT NULL")
-    groups = components(R.similar_pairs(vectors, threshold).select("a", "b"))
+    vectors = durable(hashed.join(reps.select("rep"), F.col("id") == F.col("rep"), "left_semi").select(F.col("id").alias("vec_id"), "embedding").where("embedding IS NOT NULL"))
+    classes = durable(vectors.groupBy("embedding").agg(F.min("vec_id").alias("first")))
+    copies = vectors.join(classes, "embedding").where("vec_id <> first").select(F.col("vec_id").alias("a"), F.col("first").alias("b"))
+    pairs = R.similar_pairs(classes.select(F.col("first").alias("vec_id"), "embedding"), threshold, recall).select("a", "b")
+    groups = components(copies.unionByName(pairs))
     labelled = reps.join(groups, F.col("rep") == F.col("node"), "left").select("h", F.coalesce("component", "rep").alias("cluster"))
     return hashed.select("id", "h").join(labelled, "h").select("id", "cluster")
 

@@ -6,16 +6,17 @@ in the queries, so a finished stream equals its batch twin. State and output liv
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import json
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import text as T
-from ..operators.health import breaker, bucket_step, request_histogram
-from ..session import attach, scratch
+from ..operators.folds import Machine, fold, microseconds
+from ..operators.health import request_histogram
+from ..session import attach, durable, release, scratch
+from ..sources.buckets import Live
 
 WATERMARK = "1 hour"
 #: Seconds by which rows may be late.
@@ -43,6 +44,16 @@ def first_seen(docs: DataFrame) -> DataFrame:
     return docs.withColumn("content_hash", T.content_hash(F.col("text"))).dropDuplicates(["content_hash"]).select("content_hash")
 
 
+def repeats(rows: DataFrame, bound: str = "30 minutes") -> DataFrame:
+    """content_hash, first_at, repeats: first occurrences with how often they come again, each within ``bound`` of the one before.
+
+    ``rows``: text, ts. A hash is held until the watermark passes its last occurrence by ``bound``, then given out; so state follows the
+    hashes of that time, and an occurrence after it is a first one again.
+    """
+    grouped = timed(rows).groupBy(T.content_hash(F.col("text")).alias("content_hash"), F.session_window("ts", bound).alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    return grouped.select("content_hash", F.col("w.start").alias("first_at"), (F.col("n") - 1).alias("repeats"))
+
+
 def timed(events: DataFrame) -> DataFrame:
     return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", WATERMARK)
 
@@ -58,124 +69,75 @@ def request_metrics(requests: DataFrame, width: str = "1 hour") -> DataFrame:
     return found.withColumn("hour", F.col("w.start")).drop("w")
 
 
-class _Fold(StatefulProcessor):
-    """Rows of a key in time order through a step function with one state row."""
-
-    schema: str
-    columns: list[str]
-    #: Seconds without a row of its key after which a state may go (None: it stays), and whether it does.
-    idle: float | None = None
-    expires = False
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", self.schema, int(1000 * self.idle) if self.expires else None)
-
-    def first(self, seconds: float) -> tuple:
-        raise NotImplementedError
-
-    def step(self, state: tuple, row) -> tuple[tuple, tuple]:
-        raise NotImplementedError
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["seconds", "event_id"])
-        state = tuple(self.state.get()) if self.state.exists() else None
-        out = []
-        for row in batch.itertuples(index=False):
-            state = self.first(row.seconds) if state is None else state
-            state, result = self.step(state, row)
-            out.append((row.event_id, key[0], *result))
-        self.state.update(state)
-        yield pd.DataFrame(out, columns=self.columns)
-
-    def close(self) -> None:
-        pass
-
-
-class TokenBucket(_Fold):
-    schema, columns = "tokens double, last double", ["event_id", "user_id", "allowed"]
-
-    def __init__(self, most: float, per_second: float):
-        self.most, self.per_second = most, per_second
-        self.idle = most / per_second + LATE  # the bucket is full again
+def fold_batch(states: Live, out: str, key: str, machine: Machine, late: float = LATE, sweep: int = 16) -> Callable[[DataFrame, int], None]:
+    """foreachBatch function: a batch of (key, at, event_id, the machine's inputs) through the machine from where earlier batches left each key.
 
-    def first(self, seconds: float) -> tuple:
-        return (self.most, seconds)
-
-    def step(self, state: tuple, row) -> tuple[tuple, tuple]:
-        tokens, allowed = bucket_step(*state, row.seconds, self.most, self.per_second)
-        return (tokens, row.seconds), (allowed,)
-
-
-class Breaker(_Fold):
-    schema, columns = "name string, failures int, opened double", ["event_id", "connector_id", "outcome", "state"]
-
-    def __init__(self, limit: int, reset: float):
-        self.limit, self.reset = limit, reset
-
-    def first(self, seconds: float) -> tuple:
-        return ("CLOSED", 0, 0.0)
-
-    def step(self, state: tuple, row) -> tuple[tuple, tuple]:
-        state, outcome = breaker(state, bool(row.ok), row.seconds, self.limit, self.reset)
-        return state, (outcome, state[0])
-
-
-class Repeats(_Fold):
-    """A key within ``ttl`` seconds of its last miss is a hit; hits do not extend the time."""
-
-    schema, columns = "missed double", ["event_id", "key", "hit"]
-
-    def __init__(self, ttl: float):
-        self.ttl = ttl
-        self.idle = ttl + LATE  # no miss is that recent any more
+    Outcomes go to the batch's own folder below ``out`` and states to ``states`` (key, state, at), both once per batch id. Time is that of the
+    events: a state that a fresh key would have as well ``late`` seconds before the batch's last event is dropped. Buckets that the batch does not
+    touch are swept in turn, each at least every ``sweep`` batches, so states of keys that never come again go too.
+    """
 
-    def first(self, seconds: float) -> tuple:
-        return (float("-inf"),)
+    def run(batch: DataFrame, number: int) -> None:
+        rows = durable(batch)
+        last = rows.agg(F.max("at")).first()[0] or 0
+        before = states.read(number).select(F.col(key).alias("__key"), "state")
+        outcomes, after = fold(rows.join(before, F.col(key).eqNullSafe(F.col("__key")), "left").drop("__key"), key, machine, state="state")
+        outcomes.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    def step(self, state: tuple, row) -> tuple[tuple, tuple]:
-        hit = row.seconds - state[0] < self.ttl
-        return (state if hit else (row.seconds,)), (hit,)
+        @F.udf("boolean", useArrow=True)
+        def idle(state: str, now: int) -> bool:
+            return machine.fresh(json.loads(state), now)
 
+        def merge(old: DataFrame, new: DataFrame) -> DataFrame:
+            rest = old.join(new.select(F.col(key).alias("__key")), F.col(key).eqNullSafe(F.col("__key")), "left_anti")
+            return rest.unionByName(new.select(*old.columns)).where(~idle("state", F.lit(last - round(late * 1e6))))
 
-class Streak(_Fold):
-    """Consecutive ungrounded answers of a conversation; two in a row escalate."""
+        states.upsert(after, number, merge, also=range(number % sweep, states.buckets, sweep))
+        release(rows)
 
-    schema, columns = "n int", ["event_id", "conv_id", "streak", "escalate"]
-    idle = 7 * 86400.0  # a conversation that nobody continues
+    return run
 
-    def first(self, seconds: float) -> tuple:
-        return (0,)
 
-    def step(self, state: tuple, row) -> tuple[tuple, tuple]:
-        n = state[0] + 1 if row.weak else 0
-        return (n,), (n, n >= 2)
+def folded(rows: DataFrame, key: str, machine: Machine, late: float = LATE) -> tuple[DataFrame, Live]:
+    """Run the stream (key, at, event_id, the machine's inputs) over what there is: its outcomes, and the states that are left."""
+    spark, kind = rows.sparkSession, rows.schema[key].dataType.simpleString()
+    folder = scratch(spark, "folds")
+    states = Live(spark, f"{folder}/states", f"{key} {kind}, state string, at long", key)
+    run = fold_batch(states, f"{folder}/out", key, machine, late)
+    rows.writeStream.foreachBatch(run).option("checkpointLocation", f"{folder}/offsets").trigger(availableNow=True).start().awaitTermination()
+    schema = f"event_id long, {key} {kind}, {machine.outcomes}"
+    return (spark.read.schema(schema).parquet(f"{folder}/out") if states.exists() else spark.createDataFrame([], schema)), states
 
 
-def folded(rows: DataFrame, key: str, processor: _Fold, schema: str, expires: bool = False) -> DataFrame:
-    """Rows of a key through the processor. ``expires``: states idle for the processor's time go, for streams that run on and
-    on (Spark counts that time by the clock, and a stream with such a time never ends by itself)."""
-    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    processor.expires = expires and processor.idle is not None
-    return rows.groupBy(key).transformWithStateInPandas(processor, outputStructType=schema, outputMode="append", timeMode="processingTime" if processor.expires else "none")
+def timed_rows(events: DataFrame) -> DataFrame:
+    """``events`` with ``at`` (microseconds) for ``ts``."""
+    return events.withColumn("at", microseconds(F.col("ts"))).drop("ts")
 
 
-def with_seconds(events: DataFrame) -> DataFrame:
-    return events.withColumn("seconds", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).drop("ts")
+def latest(changes: DataFrame) -> DataFrame:
+    """A batch's last text of each chunk; ``changes``: chunk_id, text, seq."""
+    return changes.groupBy("chunk_id").agg(F.max_by("text", F.struct("seq", "text")).alias("text"))
 
 
-def apply_changes(changes: DataFrame, live: str, archive: str) -> Callable[[DataFrame, int], None]:
-    """foreachBatch function: versioned upsert of (chunk_id, text) into Parquet folders, once per batch id.
+def apply_changes(live: Live, archive: str) -> Callable[[DataFrame, int], None]:
+    """foreachBatch function: versioned upsert of (chunk_id, text, seq) into the live table (chunk_id, text, version), once per batch id.
 
-    Each batch writes a new version folder of the live table, so a repeated batch overwrites its own output only.
+    Only the buckets of a batch's chunks are written again. Texts that a batch replaces go to its own folder of the archive.
     """
 
     def run(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        old = spark.read.parquet(f"{live}/v={number - 1}") if number else spark.createDataFrame([], "chunk_id long, text string, version int")
-        new = batch.groupBy("chunk_id").agg(F.max_by("text", F.struct("seq")).alias("text"))
-        rows = old.select("chunk_id", F.col("text").alias("old"), "version").join(new, "chunk_id", "full_outer")
-        changed = F.col("text").isNotNull() & (F.col("version").isNull() | (T.content_hash(F.col("text")) != T.content_hash(F.col("old"))))
-        rows.select("chunk_id", F.when(changed, F.col("text")).otherwise(F.col("old")).alias("text"), (F.coalesce("version", F.lit(0)) + changed.cast("int")).alias("version")).write.mode("overwrite").parquet(f"{live}/v={number}")
-        rows.where(changed & F.col("version").isNotNull()).select("chunk_id", F.col("old").alias("text"), "version").write.mode("overwrite").parquet(f"{archive}/v={number}")
+        new = durable(latest(batch))
+        old = live.read(number).join(new.select("chunk_id"), "chunk_id", "left_semi")
+        rows = old.select("chunk_id", F.col("text").alias("old"), "version").join(new, "chunk_id")
+        changed = T.content_hash(F.col("text")) != T.content_hash(F.col("old"))
+        rows.where(changed).select("chunk_id", F.col("old").alias("text"), "version").write.mode("overwrite").parquet(f"{archive}/v={number}")
+
+        def merge(old: DataFrame, new: DataFrame) -> DataFrame:
+            rows = old.select("chunk_id", F.col("text").alias("old"), "version").join(new, "chunk_id", "full_outer")
+            changed = F.col("text").isNotNull() & (F.col("version").isNull() | (T.content_hash(F.col("text")) != T.content_hash(F.col("old"))))
+            return rows.select("chunk_id", F.when(changed, F.col("text")).otherwise(F.col("old")).alias("text"), (F.coalesce("version", F.lit(0)) + changed.cast("int")).alias("version"))
+
+        live.upsert(new, number, merge)
+        release(new)
 
     return run

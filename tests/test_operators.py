@@ -7,14 +7,12 @@ from pyspark.sql import functions as F
 from quarrykit.functions import text as T
 from quarrykit.operators import chat as C
 from quarrykit.operators import chunks as K
-from quarrykit.operators import health as H
 from quarrykit.operators import retrieval as R
 from quarrykit.operators import snapshots as S
 from quarrykit.operators.components import components
 from quarrykit.plans.text import unsafe_address
 from quarrykit.session import table
 from quarrykit.sources import pages as P
-from quarrykit.streaming import events as E
 from tests.conftest import SF
 
 
@@ -77,31 +75,6 @@ def test_ann_recall(spark):
     assert len(exact & near) / len(exact) >= 0.9
 
 
-def test_knn_blocks_agree(spark, monkeypatch):
-    v = table(spark, SF, "embeddings").select("vec_id", "embedding").limit(200).cache()
-    q = v.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
-    whole = {tuple(r) for r in R.knn(q, v, 5).collect()}
-    pairs = {tuple(r) for r in R.similar_pairs(v, 0.2).collect()}
-    monkeypatch.setattr(R, "BLOCK", 37)
-    assert {tuple(r) for r in R.knn(q, v, 5).collect()} == whole and {tuple(r) for r in R.similar_pairs(v, 0.2).collect()} == pairs
-
-
-def test_streams_equal_their_batch_twins(spark):
-    events = table(spark, SF, "events")
-    batch = {(r.event_id, r.allowed) for r in H.rate_limit(events, 2, 0.00005).collect()}
-    rows = E.with_seconds(E.stream(spark, SF, "events").select("user_id", "event_id", "ts"))
-    live = E.finish(E.folded(rows, "user_id", E.TokenBucket(2, 0.00005), "event_id long, user_id long, allowed boolean"))
-    assert {(r.event_id, r.allowed) for r in live.collect()} == batch and not all(a for _, a in batch)
-
-
-def test_breaker_states():
-    state, seen = ("CLOSED", 0, 0.0), []
-    for ts, ok in [(0, False), (1, False), (2, False), (3, True), (70, False), (71, True), (140, True), (141, True)]:
-        state, outcome = H.breaker(state, ok, ts, 3, 60)
-        seen.append((outcome, state[0]))
-    assert seen == [("FAILED", "CLOSED"), ("FAILED", "CLOSED"), ("TRIPPED", "OPEN"), ("REJECTED", "OPEN"), ("TRIPPED", "OPEN"), ("REJECTED", "OPEN"), ("PASSED", "CLOSED"), ("PASSED", "CLOSED")]
-
-
 def test_rolling_memory_is_bounded(spark):
     rows = spark.createDataFrame([(1, i, "user", f"Line {i} " + "x" * 150) for i in range(30)], "conv_id long, turn long, role string, text string")
     memory = C.rolling_memory(rows).first().memory
