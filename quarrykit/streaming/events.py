@@ -106,7 +106,8 @@ def folded(rows: DataFrame, key: str, machine: Machine, late: float = LATE) -> t
     run = fold_batch(states, f"{folder}/out", key, machine, late)
     rows.writeStream.foreachBatch(run).option("checkpointLocation", f"{folder}/offsets").trigger(availableNow=True).start().awaitTermination()
     schema = f"event_id long, {key} {kind}, {machine.outcomes}"
-    return (spark.read.schema(schema).parquet(f"{folder}/out") if states.exists() else spark.createDataFrame([], schema)), states
+    found = spark.read.schema(schema).parquet(f"{folder}/out").drop("batch") if states.exists() else spark.createDataFrame([], schema)
+    return found, states
 
 
 def timed_rows(events: DataFrame) -> DataFrame:
