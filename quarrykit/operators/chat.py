@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.columns import once
+from ..session import attach, durable
 
 # Intents with their keywords, in order.
 INTENTS = {
@@ -40,8 +42,9 @@ SUFFIXES = {
 }
 SUFFIX = " I don't want to guess, so I'd recommend reaching out to our support team for a definitive answer — or let me know if there's something else I can help with."
 MIN_CONFIDENCE = 0.35
-#: Characters of a known name that lead to its texts.
-GRAM = 3
+TOPICS = [i for i in INTENTS if i not in NOT_TOPICS]
+#: Bytes of known names that one automaton may hold.
+BLOCK_BYTES = 32 << 20
 
 
 def word_bounded(keyword: str) -> str:
@@ -107,28 +110,35 @@ def topic(intent: Column) -> Column:
 
 
 def topics(messages: DataFrame, n: int = 5) -> DataFrame:
-    """Adds recent_topics (distinct, newest first, up to and with this user message) and topic_switch."""
+    """Adds recent_topics (distinct, newest first, up to and with this user message) and topic_switch.
+
+    The topics are the intents of the rules, so a row needs the last turn of each and no list of what was said before.
+    """
     w = by_turn()
     said = F.when(F.col("role") == "user", topic(F.col("intent")))
-    rows = messages.withColumn("__t", said)
-    past = F.reverse(F.collect_list("__t").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = messages.withColumn("__t", said).withColumn("__n", F.row_number().over(w))
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    lasts = F.array_compact(F.array(*[F.when(F.col(f"__l{i}").isNotNull(), F.struct((-F.col(f"__l{i}")).alias("at"), F.lit(t).alias("topic"))) for i, t in enumerate(TOPICS)]))
+    rows = rows.withColumns({f"__l{i}": F.max(F.when(F.col("__t") == t, F.col("__n"))).over(upto) for i, t in enumerate(TOPICS)})
     last = F.last("__t", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return rows.withColumn("recent_topics", F.slice(F.array_distinct(past), 1, n)).withColumn("topic_switch", F.coalesce(F.col("__t") != last, F.lit(False))).drop("__t")
+    recent = F.slice(F.transform(F.array_sort(lasts), lambda x: x["topic"]), 1, n)
+    return rows.withColumn("recent_topics", recent).withColumn("topic_switch", F.coalesce(F.col("__t") != last, F.lit(False))).select(*messages.columns, "recent_topics", "topic_switch")
 
 
 def rolling_memory(messages: DataFrame, longest: int = 800) -> DataFrame:
-    """conv_id, memory: one sentence per turn; whole leading sentences go while it is too long, then characters from the left."""
-    line = F.concat(F.initcap("role"), F.lit(" said: "), F.regexp_replace(F.left(F.regexp_replace("text", r"\s+", " "), F.lit(120)), r"[.!?]", ""), F.lit("."))
-    lines = messages.select("conv_id", F.struct("turn", line.alias("line")).alias("l")).groupBy("conv_id").agg(F.array_sort(F.collect_list("l")).alias("ls"))
-
-    def add(memory: Column, item: Column) -> Column:
-        joined = F.array_append(memory, item["line"])
-        size = lambda xs: F.length(F.array_join(xs, " "))
-        starts = F.filter(F.sequence(F.lit(1), F.size(joined)), lambda i: size(F.slice(joined, i, F.size(joined))) <= longest)
-        return F.when(F.size(starts) > 0, F.slice(joined, F.array_min(starts), F.size(joined))).otherwise(F.array(F.right(item["line"], F.lit(longest))))
+    """conv_id, memory: one sentence per turn; whole leading sentences go while it is too long, then characters from the left.
 
-    memory = F.aggregate("ls", F.array().cast("array<string>"), add)
-    return lines.select("conv_id", F.array_join(memory, " ").alias("memory"))
+    What stays is the longest run of last sentences that fits. A sentence has at least eight characters and a space before it, so no more
+    than ``longest`` / 9 of them can fit: only so many last turns of a conversation are looked at, kept before the shuffle.
+    """
+    line = F.concat(F.initcap("role"), F.lit(" said: "), F.regexp_replace(F.left(F.regexp_replace("text", r"\s+", " "), F.lit(120)), r"[.!?]", ""), F.lit("."))
+    last = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))
+    rows = messages.withColumn("__r", last).where(F.col("__r") <= longest // 9 + 1).select("conv_id", F.struct("turn", line.alias("line")).alias("l"))
+    lines = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("l")).alias("ls")).select("conv_id", F.filter(F.transform("ls", lambda x: x["line"]), lambda x: x.isNotNull()).alias("ls"))
+    run = lambda i: F.array_join(F.slice("ls", i, F.size("ls")), " ")
+    starts = F.filter(F.sequence(F.lit(1), F.size("ls")), lambda i: F.length(run(i)) <= longest)
+    fit = F.when(F.size("ls") == 0, "").when(F.size(starts) > 0, run(F.array_min(starts))).otherwise(F.right(F.element_at("ls", -1), F.lit(longest)))
+    return lines.select("conv_id", fit.alias("memory"))
 
 
 def sessionize(events: DataFrame, minutes: int = 30, rounded: bool = False) -> DataFrame:
@@ -181,22 +191,54 @@ def entities(c: Column) -> Column:
     )
 
 
-def known_mentions(messages: DataFrame, names: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+def known_mentions(messages: DataFrame, names: DataFrame, keys: list[str], text: str = "text", block: int = BLOCK_BYTES) -> DataFrame:
     """``keys``, type, value: known names (``names``: type, name) that stand anywhere in a text, whatever their case.
 
-    Texts and names meet in a join on the names' first ``GRAM`` characters, so no text is held against all names.
+    Names go into an automaton that finds all of them in one pass over a text. A dictionary of more than ``block`` bytes is split by a
+    hash into blocks of at most about that size, each an automaton and a pass of its own, so what a task holds does not grow with it.
     """
-    low = F.lower("name")
-    sized = names.where(F.trim("name") != "").select("type", "name", low.alias("__low"), F.left(low, F.lit(GRAM)).alias("__gram"))
-
-    def grams(body: Column, n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.length(body) - (n - 1), F.lit(1)))
-        return F.filter(F.transform(starts, lambda i: F.substring(body, i, F.lit(n))), lambda g: F.length(g) == n)
-
+    attach(messages.sparkSession)
+    known = durable(names.where(F.trim("name") != "").select(F.col("type").cast("string").alias("type"), F.col("name").cast("string").alias("name"), F.lower("name").alias("low")).distinct())
+    size = known.agg(F.coalesce(F.sum(F.octet_length("low") + F.octet_length("name") + 64), F.lit(0))).first()[0]
+    parts = max(1, -(-size // block))
     said = messages.select(*keys, F.lower(text).alias("__body"))
-    every = F.array_distinct(F.concat(*[grams(F.col("__body"), n) for n in range(1, GRAM + 1)]))
-    met = said.select(*keys, "__body", F.explode(every).alias("__gram")).join(sized, "__gram").where(F.contains("__body", "__low"))
-    return met.select(*keys, F.concat("type", F.lit("_mention")).alias("type"), F.col("name").alias("value"))
+    said = durable(said) if parts > 1 else said
+    found = None
+    for part in range(parts):
+        rows = known.where(F.pmod(F.xxhash64("low"), F.lit(parts)) == part).collect()  # a block of the checked size
+        hits = said.select(*keys, F.inline(_mentions([(r["low"], r["type"], r["name"]) for r in rows])(F.col("__body"))))
+        found = hits if found is None else found.unionByName(hits)
+    return found
+
+
+def _mentions(names: list[tuple[str, str, str]]):
+    """UDF: array<struct<type, value>> of the names in a lower-cased text, each once."""
+    ready: list = []
+
+    def automaton():
+        import ahocorasick
+
+        made = ahocorasick.Automaton()
+        by_low: dict[str, list[tuple[str, str]]] = {}
+        for low, kind, name in names:
+            by_low.setdefault(low, []).append((kind, name))
+        for low, entries in by_low.items():
+            made.add_word(low, entries)
+        made.make_automaton()
+        return made
+
+    def run(bodies: pd.Series) -> pd.Series:
+        if not ready:
+            ready.append(automaton() if names else None)
+        search = ready[0]
+        out = []
+        for body in bodies:
+            hits = {} if search is None or not body else {id(e): e for _, e in search.iter(body)}
+            out.append([{"type": f"{kind}_mention", "value": name} for entries in hits.values() for kind, name in entries])
+        return pd.Series(out, dtype=object)
+
+    run.__annotations__ = {"bodies": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, "array<struct<type:string,value:string>>")
 
 
 def grounding_audit(answer: Column, sources: Column) -> Column:

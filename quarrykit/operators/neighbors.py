@@ -213,7 +213,7 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, least: float | None = No
     asked, kept = _kept(queries, "query_id"), _kept(vectors, "vec_id")
     total = kept.count()
     if not total:
-        return _ranked(asked.select(F.col("id").alias("query_id"), F.lit(0).cast("long").alias("vec_id"), F.lit(0.0).alias("score")).limit(0), k)
+        return ranked(asked.select(F.col("id").alias("query_id"), F.lit(0).cast("long").alias("vec_id"), F.lit(0.0).alias("score")).limit(0), k)
     plan, members = _blocked(kept, total, cells)
     members = durable(members) if len(plan) > 1 else members
 
@@ -241,16 +241,16 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, least: float | None = No
         met["all"] = asked.count() * len(plan)
     near = best_of_blocks(_met(members, asked.select("id", "embedding", F.explode("near").alias("own")).withColumn("block", F.col("own")), "own", BLOCK, met), k, least)
     if len(plan) == 1:
-        return _ranked(near, k)
+        return ranked(near, k)
     near = durable(near)
     floor = F.lit(-math.inf if least is None else float(least))
-    kth = _ranked(near, k).where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("kth"))
+    kth = ranked(near, k).where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("kth"))
     more = durable(asked.join(kth, "id", "left").select("id", "embedding", "near", F.greatest(floor, F.coalesce("kth", floor)).alias("floor")))
     far = best_of_blocks(_met(members, more.mapInArrow(others, "id long, embedding array<float>, own long, block long"), "own", BLOCK, met), k, least)
-    return _ranked(near.unionByName(far), k)
+    return ranked(near.unionByName(far), k)
 
 
-def _ranked(rows: DataFrame, k: int) -> DataFrame:
+def ranked(rows: DataFrame, k: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id")))
     return rows.withColumn("rank", rank).where(F.col("rank") <= k)
 

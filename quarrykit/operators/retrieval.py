@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..session import attach
-from .neighbors import BLOCK, best_of_blocks, kmeans, knn, similar_pairs, upto  # noqa: F401
+from ..session import scratch
+from .neighbors import knn, similar_pairs  # noqa: F401
+from .vector_index import RECALL, VectorIndex
 
 K1, B, RRF = 1.5, 0.75, 60
 MIN_CONFIDENCE, MAX_SOURCES, SATURATION, EXCERPT = 0.35, 3, 5.0, 300
@@ -51,51 +48,9 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def _probes(x: np.ndarray, c: np.ndarray, k: int, recall: float, queries: int = 300) -> int:
-    """Lists to look into so that the share ``recall`` of the sample's own k nearest neighbours lies in them."""
-    if len(x) <= k:
-        return len(c)
-    q = x[np.random.default_rng(5).choice(len(x), min(queries, len(x)), replace=False)]
-    score = q @ x.T
-    found = np.argsort(-score, axis=1)[:, 1 : k + 1]  # the first is the query itself
-    place = np.argsort(np.argsort(-(q @ c.T), axis=1), axis=1)
-    ranks = np.take_along_axis(place, (x @ c.T).argmax(1)[found], axis=1)
-    return int(np.quantile(ranks, recall, method="higher")) + 1
-
-
-def ann(queries: DataFrame, vectors: DataFrame, k: int, lists: int | None = None, probes: int | None = None, sample: int = 5000, recall: float = 0.94) -> DataFrame:
-    """Approximate ``knn`` over an inverted-file index.
-
-    Centroids come from a sample of at most ``sample`` vectors, drawn by a hash of the id; there are about as many as the root of the
-    number of vectors (32 to 1024), so lists stay short as the table grows. Every vector is indexed under its nearest centroid and every
-    query looks into its ``probes`` nearest lists, where scores are exact; their number is set so that the sample's own neighbours are
-    found at ``recall`` (few lists on clustered vectors, most of them on vectors without any structure). Lists split into blocks of ``BLOCK`` vectors.
-    """
-    attach(queries.sparkSession)
-    total = vectors.count()
-    part = min(1.0, sample / max(1, total))
-    rows = vectors.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int(part * (1 << 30))).select("vec_id", "embedding").limit(2 * sample).collect()
-    rows.sort(key=lambda r: r["vec_id"])
-    drawn = np.array([r["embedding"] for r in rows], np.float64)
-    c = kmeans(drawn, lists or max(32, min(1024, int(total**0.5))))
-    probes = probes or _probes(drawn, c, k, recall)
-    n = max(1, -(-total // (BLOCK * len(c))))
-
-    def assign(many: int):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if batch.num_rows:
-                    x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-                    near = np.argsort(-(x @ c.T), axis=1, kind="stable")[:, :many].astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near.tolist(), pa.list_(pa.int64()))], ["id", "embedding", "near"])
-
-        return run
-
-    kind = "id long, embedding array<float>, near array<long>"
-    rows = lambda df, key, many: df.select(F.col(key).cast("long").alias("id"), F.col("embedding").cast("array<float>")).mapInArrow(assign(many), kind).select("id", "embedding", F.explode("near").alias("block"))
-    q = rows(queries, "query_id", probes).select("id", "embedding", F.lit(0).alias("side"), "block", F.explode(upto(n)).alias("part"))
-    v = rows(vectors, "vec_id", 1).select("id", "embedding", F.lit(1).alias("side"), "block", F.pmod(F.xxhash64("id"), F.lit(n)).alias("part"))
-    return best_of_blocks(q.unionByName(v), k, None)
+def ann(queries: DataFrame, vectors: DataFrame, k: int, lists: int | None = None, probes: int | None = None, recall: float = RECALL) -> DataFrame:
+    """Approximate ``knn``: an index of all vectors is stored in the session's folder and searched once (``vector_index`` keeps one for longer)."""
+    return VectorIndex.build(vectors, scratch(vectors.sparkSession, "index"), k, recall, lists).search(queries, k, probes)
 
 
 def fuse(keyword: DataFrame, semantic: DataFrame, k: int, constant: int = RRF) -> DataFrame:

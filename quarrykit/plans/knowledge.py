@@ -16,9 +16,10 @@ from ..operators import chunks as K
 from ..operators import retrieval as R
 from ..operators import rules
 from ..operators import snapshots as S
-from ..session import durable, table
+from ..session import durable, scratch, table
+from ..sources.embeddings import EmbeddingStore
 from .chat import _INTENT
-from .inputs import derive
+from .inputs import derive, sql_of
 from .pages import PAGES, _structured, content_units, enriched
 from .pages import _cat as _categories
 from .pages import _parsed as parsed
@@ -106,11 +107,26 @@ def letter_encoder() -> Callable[[pd.Series], list[list[float]]]:
     return lambda texts: [[(t or "").count(c) / max(1, len(t or "")) for c in "aeiou"] for t in texts]
 
 
-QUERIES["x1_plugged_encoder"] = lambda s, d: embed(table(s, d, "documents").select("doc_id", "text"), make=letter_encoder).select("doc_id", *[F.round(F.get("embedding", F.lit(i)), 6).alias(c) for i, c in enumerate("aeiou")])
-ORACLE["x1_plugged_encoder"] = "SELECT doc_id, " + ", ".join(f"round((length(text) - length(replace(text, '{c}', ''))) / greatest(length(text), 1), 6) AS {c}" for c in "aeiou") + " FROM documents"
+_letters = lambda i: F.round(F.get("embedding", F.lit(i)) * F.greatest(F.length("text"), F.lit(1))).cast("long")
+QUERIES["x1_plugged_encoder"] = lambda s, d: embed(table(s, d, "documents").select("doc_id", "text"), make=letter_encoder).select("doc_id", F.size("embedding").alias("dim"), *[_letters(i).alias(c) for i, c in enumerate("aeiou")])
+ORACLE["x1_plugged_encoder"] = "SELECT doc_id, 5 AS dim, " + ", ".join(f"(length(text) - length(replace(text, '{c}', '')))::BIGINT AS {c}" for c in "aeiou") + " FROM documents"
 QUERIES["k1_embed"] = lambda s, d: embed(table(s, d, "documents").select("doc_id", "text")).select("doc_id", F.size("embedding").alias("dim"), F.round(R.dot(F.col("embedding"), F.col("embedding")), 6).alias("norm"))
 
 
+def _stored(s: SparkSession, d: str) -> DataFrame:
+    """Two builds on one store: the documents as they were, then as they are."""
+    store, rows = EmbeddingStore(s, scratch(s, "embeddings"), "lexical-1"), []
+    for batch, name in enumerate(("doc_prev", "doc_cur")):
+        found = store.embed(derive(s, d, name).select("doc_id", "text"), "text", batch, embed)
+        rows.append(found.agg(F.lit(batch).alias("build"), F.count(F.lit(1)).alias("texts"), F.lit(store.encoded(batch)).cast("long").alias("encoded"), F.round(F.sum(R.dot(F.col("embedding"), F.col("embedding"))), 3).alias("norms")))
+    return rows[0].unionByName(rows[1])
+
+
+QUERIES["k1_stored_embeddings"] = _stored
+ORACLE["k1_stored_embeddings"] = f"""SELECT 0 AS build, count(*) AS texts, count(DISTINCT text) AS encoded, round(count_if(text <> '')::DOUBLE, 3) AS norms FROM {sql_of('doc_prev')}
+UNION ALL SELECT 1, count(*), count(DISTINCT text) FILTER (WHERE text NOT IN (SELECT text FROM {sql_of('doc_prev')})), round(count_if(text <> '')::DOUBLE, 3) FROM {sql_of('doc_cur')}"""
+
+
 def generate_answers(prompts: DataFrame, fn) -> DataFrame:
     """conv_id, turn, answer, unmatched: refused rows bypass ``fn`` (a function of a prompt's JSON) and get the refusal text."""
     answer = F.when(F.col("answered"), F.pandas_udf(_series(lambda s: s.map(fn)), "string")(F.col("prompt"))).otherwise(C.refusal_message(F.col("intent")))

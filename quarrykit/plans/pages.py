@@ -12,6 +12,7 @@ from ..operators import rules as R
 from ..operators.health import recency
 from ..session import scratch, table
 from ..sources import pages as P
+from ..sources.sitemaps import sitemap_urls
 from .inputs import derive, sql_of
 from .text import SP, trim
 
@@ -175,6 +176,25 @@ ORACLE["s4_read_xml_leaves"] = """SELECT sha256('<e><id>' || event_id || '</id><
   event_id || CASE WHEN event_id % 5 = 0 THEN ' ' ELSE chr(10) END || event_type AS text FROM events"""
 QUERIES["s1_load_crawl"] = lambda s, d: table(s, d, "pages").select("page_id", "url").join(table(s, d, "documents").groupBy(T.content_hash(F.col("text")).alias("h")).agg(F.min("doc_id").alias("doc_id")).select("doc_id"), F.col("page_id") == F.col("doc_id"), "left_semi")
 ORACLE["s1_load_crawl"] = f"SELECT page_id, url FROM pages WHERE page_id IN (SELECT min(doc_id) FROM documents GROUP BY {trim(f'''regexp_replace(lower(text), '{SP}+', ' ', 'g')''')})"
+
+
+def _sitemaps(s: SparkSession, d: str) -> DataFrame:
+    """Five sites: a root that names two indexes with 15 files each (so 17 of the 30 are opened), files of pages by the page's number."""
+    loc = lambda kind, url: F.concat(F.lit(f"<{kind}><loc>"), F.replace(F.replace(url, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(f"</loc></{kind}>"))
+    joined = lambda root, entries: F.concat(F.lit(f'<?xml version="1.0"?><{root} xmlns="http://s">'), F.array_join(entries, ""), F.lit(f"</{root}>"))
+    site, file = F.col("page_id") % 5, (F.floor(F.col("page_id") / 5) % 30).cast("long")
+    name = lambda part: F.concat(F.lit("https://m"), F.col("site"), F.lit("/"), part)
+    pages = table(s, d, "pages").select(site.alias("site"), file.alias("file"), "page_id", "url")
+    sets = pages.groupBy("site", "file").agg(F.transform(F.array_sort(F.collect_list(F.struct("page_id", "url"))), lambda x: loc("url", x["url"])).alias("e")).select(name(F.col("file")).alias("url"), joined("urlset", "e").alias("body"))
+    sites = pages.select("site").distinct()
+    roots = sites.select("site", name(F.lit("root")).alias("url"))
+    top = sites.select(name(F.lit("root")).alias("url"), joined("sitemapindex", F.array(loc("sitemap", name(F.lit("a"))), loc("sitemap", name(F.lit("b"))), loc("sitemap", name(F.lit("root"))))).alias("body"))
+    inner = [sites.select(name(F.lit(x)).alias("url"), joined("sitemapindex", F.transform(F.sequence(F.lit(lo), F.lit(lo + 14)), lambda i: loc("sitemap", name(i.cast("string"))))).alias("body")) for x, lo in (("a", 0), ("b", 15))]
+    return sitemap_urls(roots, sets.unionByName(top).unionByName(inner[0]).unionByName(inner[1]))
+
+
+QUERIES["s8_sitemap_indexes"] = _sitemaps
+ORACLE["s8_sitemap_indexes"] = """SELECT page_id % 5 AS site, row_number() OVER (PARTITION BY page_id % 5 ORDER BY page_id // 5 % 30, page_id)::INTEGER AS place, url FROM pages WHERE page_id // 5 % 30 <= 16"""
 QUERIES["s8_sitemap_urls"] = lambda s, d: table(s, d, "pages").select(F.concat(F.lit('<urlset xmlns="http://s"><url><loc>'), F.replace(F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("</loc></url></urlset>")).alias("body")).select(F.explode(F.xpath("body", F.lit("//*[local-name()='url']/*[local-name()='loc']/text()"))).alias("url"))
 ORACLE["s8_sitemap_urls"] = "SELECT url FROM pages"
 QUERIES["s5_read_markdown"] = lambda s, d: _structured(s, d).select("doc_id", F.array_join(F.regexp_extract_all("text", F.lit(r"(?m)^#{1,6}\s+(.*)$"), 1), "|").alias("headings"))

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import retrieval as R
 from ..operators.components import components
-from ..session import durable, table
+from ..operators.postings import Postings
+from ..session import durable, scratch, table
 from .text import SP, trim, words_in
 
 QUERIES, ORACLE = {}, {}
@@ -46,6 +47,19 @@ def _vectors(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 QUERIES["t2_bm25"] = lambda s, d: R.bm25(_items(s, d), _docs(s, d), 10)
 ORACLE["t2_bm25"] = f"SELECT * FROM {_bm25_sql()}"
 
+
+
+def _stored(s: SparkSession, d: str) -> DataFrame:
+    """Two batches of documents indexed one after the other, then searched."""
+    docs, index = _docs(s, d), Postings(s, scratch(s, "postings"))
+    index.extend(docs.where("doc_id % 3 <> 0"), 0)
+    index.extend(docs, 1)
+    return index.search(_items(s, d), 10)
+
+
+QUERIES["t2_stored_postings"] = _stored
+ORACLE["t2_stored_postings"] = ORACLE["t2_bm25"]
+
 _dot = "round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6)"
 QUERIES["t3_cosine"] = lambda s, d: (lambda v: v.join(v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("e2")), "vec_id").select("vec_id", F.round(R.dot(F.col("embedding"), F.col("e2")), 6).alias("cosine")))(table(s, d, "embeddings"))
 ORACLE["t3_cosine"] = f"SELECT a.vec_id, {_dot} AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1"
