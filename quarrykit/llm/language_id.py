@@ -62,10 +62,11 @@ def presence(raw: np.ndarray) -> np.ndarray:
     return there
 
 
-def kernel(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    x, y = x.astype(np.float32), y.astype(np.float32)
-    size = np.sqrt(np.outer(np.maximum(x.sum(1), 1), np.maximum(y.sum(1), 1)))
-    return (x @ y.T) / size
+def kernel(x: np.ndarray, y: np.ndarray, rows: int = 256) -> np.ndarray:
+    """Kernel values of presence rows; only ``rows`` of ``x`` become numbers at a time."""
+    y = y.astype(np.float32)
+    found = np.concatenate([x[i : i + rows].astype(np.float32) @ y.T for i in range(0, len(x), rows)] or [np.zeros((0, len(y)), np.float32)])
+    return found / np.sqrt(np.outer(np.maximum(x.sum(1), 1), np.maximum(y.sum(1), 1)))
 
 
 class Model:
