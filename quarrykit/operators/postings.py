@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..session import durable
+from ..session import durable, partitions_for
 from .retrieval import B, K1, top
 
 BUCKETS = 64
@@ -62,7 +62,8 @@ class Postings:
         sized = tokens.withColumn("n", F.size("tokens").cast("long"))
         sized.select("doc_id", "n").write.mode("overwrite").parquet(f"{self.path}/lengths/v={batch}")
         terms = sized.select("doc_id", "n", F.explode("tokens").alias("term")).groupBy("term", "doc_id", "n").agg(F.count(F.lit(1)).alias("tf")).withColumn("bucket", self._bucket("term"))
-        terms.repartition("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(8))).sortWithinPartitions("bucket", "term", "doc_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings/v={batch}")
+        parts = partitions_for(tokens, 32)  # a bucket is written by as many tasks as its share of the terms needs
+        terms.repartition(parts, "bucket", F.pmod(F.xxhash64("doc_id"), F.lit(max(1, parts // self.buckets)))).sortWithinPartitions("bucket", "term", "doc_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings/v={batch}")
         added = sized.agg(F.count(F.lit(1)).alias("documents"), F.count("n").alias("texts"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens")).first()
         total = tuple((before[c] if before else 0) + added[c] for c in ("documents", "texts", "tokens"))
         self.spark.createDataFrame([total], "documents long, texts long, tokens long").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/totals/v={batch}")

@@ -115,7 +115,7 @@ QUERIES["k1_embed"] = lambda s, d: embed(table(s, d, "documents").select("doc_id
 
 def _stored(s: SparkSession, d: str) -> DataFrame:
     """Two builds on one store: the documents as they were, then as they are."""
-    store, rows = EmbeddingStore(s, scratch(s, "embeddings"), "lexical-1"), []
+    store, rows = EmbeddingStore(s, scratch(s, "embeddings"), "lexical-1", 8), []
     for batch, name in enumerate(("doc_prev", "doc_cur")):
         found = store.embed(derive(s, d, name).select("doc_id", "text"), "text", batch, embed)
         rows.append(found.agg(F.lit(batch).alias("build"), F.count(F.lit(1)).alias("texts"), F.lit(store.encoded(batch)).cast("long").alias("encoded"), F.round(F.sum(R.dot(F.col("embedding"), F.col("embedding"))), 3).alias("norms")))

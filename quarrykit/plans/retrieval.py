@@ -51,7 +51,7 @@ ORACLE["t2_bm25"] = f"SELECT * FROM {_bm25_sql()}"
 
 def _stored(s: SparkSession, d: str) -> DataFrame:
     """Two batches of documents indexed one after the other, then searched."""
-    docs, index = _docs(s, d), Postings(s, scratch(s, "postings"))
+    docs, index = _docs(s, d), Postings(s, scratch(s, "postings"), 8)
     index.extend(docs.where("doc_id % 3 <> 0"), 0)
     index.extend(docs, 1)
     return index.search(_items(s, d), 10)

@@ -98,11 +98,11 @@ def fold_batch(states: Live, out: str, key: str, machine: Machine, late: float =
     return run
 
 
-def folded(rows: DataFrame, key: str, machine: Machine, late: float = LATE) -> tuple[DataFrame, Live]:
+def folded(rows: DataFrame, key: str, machine: Machine, late: float = LATE, buckets: int = 32) -> tuple[DataFrame, Live]:
     """Run the stream (key, at, event_id, the machine's inputs) over what there is: its outcomes, and the states that are left."""
     spark, kind = rows.sparkSession, rows.schema[key].dataType.simpleString()
     folder = scratch(spark, "folds")
-    states = Live(spark, f"{folder}/states", f"{key} {kind}, state string, at long", key)
+    states = Live(spark, f"{folder}/states", f"{key} {kind}, state string, at long", key, buckets)
     run = fold_batch(states, f"{folder}/out", key, machine, late)
     rows.writeStream.foreachBatch(run).option("checkpointLocation", f"{folder}/offsets").trigger(availableNow=True).start().awaitTermination()
     schema = f"event_id long, {key} {kind}, {machine.outcomes}"
