@@ -194,8 +194,8 @@ ORACLE["l7_extract_contact"] = "SELECT page_id, ['SALES', 'SUPPORT', 'GENERAL',
 # Chunk parts as their own queries
 QUERIES["c2_split_code_fences"] = lambda s, d: K.chunk_texts(_structured(s, d)).where("kind = 'code'").select("doc_id", "content")
 ORACLE["c2_split_code_fences"] = "SELECT doc_id, 'code' AS content FROM documents WHERE doc_id % 3 = 0"
-QUERIES["c5_pack_sentences"] = lambda s, d: K.chunk_texts(table(s, d, "documents").select("doc_id", "text"), size=400, overlap=60).where("kind = 'paragraph'").groupBy("doc_id").agg(F.count(F.lit(1)).alias("pieces"), F.max(F.length("content")).alias("longest"))
-QUERIES["c6_chunk_blocks"] = lambda s, d: K.chunk_texts(_structured(s, d)).where("section IS NOT NULL").groupBy("section", "kind").agg(F.count(F.lit(1)).alias("n"))
+QUERIES["c5_pack_sentences"] = lambda s, d: K.chunk_texts(table(s, d, "documents").select("doc_id", "text"), size=400, overlap=60).where("kind = 'paragraph'").select("doc_id", "chunk_index", F.sha2("content", 256).alias("content_sha256"))
+QUERIES["c6_chunk_blocks"] = lambda s, d: K.chunk_texts(_structured(s, d)).select("doc_id", "chunk_index", "kind", "title", "section", F.sha2("content", 256).alias("content_sha256"))
 
 
 def _pictures(s: SparkSession, d: str) -> DataFrame:

@@ -50,11 +50,11 @@ _strip = lambda x: trim(rf"regexp_replace(regexp_replace({x}, '<[^>]*>', '', 'g'
 _entity = lambda x: f"replace(replace(replace(replace({x}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')"
 _field("h1_page_meta", lambda: F.col("page.title"), _entity(_strip("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")))
 _field("h2_page_headings", lambda: F.array_join(F.transform(F.filter("page.headings", lambda h: h["level"] == 1), lambda h: h["text"]), "|"), _entity(_strip("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")))
-_field("h3_page_paragraphs", lambda: F.size("page.paragraphs"))
+_field("h3_page_paragraphs", lambda: F.sha2(F.array_join("page.paragraphs", "|"), 256))
 _field("h4_page_lists", lambda: F.to_json("page.lists"), "CASE WHEN page_id % 6 = 1 THEN '[{\"ordered\":false,\"items\":[\"One\",\"Two\"]}]' ELSE '[]' END")
 _field("h5_page_tables", lambda: F.to_json("page.tables"), "CASE WHEN page_id % 6 = 0 THEN '[{\"headers\":[\"Plan\",\"Price\"],\"rows\":[[\"A\",\"$5\"]]}]' ELSE '[]' END")
 _field("h6_page_buttons", lambda: F.array_join("page.cta_buttons", "|"), "CASE WHEN page_id % 6 = 1 THEN 'Buy now' ELSE '' END")
-_field("h7_page_nav", lambda: F.size("page.navigation"))
+_field("h7_page_nav", lambda: F.array_join("page.navigation", "|"))
 _field("h7_page_breadcrumbs", lambda: F.array_join("page.breadcrumbs", "|"), "CASE WHEN page_id % 6 = 5 THEN 'Home' ELSE '' END")
 _field("h8_page_images", lambda: F.to_json("page.images"), "CASE WHEN page_id % 6 = 2 THEN '[{\"src\":\"/a.png\",\"alt\":\"A\",\"caption\":\"Cap\"}]' ELSE '[]' END")
 _field("h9_page_videos", lambda: F.array_join(F.transform("page.videos", lambda v: v["type"]), "|"), "CASE WHEN page_id % 6 = 2 THEN 'youtube' ELSE '' END")
@@ -69,7 +69,7 @@ _field("s9_declared_feeds", lambda: F.array_join(F.transform(F.filter("page.link
 QUERIES["h14_email_addresses"] = lambda s, d: derive(s, d, "decorated").select("doc_id", F.array_join(F.array_sort(F.slice(F.array_distinct(F.transform(F.regexp_extract_all(F.col("text"), F.lit(T.EMAIL), 0), F.lower)), 1, 20)), ",").alias("emails"))
 ORACLE["h14_email_addresses"] = f"SELECT doc_id, coalesce(string_agg(DISTINCT e, ',' ORDER BY e), '') AS emails FROM (SELECT doc_id, unnest(CASE WHEN len(x) = 0 THEN [NULL] ELSE x END) AS e FROM (SELECT doc_id, list_transform(regexp_extract_all(text, '{T.EMAIL}'), lambda v: lower(v)) AS x FROM {sql_of('decorated')})) GROUP BY 1"
 QUERIES["h15_extract_links"] = lambda s, d: P.page_links(_parsed(s, d))
-QUERIES["h16_classify_link"] = lambda s, d: P.page_links(_parsed(s, d)).join(table(s, d, "pages").select("page_id", F.col("url").alias("base")), "page_id").groupBy(R.link_class(F.col("url"), F.col("base")).alias("class")).agg(F.count(F.lit(1)).alias("n"))
+QUERIES["h16_classify_link"] = lambda s, d: P.page_links(_parsed(s, d)).join(table(s, d, "pages").select("page_id", F.col("url").alias("base")), "page_id").select("page_id", "url", R.link_class(F.col("url"), F.col("base")).alias("class"))
 QUERIES["h18_classify_page_type"] = lambda s, d: derive(s, d, "chunks").select("chunk_id", R.page_type(F.col("url"), F.col("title")).alias("page_type"))
 _path = "regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1)"
 ORACLE["h18_classify_page_type"] = "SELECT chunk_id, CASE WHEN " + _path + " IN ('', '/') THEN 'home' " + " ".join(f"WHEN regexp_matches({x}, '{p}') THEN '{n}'" for x in (_path, "title") for p, n in R.PAGE_TYPES) + f" ELSE 'other' END AS page_type FROM {sql_of('chunks')}"
@@ -121,7 +121,7 @@ QUERIES["l17_source_reference"] = lambda s, d: derive(s, d, "chunks").select("ch
 ORACLE["l17_source_reference"] = rf"SELECT chunk_id, coalesce(title, list_aggregate(list_transform(string_split(regexp_replace(regexp_replace(regexp_extract(url, '([^/?#]+)/?(?:[?#].*)?$', 1), '\.[A-Za-z0-9]{{1,5}}$', ''), '[-_]+', ' ', 'g'), ' '), lambda x: upper(x[1]) || lower(x[2:])), 'string_agg', ' ')) AS name FROM {sql_of('chunks')}"
 
 # Chunking
-QUERIES["c1_parse_blocks"] = lambda s, d: K.chunk_texts(_structured(s, d)).groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("n"))
+QUERIES["c1_parse_blocks"] = lambda s, d: K.parse_blocks(_structured(s, d)).select("doc_id", "block_index", "kind", "level", F.sha2("content", 256).alias("content_sha256"))
 QUERIES["c7_chunk_text"] = lambda s, d: K.chunk_texts(_structured(s, d)).select("doc_id", "chunk_index", "kind", "section", F.length("content").alias("n_chars"), F.sha2("content", 256).alias("content_sha256"))
 
 
@@ -131,7 +131,7 @@ def _structured(s: SparkSession, d: str) -> DataFrame:
 
 def _lateral(s: SparkSession, d: str) -> DataFrame:
     K.register_chunker(s)
-    return s.sql("SELECT d.doc_id, c.chunk_index, c.kind, length(c.content) AS n_chars FROM {docs} d, LATERAL chunk_text(d.text) c", docs=_structured(s, d))
+    return s.sql("SELECT d.doc_id, c.chunk_index, c.kind, c.title, c.section, sha2(c.content, 256) AS content_sha256 FROM {docs} d, LATERAL chunk_text(d.text) c", docs=_structured(s, d))
 
 
 QUERIES["x3_chunk_udtf"] = _lateral

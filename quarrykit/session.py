@@ -17,9 +17,15 @@ _homes: dict[str, str] = {}
 _ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
+#: Allocator settings under which a Python worker gives memory back between tasks: one arena, arrays of 1 MB and more mapped each by itself.
+FRUGAL = {"MALLOC_ARENA_MAX": "1", "MALLOC_MMAP_THRESHOLD_": "1048576", "MALLOC_TRIM_THRESHOLD_": "1048576", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+
+
 def attach(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this library from wherever the driver imported it."""
+    """Let Python workers import this library from wherever the driver imported it, and keep no more memory than they use."""
     env = spark.sparkContext.environment
+    for name, value in FRUGAL.items():
+        env.setdefault(name, os.environ.get(name, value))
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if _ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([_ROOT, *paths])
