@@ -10,7 +10,7 @@ repeated, so a passage in a third of the corpus sends one row per task) and send
 The bucket is taken from the smallest hash of the ``INNER``-word runs inside the window. It depends on the window alone,
 so equal windows meet; and neighbouring windows mostly share it, so positions pack as runs and answers return as
 intervals. The number of buckets follows the input's size. A run of words that very many different windows share would fill one bucket:
-a first pass counts all windows by run, in ``SLOTS`` slots, and windows of heavy slots take their bucket from a second hash of their own.
+a first pass counts all windows by run, in slots (``SLOTS`` at least, and no fewer than buckets), and windows of heavy slots take their bucket from a second hash of their own.
 
 Hashes stand for word sequences here. Different windows are taken for equal only if they agree in 64 bits and in the bucket, which comes
 from other bits, so for n windows in buckets of m about n m / 2^65 pairs are expected to: 10^-6 for 10^8 windows, 0.2 for 100 TB of text.
@@ -36,7 +36,7 @@ from ._text import byte_texts
 
 SIZE, INNER = 20, 10
 #: Slots of the counts by run, and how far above a bucket's mean (in halves) or a slot's mean a heavy one lies.
-SLOTS, HEAVY = 1 << 18, 8
+SLOTS, HEAVY = 1 << 18, 4
 #: Windows that a task gathers before it packs and sends them.
 FLUSH = 1_000_000
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -95,11 +95,13 @@ def runs(ids: np.ndarray, at: np.ndarray, *same: np.ndarray) -> tuple[np.ndarray
     return first, np.diff(np.append(first, len(ids)))
 
 
-def split_repeated(hashes: np.ndarray, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of the earliest window of each hash, and of those that repeat it elsewhere."""
-    order = np.lexsort((at, ids, hashes))
+def split_repeated(hashes: np.ndarray, ids: np.ndarray, at: np.ndarray, where: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of the earliest window of each hash (and bucket, if given), and of those that repeat it elsewhere."""
+    order = np.lexsort((at, ids, hashes) if where is None else (at, ids, where, hashes))
     h = hashes[order]
     start = np.concatenate(([True], h[1:] != h[:-1]))[: len(h)]
+    if where is not None:
+        start[1:] |= where[order][1:] != where[order][:-1]
     first = order[start][np.cumsum(start) - 1]
     elsewhere = (ids[first] != ids[order]) | (at[first] != at[order])
     return order[start], order[elsewhere]
@@ -121,32 +123,41 @@ def run_keys(words: np.ndarray, size: int) -> np.ndarray:
 
 
 def heavy_slots(docs: DataFrame, size: int, buckets: int) -> np.ndarray:
-    """Whether a slot of run keys holds so many windows that they must be dealt out one by one."""
+    """Whether a slot of run keys holds so many windows that they must be dealt out one by one.
+
+    Every bucket has as many slots as any other, at least one, so what is left in a bucket is bounded by its mean at every size.
+    """
+    slots = buckets * max(1, -(-SLOTS // buckets))
 
     def count(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray]:
-        found = np.zeros(SLOTS)
+        found = np.zeros(slots)
         for _, bodies in byte_texts(batches):
             for body in bodies:
                 words = word_hashes(body.split())
                 if len(words) >= size:
-                    np.add.at(found, slot_of(run_keys(words, size)), 1)
+                    np.add.at(found, slot_of(run_keys(words, size), slots), 1)
         return [found]
 
-    counts = summed(docs, count, np.float32).get(0, np.zeros(SLOTS))
+    return heavy(summed(docs, count, np.float32).get(0, np.zeros(slots)), buckets)
+
+
+def heavy(counts: np.ndarray, buckets: int) -> np.ndarray:
+    """Slots of over half a bucket's mean, or of over ``HEAVY`` times the slots' mean where that is more."""
     total = counts.sum()
-    return counts > max(1000.0, total / (2 * buckets), HEAVY * total / SLOTS)
+    return counts > max(1000.0, total / (2 * buckets), HEAVY * total / len(counts))
 
 
-def slot_of(keys: np.ndarray) -> np.ndarray:
-    return (keys >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
+def slot_of(keys: np.ndarray, slots: int) -> np.ndarray:
+    """A slot's number modulo the buckets is its bucket."""
+    return ((keys >> np.uint64(23)) % np.uint64(slots)).astype(np.int64)
 
 
 def window_blobs(docs: DataFrame, size: int, buckets: int) -> DataFrame:
     """bucket, settled, ids, starts, lengths, hashes: runs of windows, or (settled) intervals found to be repeated."""
-    heavy = heavy_slots(docs, size, buckets)
+    dealt_out = heavy_slots(docs, size, buckets)
 
     def send(hashes: np.ndarray, keys: np.ndarray, ids: np.ndarray, at: np.ndarray, turn: int) -> pa.RecordBatch:
-        first, repeated = split_repeated(hashes, ids, at)
+        first, repeated = split_repeated(hashes, ids, at, keys)
         rows: list[tuple] = []
         if len(repeated):
             i, start, stop = intervals(ids[repeated], at[repeated], size)
@@ -179,8 +190,9 @@ def window_blobs(docs: DataFrame, size: int, buckets: int) -> DataFrame:
                 if not len(h):
                     continue
                 keys = run_keys(words, size)
-                where = (keys >> np.uint64(23)) % np.uint64(buckets)
-                if (dealt := heavy[slot_of(keys)]).any():
+                slot = slot_of(keys, len(dealt_out))
+                where = slot % buckets
+                if (dealt := dealt_out[slot]).any():
                     where[dealt] = (rolling(words, size, _other)[dealt] >> np.uint64(23)) % np.uint64(buckets)
                 held.append((h, where.astype(np.int32), np.full(len(h), key, np.int64), np.arange(len(h))))
                 count += len(h)

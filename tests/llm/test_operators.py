@@ -427,6 +427,19 @@ def test_chat_levels_match_longest_paths(spark):
     assert {(r.conv_id, r.call_id): r.level for r in chat_format.levels(calls).collect()} == want
 
 
+def test_heavy_slots_bound_the_buckets_at_every_size():
+    """What is left in a bucket stays near the mean, also with as many buckets as slots (a hundred times those of small tables)."""
+    rng = np.random.default_rng(8)
+    for buckets in (64, 4096, 1 << 19):
+        slots = buckets * max(1, -(-substring_dedup.SLOTS // buckets))
+        counts = rng.poisson(5000, slots).astype(float)
+        counts[7] = counts.sum() / 50  # a run in a fiftieth of all windows
+        left = np.where(substring_dedup.heavy(counts, buckets), 0, counts)
+        assert not left[7] and np.bincount(np.arange(slots) % buckets, left).max() <= 5 * counts.sum() / buckets
+    keys = rng.integers(0, 1 << 63, 1000, dtype=np.uint64)
+    assert ((substring_dedup.slot_of(keys, 64 * 4096) % 64) == ((keys >> np.uint64(23)) % np.uint64(64)).astype(np.int64)).all()
+
+
 def test_substring_dedup_splits_heavy_runs(spark):
     """Many texts share twelve words between random ones: the run is counted as heavy, buckets stay even, and results whole."""
     rng = random.Random(12)
