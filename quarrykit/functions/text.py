@@ -1,9 +1,13 @@
 """Text cleaning, hashing, tokenizing and rule predicates as column expressions (no Python in the tasks)."""
 
+import unicodedata
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .columns import once
+
 # Word lists, patterns and constants whose results must match.
 STOPWORDS = [
     "a", "an", "the", "and", "or", "but", "if", "then", "so", "of", "in", "on", "at", "to", "for", "with",
@@ -92,14 +96,26 @@ def strip_tracking_params(c: Column) -> Column:
     return F.when(c.contains("://"), out).otherwise(c)
 
 
+_MONTH = "|".join(MONTHS)
+#: Any date that is rewritten; texts without one skip the replacements of the twelve months.
+DATED = rf"(?i)\b(?:(?:{_MONTH})\s+\d{{1,2}}|\d{{1,2}}\s+(?:{_MONTH})),?\s+\d{{4}}\b"
+
+
 def normalize_dates(c: Column) -> Column:
+    def month(number: int, names: str):
+        def replaced(x: Column) -> Column:
+            out = x
+            for day, zero in ((r"(\d\d)", ""), (r"(\d)", "0")):
+                out = F.regexp_replace(out, rf"(?i)\b(?:{names})\s+{day},?\s+(\d{{4}})\b", f"$2-{number:02d}-{zero}$1")
+                out = F.regexp_replace(out, rf"(?i)\b{day}\s+(?:{names}),?\s+(\d{{4}})\b", f"$2-{number:02d}-{zero}$1")
+            return F.when(x.rlike(f"(?i){names}"), out).otherwise(x)
+
+        return replaced
+
     out = c
     for number, names in enumerate(MONTHS, 1):
-        out = F.regexp_replace(out, rf"(?i)\b(?:{names})\s+(\d\d),?\s+(\d{{4}})\b", f"$2-{number:02d}-$1")
-        out = F.regexp_replace(out, rf"(?i)\b(?:{names})\s+(\d),?\s+(\d{{4}})\b", f"$2-{number:02d}-0$1")
-        out = F.regexp_replace(out, rf"(?i)\b(\d\d)\s+(?:{names}),?\s+(\d{{4}})\b", f"$2-{number:02d}-$1")
-        out = F.regexp_replace(out, rf"(?i)\b(\d)\s+(?:{names}),?\s+(\d{{4}})\b", f"$2-{number:02d}-0$1")
-    return F.when(c.rlike(r"\d{4}"), out).otherwise(c)
+        out = once(out, month(number, names))
+    return F.when(c.rlike(r"\d{4}") & c.rlike(DATED), out).otherwise(c)
 
 
 def normalize_text(c: Column) -> Column:
@@ -114,7 +130,7 @@ def nfc(c: Column) -> Column:
 
 
 def _nfc(s: pd.Series) -> pd.Series:
-    return s.str.normalize("NFC")
+    return s.map(lambda x: x if x is None or unicodedata.is_normalized("NFC", x) else unicodedata.normalize("NFC", x))
 
 
 def sanitize_message(c: Column, longest: int = 4000) -> Column:

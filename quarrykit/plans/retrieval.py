@@ -10,6 +10,7 @@ from ..operators import retrieval as R
 from ..operators.components import components
 from ..operators.postings import Postings
 from ..session import durable, scratch, table
+from ..sources.buckets import Live, replaced, replaced_or_removed
 from .text import SP, trim, words_in
 
 QUERIES, ORACLE = {}, {}
@@ -241,5 +242,19 @@ def upsert_vectors(stored: DataFrame, changed: DataFrame, removed: DataFrame) ->
 QUERIES["k2_upsert_vectors"] = lambda s, d: (lambda v: upsert_vectors(v.where("vec_id % 3 <> 0"), v.where("vec_id % 4 = 0").withColumn("label", F.lit(99)), v.where("vec_id % 10 = 1").select("vec_id")).select("vec_id", "label"))(table(s, d, "embeddings").select("vec_id", "embedding", "label"))
 ORACLE["k2_upsert_vectors"] = "SELECT vec_id, CASE WHEN vec_id % 4 = 0 THEN 99 ELSE label END AS label FROM embeddings WHERE vec_id % 10 <> 1 AND (vec_id % 3 <> 0 OR vec_id % 4 = 0)"
 
+
+
+def _stored_vectors(s: SparkSession, d: str) -> DataFrame:
+    """The same on a stored table, whose second batch holds changed and removed vectors."""
+    v = table(s, d, "embeddings").select("vec_id", "embedding", F.col("label").cast("int").alias("label"))
+    live = Live(s, scratch(s, "vectors"), "vec_id long, embedding array<float>, label int", "vec_id", 16)
+    live.upsert(v.where("vec_id % 3 <> 0"), 0, replaced("vec_id"))
+    gone = F.col("vec_id") % 10 == 1
+    live.upsert(v.where((F.col("vec_id") % 4 == 0) | gone).withColumn("label", F.lit(99)).withColumn("removed", gone), 1, replaced_or_removed("vec_id"))
+    return live.read().select("vec_id", "label")
+
+
+QUERIES["k2_upsert_buckets"] = _stored_vectors
+ORACLE["k2_upsert_buckets"] = ORACLE["k2_upsert_vectors"]
 QUERIES["j9_hydrate_hits"] = lambda s, d: R.bm25(_items(s, d), _docs(s, d), 3).join(table(s, d, "documents").select("doc_id", "source", "n_chars"), "doc_id").select("query_id", "doc_id", "rank", "source", "n_chars")
 ORACLE["j9_hydrate_hits"] = f"SELECT query_id, doc_id, rank, source, n_chars FROM {_bm25_sql(k=3)} JOIN documents USING (doc_id)"

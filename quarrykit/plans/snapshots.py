@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import snapshots as S
-from ..session import durable, table
+from ..session import durable, scratch, table
+from ..sources.buckets import Live, replaced
 from .inputs import derive, sql_of
 from .text import SP, trim
 
@@ -54,6 +55,19 @@ QUERIES["k6_plan_incremental"] = lambda s, d: S.incremental_plan(*_pages(s, d),
 ORACLE["k6_plan_incremental"] = f"SELECT 'process' AS kind, url AS item FROM {_diff} WHERE change IN ('new', 'modified') UNION ALL SELECT 'remove', doc_id::VARCHAR FROM documents WHERE 'https://d/' || doc_id // 2 IN (SELECT url FROM {_diff} WHERE change = 'deleted')"
 
 QUERIES["s10_upsert"] = lambda s, d: (lambda o: S.upsert(o.where("o_orderkey % 3 <> 0"), o.where("o_orderkey % 5 = 0").withColumn("o_orderstatus", F.lit("X")), ["o_orderkey"]).select("o_orderkey", "o_orderstatus"))(table(s, d, "orders"))
+
+
+def _bucketed(s: SparkSession, d: str) -> DataFrame:
+    """The same on a stored table: a first batch, then one that rewrites the buckets of its keys."""
+    orders = table(s, d, "orders").select("o_orderkey", "o_orderstatus")
+    live = Live(s, scratch(s, "orders"), "o_orderkey long, o_orderstatus string", "o_orderkey", 16)
+    live.upsert(orders.where("o_orderkey % 3 <> 0"), 0, replaced("o_orderkey"))
+    live.upsert(orders.where("o_orderkey % 5 = 0").withColumn("o_orderstatus", F.lit("X")), 1, replaced("o_orderkey"))
+    return live.read()
+
+
+QUERIES["s10_upsert_buckets"] = _bucketed
+ORACLE["s10_upsert_buckets"] = "SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders WHERE o_orderkey % 3 <> 0 OR o_orderkey % 5 = 0"
 ORACLE["s10_upsert"] = "SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders WHERE o_orderkey % 3 <> 0 OR o_orderkey % 5 = 0"
 
 QUERIES["k3_plan_version_update"] = lambda s, d: S.version_update(derive(s, d, "doc_prev").select(F.col("doc_id").alias("chunk_id"), "text", (F.col("doc_id") % 4 + 1).alias("version")), derive(s, d, "doc_cur").select(F.col("doc_id").alias("chunk_id"), "text"))
@@ -234,7 +248,7 @@ ORACLE["a23_status_counts"] = "SELECT o_orderstatus, count(*) AS n FROM orders G
 
 
 def retention_prune(backups: DataFrame, cutoff: str) -> DataFrame:
-    """COMPLETED backups before the cutoff, never the newest completed one (found as a maximum, not by a global sort)."""
+    """COMPLETED backups before the cutoff, never the newest completed one (found as a maximum, not by a global sort; that one row reaches all tasks)."""
     done = backups.where("status = 'COMPLETED'")
     newest = done.agg(F.max(F.struct("created", "backup_id")).alias("newest"))
     return done.where(F.col("created") < F.lit(cutoff).cast("timestamp")).join(F.broadcast(newest), F.struct("created", "backup_id") != F.col("newest")).select("backup_id")

@@ -249,7 +249,9 @@ FROM g JOIN h USING (page_id) JOIN {_security_score} s USING (page_id) JOIN {_sp
 
 
 def recommend_connector(scores: DataFrame, definitions: DataFrame) -> DataFrame:
-    """page_id, connector, confidence, auth: definition of the top CMS of 0.4 or more, else of the top backend, else universal at 0.3; sure OAuth or JWT evidence sets the authentication."""
+    """page_id, connector, confidence, auth: definition of the top CMS of 0.4 or more, else of the top backend, else universal at 0.3; sure OAuth or JWT evidence sets the authentication.
+
+    ``definitions`` is the list of connectors that exist, some dozens of rows; it reaches all tasks."""
     best = lambda c: scores.where((F.col("category") == c) & (F.col("confidence") >= G.CONFIDENT)).groupBy("page_id").agg(F.max_by(F.struct("name", "confidence"), F.struct("confidence", "name")).alias(c))
     rows = scores.select("page_id").distinct().join(best("cms"), "page_id", "left").join(best("backend"), "page_id", "left").join(best("auth"), "page_id", "left")
     for c in ("cms", "backend"):
