@@ -22,7 +22,7 @@ such pair: two sets of n shingles can only be so similar if they share one of th
 in an order common to all texts. Any order is right; rare shingles come first (counts in ``SLOTS`` slots), so few texts meet.
 Only those first shingles travel, and of them only the shared ones go on. In ``TURNS`` rounds each text is compared with one text of
 another component, of those chosen for its shingles the one it shares most with, which settles groups of near copies with few
-comparisons a text; then all texts of different components that still share a first shingle are compared. Both compare whole sets, made again from the texts concerned.
+comparisons a text; then all texts of different components that still share a first shingle are compared. Both look at sizes and parity bitmaps of the sets first. Both compare whole sets, made again from the texts concerned.
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -55,6 +56,8 @@ TILE = 4096
 SMALL = 64
 #: Slots of the shingle counts that give the order of shingles.
 SLOTS = 1 << 18
+#: Longs of a shingle set's bitmap.
+MAP = 8
 #: Texts whose shingles a task holds at a time.
 PART = 64
 #: Rounds in which a text meets one other, before the texts of different components meet.
@@ -119,6 +122,12 @@ def shingle_counts(docs: DataFrame, k: int, text_col: str = "text") -> np.ndarra
     return summed(docs.select(F.col(text_col).cast("string").alias("body")), count).get(0, np.zeros(SLOTS)).astype(np.float32)
 
 
+def bitmap(hashes: np.ndarray) -> list[int]:
+    """A set's parity bitmap: each shingle turns one bit over, so maps of two sets differ in no more bits than the sets in shingles."""
+    turned = np.bincount((hashes >> np.uint64(40)) % np.uint64(64 * MAP), minlength=64 * MAP) & 1
+    return np.packbits(turned.astype(np.uint8), bitorder="little").view(np.int64).tolist()
+
+
 def first_shingles(hashes: np.ndarray, counts: np.ndarray, least: float) -> np.ndarray:
     """Those of a set, rarest first, of which any set with a Jaccard similarity of ``least`` shares one."""
     n = len(hashes)
@@ -127,7 +136,7 @@ def first_shingles(hashes: np.ndarray, counts: np.ndarray, least: float) -> np.n
 
 
 def prefixes(docs: DataFrame, k: int, counts: np.ndarray, least: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, fp, key (MD5 of the shingle set), n (its size), tokens (its first shingles)."""
+    """id, fp, key (MD5 of the shingle set), n (its size), bits (its ``bitmap``), tokens (its first shingles)."""
     attach(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("body"))
 
@@ -139,11 +148,11 @@ def prefixes(docs: DataFrame, k: int, counts: np.ndarray, least: float, id_col:
             keys = [hashlib.md5(x.tobytes(), usedforsecurity=False).digest() for x in sets]
             tokens = [first_shingles(x, counts, least).tobytes() for x in sets]
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(fps, pa.int64()), pa.array(keys, pa.binary()), pa.array([len(x) for x in sets], pa.int64()), pa.array(tokens, pa.binary())],
-                ["id", "fp", "key", "n", "tokens"],
+                [part.column(0), pa.array(fps, pa.int64()), pa.array(keys, pa.binary()), pa.array([len(x) for x in sets], pa.int64()), pa.array([bitmap(x) for x in sets], pa.list_(pa.int64())), pa.array(tokens, pa.binary())],
+                ["id", "fp", "key", "n", "bits", "tokens"],
             )
 
-    return rows.mapInArrow(run, "id long, fp long, key binary, n long, tokens binary")
+    return rows.mapInArrow(run, "id long, fp long, key binary, n long, bits array<long>, tokens binary")
 
 
 def shingle_sets(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -325,17 +334,34 @@ def _size(side: str) -> Column:
     return F.shiftright(F.col(f"{side}.place"), 32)
 
 
+def _place(side: str) -> Column:
+    return F.col(f"{side}.place").bitwiseAND(F.lit((1 << 32) - 1))
+
+
+def _smaller() -> Column:
+    """Whether a's set is the smaller one (of equal sizes, that of the smaller id)."""
+    return (_size("a") < _size("b")) | ((_size("a") == _size("b")) & (F.col("a.id") < F.col("b.id")))
+
+
 def _met(rows: DataFrame, least: float) -> DataFrame:
     """id_a, c_a, id_b, c_b, times: pairs of ``rows`` (structs a and b, one row a shared first shingle) that may be similar.
 
-    A shingle of both sets that is not among the first of both lies behind the first of one of them, so no pair shares more than
-    the first shingles it shares and the greater of the two remainders.
+    Sets that are similar enough differ in at most (1 - least) / (1 + least) of their shingles, so their bitmaps differ in no more bits.
+    The first shingle that two such sets share stands among the first n - ceil(2 least / (1 + least) n) + 1 of the smaller one (which are fewer than
+    its first shingles), so only rows where it does count. A shingle of both that does not count lies behind those of the smaller or the first
+    of the other, so no pair shares more than the shingles that count and the greater of the two remainders.
     """
-    alike = (_size("a") >= least * _size("b") - 1e-9) & (_size("b") >= least * _size("a") - 1e-9)
-    pairs = rows.where(alike).groupBy(F.col("a.id").alias("id_a"), F.col("a.c").alias("c_a"), F.col("b.id").alias("id_b"), F.col("b.c").alias("c_b"))
-    counted = pairs.agg(F.count(F.lit(1)).alias("times"), F.max(_size("a")).alias("n_a"), F.max(_size("b")).alias("n_b"))
-    rest = F.ceil(least * F.greatest("n_a", "n_b") - 1e-9) - 1
-    return counted.where(F.col("times") + rest >= least / (1 + least) * (F.col("n_a") + F.col("n_b")) - 1e-9).drop("n_a", "n_b")
+    first = _smaller()
+    n, other = F.when(first, _size("a")).otherwise(_size("b")), F.when(first, _size("b")).otherwise(_size("a"))
+    shared = 2 * least / (1 + least)
+    early = F.when(first, _place("a")).otherwise(_place("b")) <= n - F.ceil(shared * n - 1e-9)
+    alike = n >= least * other - 1e-9
+    apart = reduce(lambda x, y: x + y, [F.bit_count(F.get("a.bits", F.lit(i)).bitwiseXOR(F.get("b.bits", F.lit(i)))) for i in range(MAP)])
+    close = apart <= (1 - least) / (1 + least) * (n + other) + 1e-9
+    pairs = rows.where(alike & early & close).groupBy(F.col("a.id").alias("id_a"), F.col("a.c").alias("c_a"), F.col("b.id").alias("id_b"), F.col("b.c").alias("c_b"))
+    counted = pairs.agg(F.count(F.lit(1)).alias("times"), F.max(n).alias("n"), F.max(other).alias("other"))
+    rest = F.greatest(F.ceil(shared * F.col("n") - 1e-9), F.ceil(least * F.col("other") - 1e-9)) - 1
+    return counted.where(F.col("times") + rest >= least / (1 + least) * (F.col("n") + F.col("other")) - 1e-9).drop("n", "other")
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -349,8 +375,8 @@ def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 def set_links(docs: DataFrame, prints: DataFrame, labelled: DataFrame, k: int, least: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Links (a, b) between components of ``labelled`` (fp, component_id) that hold texts with similar shingle sets."""
     rows = prints.where("id IS NOT NULL")
-    by_key = durable(rows.select("key", "fp", "id").groupBy("key", "fp").agg(F.min("id").alias("id")).join(labelled, "fp").select("key", "id", F.col("component_id").alias("c")))
-    named = durable(by_key.groupBy("key").agg(F.min(F.struct("id", "c")).alias("one")).select("key", "one.*"))
+    by_key = durable(rows.select("key", "fp", "id", "bits").groupBy("key", "fp").agg(F.min("id").alias("id"), F.first("bits").alias("bits")).join(labelled, "fp").select("key", "id", F.col("component_id").alias("c"), "bits"))
+    named = durable(by_key.groupBy("key").agg(F.min(F.struct("id", "c")).alias("one"), F.first("bits").alias("bits")).select("key", "one.*", "bits"))
     equal = by_key.join(named.select("key", F.col("c").alias("b")), "key").where("c <> b").select(F.col("c").alias("a"), "b")
 
     copies = rows.select("key", "id").join(named.select("key", F.col("id").alias("one")), "key").where("id <> one").select("id").distinct()
@@ -358,7 +384,7 @@ def set_links(docs: DataFrame, prints: DataFrame, labelled: DataFrame, k: int, l
     tokens = one.select("id", "n", "tokens").mapInArrow(_exploded, "token long, id long, place long")
     parts = partitions_for(docs)
     shared = tokens.repartition(parts, "token").sortWithinPartitions("token").mapInArrow(_repeated, "token long, id long, place long")
-    shared = durable(shared.join(named.select("id", "c"), "id"))
+    shared = durable(shared.join(named.select("id", "c", "bits"), "id"))
 
     def sets_of(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.explode(F.array("id_a", "id_b")).alias("id"))
@@ -369,8 +395,8 @@ def set_links(docs: DataFrame, prints: DataFrame, labelled: DataFrame, k: int, l
     now, links = shared, equal
     for turn in range(TURNS):  # each text meets one other at a time, so a group of near copies falls together without all its pairs
         order = F.xxhash64("id", F.lit(turn)).alias("order")
-        chosen = now.groupBy("token").agg(F.min(F.struct(order, "id", "place", "c")).alias("b"))
-        star = now.select("token", F.struct("id", "place", "c").alias("a")).join(chosen, "token").where("a.c <> b.c")
+        chosen = now.groupBy("token").agg(F.min(F.struct(order, "id", "place", "c", "bits")).alias("b"))
+        star = now.select("token", F.struct("id", "place", "c", "bits").alias("a")).join(chosen, "token").where("a.c <> b.c")
         times = _met(star, least)
         best = times.groupBy("id_a", "c_a").agg(F.max(F.struct("times", (-F.col("id_b")).alias("first"), "c_b")).alias("best"))
         pairs = durable(best.select("id_a", (-F.col("best.first")).alias("id_b"), "c_a", "best.c_b"))
@@ -380,13 +406,13 @@ def set_links(docs: DataFrame, prints: DataFrame, labelled: DataFrame, k: int, l
         if found.isEmpty():
             break
         moved = components(found)
-        now = durable(now.join(moved, F.col("c") == F.col("node"), "left").select("token", "id", "place", F.coalesce("component", "c").alias("c")))
+        now = durable(now.join(moved, F.col("c") == F.col("node"), "left").select("token", "id", "place", F.coalesce("component", "c").alias("c"), "bits"))
 
     mixed = now.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("token")
     now = durable(now.join(mixed, "token", "left_semi"))
     each = now.select("token", "c").distinct()
     meet = each.withColumnRenamed("c", "c_a").join(each.withColumnRenamed("c", "c_b"), "token").where("c_a < c_b")
-    whole = F.struct("id", "place", "c")
+    whole = F.struct("id", "place", "c", "bits")
     pairs = meet.join(now.select("token", F.col("c").alias("c_a"), whole.alias("a")), ["token", "c_a"]).join(now.select("token", F.col("c").alias("c_b"), whole.alias("b")), ["token", "c_b"])
     pairs = durable(_met(pairs, least).drop("times"))
     return links.unionByName(_similar(pairs, sets_of(pairs), least))
