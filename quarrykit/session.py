@@ -17,8 +17,8 @@ _homes: dict[str, str] = {}
 _ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
-#: Allocator settings under which a Python worker gives memory back between tasks: one arena, arrays of 1 MB and more mapped each by itself.
-FRUGAL = {"MALLOC_ARENA_MAX": "1", "MALLOC_MMAP_THRESHOLD_": "1048576", "MALLOC_TRIM_THRESHOLD_": "1048576", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+#: Allocator settings under which a Python worker gives memory back between tasks: few arenas, large arrays mapped each by itself.
+FRUGAL = {"MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": str(8 << 20), "MALLOC_TRIM_THRESHOLD_": str(16 << 20), "ARROW_DEFAULT_MEMORY_POOL": "system"}
 
 
 def attach(spark: SparkSession) -> SparkSession:
