@@ -17,8 +17,16 @@ _homes: dict[str, str] = {}
 _ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
+#: Bytes of rows that Spark hands a Python worker at a time; a task holds several times as many, in both processes.
+BATCH_SETTING, BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
+_SPARK_DEFAULT = "67108864b"
+
+
 def attach(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this library from wherever the driver imported it."""
+    """Let Python workers import this library from wherever the driver imported it, and take rows in batches of ``BATCH`` bytes
+    where the session leaves Spark's own setting as it is."""
+    if spark.conf.get(BATCH_SETTING, _SPARK_DEFAULT) == _SPARK_DEFAULT:
+        spark.conf.set(BATCH_SETTING, BATCH)
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if _ROOT not in paths:
