@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -12,12 +13,23 @@ from pyspark.sql import functions as F
 ROWS = 512
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+
+
+def give_back() -> None:
+    """Return the worker's free memory to the machine, once a task: workers live on and would keep the most that any task took."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def byte_texts(batches: Iterator[pa.RecordBatch], text: int = 1, rows: int = ROWS) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of at most ``rows`` rows with the texts in column ``text`` as UTF-8 (null: empty)."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             part = batch.slice(at, rows)
             yield part, [x or b"" for x in part.column(text).cast(pa.binary()).to_pylist()]
+    give_back()
 
 
 def texts(batches: Iterator[pa.RecordBatch], text: int = 1, rows: int = ROWS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
@@ -26,6 +38,7 @@ def texts(batches: Iterator[pa.RecordBatch], text: int = 1, rows: int = ROWS) ->
         for at in range(0, batch.num_rows, rows):
             part = batch.slice(at, rows)
             yield part, [x or "" for x in part.column(text).to_pylist()]
+    give_back()
 
 
 def bucket(column: Column | str, of: int) -> Column:
