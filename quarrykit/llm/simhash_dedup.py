@@ -66,6 +66,9 @@ TURNS = 2
 LEAST = 0.8
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
+#: Texts of a component with a first shingle up to which they meet those of other components by that shingle alone; of larger ones the components meet first.
+TOGETHER = 16
+
 
 def shingles(text: bytes, k: int) -> np.ndarray:
     """XXH64 of each shingle, repeats included."""
@@ -410,10 +413,15 @@ def set_links(docs: DataFrame, prints: DataFrame, labelled: DataFrame, k: int, l
 
     mixed = now.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("token")
     now = durable(now.join(mixed, "token", "left_semi"))
-    each = now.select("token", "c").distinct()
-    meet = each.withColumnRenamed("c", "c_a").join(each.withColumnRenamed("c", "c_b"), "token").where("c_a < c_b")
     whole = F.struct("id", "place", "c", "bits")
-    pairs = meet.join(now.select("token", F.col("c").alias("c_a"), whole.alias("a")), ["token", "c_a"]).join(now.select("token", F.col("c").alias("c_b"), whole.alias("b")), ["token", "c_b"])
+    each = now.groupBy("token", "c").agg(F.count(F.lit(1)).alias("k"))
+    small = now.join(each.where(F.col("k") <= TOGETHER).drop("k"), ["token", "c"], "left_semi").select("token", whole.alias("a"))
+    few = small.join(small.withColumnRenamed("a", "b"), "token").where("a.c < b.c").select("token", "a", "b")
+    large = each.toDF("token", "c_a", "k_a").join(each.toDF("token", "c_b", "k_b"), "token").where((F.col("c_a") < F.col("c_b")) & (F.greatest("k_a", "k_b") > TOGETHER))
+    a, b = now.select("token", F.col("c").alias("c_a"), whole.alias("a")), now.select("token", F.col("c").alias("c_b"), whole.alias("b"))
+    pairs = few  # the smaller component's texts come first, those of the larger one with the conditions of ``_met``
+    for meet, one, other in ((large.where("k_a <= k_b"), (a, "c_a"), (b, "c_b")), (large.where("k_a > k_b"), (b, "c_b"), (a, "c_a"))):
+        pairs = pairs.unionByName(meet.join(one[0], ["token", one[1]]).join(other[0], ["token", other[1]]).select("token", "a", "b"))
     pairs = durable(_met(pairs, least).drop("times"))
     return links.unionByName(_similar(pairs, sets_of(pairs), least))
 
