@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from quarrykit.operators import neighbors as N
+from quarrykit.operators.components import components
 
 KIND = "vec_id long, embedding array<float>"
 
@@ -63,6 +64,23 @@ def test_equal_rows_to_all_blocks(spark, monkeypatch, name):
             assert met["met"] < 0.35 * met["all"]
 
 
+@pytest.mark.parametrize("d", [16, 40])
+def test_links_keep_the_groups_of_all_pairs(spark, monkeypatch, d):
+    """One edge a row and task at most, where all pairs of a group grow with its square, and the same groups."""
+    monkeypatch.setattr(N, "BLOCK", 64)
+    monkeypatch.setattr(N, "STEP", 8)
+    monkeypatch.setattr(N, "PAIRS", 50)
+    cases = [CASES[c].astype(np.float32) for c in ("copies and ties", "norms and zeros")] if d == 16 else [clustered(500, 40, 0.05, 9, d)]
+    for x in cases:
+        for t in (0.6, 0.95):
+            pairs = spark.createDataFrame([(int(a), int(b)) for a, b, _ in exact_pairs(x, t)], "a long, b long")
+            met = {}
+            links = N.similar_links(frame(spark, x), t, met=met)
+            assert rows(components(links)) == rows(components(pairs))
+            assert links.count() <= 2 * met["met"] + len(x)
+    assert N.similar_links(spark.createDataFrame([], KIND), 0.5).count() == 0
+
+
 def test_small_and_empty_tables(spark):
     x = clustered(7, 2, 0.1, 6)
     none = spark.createDataFrame([], KIND)
