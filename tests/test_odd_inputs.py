@@ -1,8 +1,11 @@
 """Registered queries against their SQL, and operators, on rows that the given tables lack: repeated URLs, several amounts, numbers in front."""
 
 import duckdb
+from pyspark.sql import functions as F
 
 from quarrykit import registry
+from quarrykit.plans.knowledge import phrases
+from quarrykit.sources.pages import clean_text
 
 Q, ORACLE = registry.queries(), registry.oracle_sql()
 
@@ -24,3 +27,16 @@ PAGES = [(i, f"https://p.example/{i % 23}", "<html></html>") for i in range(400)
 
 def test_sitemap_changes_of_repeated_urls(spark, tmp_path):
     assert same_as_sql(spark, tmp_path, "a13_sitemap_changes", "pages", PAGES, "page_id long, url string, html string")
+
+
+def test_phrases_keep_their_numbers(spark, tmp_path):
+    rows = [(i, f"Sent at. {n} enjoy this now please.", "en", "web") for i, n in enumerate(("33.122.173.101", "4 4", "13"))]
+    assert same_as_sql(spark, tmp_path, "l10_benefits", "documents", rows, "doc_id long, text string, lang string, source string")
+    got = spark.createDataFrame([("One. Two. Three.   3 helps you a lot.  ",)], "t string").select(phrases(F.col("t"), "helps").alias("p")).first().p
+    assert got == ["3 helps you a lot."]
+
+
+def test_clean_text_keeps_its_numbers(spark):
+    page = "struct<title:string,headings:array<struct<level:int,text:string>>,paragraphs:array<string>,lists:array<struct<ordered:boolean,items:array<string>>>,tables:array<struct<headers:array<string>,rows:array<array<string>>>>>"
+    rows = [((("0 title", [(1, "1 head 1")], ["2", " 3 left "], [(False, ["4"])], [([], [["5", "55"]])])),)]
+    assert spark.createDataFrame(rows, f"page {page}").select(clean_text(F.col("page")).alias("t")).first().t == "0 title\n\n1 head 1\n\n2\n\n3 left\n\n4\n\n5 | 55"
