@@ -123,7 +123,7 @@ WITH t AS (SELECT *, coalesce(lag(bad) OVER (PARTITION BY conv_id ORDER BY turn)
 r AS (SELECT conv_id, turn, CASE WHEN {_any(C.SENSITIVE)} THEN 'SENSITIVE_TOPIC' WHEN {_any(C.LEGAL)} THEN 'LEGAL' WHEN {_any(C.BILLING)} THEN 'BILLING_DISPUTE' WHEN intent = 'human_request' THEN 'HUMAN_REQUESTED' WHEN intent = 'complaint' THEN 'COMPLAINT'
   WHEN bad = 1 AND streak >= 1 AND intent IN {words_in(C.TECHNICAL)} THEN 'TECHNICAL_BEYOND_KNOWLEDGE' WHEN bad = 1 AND streak >= 1 THEN 'REPEATED_FAILURE' END AS reason FROM t WHERE role = 'user')
 SELECT *, CASE WHEN reason IN ('SENSITIVE_TOPIC', 'HUMAN_REQUESTED') THEN 'LIVE_AGENT' WHEN reason = 'LEGAL' THEN 'EMAIL' WHEN reason IS NOT NULL THEN 'TICKET' END AS channel FROM r"""
-QUERIES["l15_grounding_audit"] = lambda s, d: derive(s, d, "decorated").select("doc_id", F.array_join(C.grounding_audit(F.concat(F.col("text"), F.lit(" and $7.50")), F.concat(F.lit("list price $ 7.50, $"), F.col("doc_id") % 40, F.lit(".50"))), ",").alias("unmatched"))
+QUERIES["l15_grounding_audit"] = lambda s, d: derive(s, d, "decorated").select("doc_id", F.array_join(F.array_sort(C.grounding_audit(F.concat(F.coalesce("text", F.lit("")), F.lit(" and $7.50")), F.concat(F.lit("list price $ 7.50, $"), F.col("doc_id") % 40, F.lit(".50")))), ",").alias("unmatched"))
 ORACLE["l15_grounding_audit"] = rf"""SELECT doc_id, coalesce(array_to_string(list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(text || ' and $7.50', '{T.MONEY}'), lambda x: regexp_replace(x, '\s', '', 'g')), lambda x: x NOT IN ('$7.50', '$' || doc_id % 40 || '.50')))), ','), '') AS unmatched FROM {sql_of('decorated')}"""
 QUERIES["l16_refusal_message"] = lambda s, d: C.with_intent(derive(s, d, "chat")).where("role = 'user'").select("conv_id", "turn", C.refusal_message(F.col("intent")).alias("message"))
 ORACLE["l16_refusal_message"] = f"SELECT conv_id, turn, '{C.REFUSAL.replace(chr(39), chr(39) * 2)}' || CASE intent " + " ".join(f"WHEN '{k}' THEN '{v.replace(chr(39), chr(39) * 2)}'" for k, v in C.SUFFIXES.items()) + f" ELSE '{C.SUFFIX.replace(chr(39), chr(39) * 2)}' END AS message FROM {_INTENT} WHERE role = 'user'"

@@ -29,6 +29,11 @@ def test_sitemap_changes_of_repeated_urls(spark, tmp_path):
     assert same_as_sql(spark, tmp_path, "a13_sitemap_changes", "pages", PAGES, "page_id long, url string, html string")
 
 
+def test_amounts_in_any_order(spark, tmp_path):
+    rows = [(9, "It costs $9.10, then $8.20 and again $9.10.", "en", "web"), (19, "From \u20ac5 to $3", "en", "web"), (29, "none", "en", "web")]
+    assert same_as_sql(spark, tmp_path, "l15_grounding_audit", "documents", rows, "doc_id long, text string, lang string, source string")
+
+
 def test_phrases_keep_their_numbers(spark, tmp_path):
     rows = [(i, f"Sent at. {n} enjoy this now please.", "en", "web") for i, n in enumerate(("33.122.173.101", "4 4", "13"))]
     assert same_as_sql(spark, tmp_path, "l10_benefits", "documents", rows, "doc_id long, text string, lang string, source string")
