@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from quarrykit import registry
 from quarrykit.plans.knowledge import phrases
 from quarrykit.sources.pages import clean_text
+from quarrykit.sources.sitemaps import sitemap_urls
 
 Q, ORACLE = registry.queries(), registry.oracle_sql()
 
@@ -45,3 +46,14 @@ def test_clean_text_keeps_its_numbers(spark):
     page = "struct<title:string,headings:array<struct<level:int,text:string>>,paragraphs:array<string>,lists:array<struct<ordered:boolean,items:array<string>>>,tables:array<struct<headers:array<string>,rows:array<array<string>>>>>"
     rows = [((("0 title", [(1, "1 head 1")], ["2", " 3 left "], [(False, ["4"])], [([], [["5", "55"]])])),)]
     assert spark.createDataFrame(rows, f"page {page}").select(clean_text(F.col("page")).alias("t")).first().t == "0 title\n\n1 head 1\n\n2\n\n3 left\n\n4\n\n5 | 55"
+
+
+def test_sitemaps_of_repeated_urls(spark, tmp_path):
+    assert same_as_sql(spark, tmp_path, "s8_sitemap_indexes", "pages", PAGES, "page_id long, url string, html string")
+
+
+def test_sitemaps_without_a_bound(spark):
+    body = "<urlset>" + "".join(f"<url><loc>https://p.example/{i}</loc></url>" for i in (1, 2, 1, 3)) + "</urlset>"
+    roots, bodies = spark.createDataFrame([(1, "r")], "site long, url string"), spark.createDataFrame([("r", body)], "url string, body string")
+    named = lambda **more: [r.url[-1] for r in sitemap_urls(roots, bodies, **more).orderBy("place").collect()]
+    assert (named(), named(urls=2), named(urls=None, repeats=True)) == (["1", "2", "3"], ["1", "2"], ["1", "2", "1", "3"])
