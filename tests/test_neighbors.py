@@ -110,3 +110,21 @@ def test_work_grows_nearly_in_proportion(spark, monkeypatch):
         met.append(count["met"])
     assert met[1] < 25 * met[0]
     assert N.bands(0.85, 10**9, 0.95)[0] <= N.MOST_BANDS and N.bands(0.9, 10**6, 0.95)[1] > 8
+
+
+def test_large_bucket_in_bounded_memory(spark, monkeypatch):
+    n = 1000
+    x = np.concatenate([np.repeat(clustered(1, 1, 0.0, 2), n, axis=0), clustered(100, 100, 1.0, 3)])
+    monkeypatch.setitem(spark.sparkContext.environment, "QUARRYKIT_TEST", "bucket")  # workers of its own
+    copies = N.banded_pairs(frame(spark, x), 0.4).where(f"b < {n}").agg({"score": "min", "*": "count"}).first()
+    assert copies["count(1)"] == n * (n - 1) // 2 and copies["min(score)"] >= 0.99
+
+    def peak(batches):
+        import resource
+
+        import pyarrow as pa
+
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([resource.getrusage(resource.RUSAGE_SELF).ru_maxrss >> 10])], ["mb"])
+
+    assert spark.range(0, 8, 1, 4).mapInArrow(peak, "mb long").agg({"mb": "max"}).first()[0] < 600
