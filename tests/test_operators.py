@@ -79,3 +79,14 @@ def test_rolling_memory_is_bounded(spark):
     rows = spark.createDataFrame([(1, i, "user", f"Line {i} " + "x" * 150) for i in range(30)], "conv_id long, turn long, role string, text string")
     memory = C.rolling_memory(rows).first().memory
     assert len(memory) <= 800 and "Line 29" in memory and "Line 0 " not in memory
+
+
+def test_white_space_without_regular_expressions(spark):
+    """As the pattern of a browser's white space has it; the plain replacements leave no such pattern to the plan."""
+    texts = ["", " ", "a", " a\x0b b ", "﻿A\t\r\nB  c　", "x" + T.SPACE_CHARS + "y", "​z ​", "é  ü ", None]
+    rows = spark.createDataFrame([(x,) for x in texts], "t string")
+    squeezed = F.regexp_replace(F.lower("t"), f"{T.SPACES}+", " ")
+    trimmed = lambda c: F.regexp_replace(c, f"^{T.SPACES}+|{T.SPACES}+$", "")
+    got = rows.select(T.trim_spaces(F.col("t")), T.content_hash(F.col("t")))
+    assert got.collect() == rows.select(trimmed(F.col("t")), F.sha2(trimmed(squeezed), 256)).collect()
+    assert "2028" not in got._jdf.queryExecution().toString()
