@@ -90,3 +90,10 @@ def test_white_space_without_regular_expressions(spark):
     got = rows.select(T.trim_spaces(F.col("t")), T.content_hash(F.col("t")))
     assert got.collect() == rows.select(trimmed(F.col("t")), F.sha2(trimmed(squeezed), 256)).collect()
     assert "2028" not in got._jdf.queryExecution().toString()
+
+
+def test_issues_are_found_once(spark):
+    from quarrykit.plans.text import QUERIES
+
+    plan = QUERIES["p11_validate_units"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("repetitive_content") == 1
