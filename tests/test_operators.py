@@ -97,3 +97,15 @@ def test_issues_are_found_once(spark):
 
     plan = QUERIES["p11_validate_units"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("repetitive_content") == 1
+
+
+def test_policies_are_counted_where_a_piece_stands(spark):
+    from quarrykit.operators import rules as R
+
+    texts = ["Our data  protection and GDPR notes", "MONEY-BACK money back within a month", "cancel an order, CANCELATION", "terms & conditions, terms of use", "delivery\ntime of things; shipping", "guarantee warranty warranty", "cookies, cookie and cookies", "nothing of the kind is said here", "personal  data, personal data", None]
+    rows = spark.createDataFrame([(x,) for x in texts], "t string")
+    for name, _, pattern in R.POLICIES:
+        held = " OR ".join(f"contains(lower(t), '{p}')" for p in R.POLICY_PIECES[name])
+        assert rows.where(F.regexp_count("t", F.lit("(?i)" + pattern)) > 0).where(f"NOT ({held})").count() == 0
+    got = [r[0] and r[0]["policy_type"] for r in rows.select(R.policy(F.col("t"), F.lit(""), F.lit(""))).collect()]
+    assert got == ["PRIVACY", "REFUND", "CANCELLATION", "TERMS", "SHIPPING", "WARRANTY", "COOKIES", "OTHER", "PRIVACY", None]
