@@ -109,3 +109,11 @@ def test_policies_are_counted_where_a_piece_stands(spark):
         assert rows.where(F.regexp_count("t", F.lit("(?i)" + pattern)) > 0).where(f"NOT ({held})").count() == 0
     got = [r[0] and r[0]["policy_type"] for r in rows.select(R.policy(F.col("t"), F.lit(""), F.lit(""))).collect()]
     assert got == ["PRIVACY", "REFUND", "CANCELLATION", "TERMS", "SHIPPING", "WARRANTY", "COOKIES", "OTHER", "PRIVACY", None]
+
+
+def test_letters_are_counted_by_runs(spark):
+    from quarrykit.operators import rules as R
+
+    rows = spark.createDataFrame([("é1 𝒜b!!",), ("!!!! ???? a",), ("",), (None,)], "t string")
+    made = R.confidence(F.col("t"), F.lit("page"), F.lit(1.0), F.lit(False), F.lit(1), F.lit(None).cast("double"), F.lit(False))
+    assert "regexp_count" not in str(made) and [r[0] for r in rows.select(made).collect()] == [0.8175, 0.73, 0.0, 0.9475]
