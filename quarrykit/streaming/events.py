@@ -126,17 +126,19 @@ def apply_changes(live: Live, archive: str) -> Callable[[DataFrame, int], None]:
     Only the buckets of a batch's chunks are written again. Texts that a batch replaces go to its own folder of the archive.
     """
 
+    # Equal texts need no hash to be known as unchanged.
+    differs = F.when(F.col("text") == F.col("old"), F.lit(False)).otherwise(T.content_hash(F.col("text")) != T.content_hash(F.col("old")))
+
     def run(batch: DataFrame, number: int) -> None:
         new = durable(latest(batch))
         old = live.read(number).join(new.select("chunk_id"), "chunk_id", "left_semi")
         rows = old.select("chunk_id", F.col("text").alias("old"), "version").join(new, "chunk_id")
-        changed = T.content_hash(F.col("text")) != T.content_hash(F.col("old"))
-        rows.where(changed).select("chunk_id", F.col("old").alias("text"), "version").write.mode("overwrite").parquet(f"{archive}/v={number}")
+        rows.where(differs).select("chunk_id", F.col("old").alias("text"), "version").write.mode("overwrite").parquet(f"{archive}/v={number}")
 
         def merge(old: DataFrame, new: DataFrame) -> DataFrame:
             rows = old.select("chunk_id", F.col("text").alias("old"), "version").join(new, "chunk_id", "full_outer")
-            changed = F.col("text").isNotNull() & (F.col("version").isNull() | (T.content_hash(F.col("text")) != T.content_hash(F.col("old"))))
-            return rows.select("chunk_id", F.when(changed, F.col("text")).otherwise(F.col("old")).alias("text"), (F.coalesce("version", F.lit(0)) + changed.cast("int")).alias("version"))
+            changed = F.col("text").isNotNull() & (F.col("version").isNull() | differs)
+            return rows.withColumn("changed", changed).select("chunk_id", F.when(F.col("changed"), F.col("text")).otherwise(F.col("old")).alias("text"), (F.coalesce("version", F.lit(0)) + F.col("changed").cast("int")).alias("version"))
 
         live.upsert(new, number, merge)
         release(new)

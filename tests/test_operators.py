@@ -117,3 +117,15 @@ def test_letters_are_counted_by_runs(spark):
     rows = spark.createDataFrame([("é1 𝒜b!!",), ("!!!! ???? a",), ("",), (None,)], "t string")
     made = R.confidence(F.col("t"), F.lit("page"), F.lit(1.0), F.lit(False), F.lit(1), F.lit(None).cast("double"), F.lit(False))
     assert "regexp_count" not in str(made) and [r[0] for r in rows.select(made).collect()] == [0.8175, 0.73, 0.0, 0.9475]
+
+
+def test_equal_texts_are_not_hashed_again(spark, tmp_path, monkeypatch):
+    from quarrykit.sources.buckets import Live
+    from quarrykit.streaming import events as E
+
+    monkeypatch.setattr(E.T, "content_hash", lambda c: F.when(c == "a", F.raise_error(F.lit("hashed"))).otherwise(F.lower(c)))
+    live = Live(spark, f"{tmp_path}/live", "chunk_id long, text string, version int", "chunk_id", 2)
+    run = E.apply_changes(live, f"{tmp_path}/archive")
+    for number, texts in enumerate((["a", "b", None, "d"], ["a", "B c", "e", None])):
+        run(spark.createDataFrame([(i, x, number) for i, x in enumerate(texts)], "chunk_id long, text string, seq int"), number)
+    assert sorted((r["chunk_id"], r["text"], r["version"]) for r in live.read().collect()) == [(0, "a", 1), (1, "B c", 2), (2, None, None), (3, "d", 1)]
