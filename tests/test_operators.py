@@ -129,3 +129,13 @@ def test_equal_texts_are_not_hashed_again(spark, tmp_path, monkeypatch):
     for number, texts in enumerate((["a", "b", None, "d"], ["a", "B c", "e", None])):
         run(spark.createDataFrame([(i, x, number) for i, x in enumerate(texts)], "chunk_id long, text string, seq int"), number)
     assert sorted((r["chunk_id"], r["text"], r["version"]) for r in live.read().collect()) == [(0, "a", 1), (1, "B c", 2), (2, None, None), (3, "d", 1)]
+
+
+def test_links_leave_the_parser_alone(spark):
+    """One Python step a task, that gives out links and no parsed pages."""
+    html = '<a href="/a/">x</a><a href="/a#t">y</a><a href="#t">z</a><a href="mailto:m@b.example">m</a><a href="http://[x/">bad</a><a href="">e</a><nav><a href="b?q=1">b</a></nav>'
+    pages = spark.createDataFrame([(1, "https://h.example/d/", html), (2, None, '<a href="https://o.example">o</a>'), (3, "https://h.example/", None)], "page_id long, url string, html string")
+    found = P.page_links(pages)
+    assert sorted(map(tuple, found.collect())) == [(1, "https://h.example/a"), (1, "https://h.example/d/b?q=1"), (2, "https://o.example/")]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan and plan.count("MapInArrow") >= 1
