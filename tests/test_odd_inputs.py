@@ -1,9 +1,13 @@
 """Registered queries against their SQL, and operators, on rows that the given tables lack: repeated URLs, several amounts, numbers in front."""
 
+import math
+import re
+
 import duckdb
 from pyspark.sql import functions as F
 
 from quarrykit import registry
+from quarrykit.operators import retrieval as R
 from quarrykit.plans.knowledge import phrases
 from quarrykit.sources.pages import clean_text
 from quarrykit.sources.sitemaps import sitemap_urls
@@ -57,3 +61,22 @@ def test_sitemaps_without_a_bound(spark):
     roots, bodies = spark.createDataFrame([(1, "r")], "site long, url string"), spark.createDataFrame([("r", body)], "url string, body string")
     named = lambda **more: [r.url[-1] for r in sitemap_urls(roots, bodies, **more).orderBy("place").collect()]
     assert (named(), named(urls=2), named(urls=None, repeats=True)) == (["1", "2", "3"], ["1", "2"], ["1", "2", "1", "3"])
+
+
+def test_bm25_keeps_a_document_together(spark):
+    """Scores are summed where a document's postings lie, and documents are tokenised once, before the plan that is returned."""
+    docs = spark.createDataFrame([(1, "alpha beta"), (1, "beta alpha"), (2, None), (None, "alpha gamma"), (None, "alpha"), (3, ""), (5, "beta beta zeta")], "doc_id long, text string")
+    queries = spark.createDataFrame([(1, "alpha beta"), (2, None), (3, "gamma")], "query_id long, text string")
+    found = R.bm25(queries, docs, 10)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(query_id#\w+, doc_id#\w+", plan)
+    assert "regexp_extract_all" not in plan
+    total, mean = 7, 10 / 6
+    df = {"alpha": 3, "beta": 2, "gamma": 1}
+    part = lambda term, tf, n: math.log((total - df[term] + 0.5) / (df[term] + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * n / mean))
+    expected = {
+        (1, 1): part("alpha", 2, 2) + part("beta", 2, 2), (1, None): part("alpha", 1, 2) + part("alpha", 1, 1), (1, 5): part("beta", 2, 3), (3, None): part("gamma", 1, 2),
+    }
+    got = {(r["query_id"], r["doc_id"]): r["score"] for r in found.collect()}
+    assert got.keys() == expected.keys()
+    assert all(abs(got[key] - expected[key]) < 1e-6 for key in got)
