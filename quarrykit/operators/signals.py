@@ -1,19 +1,22 @@
-"""Technology detection over one row of evidence a site, in column expressions only.
+"""Technology detection over one row of evidence a site.
 
 A site has html, url, headers (map of lower-case names), cookies (raw ``Set-Cookie`` values), nameservers, probes (well-known
 paths that were found), sitemaps, robots (whether it was read) and tls (whether the certificate is valid). ``signals`` reads scripts,
 meta and link tags and forms off the html. Every rule of all categories is tested in one pass over a row; literal patterns are searched as
-substrings of the lower-cased field, others as regular expressions. Nulls count as absent evidence.
+substrings of the lower-cased field, others as regular expressions. Which substrings a page holds is found once for all rules, and a regular
+expression meets only pages with a substring that all it can match have. Nulls count as absent evidence.
 """
 
 from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import once
+from ..session import attach
 
 # Category, name, weight, then field and pattern, all of which must match.
 RULES = [
@@ -114,18 +117,80 @@ _LITERAL = re.compile(r"(?:[\w/ :@\"=<>!-]|\\[./$?+()-])+")
 _HIT = "struct<category:string,name:string,weight:double>"
 
 
+def literals(pattern: str) -> list[str]:
+    """The substrings (in lower case) that a pattern is a choice of, none where it is more than that."""
+    parts = pattern.removeprefix("(?i)").split("|")
+    plain = pattern.startswith("(?i)") and all(_LITERAL.fullmatch(p) for p in parts)
+    return [re.sub(r"\\(.)", r"\1", p).lower() for p in parts] if plain else []
+
+
+def needed(pattern: str) -> list[str]:
+    """Substrings (in lower case) of which every match of a pattern holds one, none where no such is seen: of each alternative the longest
+    run of plain characters outside groups, an opened attribute only where there is no other."""
+    gap, moved = "\0", lambda m: chr(0xE000 + ord(m[1]))
+    body = re.sub(r"\[(?:\\.|[^\]\\])+\]|\\[A-Za-z]", gap, re.sub(r"^\(\?[a-z]+\)", "", pattern))
+    body = re.sub(r"\\(.)", moved, body)
+    while "(" in body:
+        body = re.sub(r"\([^()]*\)", gap, body)
+    body = re.sub(r"(?s)(.)([+*?]|\{[\d,]*\})[+?]?", lambda m: (m[1] if m[2] == "+" else "") + gap, body)
+    found = []
+    for choice in re.sub(r"[.^$]", gap, body).split("|"):
+        runs = [re.sub("[\uE000-\uE0FF]", lambda m: chr(ord(m[0]) - 0xE000), r).lower() for r in choice.split(gap)]
+        found.append(max(runs, key=lambda r: (len(r) > 1 and not r.endswith('="'), len(r))))
+    return found if all(len(w) > 1 for w in found) else []
+
+
+#: Patterns on the html besides the rules: languages by file names, codes asked for, chat windows.
+PHP, ASPX, CODE = r"""(?i)\.php(\?|"|'|$)""", r"""(?i)\.aspx(\?|"|'|$)|\.ashx(\?|"|'|$)""", r"\botp\b|one-time password|verification code"
+CHAT = r'(?i)class="[^"]*\b(chat-widget|chat-bubble|live-chat)\b'
+
+
+def sought() -> list[str]:
+    """Every substring that some pattern on the html is or needs."""
+    patterns = [p for _, _, _, *tests in RULES for f, p in zip(tests[::2], tests[1::2], strict=True) if f in ("html", "html_or_headers")]
+    return sorted({w for p in [*patterns, PHP, ASPX, CODE] for w in literals(p) or needed(p)} | {"chat-widget", "chat-bubble", "live-chat"})
+
+
+SOUGHT = {w: i for i, w in enumerate(sought())}
+
+
+def holding(text: Column) -> Column:
+    """Which of ``SOUGHT`` a text in lower case holds, by number. Texts are searched as bytes, so none needs to be valid."""
+    words = [w.encode() for w in SOUGHT]
+
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: [i for i, w in enumerate(words) if w in x])
+
+    return F.pandas_udf(run, "array<int>")(text.cast("binary"))
+
+
+def held(words: list[str]) -> Column:
+    """Whether the page's html holds one of the words."""
+    return F.arrays_overlap("holds", F.array(*[F.lit(SOUGHT[w]) for w in words])) if len(words) > 1 else F.array_contains("holds", SOUGHT[words[0]])
+
+
 def matches(fields: dict[str, Column], lowered: dict[str, Column], field: str, pattern: str) -> Column:
     """Whether a rule's pattern is found in its field: by substrings where the pattern is a choice of literals."""
     if field == "probe":
         return F.coalesce(F.array_contains(fields["probes"], pattern), F.lit(False))
-    parts = pattern.removeprefix("(?i)").split("|")
-    if pattern.startswith("(?i)") and all(_LITERAL.fullmatch(p) for p in parts):
+    plain = literals(pattern)
+    if plain and field == "html":
+        return held(plain)
+    if plain:
         found = None
-        for p in parts:
-            hit = lowered[field].contains(re.sub(r"\\(.)", r"\1", p).lower())
+        for p in plain:
+            hit = lowered[field].contains(p)
             found = hit if found is None else found | hit
         return F.coalesce(found, F.lit(False))
-    return F.coalesce(fields[field].rlike(pattern), F.lit(False))
+    hit, words = F.coalesce(fields[field].rlike(pattern), F.lit(False)), needed(pattern)
+    if words and field == "html":
+        return held(words) & hit
+    if words and field == "html_or_headers":  # no needed substring spans the line between them
+        elsewhere = lowered["headers"].contains(words[0])
+        for w in words[1:]:
+            elsewhere = elsewhere | lowered["headers"].contains(w)
+        return (held(words) | elsewhere) & hit
+    return hit
 
 
 def attribute(tag: Column, name: str) -> Column:
@@ -215,6 +280,7 @@ def _databases(found: Column) -> Column:
 
 def hits(sites: DataFrame, categories: list[str] | None = None) -> DataFrame:
     """page_id, category, name, weight: every rule that fires and what the platforms found imply, in one pass without a shuffle."""
+    attach(sites.sparkSession)
     wanted = set(categories or CATEGORIES)
     header = lambda k: F.coalesce(F.try_element_at("headers", F.lit(k)), F.lit(""))
     join = lambda c, sep=" ": F.coalesce(F.array_join(c, sep), F.lit(""))
@@ -231,6 +297,7 @@ def hits(sites: DataFrame, categories: list[str] | None = None) -> DataFrame:
     columns = {"html": "html", "headers": "headers_text", "server": "server", "powered": "powered", "cookies": "cookies", "nameservers": "nameservers", "scripts": "scripts", "assets": "assets", "generator": "generator", "classes": "classes"}
     lower = {f: f"{f}_lower" for f in columns}
     rows = rows.select("*", *[F.lower(columns[f]).alias(lower[f]) for f in columns])
+    rows = rows.withColumn("holds", holding(F.col("html_lower")))
     fields = {f: F.col(c) for f, c in columns.items()} | {"probes": F.col("probes"), "html_or_headers": F.concat_ws("\n", "html", "headers_text")}
     lowered = {f: F.col(c) for f, c in lower.items()} | {"html_or_headers": F.concat_ws("\n", "html_lower", "headers_lower")}
 
@@ -249,7 +316,7 @@ def hits(sites: DataFrame, categories: list[str] | None = None) -> DataFrame:
         if category == "language":
             php = F.col("powered").rlike("(?i)^php/")
             return [
-                F.when(php, _hit(category, "PHP", 0.9)).when(F.col("html").rlike(r"""(?i)\.php(\?|"|'|$)"""), _hit(category, "PHP", 0.4)), F.when(F.col("html").rlike(r"""(?i)\.aspx(\?|"|'|$)|\.ashx(\?|"|'|$)"""), _hit(category, "C#", 0.5)),
+                F.when(php, _hit(category, "PHP", 0.9)).when(held(needed(PHP)) & F.col("html").rlike(PHP), _hit(category, "PHP", 0.4)), F.when(held(needed(ASPX)) & F.col("html").rlike(ASPX), _hit(category, "C#", 0.5)),
                 F.when(F.col("headers_text").rlike(r"(?i)x-generator:\s*(drupal|joomla)"), _hit(category, "PHP", 0.5)), F.when(F.col("server").rlike("(?i)^(gunicorn|uvicorn|werkzeug|waitress)"), _hit(category, "Python", 0.6)),
                 F.when(F.col("server").rlike("(?i)^apache-coyote"), _hit(category, "Java", 0.6)), F.when(F.col("n_scripts") > 0, _hit(category, "JavaScript", 0.3)),
             ]
@@ -265,7 +332,7 @@ def hits(sites: DataFrame, categories: list[str] | None = None) -> DataFrame:
             asks = F.exists("forms", lambda f: F.exists(f["fields"], code))
             login = F.exists("forms", lambda f: F.exists(f["fields"], lambda x: x["type"] == "password") & F.exists(f["fields"], lambda x: F.coalesce(F.lower(x["name"]).rlike("email|user"), F.lit(False))))
             return [
-                F.when(F.col("html_lower").rlike(r"\botp\b|one-time password|verification code") & asks, _hit(category, "OTP Login", 0.75)),
+                F.when(held(needed(CODE)) & F.col("html_lower").rlike(CODE) & asks, _hit(category, "OTP Login", 0.75)),
                 F.when(login & F.col("cookies_lower").rlike(r"connect\.sid|phpsessid|jsessionid|sessionid"), _hit(category, "Session Authentication", 0.55)),
             ]
         return []
@@ -283,7 +350,7 @@ def hits(sites: DataFrame, categories: list[str] | None = None) -> DataFrame:
                 pays = lambda f: F.coalesce(F.lower(f["action"]).rlike("pay|checkout|billing|cart"), F.lit(False)) | F.coalesce(F.lower(f["id"]).rlike("pay|checkout"), F.lit(False)) | F.coalesce(F.lower(f["class_name"]).rlike("pay|checkout"), F.lit(False))
                 last = F.when(F.exists("forms", pays), F.array(_hit(category, "Custom Payment", 0.3))).otherwise(found)
             elif category == "chat":
-                last = F.when(F.col("html").rlike(r'(?i)class="[^"]*\b(chat-widget|chat-bubble|live-chat)\b'), F.array(_hit(category, "Custom Chat", 0.3))).otherwise(found)
+                last = F.when(held(["chat-widget", "chat-bubble", "live-chat"]) & F.col("html").rlike(CHAT), F.array(_hit(category, "Custom Chat", 0.3))).otherwise(found)
             else:
                 return found
             return F.when(F.size(found) > 0, found).otherwise(last)
@@ -302,8 +369,8 @@ def hits(sites: DataFrame, categories: list[str] | None = None) -> DataFrame:
                 out.append(_databases(found))
             return F.concat(*out)
 
-        needed = [c for c in ("cms", "backend") if c in wanted or "database" in wanted or c == "backend" and "language" in wanted]
-        parts.append(once(F.concat(*[settled(c) for c in needed]), platforms))
+        asked = [c for c in ("cms", "backend") if c in wanted or "database" in wanted or c == "backend" and "language" in wanted]
+        parts.append(once(F.concat(*[settled(c) for c in asked]), platforms))
     parts += [settled(c) for c in CATEGORIES if c in wanted - {"cms", "backend", "forms"}]
     if "forms" in wanted:
         parts.append(F.transform(F.filter(F.transform("forms", form_category), lambda c: c.isNotNull()), lambda c: _hit("forms", c, 0.6)))

@@ -139,3 +139,36 @@ def test_links_leave_the_parser_alone(spark):
     assert sorted(map(tuple, found.collect())) == [(1, "https://h.example/a"), (1, "https://h.example/d/b?q=1"), (2, "https://o.example/")]
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "ArrowEvalPython" not in plan and plan.count("MapInArrow") >= 1
+
+
+def test_html_patterns_meet_only_pages_with_a_substring_they_need():
+    """What a page may match holds a needed substring (so results stay), and only one pattern on the html has none."""
+    import re
+
+    from quarrykit.operators import signals as G
+    from quarrykit.plans.technology import CASES
+
+    assert G.needed(r"(?i)\bgtag\s*\(\s*['\"]config['\"]|a\.b+c") == ["config", "a.b"]
+    assert G.needed(r"x{0,1}yyz?|(ab)+\$q") == ["yy", "$q"] and G.needed("xy?|ab") == []
+    ungated, seen = [], 0
+    for _, _, _, *tests in G.RULES:
+        for field, pattern in zip(tests[::2], tests[1::2], strict=True):
+            if field == "html":
+                words = G.literals(pattern) or G.needed(pattern)
+                ungated += [] if words else [pattern]
+                for case in CASES:
+                    if re.search(pattern, case["html"]):
+                        seen += 1
+                        assert not words or any(w in case["html"].lower() for w in words), (pattern, words)
+    assert ungated == [r"\b(G|UA)-[A-Z0-9-]{6,}\b"] and seen > 100
+
+
+def test_technologies_of_pages_that_are_not_valid_utf8(spark):
+    from pyspark.sql import functions as F
+
+    from quarrykit.operators import signals as G
+
+    html = F.concat(F.unhex(F.lit("FF")), F.lit("<p>PAYPAL.buttons () cdn.jsdelivr.net</p>").cast("binary")).cast("string")
+    empty = F.array().cast("array<string>")
+    site = spark.range(1).select(F.col("id").alias("page_id"), html.alias("html"), F.create_map().cast("map<string,string>").alias("headers"), empty.alias("cookies"), empty.alias("nameservers"), empty.alias("probes"), empty.alias("sitemaps"), F.lit(False).alias("robots"))
+    assert {(r["category"], r["name"], r["weight"]) for r in G.hits(site, ["payment", "cdn"]).collect()} == {("payment", "PayPal", 0.85), ("cdn", "JSDelivr", 0.85)}
