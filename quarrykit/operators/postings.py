@@ -1,13 +1,11 @@
-"""A keyword index that outlives a query: stored postings, extended by new documents alone, searched with bounds on scores.
+"""A keyword index that outlives a query: stored postings, extended by new documents alone.
 
 Layout below ``path``: ``postings/v=<batch>/bucket=<b>`` (term, doc_id, tf, n; the bucket is the term's hash), ``lengths/v=<batch>`` (doc_id, n) and
 ``totals/v=<batch>`` (documents, those with a text, and tokens so far), the last of which makes a batch visible. A repeated batch overwrites itself.
 A document is indexed once: ids that the index has are left out, so a changed text needs a new id.
 
-A search reads the buckets of its terms only and tokenises nothing but the queries. A term's bound is its highest share in a score. The terms of
-the highest bounds give a first k-th best score; terms whose bounds together stay below it cannot lift a document among the k best
-by themselves, so only documents of the other terms are scored, and of those only the ones that the bounds leave in reach. Frequent
-terms thus meet candidates instead of being summed whole. Results are those of ``retrieval.bm25``.
+A search reads the buckets of its terms only and tokenises nothing but the queries. What is left of them is laid by document once, so scores
+are summed without a further shuffle. Results are those of ``retrieval.bm25``.
 
 Defined cases: null texts count as documents, but not in the mean length; null ids are not indexed; of repeated ids the longest text (then the first in order) counts;
 an empty index gives an empty result.
@@ -15,22 +13,46 @@ an empty index gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..session import durable, partitions_for
+from ..session import attach, durable, partitions_for, release
 from .retrieval import B, K1, top
 
 BUCKETS = 64
-#: Query terms that are sent to every task, and what rounding may add to a bound.
-FEW, SLACK = 1_000_000, 1e-5
+#: Query terms that are sent to every task.
+FEW = 1_000_000
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, n, term, tf, first: a row for each term of a document (doc_id, tokens), one without a term if it has none; ``first`` marks one
+    row of each document."""
+    for batch in batches:
+        ids, tokens = batch.column(0), batch.column(1)
+        n = pc.list_value_length(tokens)
+        coded = tokens.flatten().dictionary_encode()
+        many = len(coded.dictionary) + 1
+        of = np.repeat(np.arange(len(ids)), pc.fill_null(n, 0).to_numpy(zero_copy_only=False))
+        key, tf = np.unique(of * many + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+        bare = np.setdiff1d(np.arange(len(ids)), of)
+        row, code = np.concatenate([key // many, bare]), np.concatenate([key % many, np.full(len(bare), -1)])
+        first = np.zeros(len(row), bool)
+        first[np.unique(row, return_index=True)[1]] = True
+        term = coded.dictionary.take(pa.array(code, mask=code < 0))
+        columns = [ids.take(pa.array(row)), n.take(pa.array(row)).cast("int64"), term, pa.array(np.concatenate([tf, np.zeros(len(bare), np.int64)])), pa.array(first)]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "term", "tf", "first"])
 
 
 class Postings:
     def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
-        self.spark, self.path, self.buckets = spark, path, buckets
+        self.spark, self.path, self.buckets = attach(spark), path, buckets
 
     def _bucket(self, term: str) -> Column:
         return F.pmod(F.xxhash64(term), F.lit(self.buckets)).cast("int")
@@ -58,48 +80,33 @@ class Postings:
         if before is not None:
             known = self.spark.read.schema("doc_id long, n long, v long").parquet(f"{self.path}/lengths").where(F.col("v") <= before["v"])
             single = single.join(known.select("doc_id"), "doc_id", "left_anti")
-        tokens = durable(single.select("doc_id", T.tokenize(F.col("text")).alias("tokens")))
-        sized = tokens.withColumn("n", F.size("tokens").cast("long"))
-        sized.select("doc_id", "n").write.mode("overwrite").parquet(f"{self.path}/lengths/v={batch}")
-        terms = sized.select("doc_id", "n", F.explode("tokens").alias("term")).groupBy("term", "doc_id", "n").agg(F.count(F.lit(1)).alias("tf")).withColumn("bucket", self._bucket("term"))
-        parts = partitions_for(tokens, 32)  # a bucket is written by as many tasks as its share of the terms needs
-        terms.repartition(parts, "bucket", F.pmod(F.xxhash64("doc_id"), F.lit(max(1, parts // self.buckets)))).sortWithinPartitions("bucket", "term", "doc_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings/v={batch}")
+        tokens = single.select("doc_id", T.tokenize(F.col("text")).alias("tokens"))
+        counted = durable(tokens.mapInArrow(_counted, "doc_id long, n long, term string, tf long, first boolean"))
+        sized = counted.where("first").select("doc_id", "n")
+        sized.write.mode("overwrite").parquet(f"{self.path}/lengths/v={batch}")
+        terms = counted.where("term IS NOT NULL").select("doc_id", "n", "term", "tf", self._bucket("term").alias("bucket"))
+        parts = partitions_for(counted, 32)  # a bucket is written by as many tasks as its share of the terms needs
+        dealt = terms.repartition(parts, "bucket", F.pmod(F.xxhash64("doc_id"), F.lit(max(1, parts // self.buckets))))
+        dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings/v={batch}")
         added = sized.agg(F.count(F.lit(1)).alias("documents"), F.count("n").alias("texts"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens")).first()
+        release(counted)
         total = tuple((before[c] if before else 0) + added[c] for c in ("documents", "texts", "tokens"))
         self.spark.createDataFrame([total], "documents long, texts long, tokens long").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/totals/v={batch}")
         return added["documents"]
 
-    def _shares(self, terms: DataFrame) -> DataFrame:
-        """term, doc_id, df, share: each posting of the terms with its share in a score."""
+    def search(self, queries: DataFrame, k: int) -> DataFrame:
+        """query_id, doc_id, score, rank, as ``retrieval.bm25`` over all indexed documents. ``queries``: query_id, text."""
+        terms = durable(queries.select("query_id", F.explode(F.array_distinct(T.tokenize(F.col("text")))).alias("term")).distinct())
         wanted = terms.select("term").distinct()
+        few = wanted.count() <= FEW
         buckets = sorted(r["bucket"] for r in wanted.select(self._bucket("term").alias("bucket")).distinct().collect())  # at most all buckets
         rows = self._read("postings", "term string, doc_id long, n long, tf long, bucket int").where(F.col("bucket").isin(buckets) if buckets else F.lit(False))
-        met = durable(rows.join(F.broadcast(wanted) if wanted.count() <= FEW else wanted, "term", "left_semi").select("term", "doc_id", "n", "tf"))
-        found = met.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        met = durable(rows.join(F.broadcast(wanted) if few else wanted, "term", "left_semi").select("term", "doc_id", "n", "tf"))
         totals = self._totals() or {"documents": 0, "texts": 0, "tokens": 0}
         mean = totals["tokens"] / totals["texts"] if totals["tokens"] else 1.0
-        idf = F.log((F.lit(float(totals["documents"])) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-        share = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n") / F.lit(float(mean))))
-        return met.join(found, "term").select("term", "doc_id", "df", share.alias("share"))
-
-    def search(self, queries: DataFrame, k: int) -> DataFrame:
-        """query_id, doc_id, score, rank, as ``retrieval.bm25`` over all indexed documents. ``queries``: query_id, text."""
-        terms = durable(queries.select("query_id", F.explode(F.array_distinct(T.tokenize(F.col("text")))).alias("term")).distinct())
-        shares = self._shares(terms)
-        bounds = shares.groupBy("term").agg(F.max("share").alias("bound"), F.max("df").alias("df"))
-        ranked = terms.join(bounds, "term").withColumn("seeds", F.sum("df").over(Window.partitionBy("query_id").orderBy(F.desc("bound"), "term").rowsBetween(Window.unboundedPreceding, -1)))
-        ranked = durable(ranked.withColumn("below", F.sum("bound").over(Window.partitionBy("query_id").orderBy("bound", "term"))))  # a query's terms
-        seeds = ranked.where(F.coalesce("seeds", F.lit(0)) < 4 * k).select("query_id", "term")
-        first = top(shares.join(seeds, "term").groupBy("query_id", "doc_id").agg(F.sum("share").alias("score")), "query_id", [F.desc("score"), F.asc("doc_id")], k)
-        reach = first.where(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
-        marked = durable(ranked.join(reach, "query_id", "left").withColumn("least", F.coalesce("least", F.lit(0.0))))
-        free = F.col("below") < F.col("least") - SLACK  # what these and the terms of lower bounds give together is too little
-        leading = marked.where(~free).select("query_id", "term", "least")
-        rest = marked.where(free).groupBy("query_id").agg(F.max("below").alias("rest"))
-        led = shares.join(leading, "term").groupBy("query_id", "doc_id").agg(F.sum("share").alias("led"), F.max("least").alias("least"))
-        candidates = led.join(rest, "query_id", "left").withColumn("rest", F.coalesce("rest", F.lit(0.0))).where(F.col("led") + F.col("rest") >= F.col("least") - SLACK)
-        candidates = durable(candidates.select("query_id", "doc_id", "led"))
-        more = shares.join(marked.where(free).select("query_id", "term"), "term").join(candidates.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi")
-        parts = candidates.select("query_id", "doc_id", F.col("led").alias("share")).unionByName(more.select("query_id", "doc_id", "share"))
-        scored = parts.groupBy("query_id", "doc_id").agg(F.round(F.sum("share"), 6).alias("score"))
+        found = met.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        asked = durable(terms.join(found, "term").select("query_id", "term", F.log((F.lit(float(totals["documents"])) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf")))
+        share = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n") / F.lit(float(mean))))
+        weighed = met.repartition(partitions_for(met), "doc_id").join(F.broadcast(asked) if few else asked, "term").select("query_id", "doc_id", share.alias("share"))
+        scored = weighed.groupBy("query_id", "doc_id").agg(F.round(F.sum("share"), 6).alias("score"))
         return top(scored.where("score > 0"), "query_id", [F.desc("score"), F.asc("doc_id")], k)

@@ -181,3 +181,17 @@ def test_index_of_the_test_vectors(spark):
     assert len(exact & {(r.query_id, r.vec_id) for r in R.ann(q, v, 10).collect()}) / len(exact) >= 0.9
     pairs = rows(R.similar_pairs(v, 0.4).select("a", "b"))
     assert len(pairs & rows(R.similar_pairs(v, 0.4, recall=0.95).select("a", "b"))) >= 0.9 * len(pairs) and np.isfinite(len(SF))
+
+
+def test_terms_are_counted_where_their_document_is():
+    """A row for each term of a document; a document without terms (or without a text) keeps one, and one row of each is the first."""
+    import pyarrow as pa
+
+    from quarrykit.operators.postings import _counted
+
+    tokens = [["b", "a", "b"], None, [], ["a"]]
+    batch = pa.RecordBatch.from_arrays([pa.array([7, 8, 9, 5], pa.int64()), pa.array(tokens, pa.list_(pa.string()))], ["doc_id", "tokens"])
+    rows = [tuple(r.values()) for part in _counted(iter([batch, batch.slice(3), batch.slice(1, 2), batch.slice(0, 0)])) for r in part.to_pylist()]
+    whole, five, bare = rows[:5], rows[5:6], rows[6:]
+    assert {r[:4] for r in whole} == {(7, 3, "b", 2), (7, 3, "a", 1), (5, 1, "a", 1), (8, None, None, 0), (9, 0, None, 0)}
+    assert sorted(r[0] for r in whole if r[4]) == [5, 7, 8, 9] and five == [(5, 1, "a", 1, True)] and bare == [(8, None, None, 0, True), (9, 0, None, 0, True)]
