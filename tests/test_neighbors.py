@@ -128,3 +128,13 @@ def test_large_bucket_in_bounded_memory(spark, monkeypatch):
             yield pa.RecordBatch.from_arrays([pa.array([resource.getrusage(resource.RUSAGE_SELF).ru_maxrss >> 10])], ["mb"])
 
     assert spark.range(0, 8, 1, 4).mapInArrow(peak, "mb long").agg({"mb": "max"}).first()[0] < 600
+
+
+def test_links_send_a_vector_to_few_blocks_whatever_the_size_of_the_table(spark, monkeypatch):
+    """Blocks grow with the table, so the rows that are sent grow with it and not with its square."""
+    monkeypatch.setattr(N, "BLOCK", 32)
+    x = np.random.default_rng(4).normal(size=(1600, 16))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    met = {}
+    N.similar_links(frame(spark, x), 0.7, met=met)
+    assert met["met"] <= 10 * len(x)
