@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from ..session import attach, durable, partitions_for
+from ..session import attach, by_shuffle, durable, partitions_for
 from ._ids import minus, only
 from ._sums import summed
 from ._text import byte_texts
@@ -295,7 +295,7 @@ def near_links(distinct: DataFrame, tile: int = TILE) -> DataFrame:
     own = F.pmod(F.xxhash64("fp"), F.col("parts"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
     tiled = (
-        cells.join(sizes.withColumn("parts", parts), "cell")
+        cells.join(by_shuffle(sizes.withColumn("parts", parts)), "cell")
         .withColumn("own", own)
         .withColumn("other", other)
         .select("cell", (F.greatest("own", "other") * F.col("parts") + F.least("own", "other")).alias("tile"), "fp", "rep")
@@ -369,7 +369,8 @@ def _met(rows: DataFrame, least: float) -> DataFrame:
 
 def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """Links (a, b) between the components of pairs (id_a, id_b, c_a, c_b) of texts that are similar."""
-    both = pairs.join(sets.select(F.col("id").alias("id_a"), F.col("hashes").alias("x")), "id_a").join(sets.select(F.col("id").alias("id_b"), F.col("hashes").alias("y")), "id_b")
+    left, right = (by_shuffle(sets.select(F.col("id").alias(i), F.col("hashes").alias(h))) for i, h in (("id_a", "x"), ("id_b", "y")))
+    both = pairs.join(left, "id_a").join(right, "id_b")
 
     same = F.size(F.array_intersect("x", "y"))
     return both.where(same >= least * (F.size("x") + F.size("y") - same) - 1e-9).select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))
@@ -378,16 +379,16 @@ def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 def set_links(docs: DataFrame, prints: DataFrame, labelled: DataFrame, k: int, least: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Links (a, b) between components of ``labelled`` (fp, component_id) that hold texts with similar shingle sets."""
     rows = prints.where("id IS NOT NULL")
-    by_key = durable(rows.select("key", "fp", "id", "bits").groupBy("key", "fp").agg(F.min("id").alias("id"), F.first("bits").alias("bits")).join(labelled, "fp").select("key", "id", F.col("component_id").alias("c"), "bits"))
+    by_key = durable(rows.select("key", "fp", "id", "bits").groupBy("key", "fp").agg(F.min("id").alias("id"), F.first("bits").alias("bits")).join(by_shuffle(labelled), "fp").select("key", "id", F.col("component_id").alias("c"), "bits"))
     named = durable(by_key.groupBy("key").agg(F.min(F.struct("id", "c")).alias("one"), F.first("bits").alias("bits")).select("key", "one.*", "bits"))
-    equal = by_key.join(named.select("key", F.col("c").alias("b")), "key").where("c <> b").select(F.col("c").alias("a"), "b")
+    equal = by_key.join(by_shuffle(named.select("key", F.col("c").alias("b"))), "key").where("c <> b").select(F.col("c").alias("a"), "b")
 
-    copies = rows.select("key", "id").join(named.select("key", F.col("id").alias("one")), "key").where("id <> one").select("id").distinct()
-    one = minus(rows.select("id", "n", "tokens"), "id", copies.join(named.select("id"), "id", "left_anti"))
+    copies = rows.select("key", "id").join(by_shuffle(named.select("key", F.col("id").alias("one"))), "key").where("id <> one").select("id").distinct()
+    one = minus(rows.select("id", "n", "tokens"), "id", copies.join(by_shuffle(named.select("id")), "id", "left_anti"))
     tokens = one.select("id", "n", "tokens").mapInArrow(_exploded, "token long, id long, place long")
     parts = partitions_for(docs)
     shared = tokens.repartition(parts, "token").sortWithinPartitions("token").mapInArrow(_repeated, "token long, id long, place long")
-    shared = durable(shared.join(named.select("id", "c", "bits"), "id"))
+    shared = durable(shared.join(by_shuffle(named.select("id", "c", "bits")), "id"))
 
     def sets_of(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.explode(F.array("id_a", "id_b")).alias("id"))
@@ -399,7 +400,7 @@ def set_links(docs: DataFrame, prints: DataFrame, labelled: DataFrame, k: int, l
     for turn in range(TURNS):  # each text meets one other at a time, so a group of near copies falls together without all its pairs
         order = F.xxhash64("id", F.lit(turn)).alias("order")
         chosen = now.groupBy("token").agg(F.min(F.struct(order, "id", "place", "c", "bits")).alias("b"))
-        star = now.select("token", F.struct("id", "place", "c", "bits").alias("a")).join(chosen, "token").where("a.c <> b.c")
+        star = now.select("token", F.struct("id", "place", "c", "bits").alias("a")).join(by_shuffle(chosen), "token").where("a.c <> b.c")
         times = _met(star, least)
         best = times.groupBy("id_a", "c_a").agg(F.max(F.struct("times", (-F.col("id_b")).alias("first"), "c_b")).alias("best"))
         pairs = durable(best.select("id_a", (-F.col("best.first")).alias("id_b"), "c_a", "best.c_b"))
@@ -409,19 +410,19 @@ def set_links(docs: DataFrame, prints: DataFrame, labelled: DataFrame, k: int, l
         if found.isEmpty():
             break
         moved = components(found)
-        now = durable(now.join(moved, F.col("c") == F.col("node"), "left").select("token", "id", "place", F.coalesce("component", "c").alias("c"), "bits"))
+        now = durable(now.join(by_shuffle(moved), F.col("c") == F.col("node"), "left").select("token", "id", "place", F.coalesce("component", "c").alias("c"), "bits"))
 
     mixed = now.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("token")
-    now = durable(now.join(mixed, "token", "left_semi"))
+    now = durable(now.join(by_shuffle(mixed), "token", "left_semi"))
     whole = F.struct("id", "place", "c", "bits")
     each = now.groupBy("token", "c").agg(F.count(F.lit(1)).alias("k"))
-    small = now.join(each.where(F.col("k") <= TOGETHER).drop("k"), ["token", "c"], "left_semi").select("token", whole.alias("a"))
-    few = small.join(small.withColumnRenamed("a", "b"), "token").where("a.c < b.c").select("token", "a", "b")
-    large = each.toDF("token", "c_a", "k_a").join(each.toDF("token", "c_b", "k_b"), "token").where((F.col("c_a") < F.col("c_b")) & (F.greatest("k_a", "k_b") > TOGETHER))
+    small = now.join(by_shuffle(each.where(F.col("k") <= TOGETHER).drop("k")), ["token", "c"], "left_semi").select("token", whole.alias("a"))
+    few = small.join(by_shuffle(small.withColumnRenamed("a", "b")), "token").where("a.c < b.c").select("token", "a", "b")
+    large = each.toDF("token", "c_a", "k_a").join(by_shuffle(each.toDF("token", "c_b", "k_b")), "token").where((F.col("c_a") < F.col("c_b")) & (F.greatest("k_a", "k_b") > TOGETHER))
     a, b = now.select("token", F.col("c").alias("c_a"), whole.alias("a")), now.select("token", F.col("c").alias("c_b"), whole.alias("b"))
     pairs = few  # the smaller component's texts come first, those of the larger one with the conditions of ``_met``
     for meet, one, other in ((large.where("k_a <= k_b"), (a, "c_a"), (b, "c_b")), (large.where("k_a > k_b"), (b, "c_b"), (a, "c_a"))):
-        pairs = pairs.unionByName(meet.join(one[0], ["token", one[1]]).join(other[0], ["token", other[1]]).select("token", "a", "b"))
+        pairs = pairs.unionByName(meet.join(by_shuffle(one[0]), ["token", one[1]]).join(by_shuffle(other[0]), ["token", other[1]]).select("token", "a", "b"))
     pairs = durable(_met(pairs, least).drop("times"))
     return links.unionByName(_similar(pairs, sets_of(pairs), least))
 
@@ -434,16 +435,16 @@ def near_groups(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: s
         prints = durable(prefixes(docs, k, shingle_counts(docs, k, text_col), least, id_col, text_col))
     distinct = durable(prints.groupBy("fp").agg(F.min("id").alias("rep")))
     groups = components(near_links(distinct.where("rep IS NOT NULL")))
-    labelled = distinct.join(groups, F.col("rep") == F.col("node"), "left").select(
+    labelled = distinct.join(by_shuffle(groups), F.col("rep") == F.col("node"), "left").select(
         "fp", F.coalesce("component", "rep").alias("component_id")
     )
     if least is not None:
         labelled = durable(labelled)
         wider = components(set_links(docs, prints, labelled, k, least, id_col, text_col))
-        labelled = labelled.join(wider, F.col("component_id") == F.col("node"), "left").select(
+        labelled = labelled.join(by_shuffle(wider), F.col("component_id") == F.col("node"), "left").select(
             "fp", F.coalesce("component", "component_id").alias("component_id")
         )
-    return prints.select("id", "fp").join(labelled, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    return prints.select("id", "fp").join(by_shuffle(labelled), "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def dedup(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: str = "text", least: float | None = None) -> DataFrame:
@@ -451,7 +452,7 @@ def dedup(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: str = "
     groups = near_groups(docs, k, id_col, text_col, least)
     groups = durable(groups.select(F.col(id_col).alias("id"), "component_id").where("id IS NOT NULL").distinct())
     keep = groups.where("id = component_id").select("id")
-    return minus(docs, id_col, groups.where("id <> component_id").select("id").join(keep, "id", "left_anti"))
+    return minus(docs, id_col, groups.where("id <> component_id").select("id").join(by_shuffle(keep), "id", "left_anti"))
 
 
 def digest(docs: DataFrame) -> DataFrame:
