@@ -1,10 +1,12 @@
 """Work in blocks that grow with the table: what is sent and given out, and the same rows as all pairs."""
 
 import numpy as np
+import pytest
 
 from quarrykit.operators import neighbors as N
 from quarrykit.operators.components import components
-from tests.test_neighbors import exact_pairs, frame, rows
+from quarrykit.plans import retrieval
+from tests.test_neighbors import CASES, clustered, exact_pairs, frame, rows
 
 
 def unstructured(n, d=64, seed=4):
@@ -47,3 +49,24 @@ def test_links_of_unstructured_vectors_take_few_exact_products(spark, monkeypatc
     pairs = spark.createDataFrame([(int(a), int(b)) for a, b, _ in exact_pairs(x, 0.4)], "a long, b long")
     assert rows(components(links)) == rows(components(pairs))
     assert taken.value < 0.3 * len(x) ** 2
+
+
+@pytest.mark.parametrize("name", [*CASES, "unstructured"])
+def test_best_pairs_hold_the_best_of_all_pairs(spark, monkeypatch, name):
+    x = unstructured(300) if name == "unstructured" else CASES[name].astype(np.float32)
+    monkeypatch.setattr(N, "BLOCK", 64)
+    monkeypatch.setattr(N, "HELD", 500)
+    tags = spark.createDataFrame([(i, [i % 3]) for i in range(len(x))], "id long, tags array<int>")
+    for t, least in ((0.35, 0.4), (0.9, 0.95)):
+        pairs = spark.createDataFrame([(int(a), int(b), float(s)) for a, b, s in exact_pairs(x, t)], "a long, b long, score double")
+        best = N.similar_best(frame(spark, x), t, 5, 0.05, 1.0)
+        assert rows(retrieval.best_related(best, tags, 5, least)) == rows(retrieval.related(pairs, tags, 5, least))
+    assert N.similar_best(frame(spark, x[:0]), 0.5, 3).count() == 0
+
+
+def test_best_pairs_are_few_a_row_and_task(spark, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK", 100)
+    x = np.concatenate([np.repeat(clustered(1, 1, 0.0, 2), 400, axis=0), clustered(400, 400, 1.0, 3)])
+    met = {}
+    best = N.similar_best(frame(spark, x), 0.35, 5, met=met)
+    assert best.count() <= 5 * (met["met"] + 8 * 2 * len(x)) < 400 * 399
