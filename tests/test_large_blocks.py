@@ -70,3 +70,15 @@ def test_best_pairs_are_few_a_row_and_task(spark, monkeypatch):
     met = {}
     best = N.similar_best(frame(spark, x), 0.35, 5, met=met)
     assert best.count() <= 5 * (met["met"] + 8 * 2 * len(x)) < 400 * 399
+
+
+def test_low_thresholds_send_no_row_for_each_band(spark, monkeypatch):
+    """The same pairs as by bands, of which there are 100 and more at such a threshold."""
+    x = unstructured(400)
+    monkeypatch.setattr(N, "BLOCK", 64)
+    sent = []
+    monkeypatch.setattr(N, "_by_groups", lambda rows, *rest, was=N._by_groups: sent.append(rows.count()) or was(rows, *rest))
+    found = rows(N.banded_pairs(frame(spark, x), 0.3))
+    monkeypatch.setattr(N, "ONE_IN", 0)
+    assert rows(N.banded_pairs(frame(spark, x), 0.3)) == found and len(found) > 100
+    assert sent[0] < 20 * len(x) < sent[1]
